@@ -57,7 +57,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     four = three.withColumn("_p", F.expr("case when _any then array_sort(transform(_h, (x, i) -> struct(x as x, i as i))) end"))
     five = four.withColumn("_r", F.expr("array_sort(transform(filter(_p, (s, j) -> s.x = get(_p, j - 1).x or s.x = get(_p, j + 1).x), s -> s.i))"))
     covered = F.expr("aggregate(transform(_r, (p, j) -> least(3, coalesce(get(_r, j + 1) - p, 3))), 0L, (a, x) -> a + x)")
-    return five.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_h", "_s", "_any", "_p", "_r")
+    done = five.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+    # The generator keeps filters above it: pushed below, one would spell every measurement out again at each use.
+    return done.select(*docs.columns, F.explode(F.array(F.struct(*MEASURES))).alias("_m")).select(*docs.columns, "_m.*")
 
 
 def fail_bits(rules: list[tuple[str, str]] = RULES) -> Column:
