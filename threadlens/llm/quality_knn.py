@@ -31,8 +31,8 @@ from .wordscan import NONSPACE, Words, slices, texts_of
 TERMS = 1 << 13
 BINS, SHAPES = 12, 10
 PER_LABEL = 2500
-DIMENSIONS, NEIGHBOURS = 48, 25
-SHAPE_WEIGHT = 3.0
+DIMENSIONS, NEIGHBOURS = 48, 9
+SHAPE_WEIGHT = 8.0
 
 _CLASS = np.zeros(256, np.uint8)  # 1 letter or byte of one, 2 capital, 3 digit, 4 symbol, 5 other mark
 _CLASS[0x21:0x7F] = 5

@@ -27,7 +27,7 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 RULES: list[tuple[str, str]] = [
     ("few_words", "n_words < 50"),
     ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
-    ("symbols", "2 * n_symbols > n_words"),
+    ("symbols", "4 * n_symbols > n_words"),
     ("repeated_lines", "n_lines >= 4 and 100 * n_dup_lines > 50 * n_lines"),
     ("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
     ("upper_case", "2 * n_upper > word_chars"),
