@@ -1,15 +1,281 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL for DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import labels, text as X
+from .operators import bursts, cleaning, collect, graph, models, privacy, termstats, timebuckets
+from .plans import fixtures as fx
+from .streaming import live
+
+SALT = "0123456789abcdef"
+STOPS = ["the", "and", "that", "for"]
+DAYS = ("2024-01-07", "2024-01-15")
+DAY = ("2024-01-11", "2024-01-12")
+WINDOWS = bursts.Sliding("2024-01-10 00:00:00", "2024-01-12 23:59:00", top_n=40)
+DETECTOR = bursts.Detector(baseline=288, k_sigma=1.0, min_history=5, top_k=10, sigma_floor=0.01, min_count_window=2, require_min_terms=2)
+SUBJECT, CONTEXT = "¿Es buena la reforma?", "Comentarios de videos"
+
+
+def _cleaned(s: SparkSession, d: str) -> DataFrame:
+    return cleaning.clean_comments(fx.comments(s, d))
+
+
+def _local(s: SparkSession, d: str) -> DataFrame:
+    return timebuckets.localised(_cleaned(s, d))
+
+
+def _channels(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("id")
+    return s.range(6).select(F.concat(F.lit("ch"), k).alias("channel_id"), (k * 1000 + 7).alias("channel_subscribers"), F.when(k % 2 == 0, "CO").alias("channel_country"))
+
+
+def _range(kind: str) -> dict:
+    return {"daily": dict(zip(("start", "end"), DAYS)), "hourly": dict(zip(("start", "end"), DAY))}.get(kind, {})
+
+
+def _series(kind: str, which: int):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        out = termstats.series(_local(s, d), kind, 5, STOPS, **_range(kind))[which]
+        return out if which == 0 else out.withColumn("tfidf", F.round("tfidf", 6))
+
+    return run
+
+
+def _volume(kind: str):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        rows = _local(s, d)
+        span = _range(kind)
+        return timebuckets.volume(timebuckets.between(rows, **span) if span else rows, kind, **span)
+
+    return run
+
+
+def _sliding(step: str):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        counts, bins, sizes = bursts.windowed(_local(s, d), WINDOWS, STOPS)
+        if step == "counts":
+            return counts
+        top = bursts.top_by_tick(counts, WINDOWS.top_n)
+        if step == "top":
+            return top.select("tick", "term", "freq", "rank")
+        tfidf = bursts.tick_tfidf(counts, bins, top)
+        if step == "tfidf":
+            return tfidf.select("tick", "bin", "term", F.round("tfidf", 6).alias("tfidf"))
+        vector = bursts.vectors(tfidf, bins, DETECTOR.agg, WINDOWS.grain_minutes)
+        if step == "mean":
+            return bursts.vectors(tfidf, bins, "mean", WINDOWS.grain_minutes).select("tick", "term", F.round("value", 6).alias("value"))
+        change = bursts.changes(vector, sizes)
+        if step == "delta":
+            return change.select("tick", "seq", "term", *[F.round(c, 6).alias(c) for c in ("now", "before", "d")])
+        judgement = bursts.judged(change, top, DETECTOR)
+        found = bursts.burst_terms(judgement, DETECTOR)
+        if step == "terms":
+            return found.select("tick", "term", "freq", "history", *[F.round(c, 6).alias(c) for c in ("d", "mu", "sigma", "z")])
+        snap = bursts.snapshots(sizes, judgement, found, DETECTOR)
+        if step == "snapshots":
+            return snap.select("tick", "n_msgs", F.round("score", 6).alias("score"), "important_count", "is_event")
+        return bursts.events(snap).withColumn("score", F.round("score", 6))
+
+    return run
+
+
+def _graph(build, which: int):
+    return lambda s, d: build(fx.comments(s, d))[which]
+
+
+def _prompts(s: SparkSession, d: str) -> DataFrame:
+    rows = fx.comments(s, d)
+    stance = F.pmod(F.col("row_pos"), F.lit(6)).cast("string")
+    found = models.with_parent_text(rows).withColumns({"stance": labels.likert_tag(stance), "mood": labels.polarity_tag(stance)})
+    return found.select("comment_id", labels.comment_prompt(CONTEXT, SUBJECT, F.col("stance"), F.col("mood"), F.col("parent_text")).alias("prompt"))
+
+
+def _answers(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id") % 5
+    response = F.when(k == 0, "3,1").when(k == 1, "3").when(k == 2, "3,1,2").when(k == 3, F.lit(None)).otherwise(F.concat(F.col("user_id") % 5 + 1, F.lit(","), F.col("user_id") % 3 + 1))
+    message = F.concat(F.lit("Rate limit. Requested "), "event_id", F.lit(". Retry"))
+    rows = fx.table(s, d, "events").withColumn("a", labels.answer(response))
+    return rows.select("event_id", "a.*", labels.likert_tag(F.col("a.classification")).alias("likert"), labels.polarity_tag(F.col("a.polarity")).alias("mood"), labels.from_polarity(F.col("a.polarity")).alias("sentiment_gpt"), X.requested_tokens(message).alias("requested"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+        "comments": lambda s, d: fx.comments(s, d),
+        "clean_comments": lambda s, d: _cleaned(s, d).select("comment_id", "cleaned_comment"),
+        "removed_counters": lambda s, d: cleaning.removed_counters(fx.comments(s, d)),
+        "user_activity": lambda s, d: cleaning.user_activity(_cleaned(s, d)),
+        "user_activity_joined": lambda s, d: cleaning.user_activity_joined(_cleaned(s, d)),
+        "videos_flat": lambda s, d: collect.flat_videos(fx.videos(s, d)),
+        "videos_filtered": lambda s, d: collect.popular(collect.flat_videos(fx.videos(s, d)), 10000, 20).select("video_id", "views", "comments"),
+        "channel_enrich": lambda s, d: collect.enriched(collect.flat_videos(fx.videos(s, d)), _channels(s, d)).select("video_id", "channel_id", "channel_subscribers", "channel_country"),
+        "thread_flatten": lambda s, d: collect.flat_threads(fx.threads(s, d)),
+        "per_video_limit": lambda s, d: collect.first_per_video(fx.comments(s, d), 7).select("video_id", "comment_id", "rn"),
+        "anonymized": lambda s, d: privacy.anonymized(fx.comments(s, d).select("comment_id", "author_id", "author_name", "reply_to_comment_id", "video_id", "text", "likes"), SALT),
+        "id_mapping": lambda s, d: privacy.id_mapping(fx.comments(s, d), SALT),
+        "deanonymized": lambda s, d: (lambda c: privacy.deanonymized(privacy.anonymized(c, SALT), privacy.id_mapping(c, SALT)))(fx.comments(s, d).select("comment_id", "author_id", "author_name", "reply_to_comment_id", "video_id", "text", "likes")),
+        "bucket_documents": lambda s, d: timebuckets.documents(_local(s, d), "daily").select("bucket", F.sha2("document", 256).alias("document_sha256")),
+        "sliding_counts": _sliding("counts"), "sliding_top_terms": _sliding("top"), "sliding_tfidf": _sliding("tfidf"), "sliding_mean": _sliding("mean"), "tfidf_delta": _sliding("delta"),
+        "burst_terms": _sliding("terms"), "burst_snapshots": _sliding("snapshots"), "burst_events": _sliding("events"),
+        "modal_sentiment_video": lambda s, d: graph.modal(fx.comments(s, d), ["author_id", "video_id"], "sentiment"),
+        "modal_sentiment_reply": lambda s, d: graph.modal(graph.reply_pairs(fx.comments(s, d)), ["author_id", "replied_id", "video_id"], "label"),
+        "graph_comment_video_vertices": _graph(graph.comment_video, 0), "graph_comment_video_edges": _graph(graph.comment_video, 1),
+        "graph_user_video_vertices": _graph(graph.user_video, 0), "graph_user_video_edges": _graph(graph.user_video, 1),
+        "edge_weights": lambda s, d: graph.comment_video(fx.comments(s, d), only_default=False)[1],
+        "sentiment_labels": lambda s, d: fx.table(s, d, "events").select("event_id", labels.from_compound((F.col("event_id") % 41 - 20) / 100).alias("by_score"), labels.from_model(F.when(F.col("event_id") % 3 == 0, "POS").when(F.col("event_id") % 3 == 1, "NEG").otherwise("NEU")).alias("by_model")),
+        "sentiment_histogram": lambda s, d: fx.comments(s, d).groupBy("sentiment").agg(F.count("*").alias("n")),
+        "prompts_comment": _prompts,
+        "prompts_video": lambda s, d: collect.flat_videos(fx.videos(s, d)).select("video_id", F.lit(labels.video_prompt(CONTEXT, SUBJECT)).alias("prompt")),
+        "parse_llm_response": _answers,
+        "rolling_token_budget": lambda s, d: models.rolling_tokens(fx.table(s, d, "events").select("event_id", F.col("ts").alias("ts"), (F.col("event_id") % 1500).alias("tokens"))),
+        "transcript_text": lambda s, d: fx.table(s, d, "documents").select("doc_id", F.sha2(X.transcript_text(F.transform(F.split("text", "\n"), lambda t: F.struct(t.alias("text")))), 256).alias("text_sha256")),
+        "lsa_summary": lambda s, d: models.summarised(fx.table(s, d, "documents").select("doc_id", "text"), "text"),
+        "lexicon_sentiment": lambda s, d: models.lexicon_sentiment(fx.table(s, d, "documents").select("doc_id", "text"), {"idiot": -2.0, "moron": -2.0, "the": 0.4, "and": -0.1}),
+        "stub_scores": lambda s, d: models.scored(fx.comments(s, d).select("comment_id", "text"), "text", models.StubScorer()),
+        "stream_sliding_counts": lambda s, d: live.sliding_counts_once(_local(s, d), WINDOWS, STOPS),
+    }
+    for kind in ("monthly", "weekly", "daily", "hourly"):
+        out |= {f"{kind}_volume": _volume(kind), f"top_terms_{kind}": _series(kind, 0), f"tfidf_{kind}": _series(kind, 1)}
+    return out
+
+
+_LOCAL = fx.ALL_CLEANED_SQL + ", local AS (SELECT *, published_at - INTERVAL 5 HOUR AS local_ts FROM cleaned)"
+_LISTED = ", ".join(f"'{w}'" for w in STOPS)
+_BUCKET = {
+    "monthly": "CAST(date_trunc('month', local_ts) AS TIMESTAMP)",
+    "weekly": "CAST((SELECT make_date(CAST(min(year(local_ts)) AS INT), 1, 1) FROM local) + CAST(7 * (date_diff('day', (SELECT make_date(CAST(min(year(local_ts)) AS INT), 1, 1) FROM local), CAST(local_ts AS DATE)) // 7) AS INT) AS TIMESTAMP)",
+    "daily": "CAST(date_trunc('day', local_ts) AS TIMESTAMP)",
+    "hourly": "CAST(date_trunc('hour', local_ts) AS TIMESTAMP)",
+}
+_STEP = {"monthly": "1 MONTH", "weekly": "7 DAY", "daily": "1 DAY", "hourly": "1 HOUR"}
+
+
+def _bucketed(kind: str) -> str:
+    span = _range(kind)
+    where = f"WHERE local_ts >= TIMESTAMP '{span['start']}' AND local_ts < TIMESTAMP '{span['end']}'" if span else ""
+    ends = f"SELECT TIMESTAMP '{span['start']}' AS a, TIMESTAMP '{span['end']}' - INTERVAL 1 MICROSECOND AS b" if span else "SELECT min(bucket) AS a, max(bucket) AS b FROM bucketed"
+    return f"WITH {_LOCAL}, bucketed AS (SELECT *, {_BUCKET[kind]} AS bucket FROM local {where}), ends AS ({ends}), spine AS (SELECT unnest(generate_series(a, b, INTERVAL {_STEP[kind]})) AS bucket FROM ends)"
+
+
+_TERMS = f"""unnest(list_filter(regexp_extract_all(cleaned_comment, '[a-záéíóúñü]{{2,}}'), lambda x: x NOT IN ({_LISTED}))) AS term"""
+
+
+def _series_sql(kind: str, which: int) -> str:
+    value = "CAST(coalesce(n, 0) AS BIGINT) AS n" if which == 0 else "round(coalesce(tfidf, 0.0), 6) AS tfidf"
+    return f"""{_bucketed(kind)}, tokens AS (SELECT bucket, {_TERMS} FROM bucketed), counts AS (SELECT bucket, term, count(*) AS n FROM tokens GROUP BY ALL),
+  top AS (SELECT term, sum(n) AS total FROM counts GROUP BY term ORDER BY total DESC, term LIMIT 5),
+  kept AS (SELECT * FROM counts WHERE term IN (SELECT term FROM top)), size AS (SELECT count(DISTINCT bucket) AS n_docs FROM bucketed),
+  w AS (SELECT bucket, term, n, n * (ln((1.0 + (SELECT n_docs FROM size)) / (1.0 + count(*) OVER (PARTITION BY term))) + 1.0) AS w FROM kept),
+  t AS (SELECT bucket, term, n, w / sqrt(sum(w * w) OVER (PARTITION BY bucket)) AS tfidf FROM w)
+  SELECT bucket, term, {value} FROM spine CROSS JOIN top LEFT JOIN t USING (bucket, term)"""
+
+
+_SLIDING = f"""WITH {_LOCAL}, ticks AS (SELECT unnest(list_append(generate_series(TIMESTAMP '2024-01-10 00:10:00', TIMESTAMP '2024-01-12 23:50:00', INTERVAL 10 MINUTE), TIMESTAMP '2024-01-12 23:59:00')) AS tick),
+  member AS (SELECT tick, time_bucket(INTERVAL 10 MINUTE, local_ts) AS bin, cleaned_comment FROM ticks JOIN local ON local_ts > tick - INTERVAL 2 HOUR AND local_ts < tick),
+  sizes AS (SELECT tick, count(*) AS n_msgs FROM member GROUP BY tick), bins AS (SELECT DISTINCT tick, bin FROM member),
+  tokens AS (SELECT tick, bin, {_TERMS} FROM member), counts AS (SELECT tick, bin, term, count(*) AS n FROM tokens GROUP BY ALL),
+  freqs AS (SELECT tick, term, sum(n) AS freq FROM counts GROUP BY ALL),
+  top AS (SELECT * FROM (SELECT tick, term, freq, row_number() OVER (PARTITION BY tick ORDER BY freq DESC, term) AS rank FROM freqs) WHERE rank <= {WINDOWS.top_n}),
+  kept AS (SELECT c.* FROM counts c JOIN top USING (tick, term)), n_bins AS (SELECT tick, count(*) AS n_docs FROM bins GROUP BY tick),
+  w AS (SELECT tick, bin, term, n * (ln((1.0 + n_docs) / (1.0 + count(*) OVER (PARTITION BY tick, term))) + 1.0) AS w FROM kept JOIN n_bins USING (tick)),
+  t AS (SELECT tick, bin, term, w / sqrt(sum(w * w) OVER (PARTITION BY tick, bin)) AS tfidf FROM w),
+  vec AS (SELECT tick, term, sum(tfidf) AS value FROM t GROUP BY ALL),
+  seqs AS (SELECT tick, row_number() OVER (ORDER BY tick) AS seq FROM sizes), num AS (SELECT seq, term, value FROM vec JOIN seqs USING (tick)),
+  delta AS (SELECT tick, seq, term, coalesce(a.value, 0.0) AS now, coalesce(b.value, 0.0) AS before, abs(coalesce(a.value, 0.0) - coalesce(b.value, 0.0)) AS d
+    FROM num a FULL JOIN (SELECT seq + 1 AS seq, term, value FROM num) b USING (seq, term) JOIN seqs USING (seq) WHERE seq > 1),
+  hist AS (SELECT d.*, coalesce(freq, 0) AS freq, count(d) OVER h AS history, coalesce(avg(d) OVER h, 0.0) AS mu, coalesce(stddev_pop(d) OVER h, 0.0) AS sigma
+    FROM delta d LEFT JOIN top USING (tick, term) WINDOW h AS (PARTITION BY d.term ORDER BY seq ROWS BETWEEN {DETECTOR.baseline} PRECEDING AND 1 PRECEDING)),
+  z AS (SELECT *, (d - mu) / greatest(sigma, {DETECTOR.sigma_floor}) AS z, history >= {DETECTOR.min_history} AND freq >= {DETECTOR.min_count_window} AND d > mu + {DETECTOR.k_sigma} * greatest(sigma, {DETECTOR.sigma_floor}) AS important FROM hist),
+  found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tick ORDER BY z DESC, term) AS rank FROM z WHERE important) WHERE rank <= {DETECTOR.top_k}),
+  scores AS (SELECT tick, greatest(0.0, max(z)) AS max_z, max(z) FILTER (WHERE freq >= {DETECTOR.min_count_window}) AS max_z_valid FROM z GROUP BY tick),
+  listed AS (SELECT tick, count(*) AS important_count, list(term ORDER BY rank) AS terms FROM found GROUP BY tick),
+  snap AS (SELECT tick, n_msgs, coalesce(max_z_valid, max_z, 0.0) AS score, CAST(coalesce(important_count, 0) AS BIGINT) AS important_count, terms, coalesce(important_count, 0) >= {DETECTOR.require_min_terms} AS is_event
+    FROM sizes LEFT JOIN scores USING (tick) LEFT JOIN listed USING (tick))"""
+
+_HASH = "CASE WHEN {0} IS NULL THEN '' ELSE sha256({0} || '" + SALT + "') END"
+_SCORE = "CASE {0} WHEN 'Positive' THEN 1 WHEN 'Negative' THEN -1 ELSE 0 END"
+_G1 = f"""WITH {fx.COMMENTS_SQL}, e AS (SELECT comment_id AS src, CASE WHEN is_reply AND reply_to_comment_id IS NOT NULL THEN reply_to_comment_id ELSE video_id END AS dst, {_SCORE.format("sentiment")} AS sentiment_score, row_pos FROM comments),
+  edges AS (SELECT src, dst, arg_max(sentiment_score, row_pos) AS sentiment_score FROM e GROUP BY ALL),
+  declared AS (SELECT DISTINCT video_id AS id, 'video' AS type FROM comments UNION ALL SELECT DISTINCT comment_id, 'comment' FROM comments)"""
+_MODE = "SELECT {k}, arg_max({v}_, [n, -first]) AS mode FROM (SELECT {k}, {v}, coalesce({v}, '?') AS {v}_, count(*) AS n, min(row_pos) AS first FROM {t} GROUP BY ALL) GROUP BY {k}"
+_G2 = f"""WITH {fx.COMMENTS_SQL}, owner AS (SELECT comment_id AS reply_to_comment_id, arg_max(author_id, row_pos) AS replied_id FROM comments GROUP BY ALL),
+  pairs AS (SELECT c.author_id, replied_id, video_id, sentiment AS label, row_pos FROM comments c JOIN owner USING (reply_to_comment_id) WHERE is_reply),
+  by_video AS (SELECT author_id, video_id, nullif(mode, '?') AS mode FROM ({_MODE.format(k="author_id, video_id", v="sentiment", t="comments")})),
+  by_reply AS (SELECT author_id, replied_id, video_id, nullif(mode, '?') AS mode FROM ({_MODE.format(k="author_id, replied_id, video_id", v="label", t="pairs")})),
+  e AS (SELECT author_id AS src, replied_id AS dst, {_SCORE.format("mode")} AS sentiment_score, row_pos FROM pairs JOIN by_reply USING (author_id, replied_id, video_id)
+    UNION ALL SELECT author_id, video_id, {_SCORE.format("mode")}, row_pos FROM comments JOIN by_video USING (author_id, video_id) WHERE NOT is_reply OR reply_to_comment_id IS NOT NULL),
+  edges AS (SELECT src, dst, arg_max(sentiment_score, row_pos) AS sentiment_score FROM e GROUP BY ALL),
+  declared AS (SELECT DISTINCT author_id AS id, 'user' AS type FROM comments UNION ALL SELECT DISTINCT video_id, 'video' FROM comments)"""
+_VERTICES = " SELECT id, type FROM declared UNION ALL SELECT DISTINCT id, NULL FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) WHERE id NOT IN (SELECT id FROM declared)"
+_ANON = "CAST(likes AS BIGINT) AS likes"
+
+
+def _tags(column: str, table: dict) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+
+
+def _prompt_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    head = quoted(f"Contexto: {CONTEXT}\nInstrucción: Clasifica el siguiente mensaje. El video tiene un sentimiento ")
+    tail = quoted(labels.comment_prompt.__globals__["_SCALES"] + "\n" + labels.comment_prompt.__globals__["_ONLY"])
+    code = "CAST(c.row_pos % 6 AS VARCHAR)"
+    return f"""WITH {fx.COMMENTS_SQL} SELECT c.comment_id, {head} || coalesce({_tags(code, labels.POLARITY)}, 'desconocido') || ' y una postura ' || coalesce({_tags(code, labels.LIKERT)}, 'desconocida')
+      || {quoted(f" respecto a: {SUBJECT}. ")} || CASE WHEN p.text IS NULL THEN '' ELSE 'El mensaje es una respuesta a: ' || p.text || '. ' END || {tail} AS prompt
+      FROM comments c LEFT JOIN comments p ON p.comment_id = c.reply_to_comment_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    c = f"WITH {fx.COMMENTS_SQL}"
+    a = f"WITH {fx.ALL_CLEANED_SQL}"
+    v = f"WITH {fx.VIDEOS_SQL}"
+    activity = a + " SELECT author_name, count(*) AS comment_count, count(DISTINCT video_id) AS video_count FROM cleaned WHERE author_name IS NOT NULL GROUP BY author_name"
+    hashed = ", ".join(f"{_HASH.format(k)} AS {k}" for k in privacy.HASHED)
+    out = {
+        "comments": c + " SELECT * FROM comments",
+        "clean_comments": a + " SELECT comment_id, cleaned_comment FROM cleaned",
+        "removed_counters": a + " SELECT (SELECT count(*) FROM all_cleaned) AS n_comments, (SELECT count(*) FROM blank) AS n_blank, (SELECT count(*) FROM all_cleaned) - (SELECT count(*) FROM blank) - (SELECT count(*) FROM cleaned) AS n_orphaned, (SELECT count(*) FROM cleaned) AS n_kept",
+        "user_activity": activity,
+        "user_activity_joined": activity,
+        "videos_flat": v + " SELECT * EXCLUDE (k) FROM videos",
+        "videos_filtered": v + " SELECT video_id, views, comments FROM videos WHERE views >= 10000 AND comments >= 20",
+        "channel_enrich": v + " SELECT video_id, channel_id, CASE WHEN k % 7 < 6 THEN CAST((k % 7) * 1000 + 7 AS BIGINT) END AS channel_subscribers, CASE WHEN k % 7 < 6 AND (k % 7) % 2 = 0 THEN 'CO' END AS channel_country FROM videos",
+        "thread_flatten": "SELECT conv_id, conv_id || '-' || turn AS comment_id, text, role AS author_name, turn AS likes, turn > 0 AS is_reply, CASE WHEN turn > 0 THEN conv_id || '-0' END AS reply_to_comment_id FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0)",
+        "per_video_limit": c + " SELECT * FROM (SELECT video_id, comment_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY row_pos) AS INT) AS rn FROM comments) WHERE rn <= 7",
+        "anonymized": c + f" SELECT {hashed}, {_ANON} FROM comments",
+        "id_mapping": c + " UNION ALL ".join(f" SELECT DISTINCT '{k}' AS \"column\", {_HASH.format(k)} AS anon, {k} AS original FROM comments WHERE {k} IS NOT NULL" for k in privacy.HASHED),
+        "deanonymized": c + f" SELECT comment_id, author_id, reply_to_comment_id, video_id, {_ANON} FROM comments",
+        "bucket_documents": f"{_bucketed('daily').replace(_bucketed('daily').split('bucketed AS (')[1].split('), ends')[0], 'SELECT *, ' + _BUCKET['daily'] + ' AS bucket FROM local').replace(_bucketed('daily').split('ends AS (')[1].split('), spine')[0], 'SELECT min(bucket) AS a, max(bucket) AS b FROM bucketed')}, docs AS (SELECT bucket, string_agg(cleaned_comment, ' ' ORDER BY local_ts, row_pos) AS document FROM bucketed GROUP BY bucket) SELECT bucket, sha256(coalesce(document, '')) AS document_sha256 FROM spine LEFT JOIN docs USING (bucket)",
+        "sliding_counts": _SLIDING + " SELECT * FROM counts",
+        "sliding_top_terms": _SLIDING + " SELECT tick, term, CAST(freq AS BIGINT) AS freq, CAST(rank AS INT) AS rank FROM top",
+        "sliding_tfidf": _SLIDING + " SELECT tick, bin, term, round(tfidf, 6) AS tfidf FROM t",
+        "sliding_mean": _SLIDING + " SELECT tick, term, round(value / (date_diff('minute', lo, hi) / 10 + 1), 6) AS value FROM vec JOIN (SELECT tick, min(bin) AS lo, max(bin) AS hi FROM bins GROUP BY tick) USING (tick)",
+        "tfidf_delta": _SLIDING + " SELECT tick, CAST(seq AS INT) AS seq, term, round(now, 6) AS now, round(before, 6) AS before, round(d, 6) AS d FROM delta",
+        "burst_terms": _SLIDING + " SELECT tick, term, CAST(freq AS BIGINT) AS freq, history, round(d, 6) AS d, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(z, 6) AS z FROM found",
+        "burst_snapshots": _SLIDING + " SELECT tick, n_msgs, round(score, 6) AS score, important_count, is_event FROM snap",
+        "burst_events": _SLIDING + " SELECT tick, round(score, 6) AS score, array_to_string(list_slice(terms, 1, 8), ', ') AS important_terms, important_count FROM snap WHERE is_event",
+        "modal_sentiment_video": _G2 + " SELECT author_id, video_id, mode FROM by_video",
+        "modal_sentiment_reply": _G2 + " SELECT author_id, replied_id, video_id, mode FROM by_reply",
+        "graph_comment_video_vertices": _G1 + _VERTICES,
+        "graph_comment_video_edges": _G1 + " SELECT src, dst, CAST(1.5 AS DOUBLE) AS weight, sentiment_score FROM edges",
+        "graph_user_video_vertices": _G2 + _VERTICES,
+        "graph_user_video_edges": _G2 + " SELECT src, dst, CAST(1.5 AS DOUBLE) AS weight, sentiment_score FROM edges",
+        "edge_weights": _G1 + " SELECT src, dst, CAST(CASE sentiment_score WHEN 1 THEN 2.0 WHEN 0 THEN 1.5 ELSE 1.0 END AS DOUBLE) AS weight, sentiment_score FROM edges",
+        "sentiment_labels": "SELECT event_id, CASE WHEN event_id % 41 - 20 > 5 THEN 'Positive' WHEN event_id % 41 - 20 < -5 THEN 'Negative' ELSE 'Neutral' END AS by_score, CASE event_id % 3 WHEN 0 THEN 'Positive' WHEN 1 THEN 'Negative' ELSE 'Neutral' END AS by_model FROM events",
+        "sentiment_histogram": c + " SELECT sentiment, count(*) AS n FROM comments GROUP BY sentiment",
+        "prompts_comment": _prompt_sql(),
+        "prompts_video": v + " SELECT video_id, '" + labels.video_prompt(CONTEXT, SUBJECT).replace("'", "''") + "' AS prompt FROM videos",
+        "parse_llm_response": f"""WITH r AS (SELECT *, CASE event_id % 5 WHEN 0 THEN '3' WHEN 4 THEN CAST(user_id % 5 + 1 AS VARCHAR) ELSE 'error' END AS classification, CASE event_id % 5 WHEN 0 THEN '1' WHEN 4 THEN CAST(user_id % 3 + 1 AS VARCHAR) ELSE 'error' END AS polarity FROM events)
+          SELECT event_id, classification, polarity, {_tags("classification", labels.LIKERT)} AS likert, {_tags("polarity", labels.POLARITY)} AS mood, CASE polarity WHEN '3' THEN 'Positive' WHEN '2' THEN 'Neutral' WHEN '1' THEN 'Negative' END AS sentiment_gpt, CAST(event_id AS INT) AS requested FROM r""",
+        "rolling_token_budget": "SELECT event_id, CAST(sum(event_id % 1500) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS BIGINT) AS used FROM events",
+        "transcript_text": "SELECT doc_id, sha256(replace(array_to_string(string_split(text, chr(10)), '. ') || '. ', '  ', ' ')) AS text_sha256 FROM documents",
+        "stream_sliding_counts": _SLIDING + f" SELECT tick, term, CAST(sum(n) AS BIGINT) AS n FROM counts WHERE tick < TIMESTAMP '{WINDOWS.end}' GROUP BY tick, term",
+    }
+    for kind in ("monthly", "weekly", "daily", "hourly"):
+        words = "len(list_filter(string_split(cleaned_comment, ' '), lambda x: x <> ''))"
+        out[f"{kind}_volume"] = f"{_bucketed(kind)}, counts AS (SELECT bucket, count(*) AS n_comments, CAST(sum({words}) AS BIGINT) AS n_words FROM bucketed GROUP BY bucket) SELECT bucket, coalesce(n_comments, 0) AS n_comments, coalesce(n_words, 0) AS n_words FROM spine LEFT JOIN counts USING (bucket)"
+        out[f"top_terms_{kind}"], out[f"tfidf_{kind}"] = _series_sql(kind, 0), _series_sql(kind, 1)
+    return out
