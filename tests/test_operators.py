@@ -197,6 +197,10 @@ def test_paging_and_batches(spark):
     assert len(list(api.pages(transport, "search", {}, 1))) == 1
     items = [json.loads(r[0]) for r in api.lookup(found.coalesce(1), "video_id", transport, "videos", 2).collect()]
     assert {x["id"] for x in items} == {"a", "b", "c"} and max(x["n"] for x in items) <= 2
+    said = api.transcripts(found, lambda e, p: {"items": [{"text": "hola  "}, {"text": p["videoId"]}]} if p["videoId"] != "b" else 1 / 0)
+    assert {r[0] for r in said.select(X.transcript_text(F.coalesce("snippets", F.array().cast("array<struct<text:string>>")))).collect()} == {"hola . a. ", "", "hola . c. "}
+    threads = api.comment_threads(found, lambda e, p: {"items": [{"id": p["videoId"] + str(i)} for i in range(3)]}, 2)
+    assert threads.count() == 6
     assert list(api.chunks([1, 2, 3], 2)) == [[1, 2], [3]]
 
 

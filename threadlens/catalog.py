@@ -136,6 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lsa_summary": lambda s, d: models.summarised(fx.table(s, d, "documents").select("doc_id", "text"), "text"),
         "lexicon_sentiment": lambda s, d: models.lexicon_sentiment(fx.table(s, d, "documents").select("doc_id", "text"), {"idiot": -2.0, "moron": -2.0, "the": 0.4, "and": -0.1}),
         "stub_scores": lambda s, d: models.scored(fx.comments(s, d).select("comment_id", "text"), "text", models.StubScorer()),
+        "stream_bursts": lambda s, d: live.bursts_once(_local(s, d), WINDOWS, DETECTOR, STOPS).select("tick", "n_msgs", F.round("score", 6).alias("score"), "important_count", "is_event"),
         "stream_sliding_counts": lambda s, d: live.sliding_counts_once(_local(s, d), WINDOWS, STOPS),
     }
     for kind in ("monthly", "weekly", "daily", "hourly"):
@@ -272,6 +273,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT event_id, classification, polarity, {_tags("classification", labels.LIKERT)} AS likert, {_tags("polarity", labels.POLARITY)} AS mood, CASE polarity WHEN '3' THEN 'Positive' WHEN '2' THEN 'Neutral' WHEN '1' THEN 'Negative' END AS sentiment_gpt, CAST(event_id AS INT) AS requested FROM r""",
         "rolling_token_budget": "SELECT event_id, CAST(sum(event_id % 1500) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS BIGINT) AS used FROM events",
         "transcript_text": "SELECT doc_id, sha256(replace(array_to_string(string_split(text, chr(10)), '. ') || '. ', '  ', ' ')) AS text_sha256 FROM documents",
+        "stream_bursts": _SLIDING + f" SELECT tick, n_msgs, round(score, 6) AS score, important_count, is_event FROM snap WHERE tick < TIMESTAMP '{WINDOWS.end}'",
         "stream_sliding_counts": _SLIDING + f" SELECT tick, term, CAST(sum(n) AS BIGINT) AS n FROM counts WHERE tick < TIMESTAMP '{WINDOWS.end}' GROUP BY tick, term",
     }
     for kind in ("monthly", "weekly", "daily", "hourly"):

@@ -156,9 +156,13 @@ def events(snapshot: DataFrame, max_terms: int = 8) -> DataFrame:
     return snapshot.where("is_event").select("tick", "score", F.array_join(F.slice("important_terms", 1, max_terms), ", ").alias("important_terms"), "important_count")
 
 
-def detect(comments: DataFrame, w: Sliding, detector: Detector, stop_words: list[str] | None = None) -> DataFrame:
-    """Snapshots of all ticks."""
-    counts, bins, sizes = windowed(comments, w, stop_words)
+def detect_windows(counts: DataFrame, bins: DataFrame, sizes: DataFrame, w: Sliding, detector: Detector) -> DataFrame:
+    """Snapshots from what ``windowed`` gives, or from the counts that a stream has left."""
     top = top_by_tick(counts, w.top_n)
     judgement = judged(changes(vectors(tick_tfidf(counts, bins, top), bins, detector.agg, w.grain_minutes), sizes), top, detector)
     return snapshots(sizes, judgement, burst_terms(judgement, detector), detector)
+
+
+def detect(comments: DataFrame, w: Sliding, detector: Detector, stop_words: list[str] | None = None) -> DataFrame:
+    """Snapshots of all ticks."""
+    return detect_windows(*windowed(comments, w, stop_words), w, detector)

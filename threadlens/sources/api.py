@@ -99,3 +99,21 @@ def comment_threads(ids: DataFrame, transport: Transport, max_comments: int | No
                 yield pd.DataFrame({"video_id": [video] * len(got), "page_pos": range(len(got)), "item": [json.dumps(x) for x in got]})
 
     return ids.select("video_id").distinct().mapInPandas(run, "video_id string, page_pos bigint, item string")
+
+
+def transcripts(ids: DataFrame, transport: Transport, language: str = "es") -> DataFrame:
+    """(video_id, snippets) of each video; null snippets where none can be had, so one video never ends the job."""
+
+    def run(parts):
+        import pandas as pd
+
+        def one(video: str) -> list[dict] | None:
+            try:
+                return [{"text": x["text"]} for x in transport("transcript", {"videoId": video, "lang": language})["items"]]
+            except Exception:
+                return None
+
+        for frame in parts:
+            yield pd.DataFrame({"video_id": frame["video_id"], "snippets": [one(v) for v in frame["video_id"]]})
+
+    return ids.select("video_id").distinct().mapInPandas(run, "video_id string, snippets array<struct<text: string>>")

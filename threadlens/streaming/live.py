@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,31 @@ def sliding_counts(comments: DataFrame, w: bursts.Sliding, stop_words: list[str]
     return inside.groupBy("w", "term").agg(F.count("*").alias("n")).select(F.col("w.end").alias("tick"), "term", "n")
 
 
+MESSAGE, SAID = "\x01", "\x02"  # stand among the terms: one for each comment, one for each that is not blank
+
+
+def grain_counts(comments: DataFrame, w: bursts.Sliding, stop_words: list[str] | None = None, late: str = "10 minutes") -> DataFrame:
+    """(tick, bin, term, n) of every window that the watermark has closed, with MESSAGE and SAID among the terms."""
+    text = F.col("cleaned_comment")
+    marked = F.concat(X.terms(text, stop_words), F.array(F.lit(MESSAGE)), F.when(X.is_blank(text), F.array().cast("array<string>")).otherwise(F.array(F.lit(SAID))))
+    grain = 60 * w.grain_minutes
+    ts = F.col("local_ts").cast("timestamp")
+    rows = comments.select(ts.alias("ts"), F.timestamp_seconds(F.floor(F.unix_seconds(ts) / grain) * grain).alias("bin"), F.explode(marked).alias("term")).withWatermark("ts", late)
+    offset = (datetime.fromisoformat(w.start) - datetime(1970, 1, 1)) % timedelta(minutes=w.step_minutes)
+    window = F.window("ts", f"{w.window_minutes} minutes", f"{w.step_minutes} minutes", f"{int(offset.total_seconds())} seconds")
+    inside = rows.select("ts", "bin", "term", window.alias("w")).where(F.col("ts") > F.col("w.start"))
+    return inside.groupBy("w", "bin", "term").agg(F.count("*").alias("n")).select(F.col("w.end").alias("tick"), "bin", "term", "n")
+
+
+def snapshots_of(rows: DataFrame, w: bursts.Sliding, detector: bursts.Detector) -> DataFrame:
+    """Detector snapshots from the table that a stream of ``grain_counts`` has left so far."""
+    start, end = F.lit(w.start).cast("timestamp_ntz"), F.lit(w.end).cast("timestamp_ntz")
+    rows = rows.select(F.col("tick").cast("timestamp_ntz").alias("tick"), F.col("bin").cast("timestamp_ntz").alias("bin"), "term", "n").where((F.col("tick") > start) & (F.col("tick") < end))
+    sizes = rows.where(F.col("term") == MESSAGE).groupBy("tick").agg(F.sum("n").alias("n_msgs"))
+    bins = rows.where(F.col("term") == SAID).select("tick", "bin")
+    return bursts.detect_windows(rows.where(~F.col("term").isin(MESSAGE, SAID)), bins, sizes, w, detector)
+
+
 def to_table(stream: DataFrame, path: str, checkpoint: str):
     """Start a query that appends each batch under its own number."""
 
@@ -38,8 +64,8 @@ def _folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def sliding_counts_once(comments: DataFrame, w: bursts.Sliding, stop_words: list[str] | None = None) -> DataFrame:
-    """Replay a table of comments as a stream until it is used up; windows on the grid between start and end.
+def _replayed(comments: DataFrame, w: bursts.Sliding, count) -> str:
+    """Run ``count`` as a stream over a table of comments until it is used up; the folder of what it left.
 
     A last row far in the future closes every window.
     """
@@ -47,15 +73,25 @@ def sliding_counts_once(comments: DataFrame, w: bursts.Sliding, stop_words: list
     root = _folder(spark)
     start, end = F.lit(w.start).cast("timestamp_ntz"), F.lit(w.end).cast("timestamp_ntz")
     reach = comments.where((F.col("local_ts") > start - F.expr(f"INTERVAL {w.window_minutes} MINUTES")) & (F.col("local_ts") < end)).select("local_ts", "cleaned_comment")
-    reach.write.parquet(f"{root}/in/part=0")
-    closing = spark.range(1).select((end + F.expr("INTERVAL 30 DAYS")).alias("local_ts"), F.lit("").alias("cleaned_comment"))
-    schema = reach.schema
-    out = f"{root}/out"
-    query = to_table(sliding_counts(spark.readStream.schema(schema).parquet(f"{root}/in/*"), w, stop_words), out, f"{root}/state")
-    query.awaitTermination()
-    closing.union(closing.select("local_ts", F.lit("closing words").alias("cleaned_comment"))).write.parquet(f"{root}/in/part=1")
-    query = to_table(sliding_counts(spark.readStream.schema(schema).parquet(f"{root}/in/*"), w, stop_words), out, f"{root}/state")
-    query.awaitTermination()
-    rows = spark.read.schema("tick timestamp, term string, n bigint").option("recursiveFileLookup", True).parquet(out)
+    closing = spark.range(1).select((end + F.expr("INTERVAL 30 DAYS")).alias("local_ts"), F.lit("closing words").alias("cleaned_comment"))
+    for number, part in enumerate((reach, closing)):
+        part.write.parquet(f"{root}/in/part={number}")
+        to_table(count(spark.readStream.schema(reach.schema).parquet(f"{root}/in/*")), f"{root}/out", f"{root}/state").awaitTermination()
+    return f"{root}/out"
+
+
+def _left(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+
+
+def sliding_counts_once(comments: DataFrame, w: bursts.Sliding, stop_words: list[str] | None = None) -> DataFrame:
+    """(tick, term, n) of the windows on the grid between start and end, counted by a stream."""
+    rows = _left(comments.sparkSession, _replayed(comments, w, lambda s: sliding_counts(s, w, stop_words)), "tick timestamp, term string, n bigint")
     tick = F.col("tick").cast("timestamp_ntz")
-    return rows.where((tick > start) & (tick < end)).select(tick.alias("tick"), "term", "n")
+    return rows.where((tick > F.lit(w.start).cast("timestamp_ntz")) & (tick < F.lit(w.end).cast("timestamp_ntz"))).select(tick.alias("tick"), "term", "n")
+
+
+def bursts_once(comments: DataFrame, w: bursts.Sliding, detector: bursts.Detector, stop_words: list[str] | None = None) -> DataFrame:
+    """Snapshots of the ticks on the grid between start and end, from counts made by a stream."""
+    path = _replayed(comments, w, lambda s: grain_counts(s, w, stop_words))
+    return snapshots_of(_left(comments.sparkSession, path, "tick timestamp, bin timestamp, term string, n bigint"), w, detector)
