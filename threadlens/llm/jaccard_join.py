@@ -15,11 +15,12 @@ a set with D empty or frequent segments needs them only if D >= m - H; sets with
 that many *empty* segments are also indexed by the elements of their prefix.
 
 Groups of sets that share an index entry are not expanded into pairs.  Each
-group first links its members with its least one; components of the verified
-links follow; then only groups that still span several components are looked at
-pair by pair, in bounded blocks, and a parity bitmap of each set (whose distance
-never exceeds the sets') discards nearly all of those pairs.  Every surviving
-pair is verified on the shingles themselves.
+group first compares its members with its least and its most shared one, the
+likely original of its copies; components of the verified links follow.  Only
+groups that then still span several components are looked at pair by pair, in
+bounded blocks, and a parity bitmap of each set (whose distance never exceeds
+the sets') discards nearly all of those pairs.  Every surviving pair is verified
+on the shingles themselves.
 
 Equal sets are one node from the start; a node is a 64-bit hash of its set,
 checked against a second hash.  Rows: one for each input row.  Null and empty
@@ -94,56 +95,60 @@ def _signed(x: int) -> int:
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """Parities of the elements by hash; as many bits as elements, up to a power of two from 64."""
-    bits = 1 << max(6, int(len(values) - 1).bit_length())
-    return np.packbits((np.bincount((mix(values, 40) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
-
-
-def _summed(values: np.ndarray, segment: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of mixed elements and number of elements of each segment."""
-    size = np.bincount(segment, minlength=m)
-    order = np.argsort(segment, kind="stable")
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values, 50)[order], dtype=np.uint64)))
-    edge = np.concatenate(([0], np.cumsum(size)))
-    return total[edge[1:]] - total[edge[:-1]], size
+    """Parities of the elements by hash; four to eight bits an element, in a power of two from 256.
 
+    So few elements share a bit that the distance of two bitmaps comes close to the sets'.
+    """
+    bits = 4 << max(6, int(len(values) - 1).bit_length())
+    return np.packbits((np.bincount((mix(values, 40) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
-def entries(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
-    """Index entries of a set, the role of each (0 own band, 1 the band below) and how many frequent ones each role can spare.
 
-    Entries of role 2 (prefix elements) are always needed.
-    """
+def _segments(values: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """Role (0 own band, 1 the band below), band, the segment of each element, the segments' sizes and the frequent entries that can be spared."""
     tops, segments, _ = bands()
     x = len(values)
     own = int(np.searchsorted(tops, x))
-    keys, roles, spare = [], [], [0, 0]
-    sparse = False
     for role, band in ((0, own), (1, own - 1)):
         if band < 0 or role and -(-4 * x // 5) > tops[band]:
             continue
         m = int(segments[band])
         segment = (mix(values, 60 + band) >> np.uint64(32)).astype(np.int64) * m >> 32
-        total, size = _summed(values, segment, m)
-        base = mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 40), 70)
-        some = size > 0
-        empty = m - int(some.sum())
+        size = np.bincount(segment, minlength=m)
         most = distance_bound(x, min(x * 5 // 4, int(tops[min(own + 1, len(tops) - 1)])) if role == 0 else int(tops[band]))
-        whole = mix(total + base, 80)
-        keys.append(whole[some])
+        # where deletions are indexed, counting by segment is moot: all entries are needed
+        yield role, band, segment, size, -1 if band < SMALL_BANDS else m - most - 1 - int((size == 0).sum())
+
+
+def spare(values: np.ndarray) -> tuple[int, int]:
+    """How many frequent index entries a set can do without, for each role."""
+    out = [0, 0]
+    for role, _, _, _, n in _segments(values):
+        out[role] = n
+    return out[0], out[1]
+
+
+def entries(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index entries of a set and the role of each; entries of role 2 (prefix elements) are always needed."""
+    x, sparse = len(values), False
+    keys, roles = [], []
+    mixed = mix(values, 50)
+    for role, band, segment, size, free in _segments(values):
+        total = np.zeros(len(size), np.uint64)
+        np.add.at(total, segment, mixed)
+        total += mix(np.arange(len(size), dtype=np.uint64) + np.uint64(band << 40), 70)
+        keys.append(mix(total[size > 0], 80))
         if band < SMALL_BANDS:
-            rest = size[segment] > 1
-            keys.append(mix(total[segment] - mix(values, 50) + base[segment], 80)[rest])
+            rest = segment[size[segment] > 1]
+            keys.append(mix(total[rest] - mixed[size[segment] > 1], 80))
             sparse |= bool((size <= 1).any())
-            spare[role] = -1  # deletions make counting by segment moot: all entries are needed
         else:
-            spare[role] = m - most - 1 - empty
-            sparse |= spare[role] < 0
+            sparse |= free < 0
         roles.append(np.full(sum(map(len, keys)) - sum(map(len, roles)), role, np.uint8))
     if sparse:
         prefix = np.sort(mix(values, 90))[: x - -(-4 * x // 5) + 1]
         keys.append(mix(prefix, 91))
         roles.append(np.full(len(prefix), 2, np.uint8))
-    return np.concatenate(keys), np.concatenate(roles), (spare[0], spare[1])
+    return np.concatenate(keys), np.concatenate(roles)
 
 
 SETS = "doc_id bigint, n bigint, node bigint, second bigint, bits binary, spare0 int, spare1 int"
@@ -155,11 +160,11 @@ def sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             got = shingles(texts_of(batch.column(1)))
-            spare = [entries(v)[2] if len(v) else (0, 0) for v in got]
+            free = [spare(v) if len(v) else (0, 0) for v in got]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array([len(v) for v in got], pa.int64()), pa.array([_signed(_fold(v, 30)) if len(v) else None for v in got], pa.int64()), pa.array([_signed(_fold(v, 32)) for v in got], pa.int64()),
-                    pa.array([bitmap(v) if len(v) else b"" for v in got], pa.binary()), pa.array([s[0] for s in spare], pa.int32()), pa.array([s[1] for s in spare], pa.int32()),
+                    pa.array([bitmap(v) if len(v) else b"" for v in got], pa.binary()), pa.array([f[0] for f in free], pa.int32()), pa.array([f[1] for f in free], pa.int32()),
                 ],
                 ["doc_id", "n", "node", "second", "bits", "spare0", "spare1"],
             )
@@ -198,7 +203,7 @@ def index_groups(docs: DataFrame, buckets: int) -> DataFrame:
                 if node in seen:  # a copy adds nothing
                     continue
                 seen.add(node)
-                keys, roles, _ = entries(values)
+                keys, roles = entries(values)
                 held.append((keys, roles, np.full(len(keys), node, np.uint64)))
                 size += len(keys)
                 if size >= FLUSH:
@@ -248,8 +253,8 @@ def may_link(x: np.ndarray, y: np.ndarray, a: list[bytes], b: list[bytes]) -> np
     out = (5 * np.minimum(x, y) >= 4 * np.maximum(x, y))
     for k in np.flatnonzero(out).tolist():
         p, q = sorted((a[k], b[k]), key=len)
-        q = np.bitwise_xor.reduce(np.frombuffer(q, np.uint8).reshape(-1, len(p)), axis=0)
-        out[k] = int(np.bitwise_count(np.frombuffer(p, np.uint8) ^ q).sum()) <= distance_bound(int(x[k]), int(y[k]))
+        q = np.bitwise_xor.reduce(np.frombuffer(q, "<u8").reshape(-1, len(p) // 8), axis=0)
+        out[k] = int(np.bitwise_count(np.frombuffer(p, "<u8") ^ q).sum()) <= distance_bound(int(x[k]), int(y[k]))
     return out
 
 
@@ -307,10 +312,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return both.mapInArrow(judge, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint")
 
 
-def _across(groups: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of possible links between different components within one index group."""
+def _members(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(g, node): the members of the index groups that may be needed to find a link."""
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for packed, roles, number in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 node = np.frombuffer(packed, "<i8")
@@ -319,15 +324,31 @@ def _across(groups: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
                     part = node[at : at + 8192]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), group), pa.int64()), pa.array(part), pa.array(np.frombuffer(roles, np.uint8)[at : at + 8192].astype(np.int32)), pa.array(np.full(len(part), number, np.int32)), pa.array(np.full(len(part), len(node) > FREQUENT))], ["g", "node", "role", "number", "frequent"])
 
-    every = groups.select("members", "roles", "number").mapInArrow(members, "g bigint, node bigint, role int, number int, frequent boolean")
-    every = scratch.durable(every.join(labels, "node", "left").select("g", "node", "role", "number", "frequent", F.coalesce("root", "node").alias("root")), "index-members")
+    every = scratch.durable(groups.select("members", "roles", "number").mapInArrow(spread, "g bigint, node bigint, role int, number int, frequent boolean"), "index-members")
     # a frequent entry is needed only by members that have too few others
     spent = every.where("frequent").groupBy("node").agg(*[F.sum(F.when(F.col("role") == k, F.col("number")).otherwise(0)).alias(f"d{k}") for k in (0, 1)])
     thin = spent.join(nodes, "node").where("d0 > spare0 or d1 > spare1").select("node")
-    needed = every.where("not frequent").select("g", "node", "root").unionByName(every.where("frequent and role < 2").join(thin, "node", "left_semi").select("g", "node", "root")).unionByName(every.where("frequent and role = 2").select("g", "node", "root"))
-    needed = needed.distinct()
-    open_groups = needed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("g", "size")
-    rows = needed.join(open_groups, "g").join(nodes.select("node", "n", "bits"), "node")
+    always = every.where("not frequent or role = 2").select("g", "node")
+    return scratch.durable(always.unionByName(every.where("frequent and role < 2").join(thin, "node", "left_semi").select("g", "node")).distinct(), "index-members")
+
+
+def _spanning(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(g, node, root, size) of the groups whose members lie in several components."""
+    rows = members.join(labels, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root"))
+    several = rows.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("g", "size")
+    return scratch.durable(rows.join(several, "g"), "open-groups")
+
+
+def _pivots(members: DataFrame) -> DataFrame:
+    """Pairs of each group's most shared member, the likely original of its copies, with the others."""
+    shared = members.groupBy("node").agg(F.count("*").alias("weight"))
+    pivot = members.join(shared, "node").groupBy("g").agg(F.max_by("node", F.struct("weight", "node")).alias("p"))
+    return members.join(pivot, "g").where("node <> p").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+
+
+def _crossing(open_groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of possible links between different components within one index group."""
+    rows = open_groups.join(nodes.select("node", "n", "bits"), "node")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
     placed = rows.withColumn("of", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select("g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "n", "bits")
@@ -338,7 +359,7 @@ def _across(groups: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
         bits = table["bits"].to_pylist()
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         width = min(map(len, bits))
-        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), axis=0) for b in bits])
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(b, "<u8").reshape(-1, width // 8), axis=0) for b in bits])
         out = []
         for a in left.tolist():
             b = right[(right > a) | (i != j)] if i == j else right
@@ -361,10 +382,12 @@ def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     checked = F.when(F.col("low") == F.col("high"), F.col("n")).otherwise(F.raise_error(F.lit("two shingle sets with one hash")).cast("bigint"))
     nodes = scratch.durable(nodes.withColumn("n", checked).drop("low", "high"), "set-nodes")
     found = scratch.durable(index_groups(docs, int(spark.conf.get("spark.sql.shuffle.partitions"))), "index-groups")
-    first = scratch.durable(_possible(found.where("pair").select("a", "b").distinct(), nodes), "pairs")
-    links = scratch.durable(verified(first, nodes, docs), "similar")
+    members = _members(found.where("not pair"), nodes)
+    stars = found.where("pair").select("a", "b").unionByName(_pivots(members)).distinct()
+    tested = scratch.durable(_possible(stars, nodes), "pairs")
+    links = scratch.durable(verified(tested, nodes, docs), "similar")
     labels = components.labels(links.select("a", "b"))
-    rest = scratch.durable(_across(found.where("not pair"), labels, nodes).join(first, ["a", "b"], "left_anti"), "pairs")
+    rest = scratch.durable(_crossing(_spanning(members, labels), nodes).join(tested, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         more = scratch.durable(verified(rest, nodes, docs), "similar")
         if not more.isEmpty():
