@@ -56,7 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch.mark()
     for name, stage in STAGES[:-1]:
         docs = scratch.durable(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        scratch.sweep(spark, since, keep=1)  # what led to this stage's rows is no longer read
     return STAGES[-1][1](spark, docs, sf_dir)

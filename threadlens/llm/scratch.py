@@ -30,15 +30,22 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete every table that ``durable`` wrote in this process so far.
+def mark() -> int:
+    """How many tables have been written so far; for ``sweep``."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables that this process wrote after ``since``, but for the last ``keep``.
 
     Call it only when the results derived from them have been written.
     """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    until = len(_written) - keep
+    for name in _written[since:until]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+    del _written[since:until]
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
