@@ -43,3 +43,11 @@ def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert rows and rows[0].comment_count >= rows[-1].comment_count
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_the_corpus_operators():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['threadlens.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'user_activity' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=entry.__file__.rpartition("/")[0])
