@@ -15,7 +15,6 @@ larger block.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
-from .wordscan import slices
+from .wordscan import _BYTES, _spans, mix, slices
 
 BLOCK_IDS = 1 << 16
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 BLOCK = "shard int, first_id bigint, first_doc bigint, last_doc bigint, doc_ids array<bigint>, sizes array<bigint>, width int, payload binary"
 
 
@@ -53,14 +52,41 @@ def unpack(payload: bytes, width: int, start: int, count: int) -> np.ndarray:
     return (value >> bit & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
+# The tokenizer file's split pattern, and its classes spelled out for lower-case characters below U+0100.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BLANK, _LETTER, _NUMBER, _OTHER = range(4)
+KIND = np.full(256, _OTHER, np.uint8)
+KIND[[*range(0x61, 0x7B), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = _LETTER
+KIND[[*range(0x30, 0x3A), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = _NUMBER
+KIND[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0]] = _BLANK
+
 _coders: dict[str, WordCoder] = {}
 
 
+def split(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of PATTERN's matches in lower-case Latin-1 bytes that end with a blank."""
+    kind = KIND[data]
+    before = np.concatenate((np.zeros(1, np.uint8), kind[:-1]))
+    start = (kind != _BLANK) & ((kind != before) | (kind == _NUMBER))
+    mark = np.flatnonzero((data == 0x27) & start)  # an apostrophe that opens a run may open a contraction
+    one, two = data[np.minimum(mark + 1, len(data) - 1)], data[np.minimum(mark + 2, len(data) - 1)]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+    for which, size in ((short, 2), (long, 3)):
+        at = mark[which]
+        start[at + 1] = False
+        start[at + size] = kind[at + size] != _BLANK
+    bounds = np.flatnonzero(start | ((kind == _BLANK) & (before != _BLANK)))
+    opens = start[bounds]
+    return bounds[opens], bounds[1:][opens[:-1]]
+
+
 class WordCoder:
-    """Ids of texts by a tokenizers file, kept by space-separated piece.
+    """Ids of texts by a tokenizers file, kept by pre-token; equal ones are encoded once.
 
-    The tokenizer splits at white space and merges within a split only, so a
-    text's ids are those of its pieces; equal pieces are encoded once.
+    The tokenizer lower-cases, splits, and merges within a split only.  Texts of
+    characters below U+0100 are split here, many at once; any other text is cut
+    at blanks, which never join two splits, and left to the library.
     """
 
     def __init__(self, path: str):
@@ -71,21 +97,75 @@ class WordCoder:
 
         self.library = Tokenizer.from_file(path)
         self.vocabulary = self.library.get_vocab_size()
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, with the end id."""
-        pieces = [t.split(" ") for t in texts]
+        self.kind = "<u2" if width_of(self.vocabulary) == 16 else "<u4"
+        self.closes = np.zeros(self.vocabulary, bool)
+        for token, i in self.library.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
+        self.splits = PATTERN in str(self.library.pre_tokenizer)
+        self.known: dict[bytes, bytes] = {}  # Latin-1 pre-tokens
+        self.pieces: dict[str, bytes] = {}  # blank-separated pieces of other texts
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(got.ids, self.kind).tobytes() for got in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        for at in range(0, len(new), 2048):  # many pre-tokens as one text, cut again where words end
+            part = new[at : at + 2048]
+            texts = [p.decode("latin-1") for p in part]
+            ids = np.array(self.library.encode(" ".join(texts), add_special_tokens=False).ids, self.kind)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                self.known.update(zip(part, self._each(texts), strict=True))
+                continue
+            raw, size = ids.tobytes(), ids.itemsize
+            cut = (ends * size).tolist()
+            self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)], strict=True))
+
+    def _many(self, texts: list[bytes]) -> list[bytes]:
+        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        starts, ends = split(data)
+        hashes = mix(_spans(_BYTES[data], starts, ends) + (ends - starts).astype(np.uint64))
+        coded_hashes = pa.array(hashes).dictionary_encode()
+        which = coded_hashes.indices.to_numpy()
+        sample = np.zeros(len(coded_hashes.dictionary), np.int64)
+        sample[which[::-1]] = np.arange(len(which))[::-1]  # where each distinct one comes first
+        raw = data.tobytes()
+        tokens = [raw[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)]
         if len(self.known) > CACHED_WORDS:
             self.known = {}
         known = self.known
-        new = list({p for doc in pieces for p in doc if p not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = np.array(got.ids, "<u4").tobytes()
-        end = np.array([end_id], "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, doc)) + end for doc in pieces]
+        self._learn([t for t in tokens if t not in known])
+        coded = list(map(known.__getitem__, tokens))
+        pool, unit = np.frombuffer(b"".join(coded), self.kind), np.dtype(self.kind).itemsize
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // unit
+        place = np.cumsum(size) - size
+        size, place = size[which], place[which]
+        total = np.concatenate(([0], np.cumsum(size)))
+        ids = pool[np.repeat(place - total[:-1], size) + np.arange(total[-1])].tobytes()
+        base = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        cut = (total[np.searchsorted(starts, base)] * unit).tolist()
+        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
+        """Ids of each text with the end id, little-endian, in ``kind``."""
+        plain, out = {}, {}
+        for k, text in enumerate(texts):
+            if self.splits and "<|" not in text:  # which may open a special token
+                try:
+                    plain[k] = text.lower().encode("latin-1")
+                    continue
+                except UnicodeEncodeError:
+                    pass
+            pieces = text.split(" ")
+            if len(self.pieces) > CACHED_WORDS // 4:
+                self.pieces = {}
+            new = [p for p in dict.fromkeys(pieces) if p not in self.pieces]
+            self.pieces.update(zip(new, self._each(new), strict=True))
+            out[k] = b"".join(map(self.pieces.__getitem__, pieces))
+        if plain:
+            out |= zip(plain, self._many(list(plain.values())), strict=True)
+        end = np.array([end_id], self.kind).tobytes()
+        return [out[k] + end for k in range(len(texts))]
 
 
 def coder(path: str) -> WordCoder:
@@ -100,10 +180,11 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = coder(path)
         bits = width_of(library.vocabulary)
-        for batch in slices(batches, limit=2 << 20):
+        for batch in slices(batches, limit=1 << 20):
             ids = library.encode([t or "" for t in batch.column(1).to_pylist()], end_id)
-            packed = [pack(np.frombuffer(x, "<u4"), bits) if bits != 16 else np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n", "ids"])
+            size = np.dtype(library.kind).itemsize
+            packed = ids if 8 * size == bits else [pack(np.frombuffer(x, library.kind), bits) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // size for x in ids], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, ids binary")
 
@@ -146,7 +227,7 @@ def write(docs: DataFrame, store: str, path: str, end_id: int = 2) -> None:
             yield flush()
 
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(blocks, BLOCK).write.mode("overwrite").option("compression", "none").parquet(store)
+    ordered.mapInArrow(blocks, BLOCK).write.mode("overwrite").option("compression", "zstd").parquet(store)
 
 
 def shard_starts(spark: SparkSession, store: str) -> dict[int, int]:
@@ -197,9 +278,4 @@ def op4(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     write(docs, store, path, end_id)
     scratch._written.append(store)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = [zlib.crc32(x) for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read(spark, store).mapInArrow(digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return read(spark, store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
