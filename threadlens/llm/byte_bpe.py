@@ -27,7 +27,7 @@ from . import scratch
 from .wordscan import slices
 
 CHUNK, OVERLAP = 1 << 15, 1 << 9
-CACHED_PIECES = 400_000
+CACHED_PIECES = 250_000
 CLIPPED = 4  # characters before a chunk's end in which a lookahead may have seen too little
 
 _coders: dict[tuple[str, str], PieceCoder] = {}
@@ -157,20 +157,24 @@ def stitched(pattern, chunks: list[tuple[int, str, list[int]]], size: int) -> li
     return out
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id and ``ids``, little-endian unsigned 32-bit, of every text.
+def encoded(docs: DataFrame, path: str, pattern: str, size: int = CHUNK, overlap: int = OVERLAP, decode: bool = False) -> DataFrame:
+    """doc_id and ``ids``, little-endian unsigned 32-bit, of every text; with ``decode`` also ``raw``, the bytes that the ids stand for.
 
     Texts of one chunk are done where they are read.  The chunks of longer ones
     are dealt over all tasks for pre-tokenising and meet again by document.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     key = ["doc_id", "address"]
+    schema = "doc_id bigint, ids binary" + ", raw binary" * decode
+
+    def columns(code: PieceCoder, ids: list[bytes]) -> dict[str, pa.Array]:
+        return {"ids": pa.array(ids, pa.binary())} | ({"raw": pa.array([code.decode(x) for x in ids], pa.binary())} if decode else {})
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path, pattern)
         for batch in slices(batches):
             ids = [code.encode(code.pattern.findall(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | columns(code, ids))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path, pattern)
@@ -186,13 +190,13 @@ def encoded(docs: DataFrame, path: str, pattern: str, size: int = CHUNK, overlap
         ends = stitched(code.pattern, chunks, size)
         text = "".join(t if i == len(chunks) - 1 else t[:size] for i, (_, t, _) in enumerate(chunks))
         ids = code.encode([text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
-        return pa.table({"doc_id": pa.array([table["doc_id"][0].as_py()] * copies, pa.int64()), "ids": pa.array([ids] * copies, pa.binary())})
+        return pa.table({"doc_id": pa.array([table["doc_id"][0].as_py()] * copies, pa.int64())} | columns(code, [ids] * copies))
 
-    short = rows.where(F.length("text") <= size).mapInArrow(direct, "doc_id bigint, ids binary")
+    short = rows.where(F.length("text") <= size).mapInArrow(direct, schema)
     long = rows.where(F.length("text") > size).withColumn("address", F.sha2("text", 256))
     chunks = long.select(*key, "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size).cast("int"))).alias("k")).select(*key, "k", F.substring("text", F.col("k") * size + 1, F.lit(size + overlap)).alias("chunk"))
     pretokenised = chunks.repartition(*key, "k").mapInArrow(split, "doc_id bigint, address string, k int, chunk string, ends array<int>")
-    return short.unionByName(pretokenised.groupBy(*key).applyInArrow(meet, "doc_id bigint, ids binary"))
+    return short.unionByName(pretokenised.groupBy(*key).applyInArrow(meet, schema))
 
 
 def decoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -209,5 +213,5 @@ def decoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def op7(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     scratch.small_batches(docs.sparkSession)
-    rows = decoded(encoded(docs, path, pattern), path, pattern)
+    rows = encoded(docs, path, pattern, decode=True)
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))

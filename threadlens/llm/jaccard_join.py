@@ -46,7 +46,7 @@ from .wordscan import NONSPACE, Words, mix, slices, texts_of, windows
 SHINGLE = 5
 FREQUENT = 64  # members from which an index entry counts as frequent
 BLOCK = 1024  # members of a group that are compared with as many others in one task
-FLUSH = 2_000_000  # index entries that a task holds before it sends them
+FLUSH = 1_000_000  # index entries that a task holds before it sends them
 
 
 def distance_bound(x, y):

@@ -64,7 +64,7 @@ def packed(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, limit=1 << 20):
             held.append(batch)
             size += batch.column(1).nbytes
-            if size >= 4 << 20:
+            if size >= 2 << 20:
                 yield flush()
                 size = 0
         if held:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: byte classes: True where the byte belongs to a word
 ALNUM = np.ones(256, bool)
@@ -43,11 +43,10 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. base ** n, modulo 2**64; grown as needed and kept up to a bound."""
     got = _powers.get(int(base))
     if got is None or len(got) <= n:
-        size = 1 << max(16, int(n).bit_length())
-        got = np.full(size, base, np.uint64)
+        got = np.full(((n >> 16) + 1) << 16, base, np.uint64)
         got[0] = 1
-        got = np.cumprod(got, dtype=np.uint64)
-        if size <= 1 << 23:
+        np.cumprod(got, out=got)
+        if n <= 3 << 20:
             _powers[int(base)] = got
     return got[: n + 1]
 
