@@ -381,7 +381,7 @@ def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     checked = F.when(F.col("low") == F.col("high"), F.col("n")).otherwise(F.raise_error(F.lit("two shingle sets with one hash")).cast("bigint"))
     nodes = scratch.durable(nodes.withColumn("n", checked).drop("low", "high"), "set-nodes")
-    found = scratch.durable(index_groups(docs, int(spark.conf.get("spark.sql.shuffle.partitions"))), "index-groups")
+    found = scratch.durable(index_groups(docs, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "index-groups")
     members = _members(found.where("not pair"), nodes)
     stars = found.where("pair").select("a", "b").unionByName(_pivots(members)).distinct()
     tested = scratch.durable(_possible(stars, nodes), "pairs")
