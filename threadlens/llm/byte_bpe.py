@@ -27,7 +27,7 @@ from . import scratch
 from .wordscan import slices
 
 CHUNK, OVERLAP = 1 << 15, 1 << 9
-CACHED_PIECES = 250_000
+CACHED_PIECES = 500_000
 CLIPPED = 4  # characters before a chunk's end in which a lookahead may have seen too little
 
 _coders: dict[tuple[str, str], PieceCoder] = {}
