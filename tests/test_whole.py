@@ -1,0 +1,40 @@
+"""Registered queries over the whole texts and all of the events."""
+
+from collections import Counter
+
+import pytest
+
+from threadlens import catalog
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """Nine comments a few minutes apart; their texts have 3,000 words and the last word is the only one of its kind."""
+    root = str(tmp_path_factory.mktemp("whole"))
+    texts = [" ".join([f"{'abcd'[k % 4]}word"] * 2999 + [f"last{'xyz'[k % 3]}"]) for k in range(3)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    events = spark.createDataFrame([(k, f"2024-01-{1 + 3 * k:02} 12:00:00", k % 2, 1.0) for k in range(1, 10)], "event_id bigint, ts string, user_id bigint, value double")
+    events.selectExpr("event_id", "cast(ts as timestamp_ntz) ts", "user_id", "value").write.parquet(f"{root}/events.parquet")
+    return root
+
+
+def run(spark, small, name):
+    return catalog.queries()[name](spark, small).collect()
+
+
+def test_no_word_is_cut(spark, small):
+    rows = run(spark, small, "clean_comments_whole")
+    assert len(rows) == 9 and {len(r.cleaned_comment.split()) for r in rows} == {3000}
+    assert Counter(r.cleaned_comment.split()[-1] for r in rows) == {"lastx": 3, "lasty": 3, "lastz": 3}
+    assert {len(r.text.split()) for r in run(spark, small, "comments_whole")} == {3000}
+    assert sum(r.n_words for r in run(spark, small, "monthly_volume_whole")) == 9 * 3000
+    counts = Counter()
+    for r in run(spark, small, "top_terms_monthly_whole"):
+        counts[r.term] += r.n
+    assert counts == {"aword": 8997, "bword": 8997, "cword": 8997, "lastx": 3, "lasty": 3}
+    prompts = [r.prompt for r in run(spark, small, "prompts_comment_whole")]
+    assert sum("last" in p for p in prompts) == 4  # replies to a comment that is there
+    assert "last" not in run(spark, small, "clean_comments")[0].cleaned_comment
+
+

@@ -21,12 +21,12 @@ DETECTOR = bursts.Detector(baseline=288, k_sigma=1.0, min_history=5, top_k=10, s
 SUBJECT, CONTEXT = "¿Es buena la reforma?", "Comentarios de videos"
 
 
-def _cleaned(s: SparkSession, d: str) -> DataFrame:
-    return cleaning.clean_comments(fx.comments(s, d))
+def _cleaned(s: SparkSession, d: str, read=fx.comments) -> DataFrame:
+    return cleaning.clean_comments(read(s, d))
 
 
-def _local(s: SparkSession, d: str) -> DataFrame:
-    return timebuckets.localised(_cleaned(s, d))
+def _local(s: SparkSession, d: str, read=fx.comments) -> DataFrame:
+    return timebuckets.localised(_cleaned(s, d, read))
 
 
 def _channels(s: SparkSession, d: str) -> DataFrame:
@@ -38,26 +38,26 @@ def _range(kind: str) -> dict:
     return {"daily": dict(zip(("start", "end"), DAYS)), "hourly": dict(zip(("start", "end"), DAY))}.get(kind, {})
 
 
-def _series(kind: str, which: int):
+def _series(kind: str, which: int, read=fx.comments):
     def run(s: SparkSession, d: str) -> DataFrame:
-        out = termstats.series(_local(s, d), kind, 5, STOPS, **_range(kind))[which]
+        out = termstats.series(_local(s, d, read), kind, 5, STOPS, **_range(kind))[which]
         return out if which == 0 else out.withColumn("tfidf", F.round("tfidf", 6))
 
     return run
 
 
-def _volume(kind: str):
+def _volume(kind: str, read=fx.comments):
     def run(s: SparkSession, d: str) -> DataFrame:
-        rows = _local(s, d)
+        rows = _local(s, d, read)
         span = _range(kind)
         return timebuckets.volume(timebuckets.between(rows, **span) if span else rows, kind, **span)
 
     return run
 
 
-def _sliding(step: str):
+def _sliding(step: str, read=fx.comments):
     def run(s: SparkSession, d: str) -> DataFrame:
-        counts, bins, sizes = bursts.windowed(_local(s, d), WINDOWS, STOPS)
+        counts, bins, sizes = bursts.windowed(_local(s, d, read), WINDOWS, STOPS)
         if step == "counts":
             return counts
         top = bursts.top_by_tick(counts, WINDOWS.top_n)
@@ -88,8 +88,8 @@ def _graph(build, which: int):
     return lambda s, d: build(fx.comments(s, d))[which]
 
 
-def _prompts(s: SparkSession, d: str) -> DataFrame:
-    rows = fx.comments(s, d)
+def _prompts(s: SparkSession, d: str, read=fx.comments) -> DataFrame:
+    rows = read(s, d)
     stance = F.pmod(F.col("row_pos"), F.lit(6)).cast("string")
     found = models.with_parent_text(rows).withColumns({"stance": labels.likert_tag(stance), "mood": labels.polarity_tag(stance)})
     return found.select("comment_id", labels.comment_prompt(CONTEXT, SUBJECT, F.col("stance"), F.col("mood"), F.col("parent_text")).alias("prompt"))
@@ -103,13 +103,40 @@ def _answers(s: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", "a.*", labels.likert_tag(F.col("a.classification")).alias("likert"), labels.polarity_tag(F.col("a.polarity")).alias("mood"), labels.from_polarity(F.col("a.polarity")).alias("sentiment_gpt"), X.requested_tokens(message).alias("requested"))
 
 
+def _text_queries(read) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries whose results depend on the words of the comments that ``read`` gives."""
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+        "comments": read,
+        "clean_comments": lambda s, d: _cleaned(s, d, read).select("comment_id", "cleaned_comment"),
+        "removed_counters": lambda s, d: cleaning.removed_counters(read(s, d)),
+        "user_activity": lambda s, d: cleaning.user_activity(_cleaned(s, d, read)),
+        "user_activity_joined": lambda s, d: cleaning.user_activity_joined(_cleaned(s, d, read)),
+        "bucket_documents": lambda s, d: timebuckets.documents(_local(s, d, read), "daily").select("bucket", F.sha2("document", 256).alias("document_sha256")),
+        "prompts_comment": lambda s, d: _prompts(s, d, read),
+        "stub_scores": lambda s, d: models.scored(read(s, d).select("comment_id", "text"), "text", models.StubScorer()),
+    }
+    for kind in ("monthly", "weekly", "daily", "hourly"):
+        out |= {f"{kind}_volume": _volume(kind, read), f"top_terms_{kind}": _series(kind, 0, read), f"tfidf_{kind}": _series(kind, 1, read)}
+    return out
+
+
+def _burst_queries(read) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries over sliding windows."""
+    return {
+        "sliding_counts": _sliding("counts", read), "sliding_top_terms": _sliding("top", read), "sliding_tfidf": _sliding("tfidf", read), "sliding_mean": _sliding("mean", read), "tfidf_delta": _sliding("delta", read),
+        "burst_terms": _sliding("terms", read), "burst_snapshots": _sliding("snapshots", read), "burst_events": _sliding("events", read),
+        "stream_bursts": lambda s, d: live.bursts_once(_local(s, d, read), WINDOWS, DETECTOR, STOPS).select("tick", "n_msgs", F.round("score", 6).alias("score"), "important_count", "is_event"),
+        "stream_sliding_counts": lambda s, d: live.sliding_counts_once(_local(s, d, read), WINDOWS, STOPS),
+    }
+
+
+def _whole() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The same queries over the whole texts, which the SQL of the others cuts."""
+    return {f"{name}_whole": query for name, query in (_text_queries(fx.whole_comments) | _burst_queries(fx.whole_comments)).items()}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-        "comments": lambda s, d: fx.comments(s, d),
-        "clean_comments": lambda s, d: _cleaned(s, d).select("comment_id", "cleaned_comment"),
-        "removed_counters": lambda s, d: cleaning.removed_counters(fx.comments(s, d)),
-        "user_activity": lambda s, d: cleaning.user_activity(_cleaned(s, d)),
-        "user_activity_joined": lambda s, d: cleaning.user_activity_joined(_cleaned(s, d)),
         "videos_flat": lambda s, d: collect.flat_videos(fx.videos(s, d)),
         "videos_filtered": lambda s, d: collect.popular(collect.flat_videos(fx.videos(s, d)), 10000, 20).select("video_id", "views", "comments"),
         "channel_enrich": lambda s, d: collect.enriched(collect.flat_videos(fx.videos(s, d)), _channels(s, d)).select("video_id", "channel_id", "channel_subscribers", "channel_country"),
@@ -118,9 +145,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "anonymized": lambda s, d: privacy.anonymized(fx.comments(s, d).select("comment_id", "author_id", "author_name", "reply_to_comment_id", "video_id", "text", "likes"), SALT),
         "id_mapping": lambda s, d: privacy.id_mapping(fx.comments(s, d), SALT),
         "deanonymized": lambda s, d: (lambda c: privacy.deanonymized(privacy.anonymized(c, SALT), privacy.id_mapping(c, SALT)))(fx.comments(s, d).select("comment_id", "author_id", "author_name", "reply_to_comment_id", "video_id", "text", "likes")),
-        "bucket_documents": lambda s, d: timebuckets.documents(_local(s, d), "daily").select("bucket", F.sha2("document", 256).alias("document_sha256")),
-        "sliding_counts": _sliding("counts"), "sliding_top_terms": _sliding("top"), "sliding_tfidf": _sliding("tfidf"), "sliding_mean": _sliding("mean"), "tfidf_delta": _sliding("delta"),
-        "burst_terms": _sliding("terms"), "burst_snapshots": _sliding("snapshots"), "burst_events": _sliding("events"),
         "modal_sentiment_video": lambda s, d: graph.modal(fx.comments(s, d), ["author_id", "video_id"], "sentiment"),
         "modal_sentiment_reply": lambda s, d: graph.modal(graph.reply_pairs(fx.comments(s, d)), ["author_id", "replied_id", "video_id"], "label"),
         "graph_comment_video_vertices": _graph(graph.comment_video, 0), "graph_comment_video_edges": _graph(graph.comment_video, 1),
@@ -128,20 +152,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "edge_weights": lambda s, d: graph.comment_video(fx.comments(s, d), only_default=False)[1],
         "sentiment_labels": lambda s, d: fx.table(s, d, "events").select("event_id", labels.from_compound((F.col("event_id") % 41 - 20) / 100).alias("by_score"), labels.from_model(F.when(F.col("event_id") % 3 == 0, "POS").when(F.col("event_id") % 3 == 1, "NEG").otherwise("NEU")).alias("by_model")),
         "sentiment_histogram": lambda s, d: fx.comments(s, d).groupBy("sentiment").agg(F.count("*").alias("n")),
-        "prompts_comment": _prompts,
         "prompts_video": lambda s, d: collect.flat_videos(fx.videos(s, d)).select("video_id", F.lit(labels.video_prompt(CONTEXT, SUBJECT)).alias("prompt")),
         "parse_llm_response": _answers,
         "rolling_token_budget": lambda s, d: models.rolling_tokens(fx.table(s, d, "events").select("event_id", F.col("ts").alias("ts"), (F.col("event_id") % 1500).alias("tokens"))),
         "transcript_text": lambda s, d: fx.table(s, d, "documents").select("doc_id", F.sha2(X.transcript_text(F.transform(F.split("text", "\n"), lambda t: F.struct(t.alias("text")))), 256).alias("text_sha256")),
         "lsa_summary": lambda s, d: models.summarised(fx.table(s, d, "documents").select("doc_id", "text"), "text"),
         "lexicon_sentiment": lambda s, d: models.lexicon_sentiment(fx.table(s, d, "documents").select("doc_id", "text"), {"idiot": -2.0, "moron": -2.0, "the": 0.4, "and": -0.1}),
-        "stub_scores": lambda s, d: models.scored(fx.comments(s, d).select("comment_id", "text"), "text", models.StubScorer()),
-        "stream_bursts": lambda s, d: live.bursts_once(_local(s, d), WINDOWS, DETECTOR, STOPS).select("tick", "n_msgs", F.round("score", 6).alias("score"), "important_count", "is_event"),
-        "stream_sliding_counts": lambda s, d: live.sliding_counts_once(_local(s, d), WINDOWS, STOPS),
     }
-    for kind in ("monthly", "weekly", "daily", "hourly"):
-        out |= {f"{kind}_volume": _volume(kind), f"top_terms_{kind}": _series(kind, 0), f"tfidf_{kind}": _series(kind, 1)}
-    return out
+    return out | _text_queries(fx.comments) | _burst_queries(fx.comments) | _whole()
 
 
 _LOCAL = fx.ALL_CLEANED_SQL + ", local AS (SELECT *, published_at - INTERVAL 5 HOUR AS local_ts FROM cleaned)"
@@ -280,4 +298,5 @@ def oracle_sql() -> dict[str, str]:
         words = "len(list_filter(string_split(cleaned_comment, ' '), lambda x: x <> ''))"
         out[f"{kind}_volume"] = f"{_bucketed(kind)}, counts AS (SELECT bucket, count(*) AS n_comments, CAST(sum({words}) AS BIGINT) AS n_words FROM bucketed GROUP BY bucket) SELECT bucket, coalesce(n_comments, 0) AS n_comments, coalesce(n_words, 0) AS n_words FROM spine LEFT JOIN counts USING (bucket)"
         out[f"top_terms_{kind}"], out[f"tfidf_{kind}"] = _series_sql(kind, 0), _series_sql(kind, 1)
-    return out
+    # whole bursts have no SQL: a window joined with every tick is too slow there
+    return out | {f"{name}_whole": fx.whole_sql(out[name]) for name in _text_queries(fx.whole_comments) if name in out}

@@ -10,16 +10,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def comments(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """One comment for each event; its text is the first 200 characters of a document, as COMMENTS_SQL has it, or all of it."""
+    text = F.col("text") if whole else F.substring("text", 1, 200)
     events, docs, labels = (table(spark, sf_dir, n) for n in ("events", "documents", "labels"))
     size = docs.agg(F.count("*").alias("n_docs"))  # one row
     e = F.col("event_id")
-    rows = events.crossJoin(F.broadcast(size)).withColumn("doc_id", e % F.col("n_docs")).join(docs.select("doc_id", F.substring("text", 1, 200).alias("head")), "doc_id").join(labels, "doc_id", "left")
+    rows = events.crossJoin(F.broadcast(size)).withColumn("doc_id", e % F.col("n_docs")).join(docs.select("doc_id", text.alias("said")), "doc_id").join(labels, "doc_id", "left")
     reply = e % 3 != 0
     return rows.select(
         F.concat(F.lit("v"), F.expr("event_id div 3 % 40")).alias("video_id"),
         F.concat(F.lit("c"), e).alias("comment_id"),
-        F.when(e % 51 == 0, "123 :) https://x.co/a").otherwise(F.col("head")).alias("text"),
+        F.when(e % 51 == 0, "123 :) https://x.co/a").otherwise(F.col("said")).alias("text"),
         F.concat(F.lit("user_"), "user_id").alias("author_name"),
         F.concat(F.lit("u"), "user_id").alias("author_id"),
         F.col("ts").alias("published_at"),
@@ -51,6 +53,15 @@ ALL_CLEANED_SQL = COMMENTS_SQL + r""", all_cleaned AS (
     AND NOT (is_reply AND reply_to_comment_id IS NOT NULL AND EXISTS (SELECT 1 FROM blank b WHERE b.comment_id = a.reply_to_comment_id)))"""
 
 
+def whole_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comments(spark, sf_dir, whole=True)
+
+
+def whole_sql(sql: str) -> str:
+    """SQL over ``comments`` as it reads over ``whole_comments``."""
+    return sql.replace("substr(d.text, 1, 200)", "d.text")
+
+
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested video items as an API would give them, one for each video of ``comments``."""
     found = comments(spark, sf_dir).groupBy("video_id").agg(F.count("*").alias("n"))
