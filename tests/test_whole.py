@@ -38,3 +38,36 @@ def test_no_word_is_cut(spark, small):
     assert "last" not in run(spark, small, "clean_comments")[0].cleaned_comment
 
 
+def test_sliding_keeps_all_events_and_800_terms(spark, tmp_path):
+    """A brute-force count: 1,000 different words in one text are cut at 800, not at 40, on the first and the last day of the events."""
+    letters = "abcdefghij"
+    words = [f"w{letters[k // 100]}{letters[k // 10 % 10]}{letters[k % 10]}" for k in range(1000)]
+    spark.createDataFrame([(0, " ".join(words) + " " + words[999])], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    events = spark.createDataFrame([(1, "2023-12-01 12:00:01", 1, 1.0), (2, "2024-03-30 12:00:01", 1, 1.0)], "event_id bigint, ts string, user_id bigint, value double")
+    events.selectExpr("event_id", "cast(ts as timestamp_ntz) ts", "user_id", "value").write.parquet(f"{tmp_path}/events.parquet")
+    rows = run(spark, str(tmp_path), "sliding_top_terms_whole")
+    ticks = {r.tick for r in rows}
+    assert {str(t.date()) for t in ticks} == {"2023-12-01", "2024-03-30"} and len(ticks) == 24
+    want = {(1, words[999]), *((k + 2, w) for k, w in enumerate(words[:799]))}
+    assert all({(r.rank, r.term) for r in rows if r.tick == t} == want for t in ticks)
+    assert run(spark, str(tmp_path), "sliding_top_terms") == []
+    snaps = run(spark, str(tmp_path), "burst_snapshots_whole")
+    assert len(snaps) == 24 and {r.n_msgs for r in snaps} == {1}
+
+
+def test_more_than_ten_terms_burst(spark, tmp_path):
+    """Eleven words are always there beside a louder one; in the last text they stand alone and all of them burst."""
+    words = [f"term{c}" for c in "abcdefghijk"]
+    spark.createDataFrame([(0, " ".join(["same"] * 1000 + words)), (1, " ".join(words * 3))], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    at = lambda n: f"2024-01-05 {8 + n // 6:02}:{n % 6 * 10:02}:01"
+    ids = [6 * i for i in range(1, 48) if i % 17]  # the first text; none is a reply or blank
+    rows = [*[(k, at(n), 1, 1.0) for n, k in enumerate(ids)], (303, at(len(ids)), 1, 1.0)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, value double")
+    events.selectExpr("event_id", "cast(ts as timestamp_ntz) ts", "user_id", "value").write.parquet(f"{tmp_path}/events.parquet")
+    ticks = {}
+    for r in run(spark, str(tmp_path), "burst_terms_whole"):
+        ticks.setdefault(r.tick, set()).add(r.term)
+    assert any(found >= set(words) for found in ticks.values())
+    assert max(r.important_count for r in run(spark, str(tmp_path), "burst_snapshots_whole")) > 10

@@ -18,6 +18,9 @@ DAYS = ("2024-01-07", "2024-01-15")
 DAY = ("2024-01-11", "2024-01-12")
 WINDOWS = bursts.Sliding("2024-01-10 00:00:00", "2024-01-12 23:59:00", top_n=40)
 DETECTOR = bursts.Detector(baseline=288, k_sigma=1.0, min_history=5, top_k=10, sigma_floor=0.01, min_count_window=2, require_min_terms=2)
+#: The reference's own run: 800 terms a window, 300 important ones a tick, over all events whatever their span.
+FULL_TOP_N = 800
+FULL_DETECTOR = bursts.Detector(baseline=288, k_sigma=3.5, min_history=24, top_k=300, sigma_floor=0.08, min_count_window=2, require_min_terms=2)
 SUBJECT, CONTEXT = "¿Es buena la reforma?", "Comentarios de videos"
 
 
@@ -34,6 +37,13 @@ def _channels(s: SparkSession, d: str) -> DataFrame:
     return s.range(6).select(F.concat(F.lit("ch"), k).alias("channel_id"), (k * 1000 + 7).alias("channel_subscribers"), F.when(k % 2 == 0, "CO").alias("channel_country"))
 
 
+def _span(s: SparkSession, d: str) -> bursts.Sliding:
+    """Windows that every event lies in: from the day of the first one, in local time, to the midnight after the last one."""
+    local = timebuckets.localised(fx.table(s, d, "events").select(F.col("ts").alias("published_at")))
+    first, last = local.agg(F.date_trunc("DAY", F.min("local_ts")).cast("timestamp_ntz").cast("string"), (F.date_trunc("DAY", F.max("local_ts")).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")).cast("string")).first()  # two dates
+    return bursts.Sliding(first or WINDOWS.start, last or WINDOWS.end, top_n=FULL_TOP_N)
+
+
 def _range(kind: str) -> dict:
     return {"daily": dict(zip(("start", "end"), DAYS)), "hourly": dict(zip(("start", "end"), DAY))}.get(kind, {})
 
@@ -55,28 +65,29 @@ def _volume(kind: str, read=fx.comments):
     return run
 
 
-def _sliding(step: str, read=fx.comments):
+def _sliding(step: str, read=fx.comments, span=None, detector: bursts.Detector = DETECTOR):
     def run(s: SparkSession, d: str) -> DataFrame:
-        counts, bins, sizes = bursts.windowed(_local(s, d, read), WINDOWS, STOPS)
+        w = span(s, d) if span else WINDOWS
+        counts, bins, sizes = bursts.windowed(_local(s, d, read), w, STOPS)
         if step == "counts":
             return counts
-        top = bursts.top_by_tick(counts, WINDOWS.top_n)
+        top = bursts.top_by_tick(counts, w.top_n)
         if step == "top":
             return top.select("tick", "term", "freq", "rank")
         tfidf = bursts.tick_tfidf(counts, bins, top)
         if step == "tfidf":
             return tfidf.select("tick", "bin", "term", F.round("tfidf", 6).alias("tfidf"))
-        vector = bursts.vectors(tfidf, bins, DETECTOR.agg, WINDOWS.grain_minutes)
+        vector = bursts.vectors(tfidf, bins, detector.agg, w.grain_minutes)
         if step == "mean":
-            return bursts.vectors(tfidf, bins, "mean", WINDOWS.grain_minutes).select("tick", "term", F.round("value", 6).alias("value"))
+            return bursts.vectors(tfidf, bins, "mean", w.grain_minutes).select("tick", "term", F.round("value", 6).alias("value"))
         change = bursts.changes(vector, sizes)
         if step == "delta":
             return change.select("tick", "seq", "term", *[F.round(c, 6).alias(c) for c in ("now", "before", "d")])
-        judgement = bursts.judged(change, top, DETECTOR)
-        found = bursts.burst_terms(judgement, DETECTOR)
+        judgement = bursts.judged(change, top, detector)
+        found = bursts.burst_terms(judgement, detector)
         if step == "terms":
             return found.select("tick", "term", "freq", "history", *[F.round(c, 6).alias(c) for c in ("d", "mu", "sigma", "z")])
-        snap = bursts.snapshots(sizes, judgement, found, DETECTOR)
+        snap = bursts.snapshots(sizes, judgement, found, detector)
         if step == "snapshots":
             return snap.select("tick", "n_msgs", F.round("score", 6).alias("score"), "important_count", "is_event")
         return bursts.events(snap).withColumn("score", F.round("score", 6))
@@ -120,19 +131,21 @@ def _text_queries(read) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return out
 
 
-def _burst_queries(read) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The queries over sliding windows."""
+def _burst_queries(read, span=None, detector: bursts.Detector = DETECTOR) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries over sliding windows, which are WINDOWS or what ``span`` finds in the tables."""
+    windows = span or (lambda s, d: WINDOWS)
+    step = lambda name: _sliding(name, read, span, detector)
     return {
-        "sliding_counts": _sliding("counts", read), "sliding_top_terms": _sliding("top", read), "sliding_tfidf": _sliding("tfidf", read), "sliding_mean": _sliding("mean", read), "tfidf_delta": _sliding("delta", read),
-        "burst_terms": _sliding("terms", read), "burst_snapshots": _sliding("snapshots", read), "burst_events": _sliding("events", read),
-        "stream_bursts": lambda s, d: live.bursts_once(_local(s, d, read), WINDOWS, DETECTOR, STOPS).select("tick", "n_msgs", F.round("score", 6).alias("score"), "important_count", "is_event"),
-        "stream_sliding_counts": lambda s, d: live.sliding_counts_once(_local(s, d, read), WINDOWS, STOPS),
+        "sliding_counts": step("counts"), "sliding_top_terms": step("top"), "sliding_tfidf": step("tfidf"), "sliding_mean": step("mean"), "tfidf_delta": step("delta"),
+        "burst_terms": step("terms"), "burst_snapshots": step("snapshots"), "burst_events": step("events"),
+        "stream_bursts": lambda s, d: live.bursts_once(_local(s, d, read), windows(s, d), detector, STOPS).select("tick", "n_msgs", F.round("score", 6).alias("score"), "important_count", "is_event"),
+        "stream_sliding_counts": lambda s, d: live.sliding_counts_once(_local(s, d, read), windows(s, d), STOPS),
     }
 
 
 def _whole() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The same queries over the whole texts, which the SQL of the others cuts."""
-    return {f"{name}_whole": query for name, query in (_text_queries(fx.whole_comments) | _burst_queries(fx.whole_comments)).items()}
+    """The same queries over the whole texts, which the SQL of the others cuts; bursts over all events with the reference's numbers of terms."""
+    return {f"{name}_whole": query for name, query in (_text_queries(fx.whole_comments) | _burst_queries(fx.whole_comments, _span, FULL_DETECTOR)).items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
