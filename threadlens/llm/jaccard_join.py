@@ -272,10 +272,9 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return near.mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are similar, with both sizes and the common shingles."""
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    shown = asked.join(nodes.select("node", "doc_id"), "node").select("doc_id", "node")
+def _texts(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, z): the compressed text of one row of each node; ``asked`` has nodes with a doc_id of theirs."""
+    shown = asked.select("doc_id", "node")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,7 +291,13 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             same = [len(v) and _signed(_fold(v, 30)) == node for v, node in zip(shingles(raw), batch.column(0).to_pylist(), strict=True)]
             yield batch.filter(pa.array([bool(s) for s in same], pa.bool_()))
 
-    kept = scratch.durable(found.mapInArrow(own, "node bigint, z binary").dropDuplicates(["node"]), "candidate-texts")
+    return scratch.durable(found.mapInArrow(own, "node bigint, z binary").dropDuplicates(["node"]), "candidate-texts")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are similar, with both sizes and the common shingles."""
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    kept = _texts(asked.join(nodes.select("node", "doc_id"), "node"), docs)
     both = pairs.join(kept.select(F.col("node").alias("b"), F.col("z").alias("z_b")), "b").join(kept.select(F.col("node").alias("a"), F.col("z").alias("z_a")), "a").select("a", "b", "z_a", "z_b")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +377,10 @@ def _crossing(open_groups: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node, root) of every row and the verified links (a, b, n_a, n_b, common) between nodes."""
+    """(doc_id, n, node, root) of every row and verified links (a, b, n_a, n_b, common) between nodes.
+
+    The links span the components and are not all there are: ``linked`` counts those.
+    """
     spark = docs.sparkSession
     scratch.small_batches(spark)
     rows = scratch.durable(sets(docs), "shingle-sets")
@@ -403,6 +411,58 @@ def classes(docs: DataFrame) -> DataFrame:
     return rows.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+LINK_BLOCK = 512  # nodes of a component that are compared with as many others in one task
+
+
+def _linked_rows(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, n_near): the rows whose sets are similar to a node's own but not equal; ``nodes`` has node, root, doc_id and copies.
+
+    Similar sets lie in one component, so each pair of a component's nodes is looked at once, on the shingles themselves.
+    """
+    size = nodes.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
+    asked = scratch.durable(nodes.join(size, "root"), "linked-nodes")
+    rows = asked.join(_texts(asked, docs), "node")
+    placed = rows.withColumn("of", F.ceil(F.col("size") / LINK_BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "copies", "z")
+
+    def count(table: pa.Table) -> pa.Table:
+        mine, node, copies = (table[c].to_numpy() for c in ("mine", "node", "copies"))
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        sets = shingles([zstandard.decompress(z) for z in table["z"].to_pylist()])
+        n = np.array([len(v) for v in sets])
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        near = np.zeros(len(node), np.int64)
+        if len(left) and len(right):
+            universe, place = np.unique(np.concatenate(sets), return_inverse=True)
+            first = np.concatenate(([0], np.cumsum(n)))
+            there = np.concatenate([place[first[k] : first[k + 1]] for k in right.tolist()])
+            starts = np.concatenate(([0], np.cumsum(n[right])[:-1]))
+            seen = np.zeros(len(universe), bool)
+            for a in left.tolist():
+                own = place[first[a] : first[a + 1]]
+                seen[own] = True
+                common = np.add.reduceat(seen[there], starts, dtype=np.int64)
+                seen[own] = False
+                similar = right[(100 * common >= 80 * (n[a] + n[right] - common)) & (right != a)]
+                near[a] += copies[similar].sum()
+                if i != j:
+                    near[similar] += copies[a]
+        return pa.table({"node": pa.array(node), "n_near": pa.array(near)})
+
+    return dealt.groupBy("root", "i", "j").applyInArrow(count, "node bigint, n_near bigint").groupBy("node").agg(F.sum("n_near").alias("n_near"))
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of every row: the other rows whose shingle sets are similar to its own, equal ones included."""
+    found, _ = joined(docs)
+    rows = scratch.durable(found, "component-rows")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("root").alias("root"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    near = nodes.select("node", "copies").join(_linked_rows(nodes, docs), "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n_near", F.lit(0))).select("node", "n_links")
+    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    every = rows.join(least, "root", "left").join(near, "node", "left")
+    return every.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies: of each class the one with the least doc_id.
 
