@@ -1,6 +1,6 @@
 """The corpus pipeline: each stage works on all documents that the one before it kept.
 
-Quality rules drop what they reject; of each class of near copies the document
+Quality rules drop what they reject; of each class of near copies one document
 with the least doc_id stays; contaminated documents go; secrets are redacted;
 the last stage encodes what is left.  ``run`` writes each stage to the shared
 folder and reads it back, so a lost executor never costs an earlier stage.
@@ -26,9 +26,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that are not contaminated by a benchmark item."""
-    found = decontam.op1(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found["_bad"]), "left_anti")
+    """Rows that are not contaminated by a benchmark item.
+
+    The verdict depends on the text alone and is carried by its 64-bit hash, so
+    rows with null or repeated ids go or stay each by its own text.
+    """
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    found = decontam.op1(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(found, F.xxhash64(docs.text) == found["_bad"], "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -151,11 +151,11 @@ def entries(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(roles)
 
 
-SETS = "doc_id bigint, n bigint, node bigint, second bigint, bits binary, spare0 int, spare1 int"
+SETS = "doc_id bigint, h bigint, n bigint, node bigint, second bigint, bits binary, spare0 int, spare1 int"
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """Size, node, second hash, bitmap and spare entries of every row's shingle set."""
+    """A hash of every row's text, and its shingle set's size, node, second hash, bitmap and spare entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -163,13 +163,13 @@ def sets(docs: DataFrame) -> DataFrame:
             free = [spare(v) if len(v) else (0, 0) for v in got]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array([len(v) for v in got], pa.int64()), pa.array([_signed(_fold(v, 30)) if len(v) else None for v in got], pa.int64()), pa.array([_signed(_fold(v, 32)) for v in got], pa.int64()),
+                    batch.column(0), batch.column(2), pa.array([len(v) for v in got], pa.int64()), pa.array([_signed(_fold(v, 30)) if len(v) else None for v in got], pa.int64()), pa.array([_signed(_fold(v, 32)) for v in got], pa.int64()),
                     pa.array([bitmap(v) if len(v) else b"" for v in got], pa.binary()), pa.array([f[0] for f in free], pa.int32()), pa.array([f[1] for f in free], pa.int32()),
                 ],
-                ["doc_id", "n", "node", "second", "bits", "spare0", "spare1"],
+                ["doc_id", "h", "n", "node", "second", "bits", "spare0", "spare1"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SETS)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, SETS)
 
 
 GROUPS = "pair boolean, a bigint, b bigint, members binary, roles binary, number int"
@@ -377,7 +377,7 @@ def _crossing(open_groups: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node, root) of every row and verified links (a, b, n_a, n_b, common) between nodes.
+    """(doc_id, h, n, node, root) of every row and verified links (a, b, n_a, n_b, common) between nodes.
 
     The links span the components and are not all there are: ``linked`` counts those.
     """
@@ -401,7 +401,7 @@ def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components.labels(links.select("a", "b"))
-    return rows.select("doc_id", "n", "node").join(labels, "node", "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root")), links
+    return rows.select("doc_id", "h", "n", "node").join(labels, "node", "left").select("doc_id", "h", "n", "node", F.coalesce("root", "node").alias("root")), links
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -464,12 +464,22 @@ def linked(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each class the one with the least doc_id.
+    """The rows of ``docs`` without near copies: of each class one row, of those with the least doc_id.
 
-    Classes are taken over doc_id; rows that share one stay together.
+    Rows are told apart by doc_id and a 64-bit hash of the text, so each of the
+    rows that share a doc_id stands for itself.  Null ids come after all others; a
+    class that has only such rows keeps one.  Rows without shingles all stay.
     """
-    kept = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    rows, _ = joined(docs)
+    some = rows.where("root is not null").groupBy("root", "doc_id", "h").agg(F.count("*").alias("copies"))
+    chosen = some.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "copies")).alias("m"))
+    blank = rows.where("root is null").select("doc_id", "h").distinct().withColumn("copies", F.lit(1))
+    kept = scratch.durable(chosen.select("m.doc_id", "m.h", "m.copies").unionByName(blank).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), (F.col("copies") > 1).alias("_again")), "representatives")
+    meant = docs.doc_id.eqNullSafe(kept["_id"]) & (F.xxhash64(docs.text) == kept["_h"])
+    once = docs.join(kept.where("not _again"), meant, "left_semi")
+    if kept.where("_again").isEmpty():
+        return once
+    return once.unionByName(docs.join(kept.where("_again"), meant, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op10(docs: DataFrame) -> DataFrame:
