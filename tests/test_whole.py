@@ -38,6 +38,13 @@ def test_no_word_is_cut(spark, small):
     assert "last" not in run(spark, small, "clean_comments")[0].cleaned_comment
 
 
+def test_volumes_count_all_comments(spark, small):
+    for kind, buckets in (("daily", 25), ("hourly", 24 * 24 + 1)):  # 4 to 28 January, without gaps
+        rows = run(spark, small, f"{kind}_volume_whole")
+        assert len(rows) == buckets and sum(r.n_comments for r in rows) == 9 and sum(r.n_words for r in rows) == 27_000
+        assert sum(r.n_comments for r in run(spark, small, f"{kind}_volume")) < 9
+
+
 def test_sliding_keeps_all_events_and_800_terms(spark, tmp_path):
     """A brute-force count: 1,000 different words in one text are cut at 800, not at 40, on the first and the last day of the events."""
     letters = "abcdefghij"

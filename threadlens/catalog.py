@@ -56,10 +56,10 @@ def _series(kind: str, which: int, read=fx.comments):
     return run
 
 
-def _volume(kind: str, read=fx.comments):
+def _volume(kind: str, read=fx.comments, ranged: bool = True):
     def run(s: SparkSession, d: str) -> DataFrame:
         rows = _local(s, d, read)
-        span = _range(kind)
+        span = _range(kind) if ranged else {}
         return timebuckets.volume(timebuckets.between(rows, **span) if span else rows, kind, **span)
 
     return run
@@ -143,9 +143,14 @@ def _burst_queries(read, span=None, detector: bursts.Detector = DETECTOR) -> dic
     }
 
 
+def _full_volumes() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Daily and hourly volumes of all comments; the ranges are those of the top terms."""
+    return {f"{kind}_volume": _volume(kind, fx.whole_comments, ranged=False) for kind in ("daily", "hourly")}
+
+
 def _whole() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The same queries over the whole texts, which the SQL of the others cuts; bursts over all events with the reference's numbers of terms."""
-    return {f"{name}_whole": query for name, query in (_text_queries(fx.whole_comments) | _burst_queries(fx.whole_comments, _span, FULL_DETECTOR)).items()}
+    return {f"{name}_whole": query for name, query in (_text_queries(fx.whole_comments) | _burst_queries(fx.whole_comments, _span, FULL_DETECTOR) | _full_volumes()).items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -311,5 +316,5 @@ def oracle_sql() -> dict[str, str]:
         words = "len(list_filter(string_split(cleaned_comment, ' '), lambda x: x <> ''))"
         out[f"{kind}_volume"] = f"{_bucketed(kind)}, counts AS (SELECT bucket, count(*) AS n_comments, CAST(sum({words}) AS BIGINT) AS n_words FROM bucketed GROUP BY bucket) SELECT bucket, coalesce(n_comments, 0) AS n_comments, coalesce(n_words, 0) AS n_words FROM spine LEFT JOIN counts USING (bucket)"
         out[f"top_terms_{kind}"], out[f"tfidf_{kind}"] = _series_sql(kind, 0), _series_sql(kind, 1)
-    # whole bursts have no SQL: a window joined with every tick is too slow there
-    return out | {f"{name}_whole": fx.whole_sql(out[name]) for name in _text_queries(fx.whole_comments) if name in out}
+    # whole bursts have no SQL: a window joined with every tick is too slow there; the SQL of the daily and hourly volumes has a range
+    return out | {f"{name}_whole": fx.whole_sql(out[name]) for name in _text_queries(fx.whole_comments) if name in out and name not in _full_volumes()}
