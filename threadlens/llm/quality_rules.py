@@ -1,9 +1,10 @@
 """Quality rules as a bitmask ledger, in DataFrame functions only.
 
-``ledger`` evaluates every rule once a document and stores the measurements and
-one bit for each failed rule.  A policy is a mask of bits with a version:
-applying one, changing one or asking what each rule costs reads the ledger's
-integers and never a text again.
+``ledger`` evaluates every rule once a document; ``stored`` writes its
+measurements and one bit for each failed rule.  A policy is a mask of bits with
+a version: applying one, changing one or asking what each rule costs reads the
+stored integers and never a text again.  ``passing`` needs the texts and no
+ledger: it measures and filters in one pass.
 
 Rows: one ledger row for each input row, repeated rows included.  Null and
 empty texts have no words, so they fail ``few_words``.  A null ``doc_id`` stays
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 SPACES = " \t\n\x0b\f\r"
 SPLIT = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -71,6 +74,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured(docs.select("doc_id", "text")).withColumn("bits", fail_bits()).select("doc_id", *MEASURES, "bits")
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger as a written table; the texts are read here and not again."""
+    return scratch.durable(ledger(docs), "rule-ledger")
+
+
 def verdicts(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
     """A ledger with ``kept`` under a policy and the policy's version."""
     return rows.withColumns({"kept": F.col("bits").bitwiseAND(F.lit(POLICIES[policy])) == 0, "policy": F.lit(policy)})
@@ -85,7 +93,7 @@ def passing(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
 def ablation(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
     """For each rule of a policy: documents that fail it, that fail it alone, and that dropping it would keep.
 
-    The ledger is first counted by its distinct bit patterns (at most 2 ** rules
+    ``rows`` is a stored ledger.  It is first counted by its distinct bit patterns (at most 2 ** rules
     rows), so no rule reads the documents again.
     """
     mask = POLICIES[policy]
@@ -100,6 +108,16 @@ def ablation(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    rows = verdicts(ledger(docs))
+    rows = verdicts(stored(docs))
     failed = F.col("bits").bitwiseAND(F.lit(BASE_MASK)) != 0
     return rows.select("doc_id", *MEASURES[:5], failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), F.col("bits").alias("fail_bits"), "policy")
+
+
+def op2_ablation(docs: DataFrame) -> DataFrame:
+    """What each rule of each policy costs, all from one stored ledger."""
+    rows = stored(docs)
+    parts = [ablation(rows, policy).select(F.lit(policy).alias("policy"), "*") for policy in POLICIES]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every

@@ -37,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": lambda s, d: substring_dedup.op8(_docs(s, d)),
         "op9_license_scan": lambda s, d: licenses.op9(_docs(s, d)),
         "op10_jaccard_join": lambda s, d: jaccard_join.op10(_docs(s, d)),
+        "op2_rule_ablation": lambda s, d: quality_rules.op2_ablation(_docs(s, d)),
         "op10_jaccard_links": lambda s, d: jaccard_join.linked(_docs(s, d)),
         "pipeline": _pipeline,
     }
