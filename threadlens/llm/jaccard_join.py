@@ -23,10 +23,16 @@ the sets') discards nearly all of those pairs.  Every surviving pair is verified
 on the shingles themselves.
 
 Equal sets are one node from the start; a node is a 64-bit hash of its set,
-checked against a second hash.  Rows: one for each input row.  Null and empty
-texts and texts without words have no shingles and link with nothing, so their
-component is their own doc_id.  A null ``doc_id`` stays null; a component of such rows only has
-a null id.  Empty tables give empty results; other columns are dropped.
+checked against a second hash.  Hashes only propose: a pair is a link if its
+shingles, compared word by word, say so.  A node keeps one compressed text, from
+which its index entries and its shingles are made, so the documents are read
+once.  Keys that many rows share (copies of one text, members of one group or
+component, pairs of one hub) are salted by their measured sizes (``skew``).
+
+Rows: one for each input row.  Null and empty texts and texts without words have
+no shingles and link with nothing, so their component is their own doc_id.  A
+null ``doc_id`` stays null; a component of such rows only has a null id.  Empty
+tables give empty results; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -37,16 +43,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import components, scratch
-from .wordscan import NONSPACE, Words, mix, slices, texts_of, windows
+from . import components, scratch, skew
+from .wordscan import NONSPACE, SLICE_BYTES, Words, mix, slices, texts_of, window_numbers, windows
 
 SHINGLE = 5
+WORD = "[^\\x20\\x09-\\x0D]"
 FREQUENT = 64  # members from which an index entry counts as frequent
 BLOCK = 1024  # members of a group that are compared with as many others in one task
 FLUSH = 1_000_000  # index entries that a task holds before it sends them
+BUCKET_BYTES = 16 << 20  # of index entries that meet in one task
 
 
 def distance_bound(x, y):
@@ -151,37 +160,77 @@ def entries(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(roles)
 
 
-SETS = "doc_id bigint, h bigint, n bigint, node bigint, second bigint, bits binary, spare0 int, spare1 int"
+def exact_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The distinct shingles of each text as ascending numbers, equal for equal words and only for those."""
+    words = Words(texts, NONSPACE, fold=True)
+    grams = window_numbers(words, SHINGLE)
+    whole: dict[tuple, int] = {}  # texts of fewer words, as one shingle each
+    out = []
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+        if b - a >= SHINGLE:
+            out.append(np.unique(grams[a : b - SHINGLE + 1]))
+        else:
+            out.append(np.array([-1 - whole.setdefault(tuple(words.numbered[0][a:b].tolist()), len(whole))] if b > a else [], np.int64))
+    return out
+
+
+SETS = "row bigint, doc_id bigint, h bigint, n bigint, node bigint, second bigint, bits binary, spare0 int, spare1 int, z binary"
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """A hash of every row's text, and its shingle set's size, node, second hash, bitmap and spare entries."""
+    """A number and a hash of every row's text, its shingle set's size, node and second hash; for the first of a task's equal sets also bitmap, spare entries and the compressed text.
+
+    Numbers hold for one run of the job: write the table once before use.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, number = set(), TaskContext.get().partitionId() << 32
         for batch in slices(batches):
-            got = shingles(texts_of(batch.column(1)))
-            free = [spare(v) if len(v) else (0, 0) for v in got]
+            texts = texts_of(batch.column(1))
+            got = shingles(texts)
+            nodes = [_signed(_fold(v, 30)) if len(v) else None for v in got]
+            new = []
+            for node in nodes:
+                new.append(node is not None and node not in seen)
+                seen.add(node)
+            free = [spare(v) if k else (None, None) for v, k in zip(got, new, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(2), pa.array([len(v) for v in got], pa.int64()), pa.array([_signed(_fold(v, 30)) if len(v) else None for v in got], pa.int64()), pa.array([_signed(_fold(v, 32)) for v in got], pa.int64()),
-                    pa.array([bitmap(v) if len(v) else b"" for v in got], pa.binary()), pa.array([f[0] for f in free], pa.int32()), pa.array([f[1] for f in free], pa.int32()),
+                    pa.array(range(number, number + len(got)), pa.int64()), batch.column(0), batch.column(2), pa.array([len(v) for v in got], pa.int64()), pa.array(nodes, pa.int64()), pa.array([_signed(_fold(v, 32)) for v in got], pa.int64()),
+                    pa.array([bitmap(v) if k else None for v, k in zip(got, new, strict=True)], pa.binary()), pa.array([f[0] for f in free], pa.int32()), pa.array([f[1] for f in free], pa.int32()),
+                    pa.array([zstandard.compress(t, 3) if k else None for t, k in zip(texts, new, strict=True)], pa.binary()),
                 ],
-                ["doc_id", "h", "n", "node", "second", "bits", "spare0", "spare1"],
+                ["row", "doc_id", "h", "n", "node", "second", "bits", "spare0", "spare1", "z"],
             )
+            number += len(got)
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, SETS)
 
 
+def _unpacked(packed: list[bytes]) -> Iterator[dict[int, bytes]]:
+    """Texts by their place, in parts of about SLICE_BYTES."""
+    held: dict[int, bytes] = {}
+    size = 0
+    for k, z in enumerate(packed):
+        held[k] = zstandard.decompress(z)
+        size += len(held[k])
+        if size >= SLICE_BYTES:
+            yield held
+            held, size = {}, 0
+    if held:
+        yield held
+
+
 GROUPS = "pair boolean, a bigint, b bigint, members binary, roles binary, number int"
 _GROUPS = pa.schema([("pair", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("members", pa.binary()), ("roles", pa.binary()), ("number", pa.int32())])
 
 
-def index_groups(docs: DataFrame, buckets: int) -> DataFrame:
-    """What index entries bring together: pairs (least member, other), and groups of three or more as packed members."""
+def index_groups(nodes: DataFrame, buckets: int) -> DataFrame:
+    """What the index entries of nodes (node, z) bring together: pairs (least member, other), and groups of three or more as packed members."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size, seen = 0, set()
+        size = 0
 
         def flush() -> pa.RecordBatch:
             keys, roles, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -195,20 +244,15 @@ def index_groups(docs: DataFrame, buckets: int) -> DataFrame:
             cut = [slice(int(edge[k]), int(edge[k + 1])) for k in full]
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *[pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (short, roles, nodes)]], ["bucket", "keys", "roles", "nodes"])
 
-        for batch in slices(batches):
-            for values in shingles(texts_of(batch.column(1))):
-                if not len(values):
-                    continue
-                node = _fold(values, 30)
-                if node in seen:  # a copy adds nothing
-                    continue
-                seen.add(node)
-                keys, roles = entries(values)
-                held.append((keys, roles, np.full(len(keys), node, np.uint64)))
-                size += len(keys)
-                if size >= FLUSH:
-                    yield flush()
-                    size = 0
+        for batch in batches:
+            for part in _unpacked(batch.column(1).to_pylist()):
+                for k, values in zip(part, shingles([text for text in part.values()]), strict=True):
+                    keys, roles = entries(values)
+                    held.append((keys, roles, np.full(len(keys), batch.column(0)[k].as_py(), np.int64).view(np.uint64)))
+                    size += len(keys)
+                    if size >= FLUSH:
+                        yield flush()
+                        size = 0
         if held:
             yield flush()
 
@@ -244,7 +288,7 @@ def index_groups(docs: DataFrame, buckets: int) -> DataFrame:
             pa.array([none] * p + [k[0] for k in groups], pa.binary()), pa.array([none] * p + [k[1] for k in groups], pa.binary()), pa.array([none] * p + list(groups.values()), pa.int32()),
         ], schema=_GROUPS)
 
-    rows = docs.select("doc_id", "text").mapInArrow(send, "bucket int, keys binary, roles binary, nodes binary")
+    rows = nodes.select("node", "z").mapInArrow(send, "bucket int, keys binary, roles binary, nodes binary")
     return rows.groupBy("bucket").applyInArrow(meet, GROUPS)
 
 
@@ -262,7 +306,11 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) that sizes and bitmaps allow."""
     one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    near = pairs.join(two, "b").join(one, "a").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    pairs = scratch.durable(pairs, "proposed-pairs")
+    total, degrees = pairs.count(), _degrees(pairs)
+    sizes = lambda c: degrees.select(F.col("node").alias(c), "size")
+    met = skew.joined(skew.joined(pairs, two, "b", sizes("b"), total, "a"), one, "a", sizes("a"), total, "b")
+    near = met.where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,49 +320,68 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return near.mapInArrow(run, "a bigint, b bigint")
 
 
-def _texts(asked: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, z): the compressed text of one row of each node; ``asked`` has nodes with a doc_id of theirs."""
-    shown = asked.select("doc_id", "node")
-
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = texts_of(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zstandard.compress(t, 3) for t in texts], pa.binary())], ["doc_id", "z"])
-
-    # A node's row may share its doc_id with other rows: each is read and the one with the node's set is kept.
-    texts = docs.select("doc_id", "text").mapInArrow(squeeze, "doc_id bigint, z binary")
-    found = shown.join(texts, shown.doc_id.eqNullSafe(texts.doc_id)).select("node", "z")
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [zstandard.decompress(z) for z in batch.column(1).to_pylist()]
-            same = [len(v) and _signed(_fold(v, 30)) == node for v, node in zip(shingles(raw), batch.column(0).to_pylist(), strict=True)]
-            yield batch.filter(pa.array([bool(s) for s in same], pa.bool_()))
+def _degrees(pairs: DataFrame) -> DataFrame:
+    """(node, size): the pairs that each node is in."""
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("size"))
 
-    return scratch.durable(found.mapInArrow(own, "node bigint, z binary").dropDuplicates(["node"]), "candidate-texts")
 
+def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are similar, with both sizes and the common shingles.
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are similar, with both sizes and the common shingles."""
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    kept = _texts(asked.join(nodes.select("node", "doc_id"), "node"), docs)
-    both = pairs.join(kept.select(F.col("node").alias("b"), F.col("z").alias("z_b")), "b").join(kept.select(F.col("node").alias("a"), F.col("z").alias("z_a")), "a").select("a", "b", "z_a", "z_b")
+    The node of a pair with more pairs is its hub.  A hub's text is sent once for
+    each of its salts, ahead of the texts that are compared with it.
+    """
+    total = pairs.count()
+    degrees = scratch.durable(_degrees(pairs), "pair-degrees")
+    one, two = degrees.select(F.col("node").alias("a"), F.col("size").alias("size_a")), degrees.select(F.col("node").alias("b"), F.col("size").alias("size_b"))
+    sizes = lambda c: degrees.select(F.col("node").alias(c), "size")
+    ranked = skew.joined(skew.joined(pairs.select("a", "b"), one, "a", sizes("a"), total, "b"), two, "b", sizes("b"), total, "a")
+    turned = ranked.select(F.when(F.col("size_a") >= F.col("size_b"), F.struct(F.col("a").alias("hub"), F.col("b").alias("node"), F.col("size_a").alias("n"))).otherwise(F.struct(F.col("b").alias("hub"), F.col("a").alias("node"), F.col("size_b").alias("n"))).alias("p")).select("p.*")
+    bound = max(skew.LEAST, total // skew.MOST)
+    salts = F.ceil(F.col("n") / bound).cast("int")
+    members = turned.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
+    hubs = members.select("hub", "salt").distinct().join(nodes.select(F.col("node").alias("hub"), "z"), "hub").select("hub", "salt", F.lit(None).cast("bigint").alias("node"), "z")
+    others = skew.joined(members.select("hub", "salt", "node"), nodes.select("node", "z"), "node", degrees, total, "hub").select("hub", "salt", "node", "z")
+    # nulls first: a hub's own text comes before the others
+    dealt = hubs.unionByName(others).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "node")
+    schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "n_a", "n_b", "common")])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray | None] = (None, None)
+        hub: tuple[int | None, bytes] = (None, b"")
         for batch in batches:
-            out = {c: [] for c in ("a", "b", "n_a", "n_b", "common")}
-            others = shingles([zstandard.decompress(z) for z in batch.column(3).to_pylist()])
-            for a, b, z, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), others, strict=True):
-                if last[0] != a or last[1] is None:
-                    last = (a, shingles([zstandard.decompress(z.as_py())])[0])
-                common = len(np.intersect1d(last[1], other, assume_unique=True))
-                if 100 * common >= 80 * (len(last[1]) + len(other) - common):
-                    for name, value in zip(out, (a, b, len(last[1]), len(other), common), strict=True):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([(c, pa.int64()) for c in out]))
-
-    return both.mapInArrow(judge, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint")
+            texts: list[bytes] = []
+            asked: list[tuple[int, int, int, int]] = []  # hub, node and the places of their texts
+            size, place = 0, -1
+            for name, node, z in zip(*(batch.column(c).to_pylist() for c in ("hub", "node", "z")), strict=True):
+                text = zstandard.decompress(z)
+                if node is None:
+                    hub, place = (name, text), -1
+                    continue
+                if place < 0:
+                    place = len(texts)
+                    texts.append(hub[1])
+                    size += len(hub[1])
+                asked.append((name, node, place, len(texts)))
+                texts.append(text)
+                size += len(text)
+                if size >= SLICE_BYTES:
+                    yield compared(texts, asked)
+                    texts, asked, size, place = [], [], 0, -1
+            if asked:
+                yield compared(texts, asked)
+
+    def compared(texts: list[bytes], asked: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        found = exact_sets(texts)
+        out = {c: [] for c in schema.names}
+        for hub, node, x, y in asked:
+            common = len(np.intersect1d(found[x], found[y], assume_unique=True))
+            if 100 * common >= 80 * (len(found[x]) + len(found[y]) - common):
+                (a, x), (b, y) = sorted([(hub, x), (node, y)])
+                for name, value in zip(out, (a, b, len(found[x]), len(found[y]), common), strict=True):
+                    out[name].append(value)
+        return pa.RecordBatch.from_pydict(out, schema)
+
+    return dealt.select("hub", "node", "z").mapInArrow(judge, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint")
 
 
 def _members(groups: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -339,16 +406,18 @@ def _members(groups: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _spanning(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(g, node, root, size) of the groups whose members lie in several components."""
-    rows = members.join(labels, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root"))
-    several = rows.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("g", "size")
-    return scratch.durable(rows.join(several, "g"), "open-groups")
+    rows = scratch.durable(members.join(labels, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root")), "labelled-members")
+    groups = scratch.durable(rows.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")), "group-sizes")
+    several, sizes = groups.where("low <> high").select("g", "size"), groups.select("g", "size")
+    return scratch.durable(skew.joined(rows, several, "g", sizes, rows.count(), "node"), "open-groups")
 
 
 def _pivots(members: DataFrame) -> DataFrame:
     """Pairs of each group's most shared member, the likely original of its copies, with the others."""
     shared = members.groupBy("node").agg(F.count("*").alias("weight"))
-    pivot = members.join(shared, "node").groupBy("g").agg(F.max_by("node", F.struct("weight", "node")).alias("p"))
-    return members.join(pivot, "g").where("node <> p").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+    pivot = scratch.durable(members.join(shared, "node").groupBy("g").agg(F.max_by("node", F.struct("weight", "node")).alias("p"), F.count("*").alias("size")), "pivots")
+    met = skew.joined(members, pivot.drop("size"), "g", pivot.select("g", "size"), members.count(), "node")
+    return met.where("node <> p").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
 
 
 def _crossing(open_groups: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -376,52 +445,70 @@ def _crossing(open_groups: DataFrame, nodes: DataFrame) -> DataFrame:
     return dealt.groupBy("g", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h, n, node, root) of every row and verified links (a, b, n_a, n_b, common) between nodes.
+def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(row, doc_id, h, n, node) of every row, its nodes with their component, and verified links (a, b, n_a, n_b, common) between nodes.
 
-    The links span the components and are not all there are: ``linked`` counts those.
+    Nodes have node, n, copies, z, root (the least node of the component) and m: (none, doc_id, h, copies) of
+    the component's first row, by doc_id (null last) and h.  The links span the
+    components and are not all there are: ``linked`` counts those.
     """
     spark = docs.sparkSession
-    scratch.small_batches(spark)
     rows = scratch.durable(sets(docs), "shingle-sets")
-    nodes = rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1"), F.min("second").alias("low"), F.max("second").alias("high")
+    some = rows.where("node is not null")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row")
+    nodes = some.groupBy("node").agg(
+        F.first(F.when(F.col("z").isNotNull(), F.struct("n", "bits", "spare0", "spare1", "z")), ignorenulls=True).alias("s"), F.min(first).alias("m"), F.count("*").alias("copies"), F.min("second").alias("low"), F.max("second").alias("high")
     )
-    checked = F.when(F.col("low") == F.col("high"), F.col("n")).otherwise(F.raise_error(F.lit("two shingle sets with one hash")).cast("bigint"))
-    nodes = scratch.durable(nodes.withColumn("n", checked).drop("low", "high"), "set-nodes")
-    found = scratch.durable(index_groups(docs, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), "index-groups")
+    checked = F.when(F.col("low") == F.col("high"), F.col("s.n")).otherwise(F.raise_error(F.lit("two shingle sets with one hash")).cast("bigint"))
+    nodes = scratch.durable(nodes.select("node", checked.alias("n"), "copies", "m", "s.bits", "s.spare0", "s.spare1", "s.z"), "set-nodes")
+    # about half an entry of 14 bytes for each shingle
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 7 * (nodes.agg(F.sum("n")).first()[0] or 0) // BUCKET_BYTES)
+    found = scratch.durable(index_groups(nodes, buckets), "index-groups")
     members = _members(found.where("not pair"), nodes)
     stars = found.where("pair").select("a", "b").unionByName(_pivots(members)).distinct()
     tested = scratch.durable(_possible(stars, nodes), "pairs")
-    links = scratch.durable(verified(tested, nodes, docs), "similar")
+    links = scratch.durable(verified(tested, nodes), "similar")
     labels = components.labels(links.select("a", "b"))
     rest = scratch.durable(_crossing(_spanning(members, labels), nodes).join(tested, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        more = scratch.durable(verified(rest, nodes, docs), "similar")
+        more = scratch.durable(verified(rest, nodes), "similar")
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components.labels(links.select("a", "b"))
-    return rows.select("doc_id", "h", "n", "node").join(labels, "node", "left").select("doc_id", "h", "n", "node", F.coalesce("root", "node").alias("root")), links
+    return rows.select("row", "doc_id", "h", "n", "node"), _classed(nodes, labels), links
+
+
+def _classed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``nodes`` with root and the first row of the whole component as m."""
+    own = scratch.durable(labels.join(nodes.select("node", "m"), "node"), "labelled-nodes")
+    classes = scratch.durable(own.groupBy("root").agg(F.min("m").alias("first"), F.count("*").alias("size")), "components")
+    met = skew.joined(own.select("node", "root"), classes.drop("size"), "root", classes.select("root", "size"), own.count(), "node")
+    every = nodes.join(met, "node", "left")
+    return scratch.durable(every.select("node", "n", "copies", "z", F.coalesce("root", "node").alias("root"), F.coalesce("first", "m").alias("m")), "classed-nodes")
+
+
+def _with_nodes(rows: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    """Every row with columns of its node, null where it has none."""
+    return skew.joined(rows, nodes.select("node", *columns), "node", nodes.select("node", F.col("copies").alias("size")), rows.count(), "row", "left")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable) of every row."""
-    rows, _ = joined(docs)
-    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    rows, nodes, _ = joined(docs)
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("m.doc_id"))
+    return _with_nodes(rows, nodes, "m").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 LINK_BLOCK = 512  # nodes of a component that are compared with as many others in one task
 
 
-def _linked_rows(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, n_near): the rows whose sets are similar to a node's own but not equal; ``nodes`` has node, root, doc_id and copies.
+def _linked_rows(nodes: DataFrame) -> DataFrame:
+    """(node, n_near): the rows whose sets are similar to a node's own but not equal; ``nodes`` has node, root, copies and z.
 
     Similar sets lie in one component, so each pair of a component's nodes is looked at once, on the shingles themselves.
     """
     size = nodes.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
-    asked = scratch.durable(nodes.join(size, "root"), "linked-nodes")
-    rows = asked.join(_texts(asked, docs), "node")
+    rows = scratch.durable(skew.joined(nodes.select("root", "node", "copies", "z"), size, "root", size, nodes.count(), "node"), "linked-nodes")
     placed = rows.withColumn("of", F.ceil(F.col("size") / LINK_BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "copies", "z")
 
@@ -454,13 +541,11 @@ def _linked_rows(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row: the other rows whose shingle sets are similar to its own, equal ones included."""
-    found, _ = joined(docs)
-    rows = scratch.durable(found, "component-rows")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("root").alias("root"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    near = nodes.select("node", "copies").join(_linked_rows(nodes, docs), "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n_near", F.lit(0))).select("node", "n_links")
-    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    every = rows.join(least, "root", "left").join(near, "node", "left")
-    return every.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows, nodes, _ = joined(docs)
+    near = nodes.select("node", "copies", "m").join(_linked_rows(nodes), "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n_near", F.lit(0)))
+    every = _with_nodes(rows, scratch.durable(near, "linked-nodes"), "m", "n_links")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("m.doc_id"))
+    return every.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -469,17 +554,18 @@ def representatives(docs: DataFrame) -> DataFrame:
     Rows are told apart by doc_id and a 64-bit hash of the text, so each of the
     rows that share a doc_id stands for itself.  Null ids come after all others; a
     class that has only such rows keeps one.  Rows without shingles all stay.
+    Columns are kept whatever their names.
     """
-    rows, _ = joined(docs)
-    some = rows.where("root is not null").groupBy("root", "doc_id", "h").agg(F.count("*").alias("copies"))
-    chosen = some.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "copies")).alias("m"))
-    blank = rows.where("root is null").select("doc_id", "h").distinct().withColumn("copies", F.lit(1))
-    kept = scratch.durable(chosen.select("m.doc_id", "m.h", "m.copies").unionByName(blank).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), (F.col("copies") > 1).alias("_again")), "representatives")
-    meant = docs.doc_id.eqNullSafe(kept["_id"]) & (F.xxhash64(docs.text) == kept["_h"])
-    once = docs.join(kept.where("not _again"), meant, "left_semi")
-    if kept.where("_again").isEmpty():
-        return once
-    return once.unionByName(docs.join(kept.where("_again"), meant, "left_semi").dropDuplicates(["doc_id", "text"]))
+    rows, nodes, _ = joined(docs)
+    first = nodes.groupBy("root").agg(F.min("m").alias("m")).select("m.doc_id", "m.h", "m.row")
+    # rows of one id and one text are one and the same: one of them stays, and the join below must not meet all of them
+    again = rows.where("node is not null").groupBy("doc_id", "h").agg(F.count("*").alias("copies")).where("copies > 1")
+    kept = scratch.durable(first.join(again, first.doc_id.eqNullSafe(again.doc_id) & (first.h == again.h), "left").select(first.doc_id.alias("id"), first.h.alias("h"), F.coalesce("copies", F.lit(1)).alias("copies")), "representatives")
+    own = docs.select(F.struct(*docs.columns).alias("own"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), (~F.coalesce("text", F.lit("")).rlike(WORD)).alias("blank"))
+    meant = own.id.eqNullSafe(kept["id"]) & (own.h == kept["h"])
+    once = own.where("not blank").join(kept.where("copies = 1"), meant, "left_semi")
+    twice = own.where("not blank").join(kept.where("copies > 1"), meant, "left_semi").groupBy("id", "h").agg(F.first("own").alias("own"))
+    return own.where("blank").select("own.*").unionByName(once.select("own.*")).unionByName(twice.select("own.*"))
 
 
 def op10(docs: DataFrame) -> DataFrame:

@@ -1,14 +1,19 @@
 """Language by multinomial naive Bayes over hashed character n-grams.
 
 Counts of n-grams of 1 to 3 letters are learned from a bounded sample:
-PER_LANGUAGE documents of each language at most, chosen by a hash of doc_id.
-The log-probability matrix (BUCKETS rows, one column a language) goes to every
-executor; a batch is scored by gathering rows and adding them up by document.
+PER_LANGUAGE documents of each language at most, chosen by a hash of doc_id; the
+prior of a language is its share of all documents that may be learned from.  The
+log-probability matrix (BUCKETS rows, one column a language) goes to every
+executor in blocks of COLUMNS languages, so any number of languages will do; a
+batch is scored by gathering rows and adding them up by document, block after
+block.  The language with the largest posterior is predicted.  ``score`` is a
+tempered posterior: overlapping n-grams are far from independent, so there the
+evidence counts by the root of its length.
 
 ``lang_pred`` is ``und`` with score 0 where a text is null or has no letter, or
 where nothing could be learned.  Ties go to the smaller language name.  Repeated
 rows give repeated results; a null ``doc_id`` stays null and counts as held out
-by no rule.  Empty tables give empty results.
+by no rule.  Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,16 +23,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
 from .wordscan import mix, slices
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 4000
-LANGUAGES = 400  # more distinct labels than this are refused: the matrix must stay small
+COLUMNS = 64  # languages whose part of the matrix is broadcast at once: 17 MB
 FIT_PARTS = 8
 
 _letters: list[np.ndarray] = []
@@ -72,25 +77,20 @@ def grams(texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray],
 class Model:
     languages: list[str]
     table: np.ndarray  # BUCKETS + 1 rows; the last one, of no n-gram, is zero
+    prior: np.ndarray  # logarithms
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
+    def parts(self, columns: int) -> list[Model]:
+        return [Model(self.languages[k : k + columns], self.table[:, k : k + columns], self.prior[k : k + columns]) for k in range(0, len(self.languages), columns)]
+
+    def evidence(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The logarithm of each text's probability in each language, the number of its n-grams and whether it has a letter."""
         found, firsts, has = grams(texts)
-        total = np.zeros((len(texts), len(self.languages)))
-        number = np.zeros(len(texts))
+        total, number = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         for ids, first in zip(found, firsts, strict=True):
             for column in range(len(self.languages)):
                 total[:, column] += np.add.reduceat(self.table[:, column][ids], first, dtype=np.float64)
             number += np.add.reduceat((ids < BUCKETS).astype(np.int64), first)
-        # overlapping n-grams are far from independent: evidence counts by the root of its length
-        total /= np.sqrt(np.maximum(number, 1))[:, None]
-        total -= total.max(1, keepdims=True)
-        odds = np.exp(total)
-        odds /= odds.sum(1, keepdims=True)
-        best = odds.argmax(1)
-        names = [self.languages[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)]
-        return names, np.where(has, odds.max(1), 0.0)
+        return total, number, has
 
 
 def held_out() -> Column:
@@ -100,51 +100,76 @@ def held_out() -> Column:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from ``docs`` (text, lang); rows without a language or a text teach nothing."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().toLocalIterator()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.zeros((BUCKETS + 1, 0), np.float32))
+        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = F.coalesce(*[F.when(F.col("lang") == name, F.lit(int(min(1.0, per_language / n) * (1 << 30)))) for name, n in sizes.items()])
+    shares = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int(min(1.0, per_language / n) * (1 << 30)))])
+    share = F.element_at(shares, F.col("lang"))
+    number = {name: k for k, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), BUCKETS + 1), np.int64)
+        counts: dict[int, np.ndarray] = {}
         for batch in slices(batches):
             names = batch.column(1).to_pylist()
             found, firsts, _ = grams(batch.column(0).to_pylist())
-            whose = np.array([languages.index(n) for n in names])
+            whose = np.array([number[n] for n in names])
             for ids, first in zip(found, firsts, strict=True):
                 owner = np.repeat(whose, np.diff(np.append(first, len(ids))))
                 for k in set(whose.tolist()):
-                    counts[k] += np.bincount(ids[owner == k], minlength=BUCKETS + 1)
-        for k in range(len(languages)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counts[k, :BUCKETS].astype("<i8").tobytes()], pa.binary())], ["k", "counts"])
+                    counts[k] = counts.get(k, 0) + np.bincount(ids[owner == k], minlength=BUCKETS + 1)
+        for k, found in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([found[:BUCKETS].astype("<i8").tobytes()], pa.binary())], ["k", "counts"])
 
     parts = rows.where(place < share).select("text", "lang").repartition(FIT_PARTS).mapInArrow(count, "k int, counts binary")
-    counts = np.zeros((BUCKETS + 1, len(languages)))
+    counts = np.zeros((BUCKETS + 1, len(languages)), np.float32)
     for row in parts.toLocalIterator():
         counts[:BUCKETS, row.k] += np.frombuffer(row.counts, "<i8")
-    table = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS))
-    table -= table.mean(1, keepdims=True)
+    table = np.log((counts + 0.5) / (counts.sum(0, dtype=np.float64) + 0.5 * BUCKETS).astype(np.float32))
+    table -= table.mean(1, keepdims=True)  # the same for all languages: it changes no posterior
     table[BUCKETS] = 0
-    return Model(languages, table.astype(np.float32))
+    every = np.array([sizes[name] for name in languages], float)
+    return Model(languages, table.astype(np.float32), np.log(every / every.sum()))
 
 
-def predicted(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score of every text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+STATE = "doc_id bigint, text string, best double, lang_pred string, top double, mass double"
+_STATE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("best", pa.float64()), ("lang_pred", pa.string()), ("top", pa.float64()), ("mass", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1 << 20):
-            names, score = sent.value.score(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+def predicted(docs: DataFrame, model: Model, columns: int = COLUMNS) -> DataFrame:
+    """doc_id, lang_pred and score of every text."""
+    none = F.lit(None)
+    rows = docs.select("doc_id", "text", none.cast("double").alias("best"), none.cast("string").alias("lang_pred"), none.cast("double").alias("top"), none.cast("double").alias("mass"))
+
+    def step(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = sent.value
+            for batch in slices(batches, limit=1 << 20):
+                total, number, has = part.evidence(batch.column(1).to_pylist())
+                full = total + part.prior
+                tempered = total / np.sqrt(np.maximum(number, 1))[:, None] + part.prior
+                k = full.argmax(1)
+                best, names = full.max(1), [part.languages[x] for x in k.tolist()]
+                # the best language so far, its tempered evidence, and the sum of all tempered evidence relative to it
+                top = tempered[np.arange(len(k)), k]
+                mass = np.exp(np.minimum(tempered - top[:, None], 700)).sum(1)
+                before, said, high, held = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("best", "lang_pred", "top", "mass"))
+                old = np.array([x is not None for x in said], bool)
+                stay = old & (np.where(old, before, 0) >= best)
+                scale = np.exp(np.clip(np.where(old, high, top) - top, -700, 700))
+                mass = np.where(stay, np.where(old, held, 0) + mass / scale, mass + np.where(old, held, 0) * scale)
+                letters = pa.array(has)
+                names = pa.array([x if s else y for s, x, y in zip(stay.tolist(), said, names, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.where(stay, before, best)), pc.if_else(letters, names, "und"), pa.array(np.where(stay, high, top)), pc.if_else(letters, pa.array(mass), np.inf)], schema=_STATE)
+
+        return run
+
+    for part in model.parts(columns):
+        rows = rows.mapInArrow(step(docs.sparkSession.sparkContext.broadcast(part)), STATE)
+    return rows.select("doc_id", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.coalesce(1 / F.col("mass"), F.lit(0.0)).alias("score"))
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    scratch.small_batches(docs.sparkSession)
     model = fit(docs.where(~held_out()))
     return predicted(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

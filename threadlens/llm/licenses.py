@@ -6,6 +6,11 @@ that follows in the raw text is parsed by a shunting yard (AND binds tighter
 than OR, WITH tightest) and evaluated: an expression is permissive if a choice
 among its ORs leaves permissive licences only.
 
+Operands are the identifiers of IDENTIFIERS, each also with "+", and references
+("LicenseRef-..."); an operator that no operand follows belongs to the prose
+after the expression.  WITH joins one identifier and one exception.  What cannot
+be read at all gets the label ``spdx:invalid``.
+
 Null and empty texts have no words and no labels.  Repeated rows give repeated
 results, a null ``doc_id`` stays null, empty tables give empty results, other
 columns are dropped.
@@ -20,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import scratch
 from .wordscan import ALNUM, Words, slices, texts_of
 
 #: fixed values: the phrases of the base contract and their labels
@@ -35,56 +39,105 @@ TAG = "spdx license identifier"
 TAG_RAW = re.compile(r"SPDX-License-Identifier[ \t]*:[ \t]*([^\r\n]*)", re.I)
 
 PERMISSIVE = re.compile(r"(?i)^(mit|apache|bsd|isc|cc0|cc-by-\d|cc-by$|unlicense|zlib|0bsd)")
+#: fixed values: licence identifiers and exceptions in common use, in lower case
+IDENTIFIERS = frozenset(
+    """0bsd afl-2.1 afl-3.0 agpl-1.0 agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.0 apache-1.1 apache-2.0 apsl-2.0 artistic-1.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause
+    bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 bzip2-1.0.6 cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-3.0 cc-by-nc-4.0
+    cc-by-nc-nd-4.0 cc-by-nc-sa-3.0 cc-by-nc-sa-4.0 cc-by-nd-3.0 cc-by-nd-4.0 cc-by-sa-2.0 cc-by-sa-2.5 cc-by-sa-3.0 cc-by-sa-4.0 cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.1 cpl-1.0 curl
+    ecl-2.0 efl-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 ftl gfdl-1.1 gfdl-1.2 gfdl-1.3 gfdl-1.3-only gfdl-1.3-or-later gpl-1.0 gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only
+    gpl-3.0-or-later hpnd icu ijg imagemagick ipl-1.0 isc json lgpl-2.0 lgpl-2.0-only lgpl-2.0-or-later lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later
+    libpng libpng-2.0 libtiff lppl-1.3c mit mit-0 mit-cmu mpl-1.0 mpl-1.1 mpl-2.0 mpl-2.0-no-copyleft-exception ms-pl ms-rl mulanpsl-2.0 ncsa nist-pd ntp odbl-1.0 ofl-1.0 ofl-1.1 openssl
+    osl-2.1 osl-3.0 php-3.0 php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby sgi-b-2.0 sissl sleepycat spl-1.0 tcl unicode-3.0 unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl x11
+    xfree86-1.1 zlib zpl-2.0 zpl-2.1""".split()
+)
+EXCEPTIONS = frozenset(
+    """autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0 ecos-exception-2.0 font-exception-2.0 gcc-exception-2.0
+    gcc-exception-3.1 gnu-javamail-exception libtool-exception linux-syscall-note llvm-exception lzma-exception ocaml-lgpl-linking-exception openssl-exception qt-gpl-exception-1.0
+    qt-lgpl-exception-1.1 swift-exception u-boot-exception-2.0 wxwindows-exception-3.1""".split()
+)
+REFERENCE = re.compile(r"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+|additionref-[a-z0-9.-]+")
 PRECEDENCE = {"OR": 1, "AND": 2, "WITH": 3}
 TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:_-]+")
 
 
-def to_postfix(expression: str) -> list[str]:
-    """Operands and operators in evaluation order; ValueError where it is no expression."""
-    out, held, operand = [], [], True
-    for token in TOKEN.findall(expression):
+def known(token: str) -> bool:
+    name = token.lower()
+    return name in IDENTIFIERS or name.removesuffix("+") in IDENTIFIERS or bool(REFERENCE.fullmatch(name))
+
+
+def expression_tokens(text: str) -> list[str]:
+    """The longest beginning of ``text`` that is an expression, as tokens; ValueError where there is none."""
+    out: list[str] = []
+    best, depth, before = 0, 0, "("
+    for token in TOKEN.findall(text):
         upper = token.upper()
         if token == "(":
-            if not operand:
+            if before not in ("(", "AND", "OR"):
                 break
-            held.append(token)
+            depth += 1
+            kind = "("
         elif token == ")":
-            if "(" not in held:
+            if before not in ("id", "exception", ")") or not depth:
                 break
+            depth -= 1
+            kind = ")"
+        elif upper in PRECEDENCE:
+            if before not in (("id",) if upper == "WITH" else ("id", "exception", ")")):
+                break
+            kind = upper
+        elif before == "WITH":
+            if token.lower() not in EXCEPTIONS and not REFERENCE.fullmatch(token.lower()):
+                break
+            kind = "exception"
+        elif before in ("(", "AND", "OR") and known(token):
+            kind = "id"
+        else:
+            break
+        out.append(upper if kind in PRECEDENCE else token)
+        before = kind
+        if not depth and kind in ("id", "exception", ")"):
+            best = len(out)
+    if not best:
+        raise ValueError(text)
+    return out[:best]
+
+
+def to_postfix(expression: str) -> list[str]:
+    """Operands and operators in evaluation order; ValueError where it is no expression."""
+    out: list[str] = []
+    held: list[str] = []
+    for token in expression_tokens(expression):
+        if token == "(":
+            held.append(token)
+        elif token == ")":
             while held[-1] != "(":
                 out.append(held.pop())
             held.pop()
-        elif upper in PRECEDENCE:
-            if operand:
-                raise ValueError(expression)
-            while held and held[-1] != "(" and PRECEDENCE[held[-1]] >= PRECEDENCE[upper]:
+        elif token in PRECEDENCE:
+            while held and held[-1] != "(" and PRECEDENCE[held[-1]] >= PRECEDENCE[token]:
                 out.append(held.pop())
-            held.append(upper)
-            operand = True
+            held.append(token)
         else:
-            if not operand:
-                break  # the expression ended; what follows is prose
             out.append(token)
-            operand = False
-    if operand or "(" in held:
-        raise ValueError(expression)
     return out + held[::-1]
 
 
 def evaluate(expression: str) -> tuple[list[str], bool]:
     """The identifiers named, sorted, and whether some choice is permissive throughout."""
-    stack: list[tuple[set[str], bool]] = []
+    names: set[str] = set()
+    stack: list[tuple[str | None, bool]] = []  # an operand's name until it is known to stand alone
     for token in to_postfix(expression):
         if token not in PRECEDENCE:
-            stack.append(({token.lower()}, bool(PERMISSIVE.match(token))))
+            stack.append((token.lower(), bool(PERMISSIVE.match(token))))
             continue
         (right, b), (left, a) = stack.pop(), stack.pop()
         if token == "WITH":
-            stack.append(({f"{x} with {y}" for x in left for y in right}, a))
-        else:
-            stack.append((left | right, a and b if token == "AND" else a or b))
-    names, permissive = stack.pop()
-    return sorted(names), permissive
+            stack.append((f"{left} with {right}", a))
+            continue
+        names |= {x for x in (left, right) if x}
+        stack.append((None, a and b if token == "AND" else a or b))
+    last, permissive = stack.pop()
+    return sorted(names | ({last} if last else set())), permissive
 
 
 _automata: list = []
@@ -153,6 +206,7 @@ def licensed(docs: DataFrame) -> DataFrame:
                         try:
                             names, permissive = evaluate(m[1])
                         except ValueError:
+                            labels.add("spdx:invalid")
                             continue
                         labels |= {f"spdx:{x}" for x in names}
                         tags.append(permissive)
@@ -167,5 +221,4 @@ def licensed(docs: DataFrame) -> DataFrame:
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    scratch.small_batches(docs.sparkSession)
     return licensed(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "permissive")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secrets
-
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLDED = f"translate(coalesce(text, ''), '{_UP}', '{_LOW}')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -19,28 +17,48 @@ OP1 = f"""WITH d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '{_ALNUM}') AS
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
   FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
-_MASK = quality_rules.POLICIES[quality_rules.CURRENT]
-_BITS = " + ".join(f"(CASE WHEN {condition} THEN {1 << b} ELSE 0 END)" for b, (_, condition) in enumerate(quality_rules.RULES))
-OP2 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+# The method's rules beside the contract's two, written out here once more.
+_FAILS = ["n_words < 50", "100 * n_repeat_words > 50 * n_words", "4 * n_symbols > n_words", "n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines", "word_chars < 2 * n_words OR word_chars > 15 * n_words", "2 * n_upper > word_chars"]
+_NAMES = ["few_words", "repeated_windows", "symbols", "repeated_lines", "word_length", "upper_case"]
+_POLICIES = {"base": 3, "2024-1": 15, "2024-2": 63}
+_BITS = " + ".join(f"(CASE WHEN {condition} THEN {1 << b} ELSE 0 END)" for b, condition in enumerate(_FAILS))
+_MEASURED = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
   grams AS (SELECT doc_id, i, list_slice(w, i, i + 2) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
   twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
   covered AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
   lined AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_SPACED}')) AS lines FROM d),
   m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper FROM lined LEFT JOIN covered USING (doc_id)),
-  b AS (SELECT *, CAST({_BITS} AS BIGINT) AS bits FROM m)
-  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, bits & {_MASK} = 0 AS kept, bits AS fail_bits, '{quality_rules.CURRENT}' AS policy FROM b"""
+  b AS (SELECT *, CAST({_BITS} AS BIGINT) AS bits FROM m)"""
+OP2 = _MEASURED + " SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, bits = 0 AS kept, bits AS fail_bits, '2024-2' AS policy FROM b"
+_COSTS = " UNION ALL ".join(
+    f"SELECT '{policy}' AS policy, '{name}' AS rule, count(*) FILTER (WHERE bits & {1 << b} <> 0) AS n_failed, count(*) FILTER (WHERE bits & {mask} = {1 << b}) AS n_failed_alone, count(*) FILTER (WHERE bits & {mask & ~(1 << b)} = 0) AS n_kept_without FROM b"
+    for policy, mask in _POLICIES.items() for b, name in enumerate(_NAMES) if mask >> b & 1
+)
+OP2_ABLATION = _MEASURED + " " + _COSTS
+
+
+# kind, pattern, judged group and its least length: the contract's three, then the method's own
+_SECRETS = [
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
+    ("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0),
+    ("forge", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+]
 
 
-def _spans(rank: int, rule: secrets.Rule) -> str:
-    p = rule.pattern.replace("'", "''")
-    return f"""SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, coalesce(list_sum(list_transform(list_slice(gaps, 1, k), lambda x: length(x))), 0) + coalesce(list_sum(list_transform(list_slice(m, 1, k - 1), lambda x: length(x))), 0) AS a, length(m[k]) AS n, length(j[k]) AS judged
-      FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM (SELECT doc_id, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {rule.group}) AS j FROM d)) WHERE length(j[k]) >= {rule.least}"""
+def _spans(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, coalesce(list_sum(list_transform(list_slice(gaps, 1, k), lambda x: length(x))), 0) + coalesce(list_sum(list_transform(list_slice(m, 1, k - 1), lambda x: length(x))), 0) AS a, length(m[k]) AS n, length(j[k]) AS judged
+      FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM (SELECT doc_id, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {group}) AS j FROM d)) WHERE length(j[k]) >= {least}"""
 
 
-OP6 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS ({" UNION ALL ".join(_spans(k, r) for k, r in enumerate(secrets.RULES))}),
+OP6 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS ({" UNION ALL ".join(_spans(k, *r) for k, r in enumerate(_SECRETS))}),
   t AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
-    string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, rank) FILTER (WHERE rank < {secrets.BASE}) AS base, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, rank) AS spans FROM s GROUP BY doc_id)
+    string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, rank) FILTER (WHERE rank < 3) AS base, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, rank) AS spans FROM s GROUP BY doc_id)
   SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN t USING (doc_id)"""
 
 OP8 = f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),

@@ -10,9 +10,10 @@ NEIGHBOURS most similar vote with their cosines.
 
 Scores lie in 0 to 1; null and empty texts are scored by their shape alone, and
 0.5 stands where nothing could be learned.  Repeated rows give repeated
-results; a null ``doc_id`` stays null and is never learned from.  Ties between
-neighbours go to the smaller place in the sample.  Empty tables give empty
-results.
+results; a null ``doc_id`` stays null and is never learned from; of rows that
+share a labelled doc_id the one with the least text hash is learned from.  The
+sample is in order of doc_id, and of neighbours with equal cosines those earlier
+in it count.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
 from .wordscan import NONSPACE, Words, slices, texts_of
 
 TERMS = 1 << 13
@@ -88,6 +88,15 @@ def _dense(n: int, rows: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> np
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k largest values of each row, ascending; of equal values the first ones."""
+    last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+    above, level = cosine > last, cosine == last
+    seats = k - above.sum(1, keepdims=True)
+    taken = above | level & (np.cumsum(level, axis=1) <= seats)
+    return np.nonzero(taken)[1].reshape(-1, k)
+
+
 @dataclass
 class Model:
     idf: np.ndarray
@@ -110,7 +119,7 @@ class Model:
         k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(own), 512):  # blocks of documents against all labelled vectors
             cosine = own[at : at + 512] @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            near = nearest(cosine, k)
             weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6).astype(np.float64) ** 4
             out[at : at + 512] = (weight * self.labels[near]).sum(1) / weight.sum(1)
         return np.clip(out, 0.0, 1.0)
@@ -122,7 +131,7 @@ def held_out() -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = PER_LABEL) -> Model:
     """Learn from labelled documents: ``per_label`` of each of the labels 0 and 1 at most."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
     order = F.xxhash64("doc_id")
     chosen = known.where("label = 0").orderBy(order, "doc_id").limit(per_label).unionByName(known.where("label = 1").orderBy(order, "doc_id").limit(per_label))
     # at most 2 * per_label ids: small enough to be sent to every executor
@@ -137,7 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: i
             parts = [(ids[a:b].tobytes(), weights[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], ["doc_id", "label", "ids", "weights"])
 
-    got = sorted(sample.select("doc_id", "text", "label").mapInArrow(features, "doc_id bigint, label int, ids binary, weights binary").toLocalIterator())
+    # one row for each labelled id, however many documents share it
+    one = sample.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = sorted(one.select("doc_id", "text", "label").mapInArrow(features, "doc_id bigint, label int, ids binary, weights binary").toLocalIterator())
     if not got:
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
     ids = [np.frombuffer(r.ids, "<u2").astype(np.int64) for r in got]
@@ -180,6 +191,5 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op3(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    scratch.small_batches(docs.sparkSession)
     model = fit(docs, labels.where(~held_out()))
     return scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))

@@ -1,16 +1,18 @@
 """Quality rules as a bitmask ledger, in DataFrame functions only.
 
-``ledger`` evaluates every rule once a document; ``stored`` writes its
-measurements and one bit for each failed rule.  A policy is a mask of bits with
-a version: applying one, changing one or asking what each rule costs reads the
-stored integers and never a text again.  ``passing`` needs the texts and no
-ledger: it measures and filters in one pass.
+``stored`` evaluates every rule once a document and writes the measurements and
+one bit for each failed rule, with the document's address and the version of the
+rule set.  A policy is a mask of bits with a version: applying one, changing one
+or asking what each rule costs reads the stored integers and never a text again.
+``carried`` is a ledger whose rows also keep the documents, for a stage that
+passes texts on; policies filter its stored bits in the same way.
 
 Rows: one ledger row for each input row, repeated rows included.  Null and
 empty texts have no words, so they fail ``few_words``.  A null ``doc_id`` stays
 null.  An empty table gives an empty ledger.  Input columns other than
-``doc_id`` and ``text`` are dropped by ``ledger`` and kept by ``passing``.
-Three-word windows are compared by their 64-bit xxHash inside one document.
+``doc_id`` and ``text`` are dropped by ``ledger`` and kept by ``carried`` and
+``passing``, whatever their names.  Three-word windows are compared by their
+64-bit xxHash inside one document.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ RULES: list[tuple[str, str]] = [
     ("upper_case", "2 * n_upper > word_chars"),
 ]
 BASE_MASK = 0b11
+RULE_SET = "rules-1"  # a new version for every change to RULES or to a measurement
 
 #: versioned policies; a document is kept if it fails none of the policy's rules
 POLICIES: dict[str, int] = {"base": BASE_MASK, "2024-1": 0b001111, "2024-2": 0b111111}
@@ -70,8 +73,9 @@ def fail_bits(rules: list[tuple[str, str]] = RULES) -> Column:
 
 
 def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the measurements and ``bits``: bit b is set if rule b fails."""
-    return measured(docs.select("doc_id", "text")).withColumn("bits", fail_bits()).select("doc_id", *MEASURES, "bits")
+    """doc_id, the text's address, the rule set's version, the measurements and ``bits``: bit b is set if rule b fails."""
+    own = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("address"))
+    return measured(own).withColumns({"bits": fail_bits(), "rule_set": F.lit(RULE_SET)}).select("doc_id", "address", "rule_set", *MEASURES, "bits")
 
 
 def stored(docs: DataFrame) -> DataFrame:
@@ -79,15 +83,20 @@ def stored(docs: DataFrame) -> DataFrame:
     return scratch.durable(ledger(docs), "rule-ledger")
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """The ledger as a written table whose rows keep their document as ``own``."""
+    own = docs.select(F.struct(*docs.columns).alias("own"), F.col("text").alias("_text"))
+    return scratch.durable(measured(own, "_text").withColumns({"bits": fail_bits(), "rule_set": F.lit(RULE_SET)}).drop("_text"), "rule-ledger")
+
+
 def verdicts(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
     """A ledger with ``kept`` under a policy and the policy's version."""
     return rows.withColumns({"kept": F.col("bits").bitwiseAND(F.lit(POLICIES[policy])) == 0, "policy": F.lit(policy)})
 
 
 def passing(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The rows of ``docs`` that a policy keeps, with their own columns, in one pass."""
-    own = docs.select(F.struct(*docs.columns).alias("_own"), F.col("text").alias("_text"))
-    return measured(own, "_text").where(fail_bits().bitwiseAND(F.lit(POLICIES[policy])) == 0).select("_own.*")
+    """The rows of ``docs`` that a policy keeps, with their own columns, by the bits of a written ledger."""
+    return verdicts(carried(docs), policy).where("kept").select("own.*")
 
 
 def ablation(rows: DataFrame, policy: str = CURRENT) -> DataFrame:

@@ -18,12 +18,6 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents")
 
 
-def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     path = public_tokenizers.path
     return {
@@ -39,10 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_jaccard_join": lambda s, d: jaccard_join.op10(_docs(s, d)),
         "op2_rule_ablation": lambda s, d: quality_rules.op2_ablation(_docs(s, d)),
         "op10_jaccard_links": lambda s, d: jaccard_join.linked(_docs(s, d)),
-        "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The rest has no SQL: models, tokenizers and an expression parser; tests hold those to plain re-implementations."""
-    return {"op1_decontamination": oracles.OP1, "op2_quality_rules": oracles.OP2, "op6_secret_scan": oracles.OP6, "op8_substring_dedup": oracles.OP8, "op10_jaccard_join": oracles.OP10}
+    return {"op1_decontamination": oracles.OP1, "op2_quality_rules": oracles.OP2, "op2_rule_ablation": oracles.OP2_ABLATION, "op6_secret_scan": oracles.OP6, "op8_substring_dedup": oracles.OP8, "op10_jaccard_join": oracles.OP10}

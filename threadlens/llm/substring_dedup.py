@@ -1,13 +1,18 @@
 """Repeated passages by a relative Lempel-Ziv parse against a distributed index.
 
-Documents are packed into blocks.  A reference index, itself dealt into blocks
-by hash, knows for every indexed stretch of WINDOW words where it first stands
-in the corpus.  Each document is parsed greedily against it: a factor is the
-longest run of words that continues at one earlier place, (start, length,
-source, source start).  Where a factor ends, the stretches across its boundary
-are looked up on their own, so a passage is found whichever way the parse was
-cut.  Factors are at least WINDOW words long by construction; their words are
-the duplicate spans.
+Documents are packed into blocks, and every block is a reference block: a hash
+index dealt over buckets knows for each stretch of WINDOW words that can repeat
+where in all blocks it first stands.  What the index returns to a block is its
+part of the reference: the earlier passages, put together from overlapping
+stretches, with their documents and places.  Each document is then factored
+greedily against those passages: from the left, the longest run of words that
+continues at one earlier place becomes a factor (start, length, source, source
+start), the least source on ties; words where none of WINDOW words starts are
+literals.  At the end of each factor the runs that start inside it and cross its
+end are looked up as well, so a passage is found whichever way the parse was
+cut, and every repeated stretch is covered.  Runs are compared word by word.
+Factors and literals give the text back; the words of factors are the duplicate
+spans.
 
 Only stretches that can repeat are indexed.  Every stretch of WINDOW words picks
 one of its SEED-word seeds (the one with the least hash, leftmost on ties):
@@ -15,19 +20,20 @@ equal stretches pick equal seeds, so a stretch whose seed is unique in the
 corpus is unique too.  A block sends each seed and each stretch once, whatever
 the number of copies it holds, and gets back one bit for each: a passage that a
 third of all documents share costs every index block one row a document block.
+A block sends a bucket nothing it has no seed for, so its rows are bounded by
+its own seeds, at any number of buckets.
 
 Order: documents by doc_id (null first), then by a hash of the text; places by
 start.  Rows with equal doc_id and text are one document and get equal results.
 Null and empty texts have no words.  Empty tables give empty results; input
-columns other than doc_id and text are dropped.  Stretches are compared by a
-96-bit hash.
+columns other than doc_id and text are dropped.  The index compares stretches by
+96 bits, 64 from one half of each word's 128-bit xxHash and 32 from the other.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,38 +41,39 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .wordscan import NONSPACE, Words, slices, texts_of, windows
+from .wordscan import NONSPACE, Words, mix, slices, texts_of, windows
 
 WINDOW, SEED = 20, 12
 NULL_ID = -(1 << 63)
 
-PACKED = "block string, doc_ids array<bigint>, sizes binary, texts binary"
+PACKED = "block bigint, doc_ids array<bigint>, sizes binary, texts binary"
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Blocks of whole documents; each has a name of its own, so write them once before use."""
+    """Blocks of whole documents; a block's number holds for one run of the job, so write them once before use."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, number = 0, TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
             ids = [d for b in held for d in b.column(0).to_pylist()]
             texts = [t for b in held for t in texts_of(b.column(1))]
             held.clear()
             sizes = np.array([len(t) for t in texts], "<i8").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())), pa.array([zstandard.compress(sizes, 1)], pa.binary()), pa.array([zstandard.compress(b"".join(texts), 6)], pa.binary())], ["block", "doc_ids", "sizes", "texts"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([zstandard.compress(sizes, 1)], pa.binary()), pa.array([zstandard.compress(b"".join(texts), 6)], pa.binary())], ["block", "doc_ids", "sizes", "texts"])
 
         for batch in slices(batches, limit=1 << 20):
             held.append(batch)
             size += batch.column(1).nbytes
             if size >= 2 << 20:
                 yield flush()
-                size = 0
+                size, number = 0, number + 1
         if held:
             yield flush()
 
@@ -110,20 +117,20 @@ class Block:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
         wide = WINDOW - SEED + 1
         # leftmost least of each run of ``wide``: place by place, later ones only where less
-        best = self.places.copy()
-        least = grams[best]
+        best, rank = self.places.copy(), mix(grams, 9)  # by another hash, so that the chosen ones spread over all buckets
+        least = rank[best]
         for k in range(1, wide):
-            other = grams[self.places + k]
+            other = rank[self.places + k]
             less = other < least
             least = np.where(less, other, least)
             best = np.where(less, self.places + k, best)
         spots = np.unique(best)
         distinct, counts = np.unique(grams[spots], return_counts=True)
-        return distinct, np.searchsorted(distinct, least), counts > 1
+        return distinct, np.searchsorted(distinct, grams[best]), counts > 1
 
     def stretches(self, live: np.ndarray) -> Stretches:
         places = self.places[live]
-        low, high = windows(self.hashes, WINDOW, 2)[places], windows(self.hashes, WINDOW, 3)[places] >> np.uint64(32)
+        low, high = windows(self.hashes, WINDOW, 2)[places], windows(self.words.hashes(1), WINDOW, 3)[places] >> np.uint64(32)
         doc = self.owner[places]
         start = places - self.words.first[doc]
         order = np.lexsort((start, self.rank[doc], high, low))
@@ -163,7 +170,7 @@ def shared_seeds(blocks: DataFrame, buckets: int) -> DataFrame:
             for block, doc_ids, sizes, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 distinct = Block(doc_ids, sizes, texts).seeds()[0]
                 cuts = _cut(distinct, buckets)
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in cuts], pa.int32()), pa.array([block] * len(cuts), pa.string()), pa.array([distinct[a:b].astype("<u8").tobytes() for _, a, b in cuts], pa.binary())], ["bucket", "block", "seeds"])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in cuts], pa.int32()), pa.array([block] * len(cuts), pa.int64()), pa.array([distinct[a:b].astype("<u8").tobytes() for _, a, b in cuts], pa.binary())], ["bucket", "block", "seeds"])
 
     def meet(table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, "<u8") for x in table["seeds"].to_pylist()]
@@ -176,8 +183,8 @@ def shared_seeds(blocks: DataFrame, buckets: int) -> DataFrame:
         bits = [np.packbits(x).tobytes() for x in np.split(twice, np.cumsum([len(p) for p in parts])[:-1])]
         return pa.table({"block": table["block"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
 
-    rows = blocks.mapInArrow(send, "bucket int, block string, seeds binary")
-    return rows.groupBy("bucket").applyInArrow(meet, "block string, bucket int, bits binary")
+    rows = blocks.mapInArrow(send, "bucket int, block bigint, seeds binary")
+    return rows.groupBy("bucket").applyInArrow(meet, "block bigint, bucket int, bits binary")
 
 
 def _gathered(rows: DataFrame, name: str) -> DataFrame:
@@ -212,7 +219,7 @@ def earlier(blocks: DataFrame, buckets: int) -> DataFrame:
                 for bucket, a, b in _cut(low, buckets):
                     docs, which = np.unique(rank[a:b], return_inverse=True)
                     out.append((bucket, name, low[a:b].astype("<u8").tobytes(), high[a:b].astype("<u4").tobytes(), _blob(block.ranked[docs].astype("<i8")), _blob(which.astype("<i4")), _blob(start[a:b].astype("<i4"))))
-                kinds = [pa.int32(), pa.string(), *[pa.binary()] * 5]
+                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)], ["bucket", "block", "low", "high", "docs", "which", "start"])
 
     def meet(table: pa.Table) -> pa.Table:
@@ -237,10 +244,87 @@ def earlier(blocks: DataFrame, buckets: int) -> DataFrame:
             for name, value in (("bits", np.packbits(mark)), ("docs", docs.astype("<i8")), ("which", which.ravel().astype("<i4")), ("start", start[src].astype("<i4"))):
                 out[name].append(_blob(value))
             at += n
-        return pa.table(out, pa.schema([("block", pa.string()), ("bucket", pa.int32()), *[(c, pa.binary()) for c in ("bits", "docs", "which", "start")]]))
+        return pa.table(out, pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *[(c, pa.binary()) for c in ("bits", "docs", "which", "start")]]))
 
-    rows = blocks.select("block", "doc_ids", "sizes", "texts", "seeds").mapInArrow(send, "bucket int, block string, low binary, high binary, docs binary, which binary, start binary")
-    return rows.groupBy("bucket").applyInArrow(meet, "block string, bucket int, bits binary, docs binary, which binary, start binary")
+    rows = blocks.select("block", "doc_ids", "sizes", "texts", "seeds").mapInArrow(send, "bucket int, block bigint, low binary, high binary, docs binary, which binary, start binary")
+    return rows.groupBy("bucket").applyInArrow(meet, "block bigint, bucket int, bits binary, docs binary, which binary, start binary")
+
+
+PAIRS = 2_000_000  # runs that are compared at once
+
+
+@dataclass
+class Passages:
+    """A block's part of the reference: passages of earlier documents, one unused word between them."""
+
+    words: np.ndarray  # numbers as in the block's own words
+    low: np.ndarray  # hashes of the stretches, ascending
+    place: np.ndarray  # where they start
+    key: np.ndarray  # for each word of ``words``: the document and ...
+    start: np.ndarray  # ... the place there
+
+
+def passages(block: Block, source: np.ndarray, place: np.ndarray) -> Passages:
+    """What overlapping stretches make up; each is a source (doc_id, address, start) and one place in the block with its words."""
+    order = np.lexsort((source[:, 2], source[:, 1], source[:, 0]))
+    source, place = source[order], place[order]
+    step = np.diff(source[:, 2], prepend=0)
+    new = np.concatenate(([True], (source[1:, :2] != source[:-1, :2]).any(1) | (step[1:] > WINDOW)))
+    step[new] = WINDOW + 1  # the stretch before it, and a gap
+    step[0] = 0
+    at = np.cumsum(step)
+    numbers = block.words.numbered[0]
+    size = int(at[-1]) + WINDOW
+    words, key, start = np.full(size, -1), np.zeros((size, 2), np.int64), np.zeros(size, np.int64)
+    low = np.arange(size, dtype=np.uint64)  # what stands in gaps is matched by nothing: every match is compared
+    for k in range(WINDOW):
+        words[at + k], key[at + k], start[at + k] = numbers[place + k], source[:, :2], source[:, 2] + k
+        low[at + k] = block.hashes[place + k]
+    low = windows(low, WINDOW, 2)
+    turn = np.argsort(low, kind="stable")
+    return Passages(words, low[turn], turn, key, start)
+
+
+def longest(block: Block, found: Stretches, live: np.ndarray, known: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the stretches ``live`` (numbers in ``found``): place, the most words that go on at one earlier place, and that place in ``known``; by place."""
+    live = live[np.argsort(found.place[live])]
+    place = found.place[live]
+    first, last = (np.searchsorted(known.low, found.low[live], side) for side in ("left", "right"))
+    total = np.cumsum(last - first)
+    size, where = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    numbers = block.words.numbered[0]
+    own, own_start = block.key[block.owner[place]], found.start[live]
+    ahead = (-1, np.zeros(0, np.int64), np.zeros(0, np.int64))  # a place, what goes on from there in ``known`` and how far
+    # from the right, so that a run's length is known where it goes on in the part before
+    for part in np.split(np.arange(len(place)), np.flatnonzero(np.diff(total // PAIRS)) + 1)[::-1]:
+        n = last[part] - first[part]
+        which = np.repeat(part, n)
+        there = known.place[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[part], n)]
+        key, at = known.key[there], known.start[there]
+        mine = own[which]
+        earlier = (key[:, 0] < mine[:, 0]) | (key[:, 0] == mine[:, 0]) & ((key[:, 1] < mine[:, 1]) | (key[:, 1] == mine[:, 1]) & (at < own_start[which]))
+        for k in range(WINDOW):
+            earlier &= known.words[there + k] == numbers[place[which] + k]
+        which, there = which[earlier], there[earlier]
+        here = place[which]
+        turn = np.lexsort((here, there - here))
+        which, there, here = which[turn], there[turn], here[turn]
+        ends = np.append((here[1:] != here[:-1] + 1) | (there[1:] != there[:-1] + 1), True)
+        stop = np.flatnonzero(ends)
+        more = np.zeros(len(stop), np.int64)
+        if len(ahead[1]):
+            goes = here[stop] + 1 == ahead[0]
+            spot = np.minimum(np.searchsorted(ahead[1], there[stop] + 1), len(ahead[1]) - 1)
+            more = np.where(goes & (ahead[1][spot] == there[stop] + 1), ahead[2][spot], 0)
+        run = np.searchsorted(stop, np.arange(len(here)))
+        length = here[stop][run] - here + 1 + more[run]
+        best = np.lexsort((known.start[there], known.key[there, 1], known.key[there, 0], -length, which))
+        head = best[np.concatenate(([True], which[best][1:] != which[best][:-1]))] if len(best) else best
+        size[which[head]], where[which[head]] = length[head] + WINDOW - 1, there[head]
+        opening = np.flatnonzero(here == place[part[0]])
+        opening = opening[np.argsort(there[opening])]
+        ahead = (int(place[part[0]]), there[opening], length[opening])
+    return place, size, where
 
 
 def parse(block: Block, seeds: list[dict] | None, answers: list[dict] | None, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,17 +342,32 @@ def parse(block: Block, seeds: list[dict] | None, answers: list[dict] | None, bu
             source[at, :2] = _ints(x["docs"], "<i8").reshape(-1, 2)[_ints(x["which"], "<i4")]
             source[at, 2] = _ints(x["start"], "<i4")
     order_here = found.rank << 32 | found.start
-    again = late[found.group] | (order_here > order_here[heads][found.group])
-    place, source = found.place[again], source[found.group[again]]
-    turn = np.argsort(place)
-    place, source = place[turn], source[turn]
-    if not len(place):
-        return place, place, source
-    # a factor goes on while its next stretch continues at the source's next word
-    on = (place[1:] == place[:-1] + 1) & (block.owner[place[1:]] == block.owner[place[:-1]]) & (source[1:, :2] == source[:-1, :2]).all(1) & (source[1:, 2] == source[:-1, 2] + 1)
-    head = np.flatnonzero(np.concatenate(([True], ~on)))
-    size = np.diff(np.append(head, len(place))) + WINDOW - 1
-    return place[head], size, source[head]
+    again = np.flatnonzero(late[found.group] | (order_here > order_here[heads][found.group]))
+    none = np.zeros(0, np.int64)
+    if not len(again):
+        return none, none, np.zeros((0, 3), np.int64)
+    needed = np.unique(found.group[again])
+    known = passages(block, source[needed], found.place[heads[needed]])
+    place, size, where = longest(block, found, again, known)
+    end = place + size
+    factors: list[int] = []
+    edge = -WINDOW
+    while True:
+        a, b = np.searchsorted(place, (edge - WINDOW + 1, edge + 1)).tolist()
+        if b > a and place[b - 1] == edge and size[b - 1]:
+            k = b - 1  # the next factor starts where the last one ended
+        elif b > a and end[a:b].max() > edge:
+            k = a + int(end[a:b].argmax())  # a run that crosses the end of the last factor
+        elif b < len(place):
+            k = b  # after literals
+        else:
+            break
+        factors.append(k)
+        edge = max(int(end[k]), edge + 1)
+    taken = np.array(factors, np.int64)
+    taken = taken[size[taken] > 0]
+    spot = where[taken]
+    return place[taken], size[taken], np.concatenate((known.key[spot], known.start[spot][:, None]), 1)
 
 
 PARSED = "doc_id bigint, n_words bigint, n_removed bigint, kept string, factors array<struct<start: bigint, size: bigint, source: bigint, source_start: bigint>>"
@@ -280,8 +379,6 @@ def deduplicated(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     ``digest`` gives the SHA-256 of what is left in place of it, and no factors.
     """
-    spark = docs.sparkSession
-    scratch.small_batches(spark)
     blocks = scratch.durable(packed(docs), "passage-blocks")
     n = blocks.count()
     buckets = max(1, math.ceil(4 * math.sqrt(n)), n // 64)  # index blocks of a few tens of MB at any size
@@ -322,7 +419,7 @@ def deduplicated(docs: DataFrame, digest: bool = False) -> DataFrame:
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([*head, pa.array([x.decode("utf-8", "replace") for x in kept]), pa.array(factors, kind)], ["doc_id", "n_words", "n_removed", "kept", "factors"])
 
-    return rows.mapInArrow(finish, DIGEST if digest else PARSED)
+    return scratch.durable(rows.mapInArrow(finish, DIGEST if digest else PARSED), "passages-removed")
 
 
 def op8(docs: DataFrame) -> DataFrame:

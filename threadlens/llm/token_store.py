@@ -8,7 +8,10 @@ Rows go through Spark's own writers: a retried task leaves no half file, and
 any file system of the cluster will do.
 
 Null texts encode as empty; every document ends with ``end_id``.  Documents are
-stored in ascending doc_id, nulls first, equal ids by their encoded bytes.
+stored in ascending doc_id, nulls first, those with equal ids by a hash of their
+token ids; rows that are equal in both are told apart by a number, so neither one
+id nor null can fill a shard by itself.  Shards grow in number with the input.
+Pre-tokens are told apart by their bytes.  Other columns are dropped.
 Empty tables give an empty store.  A document longer than a block makes one
 larger block.
 """
@@ -24,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
-from .wordscan import _BYTES, _spans, mix, slices
+from .wordscan import distinct, slices
 
 BLOCK_IDS = 1 << 16
 CACHED_WORDS = 800_000
-BLOCK = "shard int, first_id bigint, first_doc bigint, last_doc bigint, doc_ids array<bigint>, sizes array<bigint>, width int, payload binary"
+SHARD_BYTES = 128 << 20
+BLOCK = "shard int, first_id bigint, least_doc bigint, greatest_doc bigint, has_null boolean, doc_ids array<bigint>, sizes array<bigint>, width int, payload binary"
 
 
 def width_of(vocabulary: int) -> int:
@@ -124,13 +128,7 @@ class WordCoder:
     def _many(self, texts: list[bytes]) -> list[bytes]:
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         starts, ends = split(data)
-        hashes = mix(_spans(_BYTES[data], starts, ends) + (ends - starts).astype(np.uint64))
-        coded_hashes = pa.array(hashes).dictionary_encode()
-        which = coded_hashes.indices.to_numpy()
-        sample = np.zeros(len(coded_hashes.dictionary), np.int64)
-        sample[which[::-1]] = np.arange(len(which))[::-1]  # where each distinct one comes first
-        raw = data.tobytes()
-        tokens = [raw[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)]
+        which, tokens = distinct(data, starts, ends)
         if len(self.known) > CACHED_WORDS:
             self.known = {}
         known = self.known
@@ -192,10 +190,10 @@ def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 def write(docs: DataFrame, store: str, path: str, end_id: int = 2) -> None:
     """Encode ``docs`` and write them to ``store`` in ascending doc_id."""
     spark = docs.sparkSession
-    scratch.small_batches(spark)
     bits = width_of(coder(path).vocabulary)
-    rows = scratch.durable(encoded(docs, path, end_id), "token-ids")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = scratch.durable(encoded(docs, path, end_id).withColumns({"content": F.xxhash64("ids"), "row": F.monotonically_increasing_id()}), "token-ids")
+    total = rows.agg(F.sum("n")).first()[0] or 0  # one number
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * bits // (8 * SHARD_BYTES)))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, at = TaskContext.get().partitionId(), 0
@@ -209,12 +207,13 @@ def write(docs: DataFrame, store: str, path: str, end_id: int = 2) -> None:
             else:
                 payload = pack(np.concatenate([unpack(x, bits, 0, n) for _, n, x in held]), bits)
             ids = [d for d, _, _ in held]
-            row = {"shard": [shard], "first_id": [at], "first_doc": [ids[0]], "last_doc": [ids[-1]], "doc_ids": [ids], "sizes": [sizes], "width": [bits], "payload": [payload]}
+            known = [d for d in ids if d is not None]
+            row = {"shard": [shard], "first_id": [at], "least_doc": [min(known, default=None)], "greatest_doc": [max(known, default=None)], "has_null": [len(known) < len(ids)], "doc_ids": [ids], "sizes": [sizes], "width": [bits], "payload": [payload]}
             at += sum(sizes)
             held.clear()
             return pa.RecordBatch.from_pydict(row, schema)
 
-        schema = pa.schema([("shard", pa.int32()), ("first_id", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("width", pa.int32()), ("payload", pa.binary())])
+        schema = pa.schema([("shard", pa.int32()), ("first_id", pa.int64()), ("least_doc", pa.int64()), ("greatest_doc", pa.int64()), ("has_null", pa.bool_()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("width", pa.int32()), ("payload", pa.binary())])
         waiting = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -226,8 +225,10 @@ def write(docs: DataFrame, store: str, path: str, end_id: int = 2) -> None:
         if held:
             yield flush()
 
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(blocks, BLOCK).write.mode("overwrite").option("compression", "zstd").parquet(store)
+    order = ["doc_id", "content", "row"]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
+    with scratch.small_batches(spark):
+        ordered.mapInArrow(blocks, BLOCK).write.mode("overwrite").option("compression", "zstd").parquet(store)
 
 
 def shard_starts(spark: SparkSession, store: str) -> dict[int, int]:
@@ -247,21 +248,21 @@ def read(spark: SparkSession, store: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                shard, first, doc_ids, sizes, bits, payload = (batch.column(i)[k].as_py() for i in (0, 1, 4, 5, 6, 7))
+                shard, first, doc_ids, sizes, bits, payload = (batch.column(i)[k].as_py() for i in (0, 1, 5, 6, 7, 8))
                 ends = np.cumsum(sizes)
                 ids = unpack(payload, bits, 0, int(ends[-1])).astype("<u4").tobytes()
                 cut = [ids[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), sizes, strict=True)]
                 place = starts[shard] + first + ends - np.array(sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(place, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cut, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    scratch.small_batches(spark)
     return spark.read.parquet(store).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
-def fetch(spark: SparkSession, store: str, doc_id: int) -> list[list[int]]:
-    """The ids of one document (of each row with that id) by random access."""
+def fetch(spark: SparkSession, store: str, doc_id: int | None) -> list[list[int]]:
+    """The ids of one document (of each row with that id, null included) by random access."""
+    held = F.col("has_null") if doc_id is None else F.lit(doc_id).between(F.col("least_doc"), F.col("greatest_doc"))
     out = []
-    for row in spark.read.parquet(store).where(F.lit(doc_id).between(F.col("first_doc"), F.col("last_doc"))).toLocalIterator():
+    for row in spark.read.parquet(store).where(held).toLocalIterator():
         at = 0
         for d, n in zip(row.doc_ids, row.sizes, strict=True):
             if d == doc_id:
@@ -271,11 +272,7 @@ def fetch(spark: SparkSession, store: str, doc_id: int) -> list[list[int]]:
 
 
 def op4(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
-    import uuid
-
     spark = docs.sparkSession
-    store = f"{scratch.shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
+    store = scratch.new_path(spark, "token-store")
     write(docs, store, path, end_id)
-    scratch._written.append(store)
-
     return read(spark, store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

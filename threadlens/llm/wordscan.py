@@ -1,4 +1,4 @@
-"""Words of many texts at once: byte tables, offsets and hashes in numpy.
+"""Words of many texts at once: byte tables, offsets, numbers and hashes in numpy.
 
 UTF-8 keeps every byte of a character outside ASCII at 0x80 or above, so word
 classes that name ASCII characters only can be read off the bytes.
@@ -7,10 +7,12 @@ classes that name ASCII characters only can be read off the bytes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 20
 
@@ -23,10 +25,6 @@ NONSPACE[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective scrambling of 64-bit values (splitmix64's finaliser)."""
@@ -36,27 +34,34 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: dict[int, np.ndarray] = {}
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each stretch data[start:end] among the different ones, and those; compared byte by byte.
+
+    Stretches ascend and do not overlap.
+    """
+    n = len(starts)
+    if not n:
+        return np.zeros(0, np.int64), []
+    edges = np.empty(2 * n, np.int64)
+    edges[0::2], edges[1::2] = starts, ends
+    cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 2 * n - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
+    coded = cells.take(pa.array(np.arange(0, 2 * n - 1, 2))).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), bytes_of(coded.dictionary)
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n, modulo 2**64; grown as needed and kept up to a bound."""
-    got = _powers.get(int(base))
-    if got is None or len(got) <= n:
-        got = np.full(((n >> 16) + 1) << 16, base, np.uint64)
-        got[0] = 1
-        np.cumprod(got, out=got)
-        if n <= 3 << 20:
-            _powers[int(base)] = got
-    return got[: n + 1]
+def bytes_of(array: pa.LargeBinaryArray) -> list[bytes]:
+    """The values of an array without nulls."""
+    _, offsets, data = array.buffers()
+    if not len(array):
+        return []
+    cut = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1]
+    whole, cut = data[int(cut[0]) : int(cut[-1])].to_pybytes() if data else b"", (cut - cut[0]).tolist()
+    return [whole[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A polynomial hash of values[start:end] for each pair, before mixing."""
-    n = len(values)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _power(_BASE, n)[:n], out=total[1:])
-    return (total[ends] - total[starts]) * _power(_INVERSE, n)[starts]
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of pairs of 64-bit hashes; their order counts."""
+    return mix(mix(a, 3) + b, 4)
 
 
 class Words:
@@ -78,21 +83,60 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self, seed: int = 0) -> np.ndarray:
-        raw = _spans(_BYTES[self.data], self.starts, self.ends)
-        return mix(raw + (self.ends - self.starts).astype(np.uint64), seed)
+    @cached_property
+    def numbered(self) -> tuple[np.ndarray, list[bytes]]:
+        """Each word's number among the different words, and those."""
+        return distinct(self.data, self.starts, self.ends)
+
+    @cached_property
+    def digests(self) -> np.ndarray:
+        """Two unrelated 64-bit hashes of each different word: the halves of its 128-bit xxHash."""
+        return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.numbered[1])), "<u8").reshape(-1, 2).astype(np.uint64)
+
+    def hashes(self, half: int = 0) -> np.ndarray:
+        return self.digests[:, half][self.numbered[0]]
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
 def windows(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """A hash of each k consecutive values; shorter input gives none."""
+    """A hash of each k consecutive values; shorter input gives none.
+
+    Stretches of 1, 2, 4, ... values are hashed from their halves, and k is put together from those.
+    """
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return mix(_spans(hashes, at, at + k), seed + 17)
+    out, at, size, power = None, 0, 1, hashes
+    while True:
+        if k & size:
+            out = power[at : at + n] if out is None else joined(out, power[at : at + n])
+            at += size
+        if at == k:
+            return mix(out, seed + 17)
+        power = joined(power[:-size], power[size:])
+        size *= 2
+
+
+def window_numbers(words: Words, k: int) -> np.ndarray:
+    """Equal numbers for equal windows of k words, compared word by word; for all windows of the run of texts."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1]
+
+    out, at, size, power = None, 0, 1, words.numbered[0]
+    while True:
+        if k & size:
+            out = power[at : at + n] if out is None else pairs(out, power[at : at + n])
+            at += size
+        if at == k:
+            return out
+        power = pairs(power[:-size], power[size:])
+        size *= 2
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
