@@ -100,7 +100,13 @@ def test_pseudonyms_round_trip(spark, tmp_path):
     assert len(salt) == 32 and "text" not in hidden.columns and any(r.reply_to_comment_id in got for r in got.values())
     path = str(tmp_path / "m")
     sinks.write_mapping(mapping, path)
-    back = privacy.deanonymized(hidden, files.read_mapping(spark, path))
+    target = files.joined_parts(spark, path, str(tmp_path / "mapping.json"))
+    text = open(target, encoding="utf-8").read()
+    want = defaultdict(dict)
+    for r in mapping.collect():
+        want[r["column"]][r.anon] = r.original
+    assert text == json.dumps(want, ensure_ascii=False, indent=4, sort_keys=True) + "\n"
+    back = privacy.deanonymized(hidden, files.read_mapping(spark, target))
     assert sorted(map(tuple, back.select("comment_id", "author_id", "reply_to_comment_id", "video_id").collect())) == sorted(((a, b, c, d) for a, b, c, d, _ in rows), key=str)
 
 
@@ -159,7 +165,7 @@ def test_detector_equals_a_loop(spark):
             continue
         rows.append((f"2024-01-01T{10 + minute // 100:02d}:{minute % 60:02d}:{rng.choice([0, 0, 30]):02d}Z", " ".join(rng.choice(["uno", "dos", "tres", "cuatro", "cinco"]) for _ in range(rng.randrange(4))) + (" fuego fuego" if minute > 800 else ""), i))
     df = timebuckets.localised(spark.createDataFrame(rows, "published_at string, cleaned_comment string, row_pos long"), zone="UTC").cache()
-    w = bursts.Sliding("2024-01-01 10:07:00", "2024-01-01 18:58:00", window_minutes=30, top_n=4)
+    w = bursts.Sliding("2024-01-01 10:07:00", "2024-01-01 18:58:00", window="30min", top_n=4, zone="UTC")
     d = bursts.Detector(baseline=12, k_sigma=1.0, min_history=3, sigma_floor=0.02, top_k=2)
     counts, bins, sizes = bursts.windowed(df, w)
     import datetime as dt
@@ -173,7 +179,7 @@ def test_detector_equals_a_loop(spark):
     assert {r.tick: r.n_msgs for r in sizes.collect()} == want
     top = bursts.top_by_tick(counts, w.top_n)
     vector = defaultdict(dict)
-    for r in bursts.vectors(bursts.tick_tfidf(counts, bins, top), bins, "sum", 10).collect():
+    for r in bursts.vectors(bursts.tick_tfidf(counts, bins, top), bins, "sum", w.grain_us).collect():
         vector[r.tick][r.term] = r.value
     freq = {(r.tick, r.term): r.freq for r in top.collect()}
     snap = {r.tick: (round(r.score, 6), r.important_count, r.is_event) for r in bursts.detect(df, w, d).collect()}
@@ -199,8 +205,11 @@ def test_paging_and_batches(spark):
     assert {x["id"] for x in items} == {"a", "b", "c"} and max(x["n"] for x in items) <= 2
     said = api.transcripts(found, lambda e, p: {"items": [{"text": "hola  "}, {"text": p["videoId"]}]} if p["videoId"] != "b" else 1 / 0)
     assert {r[0] for r in said.select(X.transcript_text(F.coalesce("snippets", F.array().cast("array<struct<text:string>>")))).collect()} == {"hola . a. ", "", "hola . c. "}
-    threads = api.comment_threads(found, lambda e, p: {"items": [{"id": p["videoId"] + str(i)} for i in range(3)]}, 2)
-    assert threads.count() == 6
+    said = lambda n: {"id": n, "snippet": {"textDisplay": n}}
+    page = lambda e, p: {"items": [{"snippet": {"topLevelComment": said(p["videoId"] + str(i))}, "replies": {"comments": [said(p["videoId"] + str(i) + "r")] * 2}} for i in range(3)]}
+    threads = api.comment_threads(found, page, 4)
+    assert threads.count() == 6 and collect.flat_threads(threads, 4).groupBy("video_id").count().where("count = 4").count() == 3
+    assert collect.flat_threads(api.comment_threads(found, page)).count() == 27
     assert list(api.chunks([1, 2, 3], 2)) == [[1, 2], [3]]
 
 
@@ -237,7 +246,50 @@ def test_model_calls(spark):
 
 
 def test_threads_keep_parent_and_replies(spark):
-    one = ("c1", ("hola", "ana", 1))
-    df = spark.createDataFrame([("k", one, [("c2", ("sí", "eva", 2))]), ("m", one, None)], "conv_id string, top struct<id:string,snippet:struct<textDisplay:string,authorDisplayName:string,likeCount:int>>, replies array<struct<id:string,snippet:struct<textDisplay:string,authorDisplayName:string,likeCount:int>>>")
-    got = {(r.conv_id, r.comment_id, r.is_reply, r.reply_to_comment_id) for r in collect.flat_threads(df).collect()}
-    assert got == {("k", "c1", False, None), ("k", "c2", True, "c1"), ("m", "c1", False, None)}
+    said = lambda name, who, n: {"id": name, "snippet": {"textDisplay": "hola", "authorDisplayName": who, "publishedAt": "2024-01-01T00:00:00Z", "likeCount": n, "authorChannelId": {"value": "UC" + who}}}
+    items = [{"snippet": {"topLevelComment": said("c1", "ana", 1)}, "replies": {"comments": [said("c2", "eva", 2)]}}, {"snippet": {"topLevelComment": said("c3", "ana", 0)}}, {"snippet": {}}]
+    df = spark.createDataFrame([("v", k, json.dumps(x)) for k, x in enumerate(items)], "video_id string, page_pos long, item string")
+    rows = collect.flat_threads(df).orderBy("comment_id").collect()
+    assert rows[0].asDict().keys() == {f.name for f in schemas.COMMENTS}
+    assert [(r.comment_id, r.author_id, r.likes, r.is_reply, r.reply_to_comment_id) for r in rows] == [("c1", "UCana", 1, False, None), ("c2", "UCeva", 2, True, "c1"), ("c3", "UCana", 0, False, None)]
+
+
+def test_removed_repeats(spark):
+    df = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string")
+    kept, counts = collect.without_repeats(df)
+    assert kept.count() == 2 and tuple(counts.first()) == (3, 2, 1)
+    assert tuple(collect.without_repeats(df.where("false"))[1].first()) == (0, 0, 0)
+
+
+def test_valences():
+    lexicon = {"good": 2.0, "bad": -2.0}
+    score = lambda text: models.compound(text, lexicon)
+    at = lambda total: pytest.approx(total / (total * total + 15) ** 0.5)
+    assert score("") == 0 and score("good") == at(2.0) and score("Good.") == at(2.0)
+    assert score("very good") == at(2.293) and score("barely good") == at(1.707) and score("very a good") == at(2 + 0.293 * 0.95)
+    assert score("not good") == at(-1.48) and score("not a very good") == at((2 + 0.293) * -0.74)
+    assert score("GOOD day") == at(2.733) and score("GOOD") == at(2.0)
+    assert score("good but bad") == at(1.0 - 3.0) and score("bad pero good") == at(-1.0 + 3.0)
+    assert score("good!!") == at(2 + 2 * 0.292) and score("bad!!!!!!") == at(-2 - 4 * 0.292) and score("good??") == at(2.36) and score("good????") == at(2.96)
+
+
+def test_summaries_take_the_longest_vectors(spark):
+    text = "A b. C d e f g. H. I i i i. J k l. M n o p. Q r s."
+    assert models.lsa_sentences(text) == "A b. C d e f g. J k l. M n o p. Q r s."
+    long = " ".join(f"palabra{k} otra{k % 7}." for k in range(20000))
+    assert len(models.lsa_sentences(long).split(".")) == 6  # no matrix: a text of 20,000 sentences takes no time
+    videos = spark.createDataFrame([("a", None), ("b", "kept"), ("c", None), ("d", None)], "video_id string, summary string")
+    told = spark.createDataFrame([("a", [("Uno",), ("dos",)]), ("d", [])], "video_id string, snippets array<struct<text: string>>")
+    assert dict(models.summaries(videos, told).collect()) == {"a": "Uno. dos.", "b": "kept", "c": models.NO_SUMMARY, "d": models.EMPTY_TEXT}
+
+
+def test_classification_resumes(spark):
+    comments = spark.createDataFrame([("c1", "v1", None, "uno", None, 1), ("c2", "v1", "c1", "dos", "4", 2), ("c3", "v2", "zz", "tres", "error", 3), ("c4", "v2", "c2", None, None, 4)], "comment_id string, video_id string, reply_to_comment_id string, text string, classification string, row_pos long")
+    videos = spark.createDataFrame([("v1", "5", "1", 1), ("v1", "1", "1", 2)], "video_id string, classification string, polarity string, row_pos long")
+    seen = {r.comment_id: r.prompt for r in models.comment_prompts(comments, videos, "ctx", "tema").collect()}
+    assert "completamente de acuerdo frente" in seen["c1"] and "negativo" in seen["c1"] and "responde" not in seen["c1"]
+    assert "responde a este otro: uno\n" in seen["c2"] and "responde" not in seen["c3"] and "desconocida" in seen["c3"] and "otro: dos" in seen["c4"]
+    client = lambda prompt, message: ("2,3", 5) if message else ("?", 1)
+    got = lambda retry: {r.comment_id: (r.classification, r.polarity) for r in models.classified_comments(comments, videos, client, "ctx", "tema", retry, sleep=lambda s: None).collect()}
+    assert got(None) == {"c1": ("2", "3"), "c2": ("4", None), "c3": ("error", None), "c4": ("error", "error")}
+    assert got("error")["c3"] == ("2", "3")

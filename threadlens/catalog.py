@@ -6,163 +6,219 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import schemas, shared
 from .functions import labels, text as X
 from .operators import bursts, cleaning, collect, graph, models, privacy, termstats, timebuckets
 from .plans import fixtures as fx
+from .sources import api, files, sinks
 from .streaming import live
 
 SALT = "0123456789abcdef"
-STOPS = ["the", "and", "that", "for"]
+STOPS = [*termstats.spanish_stop_words(), "the", "and", "that", "for"]
 DAYS = ("2024-01-07", "2024-01-15")
 DAY = ("2024-01-11", "2024-01-12")
-WINDOWS = bursts.Sliding("2024-01-10 00:00:00", "2024-01-12 23:59:00", top_n=40)
-DETECTOR = bursts.Detector(baseline=288, k_sigma=1.0, min_history=5, top_k=10, sigma_floor=0.01, min_count_window=2, require_min_terms=2)
-#: The reference's own run: 800 terms a window, 300 important ones a tick, over all events whatever their span.
-FULL_TOP_N = 800
-FULL_DETECTOR = bursts.Detector(baseline=288, k_sigma=3.5, min_history=24, top_k=300, sigma_floor=0.08, min_count_window=2, require_min_terms=2)
+#: 800 terms a window and 300 important ones a tick, as the reference's own run has it; the range is an argument of the replay
+WINDOWS = bursts.Sliding("2024-01-10 00:00:00", "2024-01-12 23:59:00", top_n=800)
+DETECTOR = bursts.Detector(baseline=288, k_sigma=1.0, min_history=5, top_k=300, sigma_floor=0.01, min_count_window=2, require_min_terms=2)
+#: windows that neither the step nor a day divides
+ODD = bursts.Sliding("2024-01-10 00:07:00", "2024-01-11 00:00:00", step="25min", window="1h10min", grain="50min", top_n=20)
 SUBJECT, CONTEXT = "¿Es buena la reforma?", "Comentarios de videos"
 
 
-def _cleaned(s: SparkSession, d: str, read=fx.comments) -> DataFrame:
-    return cleaning.clean_comments(read(s, d))
+def _cleaned(s: SparkSession, d: str) -> DataFrame:
+    return cleaning.clean_comments(fx.comments(s, d))
 
 
-def _local(s: SparkSession, d: str, read=fx.comments) -> DataFrame:
-    return timebuckets.localised(_cleaned(s, d, read))
+def _local(s: SparkSession, d: str) -> DataFrame:
+    return timebuckets.localised(_cleaned(s, d))
 
 
-def _channels(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("id")
-    return s.range(6).select(F.concat(F.lit("ch"), k).alias("channel_id"), (k * 1000 + 7).alias("channel_subscribers"), F.when(k % 2 == 0, "CO").alias("channel_country"))
-
-
-def _span(s: SparkSession, d: str) -> bursts.Sliding:
-    """Windows that every event lies in: from the day of the first one, in local time, to the midnight after the last one."""
-    local = timebuckets.localised(fx.table(s, d, "events").select(F.col("ts").alias("published_at")))
-    first, last = local.agg(F.date_trunc("DAY", F.min("local_ts")).cast("timestamp_ntz").cast("string"), (F.date_trunc("DAY", F.max("local_ts")).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")).cast("string")).first()  # two dates
-    return bursts.Sliding(first or WINDOWS.start, last or WINDOWS.end, top_n=FULL_TOP_N)
+def _cleaned_once(s: SparkSession, d: str) -> DataFrame:
+    """Cleaned comments in local time as a written table, for queries that read them more than once."""
+    return shared.durable(_local(s, d).select("local_ts", "row_pos", "cleaned_comment"), "cleaned-comments")
 
 
 def _range(kind: str) -> dict:
     return {"daily": dict(zip(("start", "end"), DAYS)), "hourly": dict(zip(("start", "end"), DAY))}.get(kind, {})
 
 
-def _series(kind: str, which: int, read=fx.comments):
+def _series(kind: str, which: int):
     def run(s: SparkSession, d: str) -> DataFrame:
-        out = termstats.series(_local(s, d, read), kind, 5, STOPS, **_range(kind))[which]
+        rows = _local(s, d)
+        last = {"daily": "2024-01-14", "hourly": DAY[0]}
+        made = {"daily": lambda: termstats.top_terms_by_days(rows, DAYS[0], last["daily"], 5, STOPS), "hourly": lambda: termstats.top_terms_24h(rows, DAY[0], 5, STOPS)}
+        out = made.get(kind, lambda: termstats.series(rows, kind, 5, STOPS))()[which]
         return out if which == 0 else out.withColumn("tfidf", F.round("tfidf", 6))
 
     return run
 
 
-def _volume(kind: str, read=fx.comments, ranged: bool = True):
-    def run(s: SparkSession, d: str) -> DataFrame:
-        rows = _local(s, d, read)
-        span = _range(kind) if ranged else {}
-        return timebuckets.volume(timebuckets.between(rows, **span) if span else rows, kind, **span)
+def _volume(kind: str):
+    return lambda s, d: timebuckets.volume(_cleaned_once(s, d), kind)
 
-    return run
+
+def _shown(steps: bursts.Steps, step: str) -> DataFrame:
+    if step == "top":
+        return steps.top.select("tick", "term", "freq", "rank")
+    if step == "tfidf":
+        return steps.tfidf.select("tick", "bin", "term", F.round("tfidf", 6).alias("tfidf"))
+    if step == "mean":
+        return bursts.vectors(steps.tfidf, steps.bins, "mean", steps.w.grain_us).select("tick", "term", F.round("value", 6).alias("value"))
+    if step == "delta":
+        return steps.changed().change.select("tick", "seq", "term", *[F.round(c, 6).alias(c) for c in ("now", "before", "d")])
+    if step == "terms":
+        return steps.judged().found.select("tick", "term", "freq", "history", *[F.round(c, 6).alias(c) for c in ("d", "mu", "sigma", "z")])
+    snap = steps.snapshots()
+    return _snaps(snap) if step == "snapshots" else bursts.events(snap).withColumn("score", F.round("score", 6) + 0.0)
+
+
+def _snaps(snap: DataFrame) -> DataFrame:
+    return snap.select("tick", "n_msgs", "tfidf_terms", (F.round("score", 6) + 0.0).alias("score"), "important_count", "is_event")
 
 
-def _sliding(step: str, read=fx.comments, span=None, detector: bursts.Detector = DETECTOR):
+def _sliding(step: str, windows=lambda s, d: WINDOWS):
     def run(s: SparkSession, d: str) -> DataFrame:
-        w = span(s, d) if span else WINDOWS
-        counts, bins, sizes = bursts.windowed(_local(s, d, read), w, STOPS)
-        if step == "counts":
-            return counts
-        top = bursts.top_by_tick(counts, w.top_n)
-        if step == "top":
-            return top.select("tick", "term", "freq", "rank")
-        tfidf = bursts.tick_tfidf(counts, bins, top)
-        if step == "tfidf":
-            return tfidf.select("tick", "bin", "term", F.round("tfidf", 6).alias("tfidf"))
-        vector = bursts.vectors(tfidf, bins, detector.agg, w.grain_minutes)
-        if step == "mean":
-            return bursts.vectors(tfidf, bins, "mean", w.grain_minutes).select("tick", "term", F.round("value", 6).alias("value"))
-        change = bursts.changes(vector, sizes)
-        if step == "delta":
-            return change.select("tick", "seq", "term", *[F.round(c, 6).alias(c) for c in ("now", "before", "d")])
-        judgement = bursts.judged(change, top, detector)
-        found = bursts.burst_terms(judgement, detector)
-        if step == "terms":
-            return found.select("tick", "term", "freq", "history", *[F.round(c, 6).alias(c) for c in ("d", "mu", "sigma", "z")])
-        snap = bursts.snapshots(sizes, judgement, found, detector)
-        if step == "snapshots":
-            return snap.select("tick", "n_msgs", F.round("score", 6).alias("score"), "important_count", "is_event")
-        return bursts.events(snap).withColumn("score", F.round("score", 6))
+        w = windows(s, d)
+        counted = bursts.windowed(_local(s, d), w, STOPS)
+        return counted[0] if step == "counts" else _shown(bursts.Steps(*counted, w, DETECTOR), step)
 
     return run
 
 
+def _stream_events(s: SparkSession, d: str) -> DataFrame:
+    """The second sink of a live detector: events only."""
+    path = shared.new_path(s, "stream-events")
+    live._once(_local(s, d), WINDOWS, lambda rows: live.grain_counts(rows, WINDOWS, STOPS), live.Detection(path, WINDOWS, DETECTOR))
+    return s.read.schema("tick timestamp_ntz, score double, important_terms string, important_count bigint").option("recursiveFileLookup", True).parquet(f"{path}/events").withColumn("score", F.round("score", 6) + 0.0)
+
+
+def _hooked(s: SparkSession, d: str) -> DataFrame:
+    return bursts.hooked(bursts.views(*bursts.windowed(_local(s, d), WINDOWS, STOPS), WINDOWS), fx.Busy())
+
+
 def _graph(build, which: int):
     return lambda s, d: build(fx.comments(s, d))[which]
 
 
-def _prompts(s: SparkSession, d: str, read=fx.comments) -> DataFrame:
-    rows = read(s, d)
-    stance = F.pmod(F.col("row_pos"), F.lit(6)).cast("string")
-    found = models.with_parent_text(rows).withColumns({"stance": labels.likert_tag(stance), "mood": labels.polarity_tag(stance)})
-    return found.select("comment_id", labels.comment_prompt(CONTEXT, SUBJECT, F.col("stance"), F.col("mood"), F.col("parent_text")).alias("prompt"))
+def _coded_videos(s: SparkSession, d: str) -> DataFrame:
+    """Videos with codes, each twice: of a repeated video the first row counts."""
+    k = F.substring("video_id", 2, 9).cast("int")
+    one = fx.comments(s, d).select("video_id").distinct().withColumns({"k": k, "row_pos": k})
+    first = one.where("k % 10 <> 9").select("video_id", (F.col("k") % 6).cast("string").alias("classification"), (F.col("k") % 4).cast("string").alias("polarity"), "row_pos")
+    return first.unionByName(first.withColumns({"classification": F.lit("1"), "polarity": F.lit("1"), "row_pos": F.col("row_pos") + 1000}))
 
 
-def _answers(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("event_id") % 5
-    response = F.when(k == 0, "3,1").when(k == 1, "3").when(k == 2, "3,1,2").when(k == 3, F.lit(None)).otherwise(F.concat(F.col("user_id") % 5 + 1, F.lit(","), F.col("user_id") % 3 + 1))
-    message = F.concat(F.lit("Rate limit. Requested "), "event_id", F.lit(". Retry"))
-    rows = fx.table(s, d, "events").withColumn("a", labels.answer(response))
-    return rows.select("event_id", "a.*", labels.likert_tag(F.col("a.classification")).alias("likert"), labels.polarity_tag(F.col("a.polarity")).alias("mood"), labels.from_polarity(F.col("a.polarity")).alias("sentiment_gpt"), X.requested_tokens(message).alias("requested"))
+def _prompts(s: SparkSession, d: str) -> DataFrame:
+    return models.comment_prompts(fx.comments(s, d), _coded_videos(s, d), CONTEXT, SUBJECT).select("comment_id", "prompt")
 
 
-def _text_queries(read) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The queries whose results depend on the words of the comments that ``read`` gives."""
-    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-        "comments": read,
-        "clean_comments": lambda s, d: _cleaned(s, d, read).select("comment_id", "cleaned_comment"),
-        "removed_counters": lambda s, d: cleaning.removed_counters(read(s, d)),
-        "user_activity": lambda s, d: cleaning.user_activity(_cleaned(s, d, read)),
-        "user_activity_joined": lambda s, d: cleaning.user_activity_joined(_cleaned(s, d, read)),
-        "bucket_documents": lambda s, d: timebuckets.documents(_local(s, d, read), "daily").select("bucket", F.sha2("document", 256).alias("document_sha256")),
-        "prompts_comment": lambda s, d: _prompts(s, d, read),
-        "stub_scores": lambda s, d: models.scored(read(s, d).select("comment_id", "text"), "text", models.StubScorer()),
-    }
-    for kind in ("monthly", "weekly", "daily", "hourly"):
-        out |= {f"{kind}_volume": _volume(kind, read), f"top_terms_{kind}": _series(kind, 0, read), f"tfidf_{kind}": _series(kind, 1, read)}
-    return out
+def _short(s: SparkSession, d: str) -> DataFrame:
+    """Comments of which every third is classified and every ninth has failed before."""
+    n = F.col("row_pos")
+    return fx.comments(s, d).withColumns({"classification": F.when(n % 9 == 0, "error").when(n % 3 == 0, "2"), "polarity": F.when(n % 9 == 0, "error").when(n % 3 == 0, "3")})
 
 
-def _burst_queries(read, span=None, detector: bursts.Detector = DETECTOR) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The queries over sliding windows, which are WINDOWS or what ``span`` finds in the tables."""
-    windows = span or (lambda s, d: WINDOWS)
-    step = lambda name: _sliding(name, read, span, detector)
-    return {
-        "sliding_counts": step("counts"), "sliding_top_terms": step("top"), "sliding_tfidf": step("tfidf"), "sliding_mean": step("mean"), "tfidf_delta": step("delta"),
-        "burst_terms": step("terms"), "burst_snapshots": step("snapshots"), "burst_events": step("events"),
-        "stream_bursts": lambda s, d: live.bursts_once(_local(s, d, read), windows(s, d), detector, STOPS).select("tick", "n_msgs", F.round("score", 6).alias("score"), "important_count", "is_event"),
-        "stream_sliding_counts": lambda s, d: live.sliding_counts_once(_local(s, d, read), windows(s, d), STOPS),
-    }
+def _classified_comments(s: SparkSession, d: str) -> DataFrame:
+    found = models.classified_comments(_short(s, d), _coded_videos(s, d), fx.by_length, CONTEXT, SUBJECT, retry="error", budget=1 << 40)
+    return found.select("comment_id", "classification", "polarity", labels.from_polarity(F.col("polarity")).alias("sentiment_gpt"))
+
+
+def _classified_videos(s: SparkSession, d: str) -> DataFrame:
+    docs = fx.table(s, d, "documents").select(F.concat(F.lit("v"), "doc_id").alias("video_id"), F.col("text").alias("summary"), F.when(F.col("doc_id") % 2 == 0, "4").alias("classification"), F.when(F.col("doc_id") % 2 == 0, "2").alias("polarity"))
+    return models.classified_videos(docs, fx.by_length, CONTEXT, SUBJECT, budget=1 << 40).select("video_id", "classification", "polarity")
+
+
+def _ids(s: SparkSession) -> DataFrame:
+    return api.search(s, fx.Api(), api.Search("x"))
 
 
-def _full_volumes() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """Daily and hourly volumes of all comments; the ranges are those of the top terms."""
-    return {f"{kind}_volume": _volume(kind, fx.whole_comments, ranged=False) for kind in ("daily", "hourly")}
+def _summaries(s: SparkSession, d: str) -> DataFrame:
+    docs = fx.table(s, d, "documents").select(F.concat(F.lit("v"), "doc_id").alias("video_id"), "doc_id", "text")
+    told = docs.where("doc_id % 5 <> 4").select("video_id", F.transform(F.split("text", "\n"), lambda t: F.struct(t.alias("text"))).alias("snippets"))
+    return models.summaries(docs.select("video_id", F.when(F.col("doc_id") % 4 == 0, "told before").alias("summary")), told)
 
 
-def _whole() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The same queries over the whole texts, which the SQL of the others cuts; bursts over all events with the reference's numbers of terms."""
-    return {f"{name}_whole": query for name, query in (_text_queries(fx.whole_comments) | _burst_queries(fx.whole_comments, _span, FULL_DETECTOR) | _full_volumes()).items()}
+def _csv(df: DataFrame, schema: str, index: str | None = None) -> DataFrame:
+    """``df`` through a CSV file and back."""
+    path = shared.new_path(df.sparkSession, "csv")
+    sinks.write_csv(df, path, index)
+    return files.read_csv(df.sparkSession, path, T.StructType.fromDDL(schema))
+
+
+def _texted(s: SparkSession, d: str) -> DataFrame:
+    """Comments with the time as text, as files have it; some of it is no time, some names a zone."""
+    n = F.col("row_pos")
+    stamp = F.date_format("published_at", "yyyy-MM-dd HH:mm:ss")
+    return fx.comments(s, d).withColumn("published_at", F.when(n % 7 == 0, "yesterday").when(n % 7 == 1, F.concat(stamp, F.lit("+02:00"))).when(n % 7 == 2, F.lit(None)).otherwise(stamp))
+
+
+def _graphml(s: SparkSession, d: str) -> DataFrame:
+    """The edges that stand in a GraphML document of the comment graph."""
+    path = shared.new_path(s, "graphml")
+    sinks.write_graphml(*graph.comment_video(fx.comments(s, d)), path)
+    field = lambda pattern: F.regexp_extract("value", pattern, 1)
+    return s.read.text(path).where(F.col("value").startswith("<edge")).select(field('source="([^"]*)"').alias("src"), field('target="([^"]*)"').alias("dst"), field('"d1">([^<]*)<').cast("double").alias("weight"), field('"d2">([^<]*)<').cast("int").alias("sentiment_score"))
+
+
+def _mapping_document(s: SparkSession, d: str) -> DataFrame:
+    path = shared.new_path(s, "mapping")
+    sinks.write_mapping(privacy.id_mapping(fx.comments(s, d), SALT), path)
+    return s.read.text(path)
+
+
+def _resumed(s: SparkSession, d: str) -> DataFrame:
+    """Work done in two runs; the second one does what has no result or has failed."""
+    work = fx.table(s, d, "events").select("event_id", (F.col("event_id") % 5 + 1).cast("string").alias("classification"))
+    path = shared.new_path(s, "results")
+    first = work.where("event_id % 3 <> 0").withColumn("classification", F.when(F.col("event_id") % 4 == 0, "error").otherwise(F.col("classification"))).withColumn("run", F.lit(1))
+    done = sinks.append_results(s, first, path)
+    return sinks.append_results(s, sinks.pending(work, done, "event_id", retry="error").withColumn("run", F.lit(2)), path)
+
+
+def _answers(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id") % 5
+    response = F.when(k == 0, "3,1").when(k == 1, "3").when(k == 2, "3,1,2").when(k == 3, F.lit(None)).otherwise(F.concat(F.col("user_id") % 5 + 1, F.lit(","), F.col("user_id") % 3 + 1))
+    message = F.concat(F.lit("Rate limit. Requested "), "event_id", F.lit(". Retry"))
+    rows = fx.table(s, d, "events").withColumn("a", labels.answer(response))
+    return rows.select("event_id", "a.*", labels.likert_tag(F.col("a.classification")).alias("likert"), labels.polarity_tag(F.col("a.polarity")).alias("mood"), labels.from_polarity(F.col("a.polarity")).alias("sentiment_gpt"), X.requested_tokens(message).alias("requested"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    ids = ["comment_id", "author_id", "author_name", "reply_to_comment_id", "video_id", "text", "likes"]
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+        "comments": fx.comments,
+        "clean_comments": lambda s, d: _cleaned(s, d).select("comment_id", "cleaned_comment"),
+        "lemmatised_comments": lambda s, d: cleaning.lemmatised(_cleaned(s, d), fx.wordy(s)).select("comment_id", "cleaned_comment"),
+        "removed_counters": lambda s, d: cleaning.removed_counters(fx.comments(s, d)),
+        "removed_repeats": lambda s, d: collect.without_repeats(fx.comments(s, d).select("video_id", "author_id", "likes"))[1],
+        "user_activity": lambda s, d: cleaning.user_activity(_cleaned(s, d)),
+        "user_activity_joined": lambda s, d: cleaning.user_activity_joined(_cleaned(s, d)),
+        "localised_times": lambda s, d: timebuckets.localised(_texted(s, d)).select("comment_id", "local_ts"),
+        "comments_between": lambda s, d: timebuckets.between(timebuckets.localised(fx.comments(s, d)), "2024-01-08T05:00:00Z", "2024-01-10T09:30:00+02:00").select("comment_id", "local_ts"),
+        "bucket_documents": lambda s, d: timebuckets.documents(_cleaned_once(s, d), "daily").groupBy("bucket").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "document"))), lambda x: x["document"]), " "), 256).alias("document_sha256")),
+        "api_search": lambda s, d: _ids(s),
+        "api_videos": lambda s, d: collect.flat_videos(collect.parsed(api.lookup(_ids(s), "video_id", fx.Api(), "videos"), schemas.VIDEO_ITEM)),
+        "api_channels": lambda s, d: collect.flat_channels(api.lookup(s.range(7).select(F.concat(F.lit("ch"), "id").alias("channel_id")), "channel_id", fx.Api(), "channels")),
+        "api_comments": lambda s, d: collect.flat_threads(api.comment_threads(_ids(s), fx.Api(), 150), 150).withColumn("published_at", F.col("published_at").cast("timestamp_ntz")),
+        "api_transcripts": lambda s, d: api.transcripts(_ids(s), fx.Api()).select("video_id", X.transcript_text(F.col("snippets")).alias("said")),
+        "csv_comments": lambda s, d: _csv(fx.comments(s, d).select("comment_id", "text", "author_name", "likes", "is_reply", "reply_to_comment_id"), "comment_id string, text string, author_name string, likes bigint, is_reply boolean, reply_to_comment_id string").select("comment_id", F.sha2("text", 256).alias("text_sha256"), "author_name", "likes", "is_reply", F.nullif("reply_to_comment_id", F.lit("")).alias("reply_to_comment_id")),
+        "csv_anonymized": lambda s, d: _csv(privacy.anonymized(fx.comments(s, d).select(*ids).withColumn("Unnamed: 0", F.lit(1)), SALT), "comment_id string, author_id string, reply_to_comment_id string, video_id string, likes bigint").withColumn("reply_to_comment_id", F.coalesce("reply_to_comment_id", F.lit(""))),
+        "csv_snapshots": lambda s, d: _csv(timebuckets.volume(_cleaned_once(s, d), "daily"), "bucket timestamp_ntz, n_comments bigint, n_words bigint", "bucket"),
+        "json_videos": lambda s, d: _json(fx.videos(s, d)),
+        "mapping_document": _mapping_document,
+        "graphml_edges": _graphml,
+        "resumed_results": _resumed,
         "videos_flat": lambda s, d: collect.flat_videos(fx.videos(s, d)),
         "videos_filtered": lambda s, d: collect.popular(collect.flat_videos(fx.videos(s, d)), 10000, 20).select("video_id", "views", "comments"),
-        "channel_enrich": lambda s, d: collect.enriched(collect.flat_videos(fx.videos(s, d)), _channels(s, d)).select("video_id", "channel_id", "channel_subscribers", "channel_country"),
-        "thread_flatten": lambda s, d: collect.flat_threads(fx.threads(s, d)),
+        "channel_enrich": lambda s, d: (lambda v: collect.enriched(v, collect.flat_channels(api.lookup(v, "channel_id", fx.Api(), "channels"))).select("video_id", "channel_id", "channel_subscribers", "channel_country"))(collect.flat_videos(fx.videos(s, d))),
+        "thread_flatten": lambda s, d: collect.flat_threads(fx.threads(s, d)).withColumn("published_at", F.col("published_at").cast("timestamp_ntz")),
+        "thread_limit": lambda s, d: collect.flat_threads(fx.threads(s, d), 11).select("video_id", "comment_id"),
         "per_video_limit": lambda s, d: collect.first_per_video(fx.comments(s, d), 7).select("video_id", "comment_id", "rn"),
-        "anonymized": lambda s, d: privacy.anonymized(fx.comments(s, d).select("comment_id", "author_id", "author_name", "reply_to_comment_id", "video_id", "text", "likes"), SALT),
+        "anonymized": lambda s, d: privacy.anonymized(fx.comments(s, d).select(*ids), SALT),
         "id_mapping": lambda s, d: privacy.id_mapping(fx.comments(s, d), SALT),
-        "deanonymized": lambda s, d: (lambda c: privacy.deanonymized(privacy.anonymized(c, SALT), privacy.id_mapping(c, SALT)))(fx.comments(s, d).select("comment_id", "author_id", "author_name", "reply_to_comment_id", "video_id", "text", "likes")),
+        "deanonymized": lambda s, d: (lambda c: privacy.deanonymized(privacy.anonymized(c, SALT), privacy.id_mapping(c, SALT)))(fx.comments(s, d).select(*ids)),
         "modal_sentiment_video": lambda s, d: graph.modal(fx.comments(s, d), ["author_id", "video_id"], "sentiment"),
         "modal_sentiment_reply": lambda s, d: graph.modal(graph.reply_pairs(fx.comments(s, d)), ["author_id", "replied_id", "video_id"], "label"),
         "graph_comment_video_vertices": _graph(graph.comment_video, 0), "graph_comment_video_edges": _graph(graph.comment_video, 1),
@@ -170,14 +226,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "edge_weights": lambda s, d: graph.comment_video(fx.comments(s, d), only_default=False)[1],
         "sentiment_labels": lambda s, d: fx.table(s, d, "events").select("event_id", labels.from_compound((F.col("event_id") % 41 - 20) / 100).alias("by_score"), labels.from_model(F.when(F.col("event_id") % 3 == 0, "POS").when(F.col("event_id") % 3 == 1, "NEG").otherwise("NEU")).alias("by_model")),
         "sentiment_histogram": lambda s, d: fx.comments(s, d).groupBy("sentiment").agg(F.count("*").alias("n")),
+        "stub_scores": lambda s, d: models.scored(fx.comments(s, d).select("comment_id", "text"), "text", models.StubScorer()),
         "prompts_video": lambda s, d: collect.flat_videos(fx.videos(s, d)).select("video_id", F.lit(labels.video_prompt(CONTEXT, SUBJECT)).alias("prompt")),
+        "prompts_comment": _prompts,
+        "classified_videos": _classified_videos,
+        "classified_comments": _classified_comments,
         "parse_llm_response": _answers,
         "rolling_token_budget": lambda s, d: models.rolling_tokens(fx.table(s, d, "events").select("event_id", F.col("ts").alias("ts"), (F.col("event_id") % 1500).alias("tokens"))),
         "transcript_text": lambda s, d: fx.table(s, d, "documents").select("doc_id", F.sha2(X.transcript_text(F.transform(F.split("text", "\n"), lambda t: F.struct(t.alias("text")))), 256).alias("text_sha256")),
         "lsa_summary": lambda s, d: models.summarised(fx.table(s, d, "documents").select("doc_id", "text"), "text"),
-        "lexicon_sentiment": lambda s, d: models.lexicon_sentiment(fx.table(s, d, "documents").select("doc_id", "text"), {"idiot": -2.0, "moron": -2.0, "the": 0.4, "and": -0.1}),
+        "video_summaries": _summaries,
+        "lexicon_sentiment": lambda s, d: models.lexicon_sentiment(fx.table(s, d, "documents").select("doc_id", "text"), fx.VALENCES),
+        "sliding_counts": _sliding("counts"), "sliding_top_terms": _sliding("top"), "sliding_tfidf": _sliding("tfidf"), "sliding_mean": _sliding("mean"), "sliding_odd_windows": _sliding("counts", lambda s, d: ODD),
+        "tfidf_delta": _sliding("delta"), "burst_terms": _sliding("terms"), "burst_snapshots": _sliding("snapshots"), "burst_events": _sliding("events"),
+        "hooked_detector": _hooked,
+        "stream_sliding_counts": lambda s, d: live.sliding_counts_once(_local(s, d), WINDOWS, STOPS),
+        "stream_bursts": lambda s, d: _snaps(live.bursts_once(_local(s, d), WINDOWS, DETECTOR, STOPS)),
+        "stream_events": _stream_events,
     }
-    return out | _text_queries(fx.comments) | _burst_queries(fx.comments) | _whole()
+    for kind in ("monthly", "weekly", "daily", "hourly"):
+        out |= {f"{kind}_volume": _volume(kind), f"top_terms_{kind}": _series(kind, 0), f"tfidf_{kind}": _series(kind, 1)}
+    return out
+
+
+def _json(videos: DataFrame) -> DataFrame:
+    """Videos through JSON documents, one a line, and back."""
+    path = shared.new_path(videos.sparkSession, "json")
+    videos.write.json(path)
+    return collect.flat_videos(files.read_json(videos.sparkSession, path, schemas.VIDEO_ITEM, lines=True))
 
 
 _LOCAL = fx.ALL_CLEANED_SQL + ", local AS (SELECT *, published_at - INTERVAL 5 HOUR AS local_ts FROM cleaned)"
@@ -191,8 +267,8 @@ _BUCKET = {
 _STEP = {"monthly": "1 MONTH", "weekly": "7 DAY", "daily": "1 DAY", "hourly": "1 HOUR"}
 
 
-def _bucketed(kind: str) -> str:
-    span = _range(kind)
+def _bucketed(kind: str, ranged: bool = True) -> str:
+    span = _range(kind) if ranged else {}
     where = f"WHERE local_ts >= TIMESTAMP '{span['start']}' AND local_ts < TIMESTAMP '{span['end']}'" if span else ""
     ends = f"SELECT TIMESTAMP '{span['start']}' AS a, TIMESTAMP '{span['end']}' - INTERVAL 1 MICROSECOND AS b" if span else "SELECT min(bucket) AS a, max(bucket) AS b FROM bucketed"
     return f"WITH {_LOCAL}, bucketed AS (SELECT *, {_BUCKET[kind]} AS bucket FROM local {where}), ends AS ({ends}), spine AS (SELECT unnest(generate_series(a, b, INTERVAL {_STEP[kind]})) AS bucket FROM ends)"
@@ -220,18 +296,23 @@ _SLIDING = f"""WITH {_LOCAL}, ticks AS (SELECT unnest(list_append(generate_serie
   kept AS (SELECT c.* FROM counts c JOIN top USING (tick, term)), n_bins AS (SELECT tick, count(*) AS n_docs FROM bins GROUP BY tick),
   w AS (SELECT tick, bin, term, n * (ln((1.0 + n_docs) / (1.0 + count(*) OVER (PARTITION BY tick, term))) + 1.0) AS w FROM kept JOIN n_bins USING (tick)),
   t AS (SELECT tick, bin, term, w / sqrt(sum(w * w) OVER (PARTITION BY tick, bin)) AS tfidf FROM w),
-  vec AS (SELECT tick, term, sum(tfidf) AS value FROM t GROUP BY ALL),
+  vec AS (SELECT tick, term, sum(tfidf) AS value FROM t GROUP BY ALL), weighed AS (SELECT tick, count(*) AS tfidf_terms FROM vec GROUP BY tick),
   seqs AS (SELECT tick, row_number() OVER (ORDER BY tick) AS seq FROM sizes), num AS (SELECT seq, term, value FROM vec JOIN seqs USING (tick)),
   delta AS (SELECT tick, seq, term, coalesce(a.value, 0.0) AS now, coalesce(b.value, 0.0) AS before, abs(coalesce(a.value, 0.0) - coalesce(b.value, 0.0)) AS d
     FROM num a FULL JOIN (SELECT seq + 1 AS seq, term, value FROM num) b USING (seq, term) JOIN seqs USING (seq) WHERE seq > 1),
   hist AS (SELECT d.*, coalesce(freq, 0) AS freq, count(d) OVER h AS history, coalesce(avg(d) OVER h, 0.0) AS mu, coalesce(stddev_pop(d) OVER h, 0.0) AS sigma
     FROM delta d LEFT JOIN top USING (tick, term) WINDOW h AS (PARTITION BY d.term ORDER BY seq ROWS BETWEEN {DETECTOR.baseline} PRECEDING AND 1 PRECEDING)),
-  z AS (SELECT *, (d - mu) / greatest(sigma, {DETECTOR.sigma_floor}) AS z, history >= {DETECTOR.min_history} AND freq >= {DETECTOR.min_count_window} AND d > mu + {DETECTOR.k_sigma} * greatest(sigma, {DETECTOR.sigma_floor}) AS important FROM hist),
+  z AS (SELECT *, round((d - mu) / greatest(sigma, {DETECTOR.sigma_floor}), 9) AS z, history >= {DETECTOR.min_history} AND freq >= {DETECTOR.min_count_window} AND round(d - mu - {DETECTOR.k_sigma} * greatest(sigma, {DETECTOR.sigma_floor}), 9) > 0 AS important FROM hist),
   found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tick ORDER BY z DESC, term) AS rank FROM z WHERE important) WHERE rank <= {DETECTOR.top_k}),
   scores AS (SELECT tick, greatest(0.0, max(z)) AS max_z, max(z) FILTER (WHERE freq >= {DETECTOR.min_count_window}) AS max_z_valid FROM z GROUP BY tick),
   listed AS (SELECT tick, count(*) AS important_count, list(term ORDER BY rank) AS terms FROM found GROUP BY tick),
-  snap AS (SELECT tick, n_msgs, coalesce(max_z_valid, max_z, 0.0) AS score, CAST(coalesce(important_count, 0) AS BIGINT) AS important_count, terms, coalesce(important_count, 0) >= {DETECTOR.require_min_terms} AS is_event
-    FROM sizes LEFT JOIN scores USING (tick) LEFT JOIN listed USING (tick))"""
+  snap AS (SELECT tick, n_msgs, coalesce(tfidf_terms, 0) AS tfidf_terms, coalesce(max_z_valid, max_z, 0.0) AS score, CAST(coalesce(important_count, 0) AS BIGINT) AS important_count, terms, coalesce(important_count, 0) >= {DETECTOR.require_min_terms} AS is_event
+    FROM sizes LEFT JOIN scores USING (tick) LEFT JOIN listed USING (tick) LEFT JOIN weighed USING (tick))"""
+
+_ODD = f"""WITH {_LOCAL}, ticks AS (SELECT unnest(list_append(generate_series(TIMESTAMP '2024-01-10 00:32:00', TIMESTAMP '2024-01-10 23:59:00', INTERVAL 25 MINUTE), TIMESTAMP '2024-01-11 00:00:00')) AS tick),
+  member AS (SELECT tick, local_ts, cleaned_comment, epoch_us(date_trunc('day', min(local_ts) OVER (PARTITION BY tick))) AS o FROM ticks JOIN local ON local_ts > tick - INTERVAL 70 MINUTE AND local_ts < tick),
+  tokens AS (SELECT tick, make_timestamp(o + ((epoch_us(local_ts) - o) // 3000000000) * 3000000000) AS bin, {_TERMS} FROM member)
+  SELECT tick, bin, term, count(*) AS n FROM tokens GROUP BY ALL"""
 
 _HASH = "CASE WHEN {0} IS NULL THEN '' ELSE sha256({0} || '" + SALT + "') END"
 _SCORE = "CASE {0} WHEN 'Positive' THEN 1 WHEN 'Negative' THEN -1 ELSE 0 END"
@@ -255,14 +336,34 @@ def _tags(column: str, table: dict) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
 
 
-def _prompt_sql() -> str:
-    quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    head = quoted(f"Contexto: {CONTEXT}\nInstrucción: Clasifica el siguiente mensaje. El video tiene un sentimiento ")
-    tail = quoted(labels.comment_prompt.__globals__["_SCALES"] + "\n" + labels.comment_prompt.__globals__["_ONLY"])
-    code = "CAST(c.row_pos % 6 AS VARCHAR)"
-    return f"""WITH {fx.COMMENTS_SQL} SELECT c.comment_id, {head} || coalesce({_tags(code, labels.POLARITY)}, 'desconocido') || ' y una postura ' || coalesce({_tags(code, labels.LIKERT)}, 'desconocida')
-      || {quoted(f" respecto a: {SUBJECT}. ")} || CASE WHEN p.text IS NULL THEN '' ELSE 'El mensaje es una respuesta a: ' || p.text || '. ' END || {tail} AS prompt
-      FROM comments c LEFT JOIN comments p ON p.comment_id = c.reply_to_comment_id"""
+# The questions, written out here once more.
+_ASK = """Usa dos escalas. Escala de Likert: 1 = completamente en desacuerdo, 2 = en desacuerdo, 3 = ni de acuerdo ni en desacuerdo, 4 = de acuerdo, 5 = completamente de acuerdo. Escala de polaridad: 1 = negativo, 2 = neutro, 3 = positivo.
+Contesta únicamente con dos números separados por una coma y sin espacios, como "1,2", "3,1" o "5,3": primero el de la escala de Likert y después el de la escala de polaridad."""
+_ASK_VIDEO = f"""Contexto: Comentarios de videos
+Tarea: lee el resumen de un video y clasifícalo según lo que expresa sobre esta afirmación o pregunta: "¿Es buena la reforma?".
+{_ASK}"""
+_PROMPTS = f"""WITH {fx.COMMENTS_SQL}, codes AS (SELECT video_id, k % 6 AS c, k % 4 AS p FROM (SELECT DISTINCT video_id, CAST(substr(video_id, 2) AS INT) AS k FROM comments) WHERE k % 10 <> 9),
+  prompts AS (SELECT c.comment_id, c.text, c.row_pos, 'Contexto: Comentarios de videos' || chr(10) || 'Tarea: clasifica un mensaje escrito sobre un video según ese contexto. El video tiene un sentimiento '
+      || coalesce(CASE v.p WHEN 1 THEN 'negativo' WHEN 2 THEN 'neutral' WHEN 3 THEN 'positivo' END, 'desconocido') || ' y una postura '
+      || coalesce(CASE v.c WHEN 1 THEN 'completamente en desacuerdo' WHEN 2 THEN 'en desacuerdo' WHEN 3 THEN 'ni de acuerdo ni en desacuerdo' WHEN 4 THEN 'de acuerdo' WHEN 5 THEN 'completamente de acuerdo' END, 'desconocida')
+      || ' frente a esta afirmación o pregunta: "¿Es buena la reforma?".' || chr(10) || CASE WHEN p.text IS NULL THEN '' ELSE 'El mensaje responde a este otro: ' || p.text || chr(10) END || '{_ASK}' AS prompt
+    FROM comments c LEFT JOIN codes v USING (video_id) LEFT JOIN comments p ON p.comment_id = c.reply_to_comment_id)"""
+
+
+def _lsa(source: str, key: str, text: str) -> str:
+    """Summaries of ``text`` in ``source``, both with ``key``, as CTEs up to ``summaries``."""
+    return f"""sent AS (SELECT {key}, {text} AS said, list_filter(list_transform(regexp_extract_all(coalesce({text}, ''), '[^.!?\\n]+[.!?]*'), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))), lambda x: x <> '') AS s FROM {source}),
+  each AS (SELECT {key}, i, s[i] AS x, len(s) AS m FROM (SELECT {key}, s, unnest(range(1, len(s) + 1)) AS i FROM sent)),
+  tf AS (SELECT {key}, i, w, count(*) AS c FROM (SELECT {key}, i, unnest(regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM each) GROUP BY ALL),
+  lengths AS (SELECT {key}, i, round(sqrt(sum(v * v)), 9) AS r FROM (SELECT {key}, i, 0.4 + 0.6 * c / max(c) OVER (PARTITION BY {key}, i) AS v FROM tf) GROUP BY ALL),
+  best AS (SELECT {key}, i, x FROM (SELECT {key}, i, x, m, row_number() OVER (PARTITION BY {key} ORDER BY coalesce(r, 0) DESC, i) AS n FROM each LEFT JOIN lengths USING ({key}, i)) WHERE n <= 5),
+  put AS (SELECT {key}, string_agg(x, ' ' ORDER BY i) AS summary FROM best GROUP BY {key}),
+  summaries AS (SELECT {key}, CASE WHEN trim(coalesce(said, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) = '' THEN 'El texto de entrada está vacío.' ELSE coalesce(summary, '') END AS summary FROM sent LEFT JOIN put USING ({key}))"""
+
+
+def _by_length(n: str, m: str) -> tuple[str, str]:
+    """Classification and polarity that the stand-in for a model gives."""
+    return tuple(f"CASE WHEN ({n} + {m}) % 7 = 0 THEN 'error' ELSE CAST({x} AS VARCHAR) END" for x in (f"{n} % 5 + 1", f"{m} % 3 + 1"))
 
 
 def oracle_sql() -> dict[str, str]:
@@ -280,20 +381,22 @@ def oracle_sql() -> dict[str, str]:
         "videos_flat": v + " SELECT * EXCLUDE (k) FROM videos",
         "videos_filtered": v + " SELECT video_id, views, comments FROM videos WHERE views >= 10000 AND comments >= 20",
         "channel_enrich": v + " SELECT video_id, channel_id, CASE WHEN k % 7 < 6 THEN CAST((k % 7) * 1000 + 7 AS BIGINT) END AS channel_subscribers, CASE WHEN k % 7 < 6 AND (k % 7) % 2 = 0 THEN 'CO' END AS channel_country FROM videos",
-        "thread_flatten": "SELECT conv_id, conv_id || '-' || turn AS comment_id, text, role AS author_name, turn AS likes, turn > 0 AS is_reply, CASE WHEN turn > 0 THEN conv_id || '-0' END AS reply_to_comment_id FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0)",
+        "thread_flatten": f"WITH {fx.THREADS_SQL} SELECT * EXCLUDE (rn) FROM threads",
+        "thread_limit": f"WITH {fx.THREADS_SQL} SELECT video_id, comment_id FROM threads WHERE rn <= 11",
         "per_video_limit": c + " SELECT * FROM (SELECT video_id, comment_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY row_pos) AS INT) AS rn FROM comments) WHERE rn <= 7",
         "anonymized": c + f" SELECT {hashed}, {_ANON} FROM comments",
         "id_mapping": c + " UNION ALL ".join(f" SELECT DISTINCT '{k}' AS \"column\", {_HASH.format(k)} AS anon, {k} AS original FROM comments WHERE {k} IS NOT NULL" for k in privacy.HASHED),
         "deanonymized": c + f" SELECT comment_id, author_id, reply_to_comment_id, video_id, {_ANON} FROM comments",
-        "bucket_documents": f"{_bucketed('daily').replace(_bucketed('daily').split('bucketed AS (')[1].split('), ends')[0], 'SELECT *, ' + _BUCKET['daily'] + ' AS bucket FROM local').replace(_bucketed('daily').split('ends AS (')[1].split('), spine')[0], 'SELECT min(bucket) AS a, max(bucket) AS b FROM bucketed')}, docs AS (SELECT bucket, string_agg(cleaned_comment, ' ' ORDER BY local_ts, row_pos) AS document FROM bucketed GROUP BY bucket) SELECT bucket, sha256(coalesce(document, '')) AS document_sha256 FROM spine LEFT JOIN docs USING (bucket)",
+        "bucket_documents": f"{_bucketed('daily', False)}, docs AS (SELECT bucket, string_agg(cleaned_comment, ' ' ORDER BY local_ts, row_pos) AS document FROM bucketed GROUP BY bucket) SELECT bucket, sha256(coalesce(document, '')) AS document_sha256 FROM spine LEFT JOIN docs USING (bucket)",
+        "sliding_odd_windows": _ODD,
         "sliding_counts": _SLIDING + " SELECT * FROM counts",
         "sliding_top_terms": _SLIDING + " SELECT tick, term, CAST(freq AS BIGINT) AS freq, CAST(rank AS INT) AS rank FROM top",
         "sliding_tfidf": _SLIDING + " SELECT tick, bin, term, round(tfidf, 6) AS tfidf FROM t",
         "sliding_mean": _SLIDING + " SELECT tick, term, round(value / (date_diff('minute', lo, hi) / 10 + 1), 6) AS value FROM vec JOIN (SELECT tick, min(bin) AS lo, max(bin) AS hi FROM bins GROUP BY tick) USING (tick)",
         "tfidf_delta": _SLIDING + " SELECT tick, CAST(seq AS INT) AS seq, term, round(now, 6) AS now, round(before, 6) AS before, round(d, 6) AS d FROM delta",
         "burst_terms": _SLIDING + " SELECT tick, term, CAST(freq AS BIGINT) AS freq, history, round(d, 6) AS d, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(z, 6) AS z FROM found",
-        "burst_snapshots": _SLIDING + " SELECT tick, n_msgs, round(score, 6) AS score, important_count, is_event FROM snap",
-        "burst_events": _SLIDING + " SELECT tick, round(score, 6) AS score, array_to_string(list_slice(terms, 1, 8), ', ') AS important_terms, important_count FROM snap WHERE is_event",
+        "burst_snapshots": _SLIDING + " SELECT tick, n_msgs, tfidf_terms, round(score, 6) + 0.0 AS score, important_count, is_event FROM snap",
+        "burst_events": _SLIDING + " SELECT tick, round(score, 6) + 0.0 AS score, array_to_string(list_slice(terms, 1, 8), ', ') AS important_terms, important_count FROM snap WHERE is_event",
         "modal_sentiment_video": _G2 + " SELECT author_id, video_id, mode FROM by_video",
         "modal_sentiment_reply": _G2 + " SELECT author_id, replied_id, video_id, mode FROM by_reply",
         "graph_comment_video_vertices": _G1 + _VERTICES,
@@ -303,18 +406,48 @@ def oracle_sql() -> dict[str, str]:
         "edge_weights": _G1 + " SELECT src, dst, CAST(CASE sentiment_score WHEN 1 THEN 2.0 WHEN 0 THEN 1.5 ELSE 1.0 END AS DOUBLE) AS weight, sentiment_score FROM edges",
         "sentiment_labels": "SELECT event_id, CASE WHEN event_id % 41 - 20 > 5 THEN 'Positive' WHEN event_id % 41 - 20 < -5 THEN 'Negative' ELSE 'Neutral' END AS by_score, CASE event_id % 3 WHEN 0 THEN 'Positive' WHEN 1 THEN 'Negative' ELSE 'Neutral' END AS by_model FROM events",
         "sentiment_histogram": c + " SELECT sentiment, count(*) AS n FROM comments GROUP BY sentiment",
-        "prompts_comment": _prompt_sql(),
-        "prompts_video": v + " SELECT video_id, '" + labels.video_prompt(CONTEXT, SUBJECT).replace("'", "''") + "' AS prompt FROM videos",
         "parse_llm_response": f"""WITH r AS (SELECT *, CASE event_id % 5 WHEN 0 THEN '3' WHEN 4 THEN CAST(user_id % 5 + 1 AS VARCHAR) ELSE 'error' END AS classification, CASE event_id % 5 WHEN 0 THEN '1' WHEN 4 THEN CAST(user_id % 3 + 1 AS VARCHAR) ELSE 'error' END AS polarity FROM events)
           SELECT event_id, classification, polarity, {_tags("classification", labels.LIKERT)} AS likert, {_tags("polarity", labels.POLARITY)} AS mood, CASE polarity WHEN '3' THEN 'Positive' WHEN '2' THEN 'Neutral' WHEN '1' THEN 'Negative' END AS sentiment_gpt, CAST(event_id AS INT) AS requested FROM r""",
         "rolling_token_budget": "SELECT event_id, CAST(sum(event_id % 1500) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS BIGINT) AS used FROM events",
         "transcript_text": "SELECT doc_id, sha256(replace(array_to_string(string_split(text, chr(10)), '. ') || '. ', '  ', ' ')) AS text_sha256 FROM documents",
-        "stream_bursts": _SLIDING + f" SELECT tick, n_msgs, round(score, 6) AS score, important_count, is_event FROM snap WHERE tick < TIMESTAMP '{WINDOWS.end}'",
-        "stream_sliding_counts": _SLIDING + f" SELECT tick, term, CAST(sum(n) AS BIGINT) AS n FROM counts WHERE tick < TIMESTAMP '{WINDOWS.end}' GROUP BY tick, term",
+        "stream_sliding_counts": _SLIDING + " SELECT tick, term, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY tick, term",
+        "hooked_detector": _SLIDING + """ SELECT tick, n_msgs, CASE WHEN n_msgs <> 1 THEN CAST(n_msgs - before AS DOUBLE) END AS score, CASE WHEN n_msgs = 1 THEN false ELSE n_msgs > before END AS is_event,
+          CASE WHEN n_msgs = 1 THEN 'one message only' END AS detector_error FROM (SELECT tick, n_msgs, lag(n_msgs) OVER (ORDER BY tick) AS before FROM sizes)""",
+        "lemmatised_comments": a + """, lexicon AS (SELECT * FROM (VALUES ('word', 'word', 'NOUN', false), ('casas', 'casa', 'NOUN', false), ('bonitas', 'bonito', 'ADJ', false), ('son', 'ser', 'AUX', false), ('las', 'el', 'DET', true), ('the', 'the', 'DET', true),
+          ('and', 'and', 'CCONJ', false), ('tiene', 'tener', 'VERB', false), ('people', 'person', 'NOUN', false), ('made', 'make', 'VERB', false), ('that', 'that', 'PRON', true), ('with', 'with', 'ADP', false)) t(form, lemma, pos, is_stop)),
+          each AS (SELECT comment_id, ws[i] AS form, i FROM (SELECT comment_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT comment_id, string_split(cleaned_comment, ' ') AS ws FROM cleaned))),
+          stay AS (SELECT comment_id, i, lower(coalesce(lemma, form)) AS word FROM each LEFT JOIN lexicon USING (form) WHERE NOT coalesce(is_stop, false) AND coalesce(pos, '') NOT IN ('AUX', 'DET', 'PRON', 'ADP', 'CCONJ')),
+          put AS (SELECT comment_id, string_agg(word, ' ' ORDER BY i) AS lemmas FROM stay WHERE word NOT IN ('ser', 'estar', 'haber', 'poder', 'hacer', 'decir', 'tener', 'dar', '') GROUP BY comment_id)
+          SELECT comment_id, coalesce(lemmas, '') AS cleaned_comment FROM cleaned LEFT JOIN put USING (comment_id)""",
+        "removed_repeats": c + ", k AS (SELECT DISTINCT video_id, author_id, likes FROM comments) SELECT (SELECT count(*) FROM comments) AS n_rows, (SELECT count(*) FROM k) AS n_kept, (SELECT count(*) FROM comments) - (SELECT count(*) FROM k) AS n_removed",
+        "localised_times": c + " SELECT comment_id, date_trunc('second', published_at) - CASE WHEN row_pos % 7 = 1 THEN INTERVAL 7 HOUR ELSE INTERVAL 5 HOUR END AS local_ts FROM comments WHERE row_pos % 7 NOT IN (0, 2)",
+        "comments_between": c + " SELECT comment_id, published_at - INTERVAL 5 HOUR AS local_ts FROM comments WHERE published_at - INTERVAL 5 HOUR >= TIMESTAMP '2024-01-08 00:00:00' AND published_at - INTERVAL 5 HOUR < TIMESTAMP '2024-01-10 02:30:00'",
+        "api_search": "SELECT 'v' || k AS video_id FROM range(130) t(k)",
+        "api_videos": "SELECT 'v' || k AS video_id, 'title ' || k AS title, '2024-01-01T00:00:00Z' AS published_text, 'ch' || (k % 7) AS channel_id, 'channel ' || (k % 7) AS channel_title, k * 100 AS views, CAST(0 AS BIGINT) AS likes, CAST(0 AS BIGINT) AS comments, 'about' AS description, '' AS video_tags, k AS duration_seconds, 'https://www.youtube.com/watch?v=v' || k AS video_url FROM range(130) t(k) WHERE k % 10 <> 9",
+        "api_channels": "SELECT 'ch' || k AS channel_id, k * 1000 + 7 AS channel_subscribers, CASE WHEN k % 2 = 0 THEN 'CO' END AS channel_country FROM range(6) t(k)",
+        "api_comments": """WITH tops AS (SELECT k, unnest(range(0, k % 4 * 90)) AS j FROM range(130) t(k)), every AS (SELECT k, j, unnest(range(-1, j % 3)) AS r FROM tops), ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY j, r) AS rn, j + r + 1 AS n FROM every)
+          SELECT 'v' || k AS video_id, 'v' || k || '-' || j || CASE WHEN r < 0 THEN '' ELSE '-' || r END AS comment_id, 'text "v' || k || '-' || j || CASE WHEN r < 0 THEN '' ELSE '-' || r END || '"' || chr(10) || 'ñ' AS text, 'user ' || (n % 5) AS author_name, 'UC' || (n % 5) AS author_id,
+          TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 SECOND * (n % 60) AS published_at, n AS likes, r >= 0 AS is_reply, CASE WHEN r >= 0 THEN 'v' || k || '-' || j END AS reply_to_comment_id FROM ranked WHERE rn <= 150""",
+        "api_transcripts": "WITH s AS (SELECT k, string_agg('snippet ' || j || ' of ' || k || '. ', '' ORDER BY j) AS said FROM (SELECT k, unnest(range(0, k % 4)) AS j FROM range(130) t(k) WHERE k % 10 <> 3) GROUP BY k) SELECT 'v' || t.k AS video_id, coalesce(said, '') AS said FROM range(130) t(k) LEFT JOIN s ON s.k = t.k",
+        "csv_comments": c + " SELECT comment_id, sha256(text) AS text_sha256, author_name, likes, is_reply, reply_to_comment_id FROM comments",
+        "csv_anonymized": c + f" SELECT {hashed}, {_ANON} FROM comments",
+        "json_videos": v + " SELECT * EXCLUDE (k) FROM videos",
+        "mapping_document": c + ", m AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{k}' AS col, {_HASH.format(k)} AS anon, {k} AS original FROM comments WHERE {k} IS NOT NULL" for k in privacy.HASHED) + """), r AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY anon DESC) AS n FROM m)
+          SELECT '        "' || anon || '": "' || original || '"' || CASE WHEN n = 1 THEN '' ELSE ',' END AS value FROM r UNION ALL SELECT '    "' || col || '": {' FROM (SELECT DISTINCT col FROM m) UNION ALL SELECT CASE WHEN col = (SELECT max(col) FROM m) THEN '    }' ELSE '    },' END FROM (SELECT DISTINCT col FROM m) UNION ALL SELECT unnest(['{', '}'])""",
+        "graphml_edges": _G1 + " SELECT src, dst, CAST(1.5 AS DOUBLE) AS weight, sentiment_score FROM edges",
+        "resumed_results": "WITH w AS (SELECT event_id, CAST(event_id % 5 + 1 AS VARCHAR) AS c FROM events) SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'error' ELSE c END AS classification, 1 AS run FROM w WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, c, 2 FROM w WHERE event_id % 3 = 0 OR event_id % 4 = 0",
+        "stub_scores": c + " SELECT comment_id, CASE least(len(regexp_extract_all(text, '\\S+')), 128) % 3 WHEN 0 THEN 'Positive' WHEN 1 THEN 'Negative' ELSE 'Neutral' END AS sentiment FROM comments WHERE text IS NOT NULL",
+        "prompts_comment": _PROMPTS + " SELECT comment_id, prompt FROM prompts",
+        "prompts_video": v + f" SELECT video_id, '{_ASK_VIDEO}' AS prompt FROM videos",
+        "classified_videos": "SELECT 'v' || doc_id AS video_id, CASE WHEN doc_id % 2 = 0 THEN '4' ELSE {} END AS classification, CASE WHEN doc_id % 2 = 0 THEN '2' ELSE {} END AS polarity FROM documents".format(*_by_length(str(len(_ASK_VIDEO)), "length(coalesce(text, ''))")),
+        "classified_comments": _PROMPTS + ", a AS (SELECT comment_id, CASE WHEN row_pos % 9 <> 0 AND row_pos % 3 = 0 THEN '2' ELSE {} END AS classification, CASE WHEN row_pos % 9 <> 0 AND row_pos % 3 = 0 THEN '3' ELSE {} END AS polarity FROM prompts) SELECT *, CASE polarity WHEN '3' THEN 'Positive' WHEN '2' THEN 'Neutral' WHEN '1' THEN 'Negative' END AS sentiment_gpt FROM a".format(*_by_length("length(prompt)", "length(coalesce(text, ''))")),
+        "lsa_summary": "WITH " + _lsa("documents", "doc_id", "text") + " SELECT doc_id, summary FROM summaries",
+        "video_summaries": "WITH told AS (SELECT doc_id, replace(array_to_string(string_split(text, chr(10)), '. ') || '. ', '  ', ' ') AS said_text FROM documents WHERE doc_id % 5 <> 4 AND doc_id % 4 <> 0), " + _lsa("told", "doc_id", "said_text") + " SELECT 'v' || doc_id AS video_id, CASE WHEN doc_id % 4 = 0 THEN 'told before' WHEN doc_id % 5 = 4 OR text IS NULL THEN 'resumen no disponible' ELSE summary END AS summary FROM documents LEFT JOIN summaries USING (doc_id)",
     }
     for kind in ("monthly", "weekly", "daily", "hourly"):
         words = "len(list_filter(string_split(cleaned_comment, ' '), lambda x: x <> ''))"
-        out[f"{kind}_volume"] = f"{_bucketed(kind)}, counts AS (SELECT bucket, count(*) AS n_comments, CAST(sum({words}) AS BIGINT) AS n_words FROM bucketed GROUP BY bucket) SELECT bucket, coalesce(n_comments, 0) AS n_comments, coalesce(n_words, 0) AS n_words FROM spine LEFT JOIN counts USING (bucket)"
+        out[f"{kind}_volume"] = f"{_bucketed(kind, False)}, counts AS (SELECT bucket, count(*) AS n_comments, CAST(sum({words}) AS BIGINT) AS n_words FROM bucketed GROUP BY bucket) SELECT bucket, coalesce(n_comments, 0) AS n_comments, coalesce(n_words, 0) AS n_words FROM spine LEFT JOIN counts USING (bucket)"
         out[f"top_terms_{kind}"], out[f"tfidf_{kind}"] = _series_sql(kind, 0), _series_sql(kind, 1)
-    # whole bursts have no SQL: a window joined with every tick is too slow there; the SQL of the daily and hourly volumes has a range
-    return out | {f"{name}_whole": fx.whole_sql(out[name]) for name in _text_queries(fx.whole_comments) if name in out and name not in _full_volumes()}
+    out |= {"csv_snapshots": out["daily_volume"], "stream_bursts": out["burst_snapshots"], "stream_events": out["burst_events"]}
+    # a lexicon scorer has no SQL
+    return out

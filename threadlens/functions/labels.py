@@ -58,24 +58,21 @@ def answer(response: Column) -> Column:
     return F.struct(take(0).alias("classification"), take(1).alias("polarity"))
 
 
-# The questions put to the model, in Spanish.
-_SCALES = (
-    "Para la escala Likert ten en cuenta las siguientes opciones: 1:'Completamente en desacuerdo', 2:'En desacuerdo', "
-    "3:'Ni de acuerdo ni en desacuerdo', 4:'De acuerdo', 5:'Completamente de acuerdo'. "
-    "Para la escala de polaridad ten en cuenta las siguientes opciones: 1:'Negativo', 2:'Neutro', 3:'Positivo'."
+# The questions put to the model, in Spanish: two scales, two numbers, nothing else.
+SCALES = (
+    "Usa dos escalas. Escala de Likert: 1 = completamente en desacuerdo, 2 = en desacuerdo, 3 = ni de acuerdo ni en desacuerdo, 4 = de acuerdo, 5 = completamente de acuerdo. "
+    "Escala de polaridad: 1 = negativo, 2 = neutro, 3 = positivo."
 )
-_ONLY = 'Solo responde con una de las etiquetas mencionadas (solo el número) sin ningún texto adicional. Por ejemplo "1,2" o "3,1" o "5,3".'
+ANSWER = 'Contesta únicamente con dos números separados por una coma y sin espacios, como "1,2", "3,1" o "5,3": primero el de la escala de Likert y después el de la escala de polaridad.'
 
 
 def video_prompt(context: str, subject: str) -> str:
-    return f"Contexto: {context}\nInstrucción: Clasifica el siguiente resumen en las escalas de Likert y de polaridad, en relación con: \"{subject}\". {_SCALES}\n{_ONLY}"
+    """The question for a video's summary, which follows as the message."""
+    return f"Contexto: {context}\nTarea: lee el resumen de un video y clasifícalo según lo que expresa sobre esta afirmación o pregunta: \"{subject}\".\n{SCALES}\n{ANSWER}"
 
 
 def comment_prompt(context: str, subject: str, stance: Column, sentiment: Column, parent: Column) -> Column:
-    """The question for a comment; a known parent text makes it the question for a reply."""
-    head = F.concat(
-        F.lit(f"Contexto: {context}\nInstrucción: Clasifica el siguiente mensaje. El video tiene un sentimiento "), F.coalesce(sentiment, F.lit("desconocido")),
-        F.lit(" y una postura "), F.coalesce(stance, F.lit("desconocida")), F.lit(f" respecto a: {subject}. "),
-    )
-    reply = F.when(parent.isNull(), "").otherwise(F.concat(F.lit("El mensaje es una respuesta a: "), parent, F.lit(". ")))
-    return F.concat(head, reply, F.lit(f"{_SCALES}\n{_ONLY}"))
+    """The question for a comment, with its video's codes; a known parent text makes it the question for a reply."""
+    video = F.concat(F.lit("El video tiene un sentimiento "), F.coalesce(sentiment, F.lit("desconocido")), F.lit(" y una postura "), F.coalesce(stance, F.lit("desconocida")), F.lit(f' frente a esta afirmación o pregunta: "{subject}".\n'))
+    reply = F.when(parent.isNull(), "").otherwise(F.concat(F.lit("El mensaje responde a este otro: "), parent, F.lit("\n")))
+    return F.concat(F.lit(f"Contexto: {context}\nTarea: clasifica un mensaje escrito sobre un video según ese contexto. "), video, reply, F.lit(f"{SCALES}\n{ANSWER}"))

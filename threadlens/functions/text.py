@@ -37,8 +37,7 @@ def terms(text: Column, stop_words: list[str] | None = None) -> Column:
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     if not stop_words:
         return found
-    listed = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(found, lambda w: ~F.array_contains(listed, w))
+    return F.filter(found, lambda w: ~w.isin(*stop_words))
 
 
 def iso_seconds(duration: Column) -> Column:

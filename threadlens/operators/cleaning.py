@@ -24,12 +24,17 @@ def lemmatised(comments: DataFrame, lexicon: DataFrame, key: str = "comment_id")
     return comments.join(joined, key, "left").withColumn("cleaned_comment", F.coalesce("_lemmas", F.lit(""))).drop("_lemmas")
 
 
+def _answers() -> F.Column:
+    """Whether a row names a parent; only such rows are joined, so null keys never meet in one task."""
+    return F.coalesce(F.col("is_reply"), F.lit(False)) & F.col("reply_to_comment_id").isNotNull()
+
+
 def without_blank(cleaned: DataFrame) -> DataFrame:
     """Without blank comments and without replies to them; other replies stay, also those to unknown comments."""
     blank = X.is_blank(F.col("cleaned_comment"))
     gone = cleaned.where(blank).select(F.col("comment_id").alias("_gone")).distinct()
     kept = cleaned.where(~blank)
-    return kept.join(gone, F.col("is_reply") & (F.col("reply_to_comment_id") == F.col("_gone")), "left_anti")
+    return kept.where(~_answers()).unionByName(kept.where(_answers()).join(gone, F.col("reply_to_comment_id") == F.col("_gone"), "left_anti"))
 
 
 def clean_comments(comments: DataFrame) -> DataFrame:
@@ -40,7 +45,7 @@ def removed_counters(comments: DataFrame) -> DataFrame:
     """One row: comments, blank ones, replies to blank ones that are not blank themselves, and what is kept."""
     rows = with_cleaned(comments).select("comment_id", "is_reply", "reply_to_comment_id", X.is_blank(F.col("cleaned_comment")).alias("blank"))
     gone = rows.where("blank").select(F.col("comment_id").alias("_gone")).distinct()
-    marked = rows.join(gone, F.col("is_reply") & (F.col("reply_to_comment_id") == F.col("_gone")), "left")
+    marked = rows.where(_answers()).join(gone, F.col("reply_to_comment_id") == F.col("_gone"), "left").unionByName(rows.where(~_answers()).withColumn("_gone", F.lit(None).cast("string")))
     orphan = F.col("_gone").isNotNull() & ~F.col("blank")
     return marked.agg(F.count("*").alias("n_comments"), F.count_if("blank").alias("n_blank"), F.count_if(orphan).alias("n_orphaned"), F.count_if(~F.col("blank") & ~orphan).alias("n_kept"))
 

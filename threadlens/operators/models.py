@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import re
+import math
 import time
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
+from ..functions import text as X
 
 # Texts that stand where no summary can.
 EMPTY_TEXT = "El texto de entrada está vacío."
@@ -27,7 +29,9 @@ FAILED = "error"
 def with_parent_text(comments: DataFrame) -> DataFrame:
     """``parent_text`` of the comment replied to; of a repeated id the first row counts; null where there is none."""
     parents = comments.groupBy(F.col("comment_id").alias("_parent")).agg(F.min_by("text", "row_pos").alias("parent_text"))
-    return comments.join(parents, F.col("reply_to_comment_id") == F.col("_parent"), "left").drop("_parent")
+    answers = F.col("reply_to_comment_id").isNotNull()  # the others have no key to meet by
+    found = comments.where(answers).join(parents, F.col("reply_to_comment_id") == F.col("_parent"), "left").drop("_parent")
+    return found.unionByName(comments.where(~answers).withColumn("parent_text", F.lit(None).cast("string")))
 
 
 def with_video_codes(comments: DataFrame, videos: DataFrame) -> DataFrame:
@@ -76,43 +80,93 @@ def scored(df: DataFrame, text: str, scorer: Callable[[list[str]], list[str]], k
     return rows.select(key, labels.from_model(F.col("label")).alias("sentiment"))
 
 
-def lexicon_sentiment(df: DataFrame, lexicon: dict[str, float], key: str = "doc_id", text: str = "text", alpha: float = 15.0) -> DataFrame:
-    """Compound score s / sqrt(s * s + alpha) of the words' valences, and its label; all in Catalyst."""
-    table = F.create_map(*[F.lit(x) for pair in lexicon.items() for x in pair])
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w+\b"), F.lit(0))
-    total = F.aggregate(found, F.lit(0.0), lambda a, w: a + F.coalesce(F.element_at(table, w), F.lit(0.0)))
-    compound = F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + alpha)
-    return df.select(key, total.alias("_s")).select(key, F.round(compound, 6).alias("compound"), labels.from_compound(compound).alias("sentiment"))
+# The published constants of rule-based valence scoring (Hutto and Gilbert, 2014).
+ALPHA = 15.0  # of s / sqrt(s * s + ALPHA)
+BOOST, CAPITALS, NEGATION = 0.293, 0.733, -0.74
+FADING = (1.0, 0.95, 0.9)  # of a booster one, two and three words before
+EXCLAMATION, QUESTION, QUESTIONS = 0.292, 0.18, 0.96
+BEFORE_BUT, AFTER_BUT = 0.5, 1.5
+BOOSTERS = {"very": 1, "really": 1, "so": 1, "extremely": 1, "totally": 1, "muy": 1, "tan": 1, "super": 1, "totalmente": 1, "demasiado": 1, "slightly": -1, "barely": -1, "somewhat": -1, "poco": -1, "algo": -1, "apenas": -1}
+NEGATIONS = frozenset("not no never neither nor without cannot don't doesn't didn't isn't wasn't won't can't nunca ni sin jamás tampoco nada".split())
+BUTS = frozenset(("but", "pero"))
+
+
+def compound(text: str, lexicon: dict[str, float]) -> float:
+    """Between -1 and 1: the valences of a text's words, changed by what stands around them.
+
+    A word in capitals (in a text that is not all capitals) and boosters up to three words before weigh more or
+    less, a negation there turns the sign, what follows a "but" counts more than what leads to it, and
+    exclamation and question marks strengthen the whole.
+    """
+    raw = [w for x in text.split() if (w := x.strip(".,;:!?¡¿\"()[]{}*…“”«»"))]
+    words = [w.lower() for w in raw]
+    loud = [w.isupper() and len(w) > 1 for w in raw]
+    mixed = any(loud) and not all(loud)
+    sign = lambda x: (x > 0) - (x < 0)
+    values = []
+    for i, word in enumerate(words):
+        value = 0.0 if word in BOOSTERS else lexicon.get(word, 0.0)
+        if value:
+            if mixed and loud[i]:
+                value += CAPITALS * sign(value)
+            base, factor = sign(value), 1.0
+            for k, fading in enumerate(FADING, 1):
+                if i < k or words[i - k] in lexicon and words[i - k] not in BOOSTERS and words[i - k] not in NEGATIONS:
+                    continue
+                boost = BOOSTERS.get(words[i - k], 0) * BOOST
+                if boost and mixed and loud[i - k]:
+                    boost += CAPITALS * sign(boost)
+                value += boost * base * fading
+                if words[i - k] in NEGATIONS:
+                    factor *= NEGATION
+            value *= factor
+        values.append(value)
+    at = next((i for i, w in enumerate(words) if w in BUTS), None)
+    if at is not None:
+        values = [v * (BEFORE_BUT if i < at else AFTER_BUT if i > at else 1) for i, v in enumerate(values)]
+    total = sum(values)
+    asked = text.count("?")
+    total += sign(total) * (EXCLAMATION * min(text.count("!"), 4) + (0.0 if asked < 2 else QUESTION * asked if asked < 4 else QUESTIONS))
+    return total / float(np.sqrt(total * total + ALPHA))
+
+
+def lexicon_sentiment(df: DataFrame, lexicon: dict[str, float], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``compound`` of every text (null as empty), rounded to four places as published, and its label; the lexicon is sent to every worker."""
+    sent = df.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in parts:
+            yield pd.DataFrame({key: frame[key], "compound": [round(compound(t or "", sent.value), 4) for t in frame[text]]})
+
+    rows = df.select(key, text).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, compound double")
+    return rows.select(key, "compound", labels.from_compound(F.col("compound")).alias("sentiment"))
 
 
 # --- summaries
 
-_SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
-_WORD = re.compile(r"\w+")
+SENTENCE, WORD = r"[^.!?\n]+[.!?]*", r"[\p{L}\p{N}_]+"
+_SENTENCE, _WORD = regex.compile(SENTENCE), regex.compile(WORD)
+BLANKS = " \t\r\x0b\x0c"
 
 
 def lsa_sentences(text: str, n: int = 5) -> str:
-    """The ``n`` sentences with the longest vectors in latent-semantic space, in document order."""
+    """The ``n`` sentences with the longest vectors in latent-semantic space, in document order.
+
+    A term of a sentence weighs 0.4 + 0.6 times its count over that of the sentence's most frequent term.  All
+    dimensions are kept, and there a sentence's length, the root of the sum of (singular value * component)^2, is
+    the length of its own column: A = U S V' and U only turns.  So no matrix is built, however long the text.
+    """
     if not text.strip():
         return EMPTY_TEXT
-    sentences = [s.strip() for s in _SENTENCE.findall(text) if s.strip()]
+    sentences = [s for x in _SENTENCE.findall(text) if (s := x.strip(BLANKS))]
     if len(sentences) <= n:
         return " ".join(sentences)
-    words = [_WORD.findall(s.lower()) for s in sentences]
-    place = {w: i for i, w in enumerate(dict.fromkeys(w for s in words for w in s))}
-    if not place:
-        return " ".join(sentences[:n])
-    matrix = np.zeros((len(place), len(sentences)))
-    for j, s in enumerate(words):
-        for w in s:
-            matrix[place[w], j] += 1
-    top = matrix.max(0, keepdims=True)
-    matrix = np.where(matrix > 0, 0.4 + 0.6 * matrix / np.where(top == 0, 1, top), 0)
-    # the Gram matrix is sentences x sentences: the vocabulary's size does not matter
-    values, vectors = np.linalg.eigh(matrix.T @ matrix)
-    keep = values > values.max() * 1e-9
-    rank = np.sqrt(np.maximum((values[keep] ** 2 * vectors[:, keep] ** 2).sum(1), 0))
-    chosen = sorted(np.argsort(-np.round(rank, 9), kind="stable")[:n].tolist())
+    rank = []
+    for s in sentences:
+        counts = Counter(_WORD.findall(s.lower()))
+        most = max(counts.values(), default=1)
+        rank.append(-round(math.sqrt(math.fsum((0.4 + 0.6 * c / most) ** 2 for c in counts.values())), 9))
+    chosen = sorted(sorted(range(len(sentences)), key=lambda i: (rank[i], i))[:n])
     return " ".join(sentences[i] for i in chosen)
 
 
@@ -132,6 +186,15 @@ def summarised(df: DataFrame, text: str, key: str = "doc_id", n: int = 5) -> Dat
     return df.select(key, text).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, summary string")
 
 
+def summaries(videos: DataFrame, transcripts: DataFrame, n: int = 5) -> DataFrame:
+    """Videos (video_id, summary, ...) with a summary of their transcript where they have none; without a transcript the fixed message."""
+    missing = videos.where(F.col("summary").isNull()).select("video_id").distinct()
+    texts = missing.join(transcripts, "video_id", "left").select("video_id", F.when(F.col("snippets").isNotNull(), X.transcript_text(F.col("snippets"))).alias("said"))
+    some = summarised(texts.where("said is not null"), "said", "video_id", n)
+    made = some.unionByName(texts.where("said is null").select("video_id", F.lit(NO_SUMMARY).alias("summary"))).withColumnRenamed("summary", "_made")
+    return videos.join(made, "video_id", "left").withColumn("summary", F.coalesce("summary", "_made")).drop("_made")
+
+
 # --- model calls
 
 
@@ -170,12 +233,14 @@ def retried(call: Callable[[], tuple[str, int]], attempts: int = 6, low: float =
     return None, 0
 
 
-def classified(prompts: DataFrame, client: Callable[[str, str], tuple[str, int]], key: str, estimate: int = 800, budget: int = 450_000, attempts: int = 6, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def classified(prompts: DataFrame, client: Callable[[str, str], tuple[str, int]], key: str, estimate: int = 800, budget: int = 450_000, attempts: int = 6, sleep: Callable[[float], None] = time.sleep, lanes: int = 8) -> DataFrame:
     """(key, classification, polarity) of rows (key, prompt, message); what fails or does not parse is 'error'.
 
-    The budget is shared out evenly among the partitions.
+    All calls go through ``lanes`` tasks, each with its share of the budget, so the
+    budget holds whatever runs when; with a budget of few calls there are fewer lanes.
     """
-    share = max(1, budget // prompts.rdd.getNumPartitions())
+    lanes = max(1, min(lanes, budget // max(1, estimate)))
+    share = budget // lanes
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         window = TokenWindow(share, sleep=sleep)
@@ -188,5 +253,36 @@ def classified(prompts: DataFrame, client: Callable[[str, str], tuple[str, int]]
                 out.append(answer)
             yield pd.DataFrame({key: frame[key], "response": out})
 
-    rows = prompts.select(key, "prompt", "message").mapInPandas(run, f"{key} {dict(prompts.dtypes)[key]}, response string")
+    rows = prompts.select(key, "prompt", "message").repartition(lanes, key).mapInPandas(run, f"{key} {dict(prompts.dtypes)[key]}, response string")
     return rows.select(key, labels.answer(F.col("response")).alias("a")).select(key, "a.*")
+
+
+def _resumed(work: DataFrame, key: str, results: Callable[[DataFrame], DataFrame], retry: str | None) -> DataFrame:
+    """``work`` with classification and polarity; rows that have one keep it (unless it equals ``retry``), the others get ``results``."""
+    for c in ("classification", "polarity"):
+        work = work if c in work.columns else work.withColumn(c, F.lit(None).cast("string"))
+    todo = F.col("classification").isNull() | (F.col("classification") == retry if retry is not None else F.lit(False))
+    got = results(work.where(todo).drop("classification", "polarity"))
+    return work.where(~todo).unionByName(work.where(todo).drop("classification", "polarity").join(got, key, "left").select(work.columns))
+
+
+def classified_videos(videos: DataFrame, client, context: str, subject: str, retry: str | None = None, **options) -> DataFrame:
+    """Videos (video_id, summary, ...) with classification and polarity of their summaries; what is classified already stays."""
+
+    def results(todo: DataFrame) -> DataFrame:
+        asked = todo.select("video_id", F.lit(labels.video_prompt(context, subject)).alias("prompt"), F.col("summary").alias("message")).dropDuplicates(["video_id"])
+        return classified(asked, client, "video_id", **{"estimate": 1500} | options)
+
+    return _resumed(videos, "video_id", results, retry)
+
+
+def comment_prompts(comments: DataFrame, videos: DataFrame, context: str, subject: str) -> DataFrame:
+    """(comment_id, prompt, message): the video's codes and, for a reply, the parent's text are part of the question."""
+    found = with_video_codes(with_parent_text(comments), videos)
+    prompt = labels.comment_prompt(context, subject, F.col("video_stance"), F.col("video_mood"), F.col("parent_text"))
+    return found.select("comment_id", prompt.alias("prompt"), F.col("text").alias("message"))
+
+
+def classified_comments(comments: DataFrame, videos: DataFrame, client, context: str, subject: str, retry: str | None = None, **options) -> DataFrame:
+    """Comments with classification and polarity; parents are looked up among all comments, finished ones included."""
+    return _resumed(comments, "comment_id", lambda todo: classified(comment_prompts(comments, videos, context, subject).join(todo.select("comment_id").distinct(), "comment_id", "left_semi").dropDuplicates(["comment_id"]), client, "comment_id", **options), retry)

@@ -36,5 +36,7 @@ def deanonymized(df: DataFrame, mapping: DataFrame, columns: tuple[str, ...] = H
     """Originals where the mapping knows the pseudonym, null elsewhere."""
     for c in columns:
         one = mapping.where(F.col("column") == c).select(F.col("anon").alias("_anon"), F.col("original").alias("_original"))
-        df = df.join(one, F.col(c) == F.col("_anon"), "left").withColumn(c, F.col("_original")).drop("_anon", "_original")
+        # the empty pseudonym of many rows stands for null: such rows are dealt by what else they hold and match nothing
+        key = F.when(F.col(c) != "", F.col(c)).otherwise(F.concat(F.lit("#"), F.xxhash64(*df.columns).cast("string")))
+        df = df.withColumn("_key", key).join(one, F.col("_key") == F.col("_anon"), "left").withColumn(c, F.col("_original")).drop("_anon", "_original", "_key")
     return df

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import intervals
 from ..functions import text as X
 
 ZONE = "America/Bogota"
@@ -12,16 +13,23 @@ UNITS = {"monthly": "MONTH", "daily": "DAY", "hourly": "HOUR"}
 
 
 def localised(comments: DataFrame, column: str = "published_at", zone: str = ZONE) -> DataFrame:
-    """``local_ts`` without zone from a UTC time or its text; rows whose time cannot be read go."""
+    """``local_ts`` without zone from a UTC time or its text; rows whose time cannot be read go.
+
+    Text may name a zone of its own; text that names none is UTC.
+    """
     source = F.col(column)
     if dict(comments.dtypes)[column] == "string":
-        source = F.try_to_timestamp(source)
+        named = source.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})\s*$")
+        plain = F.convert_timezone(F.lit("UTC"), F.current_timezone(), source.try_cast("timestamp_ntz")).cast("timestamp")
+        moment = F.when(named, F.try_to_timestamp(source)).otherwise(plain)
+        source = F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment.cast("timestamp_ntz"))
     local = F.convert_timezone(F.lit("UTC"), F.lit(zone), source.cast("timestamp_ntz"))
     return comments.withColumn("local_ts", local).where("local_ts is not null")
 
 
-def between(comments: DataFrame, start: str, end: str) -> DataFrame:
-    """local_ts in [start, end)."""
+def between(comments: DataFrame, start: str, end: str, zone: str = ZONE) -> DataFrame:
+    """local_ts in [start, end); ends that name a zone are converted, ValueError for what is no time or out of order."""
+    start, end = intervals.span(start, end, zone)
     return comments.where((F.col("local_ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("local_ts") < F.lit(end).cast("timestamp_ntz")))
 
 
@@ -57,11 +65,18 @@ def volume(comments: DataFrame, kind: str, start: str | None = None, end: str |
     return spine(counts, kind, start, end).join(counts, "bucket", "left").select("bucket", F.coalesce("n_comments", F.lit(0)).alias("n_comments"), F.coalesce("n_words", F.lit(0)).alias("n_words"))
 
 
-def documents(comments: DataFrame, kind: str) -> DataFrame:
-    """The comments of each bucket joined by blanks in time order; '' where there are none.
+def documents(comments: DataFrame, kind: str, piece: int = 10_000) -> DataFrame:
+    """(bucket, part, document): the comments of each bucket joined by blanks in time order, '' where there are none.
 
-    Everything else here works on bags of terms; this concatenation is for exports.
+    A document is cut into parts of ``piece`` comments, numbered from 0, so that no
+    bucket has to fit into one row; joined by blanks in order they are the bucket's
+    text.  Everything else here works on bags of terms; this is for exports.
     """
-    rows = bucketed(comments, kind)
-    joined = rows.groupBy("bucket").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("local_ts", "row_pos", "cleaned_comment"))), lambda x: x["cleaned_comment"]), " ").alias("document"))
-    return spine(joined, kind).join(joined, "bucket", "left").select("bucket", F.coalesce("document", F.lit("")).alias("document"))
+    rows = bucketed(comments, kind).select("bucket", "local_ts", "row_pos", "cleaned_comment")
+    hours = rows.withColumn("cell", F.date_trunc("HOUR", "local_ts"))
+    # places are numbered by the hour and shifted by the hours before, so a bucket is never ordered in one task
+    within = F.row_number().over(Window.partitionBy("bucket", "cell").orderBy("local_ts", "row_pos"))
+    before = hours.groupBy("bucket", "cell").agg(F.count("*").alias("m")).withColumn("before", F.sum("m").over(Window.partitionBy("bucket").orderBy("cell")) - F.col("m")).drop("m")
+    placed = hours.withColumn("rn", within).join(before, ["bucket", "cell"]).withColumn("part", F.floor((F.col("rn") - 1 + F.col("before")) / piece).cast("int"))
+    joined = placed.groupBy("bucket", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("local_ts", "row_pos", "cleaned_comment"))), lambda x: x["cleaned_comment"]), " ").alias("document"))
+    return spine(joined.select("bucket"), kind).join(joined, "bucket", "left").select("bucket", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("document", F.lit("")).alias("document"))

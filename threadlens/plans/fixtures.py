@@ -10,13 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def comments(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """One comment for each event; its text is the first 200 characters of a document, as COMMENTS_SQL has it, or all of it."""
-    text = F.col("text") if whole else F.substring("text", 1, 200)
+def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One comment for each event; its text is that of a document."""
     events, docs, labels = (table(spark, sf_dir, n) for n in ("events", "documents", "labels"))
     size = docs.agg(F.count("*").alias("n_docs"))  # one row
     e = F.col("event_id")
-    rows = events.crossJoin(F.broadcast(size)).withColumn("doc_id", e % F.col("n_docs")).join(docs.select("doc_id", text.alias("said")), "doc_id").join(labels, "doc_id", "left")
+    rows = events.crossJoin(F.broadcast(size)).withColumn("doc_id", e % F.col("n_docs")).join(docs.select("doc_id", F.col("text").alias("said")), "doc_id").join(labels, "doc_id", "left")
     reply = e % 3 != 0
     return rows.select(
         F.concat(F.lit("v"), F.expr("event_id div 3 % 40")).alias("video_id"),
@@ -35,7 +34,7 @@ def comments(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame
 
 COMMENTS_SQL = """comments AS (
   SELECT 'v' || ((e.event_id // 3) % 40) AS video_id, 'c' || e.event_id AS comment_id,
-    CASE WHEN e.event_id % 51 = 0 THEN '123 :) https://x.co/a' ELSE substr(d.text, 1, 200) END AS text,
+    CASE WHEN e.event_id % 51 = 0 THEN '123 :) https://x.co/a' ELSE d.text END AS text,
     'user_' || e.user_id AS author_name, 'u' || e.user_id AS author_id, e.ts AS published_at,
     CAST(floor(e.value) AS BIGINT) AS likes, e.event_id % 3 <> 0 AS is_reply,
     CASE WHEN e.event_id % 3 <> 0 THEN 'c' || (e.event_id - e.event_id % 3) END AS reply_to_comment_id,
@@ -53,15 +52,6 @@ ALL_CLEANED_SQL = COMMENTS_SQL + r""", all_cleaned AS (
     AND NOT (is_reply AND reply_to_comment_id IS NOT NULL AND EXISTS (SELECT 1 FROM blank b WHERE b.comment_id = a.reply_to_comment_id)))"""
 
 
-def whole_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comments(spark, sf_dir, whole=True)
-
-
-def whole_sql(sql: str) -> str:
-    """SQL over ``comments`` as it reads over ``whole_comments``."""
-    return sql.replace("substr(d.text, 1, 200)", "d.text")
-
-
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested video items as an API would give them, one for each video of ``comments``."""
     found = comments(spark, sf_dir).groupBy("video_id").agg(F.count("*").alias("n"))
@@ -88,6 +78,83 @@ VIDEOS_SQL = (
 
 
 def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested comment threads from conversations: turn 0 is the top-level comment, later turns its replies."""
-    one = F.struct(F.concat("conv_id", F.lit("-"), "turn").alias("id"), F.struct(F.col("text").alias("textDisplay"), F.col("role").alias("authorDisplayName"), F.col("turn").alias("likeCount")).alias("snippet"))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, one)).alias("top"), F.array_sort(F.collect_list(F.when(F.col("turn") > 0, one))).alias("replies")).where("top is not null")
+    """(video_id, page_pos, item): JSON documents of threads from conversations; turn 0 is the top comment, later turns its replies."""
+    said = F.struct(
+        F.col("text").alias("textDisplay"), F.col("role").alias("authorDisplayName"), F.concat(F.lit("2024-01-0"), F.col("turn") % 9 + 1, F.lit("T00:00:0"), F.col("turn") % 10, F.lit("Z")).alias("publishedAt"),
+        F.col("turn").alias("likeCount"), F.struct(F.concat(F.lit("UC"), "role").alias("value")).alias("authorChannelId"),
+    )
+    one = F.struct(F.concat("conv_id", F.lit("-"), "turn").alias("id"), said.alias("snippet"))
+    rows = table(spark, sf_dir, "conversations").withColumn("one", F.struct("turn", one.alias("c")))
+    met = rows.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("one"))).alias("top"), F.transform(F.array_sort(F.collect_list(F.when(F.col("turn") > 0, F.col("one")))), lambda x: x["c"]).alias("replies")).where("top is not null")
+    item = F.to_json(F.struct(F.struct(F.col("top.c").alias("topLevelComment")).alias("snippet"), F.when(F.size("replies") > 0, F.struct(F.col("replies").alias("comments"))).alias("replies")))
+    return met.select(F.concat(F.lit("v"), F.col("conv_id") % 7).alias("video_id"), F.col("conv_id").alias("page_pos"), item.alias("item"))
+
+
+THREADS_SQL = """threads AS (SELECT 'v' || (conv_id % 7) AS video_id, conv_id || '-' || turn AS comment_id, text, role AS author_name, 'UC' || role AS author_id,
+    CAST('2024-01-0' || (turn % 9 + 1) || ' 00:00:0' || (turn % 10) AS TIMESTAMP) AS published_at, turn AS likes, turn > 0 AS is_reply, CASE WHEN turn > 0 THEN conv_id || '-0' END AS reply_to_comment_id,
+    row_number() OVER (PARTITION BY conv_id % 7 ORDER BY conv_id, turn) AS rn FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0))"""
+
+
+class Api:
+    """A stand-in for the network: what it answers follows from the ids asked for."""
+
+    VIDEOS = 130
+
+    def __call__(self, endpoint: str, asked: dict) -> dict:
+        return getattr(self, endpoint)(asked)
+
+    def _page(self, items: list, asked: dict) -> dict:
+        at, size = int(asked.get("pageToken", 0)), int(asked["maxResults"])
+        return {"items": items[at : at + size]} | ({"nextPageToken": str(at + size)} if at + size < len(items) else {})
+
+    def search(self, asked: dict) -> dict:
+        return self._page([{"id": {"videoId": f"v{k}"}} for k in range(self.VIDEOS)], asked)
+
+    def videos(self, asked: dict) -> dict:
+        ks = [int(x[1:]) for x in asked["id"].split(",")]
+        return {"items": [{"id": f"v{k}", "snippet": {"title": f"title {k}", "publishedAt": "2024-01-01T00:00:00Z", "channelId": f"ch{k % 7}", "channelTitle": f"channel {k % 7}", "description": "about"}, "statistics": {"viewCount": str(k * 100)}, "contentDetails": {"duration": f"PT{k}S"}} for k in ks if k % 10 != 9]}
+
+    def channels(self, asked: dict) -> dict:
+        ks = [int(x[2:]) for x in asked["id"].split(",")]
+        return {"items": [{"id": f"ch{k}", "statistics": {"subscriberCount": str(k * 1000 + 7)}, "snippet": {"country": "CO"} if k % 2 == 0 else {}} for k in ks if k != 6]}
+
+    def commentThreads(self, asked: dict) -> dict:
+        k = int(asked["videoId"][1:])
+        said = lambda name, n: {"id": name, "snippet": {"textDisplay": f"text \"{name}\"\nñ", "authorDisplayName": f"user {n % 5}", "publishedAt": f"2024-01-01T00:00:{n % 60:02}Z", "likeCount": n, "authorChannelId": {"value": f"UC{n % 5}"}}}
+        items = [{"snippet": {"topLevelComment": said(f"v{k}-{j}", j)}} | ({"replies": {"comments": [said(f"v{k}-{j}-{r}", j + r + 1) for r in range(j % 3)]}} if j % 3 else {}) for j in range(k % 4 * 90)]
+        return self._page(items, asked)
+
+    def transcript(self, asked: dict) -> dict:
+        k = int(asked["videoId"][1:])
+        if k % 10 == 3:
+            raise RuntimeError("no transcript")
+        return {"items": [{"text": f"snippet {j}  of {k}"} for j in range(k % 4)]}
+
+
+def by_length(prompt: str, message: str) -> tuple[str, int]:
+    """A stand-in for a language model: its two numbers follow from the lengths; every seventh answer is none."""
+    n, m = len(prompt), len(message or "")
+    return (f"{n % 5 + 1},{m % 3 + 1}" if (n + m) % 7 else "no answer"), 600
+
+
+class Busy:
+    """A detector of one's own: a tick is an event if it has more messages than the one before; it fails on ticks of one message."""
+
+    def __init__(self) -> None:
+        self.before: int | None = None
+
+    def __call__(self, view: dict) -> dict | None:
+        before, self.before = self.before, view["n_msgs"]
+        if view["n_msgs"] == 1:
+            raise ValueError("one message only")
+        return None if before is None else {"score": float(view["n_msgs"] - before), "is_event": view["n_msgs"] > before}
+
+
+def wordy(spark: SparkSession) -> DataFrame:
+    """A small lexicon of forms (form, lemma, pos, is_stop)."""
+    rows = [("word", "word", "NOUN", False), ("casas", "casa", "NOUN", False), ("bonitas", "bonito", "ADJ", False), ("son", "ser", "AUX", False), ("las", "el", "DET", True), ("the", "the", "DET", True), ("and", "and", "CCONJ", False), ("tiene", "tener", "VERB", False), ("people", "person", "NOUN", False), ("made", "make", "VERB", False), ("that", "that", "PRON", True), ("with", "with", "ADP", False)]
+    return spark.createDataFrame(rows, "form string, lemma string, pos string, is_stop boolean")
+
+
+#: valences of words that the test tables hold, and of some that any text may
+VALENCES = {"good": 1.9, "great": 3.1, "bad": -2.5, "awful": -2.0, "love": 3.2, "hate": -2.7, "bueno": 1.9, "malo": -2.2, "excelente": 3.0, "horrible": -2.5, "idiot": -2.3, "moron": -2.0, "stupid": -2.4, "happy": 2.7, "sad": -2.1, "thanks": 1.9, "gracias": 1.8}

@@ -87,18 +87,28 @@ def lookup(ids: DataFrame, column: str, transport: Transport, endpoint: str, bat
 
 
 def comment_threads(ids: DataFrame, transport: Transport, max_comments: int | None = None) -> DataFrame:
-    """(video_id, page_pos, item): the thread documents of each video, walked inside its task."""
+    """(video_id, page_pos, item): the thread documents of each video, walked inside its task.
+
+    Paging ends once ``max_comments`` comments and replies have come; ``collect.flat_threads`` cuts at the very number.
+    """
     import json
 
-    def run(parts):
-        import pandas as pd
+    import pyarrow as pa
 
-        for frame in parts:
-            for video in frame["video_id"]:
-                got = list(pages(transport, "commentThreads", {"videoId": video, "maxResults": 100}, max_comments))
-                yield pd.DataFrame({"video_id": [video] * len(got), "page_pos": range(len(got)), "item": [json.dumps(x) for x in got]})
+    schema = pa.schema([("video_id", pa.string()), ("page_pos", pa.int64()), ("item", pa.string())])
 
-    return ids.select("video_id").distinct().mapInPandas(run, "video_id string, page_pos bigint, item string")
+    def run(parts):
+        for part in parts:
+            for video in part.column(0).to_pylist():
+                got, said = [], 0
+                for item in pages(transport, "commentThreads", {"videoId": video, "maxResults": 100}):
+                    if max_comments is not None and said >= max_comments:
+                        break
+                    got.append(json.dumps(item, ensure_ascii=False))
+                    said += 1 + len((item.get("replies") or {}).get("comments") or [])
+                yield pa.RecordBatch.from_pydict({"video_id": [video] * len(got), "page_pos": list(range(len(got))), "item": got}, schema)
+
+    return ids.select("video_id").where("video_id is not null").distinct().mapInArrow(run, "video_id string, page_pos bigint, item string")
 
 
 def transcripts(ids: DataFrame, transport: Transport, language: str = "es") -> DataFrame:

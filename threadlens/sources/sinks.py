@@ -6,14 +6,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, index: str | None = None) -> None:
+    """CSV with a header; with ``index`` that column (a time, say) comes first, in its order."""
+    if index is not None:
+        df = df.select(index, *[c for c in df.columns if c != index]).repartitionByRange(index).sortWithinPartitions(index)
+    df.write.mode("overwrite").options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def _quoted(column: F.Column) -> F.Column:
+    """A JSON string; characters outside ASCII stay as they are."""
+    listed = F.to_json(F.array(column))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def mapping_lines(mapping: DataFrame) -> DataFrame:
+    """(o, column, anon, value): the lines of one document {column: {anon: original}}, indented by four, in order of the other three.
+
+    A line knows whether it is its column's last one from an aggregate, so no column has to fit anywhere as a whole.
+    """
+    known = mapping.where(F.col("anon").isNotNull())
+    ends = known.groupBy("column").agg(F.max("anon").alias("_last"))
+    final = ends.agg(F.max("column").alias("_final"))  # one row
+    heads = ends.select(F.lit(1).alias("o"), "column", F.lit("").alias("anon"), F.concat(F.lit("    "), _quoted(F.col("column")), F.lit(": {")).alias("value"))
+    comma = lambda last: F.when(last, "").otherwise(",")
+    rows = known.join(F.broadcast(ends), "column")  # a row for each column of a table
+    entries = rows.select(F.lit(1).alias("o"), "column", "anon", F.concat(F.lit("        "), _quoted(F.col("anon")), F.lit(": "), _quoted(F.col("original")), comma(F.col("anon") == F.col("_last"))).alias("value"))
+    feet = ends.crossJoin(F.broadcast(final)).select(F.lit(1).alias("o"), "column", F.lit("\uffff").alias("anon"), F.concat(F.lit("    }"), comma(F.col("column") == F.col("_final"))).alias("value"))
+    braces = mapping.sparkSession.createDataFrame([(0, "", "", "{"), (2, "", "", "}")], "o int, column string, anon string, value string")
+    return braces.unionByName(heads).unionByName(entries).unionByName(feet)
 
 
 def write_mapping(mapping: DataFrame, path: str) -> None:
-    """One document a column, {column: {anon: original}}; a column's map is one row, so keep this for exports."""
-    maps = mapping.groupBy("column").agg(F.map_from_entries(F.collect_list(F.struct("anon", "original"))).alias("m"))
-    maps.select(F.to_json(F.create_map("column", "m")).alias("value")).write.mode("overwrite").text(path)
+    """The mapping document as part files: put together in the order of their names they are the document."""
+    order = ["o", "column", "anon"]
+    mapping_lines(mapping).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
 
 
 def _xml(column) -> F.Column:
