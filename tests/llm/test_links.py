@@ -31,6 +31,6 @@ def test_every_link_counts(spark, monkeypatch, block):
     want = brute(texts)
     assert got == sorted((str(None if k % 11 == 0 else k % 40), len(plain.shingles(t)), n) for k, (t, n) in enumerate(zip(texts, want)))
     assert max(want) >= 22 and sum(want) // 2 > 2 * len(texts)
-    _, _, spanning = jaccard_join.joined(docs)
+    _, _, spanning, _ = jaccard_join.joined(docs)
     assert spanning.count() < sum(want) // 2
     assert jaccard_join.linked(docs.where("false")).count() == 0

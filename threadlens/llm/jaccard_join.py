@@ -340,8 +340,10 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     bound = max(skew.LEAST, total // skew.MOST)
     salts = F.ceil(F.col("n") / bound).cast("int")
     members = turned.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
-    hubs = members.select("hub", "salt").distinct().join(nodes.select(F.col("node").alias("hub"), "z"), "hub").select("hub", "salt", F.lit(None).cast("bigint").alias("node"), "z")
-    others = skew.joined(members.select("hub", "salt", "node"), nodes.select("node", "z"), "node", degrees, total, "hub").select("hub", "salt", "node", "z")
+    # only texts that some pair asks for go further
+    texts = scratch.durable(nodes.select("node", "z").join(degrees.select("node"), "node", "left_semi"), "candidate-texts")
+    hubs = members.select("hub", "salt").distinct().join(texts.select(F.col("node").alias("hub"), "z"), "hub").select("hub", "salt", F.lit(None).cast("bigint").alias("node"), "z")
+    others = skew.joined(members.select("hub", "salt", "node"), texts, "node", degrees, total, "hub").select("hub", "salt", "node", "z")
     # nulls first: a hub's own text comes before the others
     dealt = hubs.unionByName(others).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "node")
     schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "n_a", "n_b", "common")])
@@ -445,22 +447,24 @@ def _crossing(open_groups: DataFrame, nodes: DataFrame) -> DataFrame:
     return dealt.groupBy("g", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(row, doc_id, h, n, node) of every row, its nodes with their component, and verified links (a, b, n_a, n_b, common) between nodes.
+def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(row, doc_id, h, n, node) of every row, its nodes with their component, verified links (a, b, n_a, n_b, common) between nodes, and the nodes' texts.
 
-    Nodes have node, n, copies, z, root (the least node of the component) and m: (none, doc_id, h, copies) of
-    the component's first row, by doc_id (null last) and h.  The links span the
+    Nodes have node, n, copies, root (the least node of the component) and m: (none, doc_id, h, row) of the
+    component's first row, by doc_id (null last), h and row.  The links span the
     components and are not all there are: ``linked`` counts those.
     """
     spark = docs.sparkSession
-    rows = scratch.durable(sets(docs), "shingle-sets")
-    some = rows.where("node is not null")
+    every = scratch.durable(sets(docs), "shingle-sets")
+    some = every.where("node is not null")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row")
     nodes = some.groupBy("node").agg(
         F.first(F.when(F.col("z").isNotNull(), F.struct("n", "bits", "spare0", "spare1", "z")), ignorenulls=True).alias("s"), F.min(first).alias("m"), F.count("*").alias("copies"), F.min("second").alias("low"), F.max("second").alias("high")
     )
     checked = F.when(F.col("low") == F.col("high"), F.col("s.n")).otherwise(F.raise_error(F.lit("two shingle sets with one hash")).cast("bigint"))
     nodes = scratch.durable(nodes.select("node", checked.alias("n"), "copies", "m", "s.bits", "s.spare0", "s.spare1", "s.z"), "set-nodes")
+    rows = scratch.durable(every.select("row", "doc_id", "h", "n", "node"), "set-rows")
+    scratch.drop(every)
     # about half an entry of 14 bytes for each shingle
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 7 * (nodes.agg(F.sum("n")).first()[0] or 0) // BUCKET_BYTES)
     found = scratch.durable(index_groups(nodes, buckets), "index-groups")
@@ -475,7 +479,7 @@ def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components.labels(links.select("a", "b"))
-    return rows.select("row", "doc_id", "h", "n", "node"), _classed(nodes, labels), links
+    return rows, _classed(nodes, labels), links, nodes.select("node", "z")
 
 
 def _classed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -483,8 +487,8 @@ def _classed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     own = scratch.durable(labels.join(nodes.select("node", "m"), "node"), "labelled-nodes")
     classes = scratch.durable(own.groupBy("root").agg(F.min("m").alias("first"), F.count("*").alias("size")), "components")
     met = skew.joined(own.select("node", "root"), classes.drop("size"), "root", classes.select("root", "size"), own.count(), "node")
-    every = nodes.join(met, "node", "left")
-    return scratch.durable(every.select("node", "n", "copies", "z", F.coalesce("root", "node").alias("root"), F.coalesce("first", "m").alias("m")), "classed-nodes")
+    every = nodes.select("node", "n", "copies", "m").join(met, "node", "left")
+    return scratch.durable(every.select("node", "n", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("first", "m").alias("m")), "classed-nodes")
 
 
 def _with_nodes(rows: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
@@ -494,7 +498,7 @@ def _with_nodes(rows: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable) of every row."""
-    rows, nodes, _ = joined(docs)
+    rows, nodes, _, _ = joined(docs)
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("m.doc_id"))
     return _with_nodes(rows, nodes, "m").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
@@ -502,13 +506,14 @@ def classes(docs: DataFrame) -> DataFrame:
 LINK_BLOCK = 512  # nodes of a component that are compared with as many others in one task
 
 
-def _linked_rows(nodes: DataFrame) -> DataFrame:
-    """(node, n_near): the rows whose sets are similar to a node's own but not equal; ``nodes`` has node, root, copies and z.
+def _linked_rows(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, n_near): the rows whose sets are similar to a node's own but not equal; ``nodes`` has node, root and copies, ``texts`` node and z.
 
     Similar sets lie in one component, so each pair of a component's nodes is looked at once, on the shingles themselves.
     """
     size = nodes.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
-    rows = scratch.durable(skew.joined(nodes.select("root", "node", "copies", "z"), size, "root", size, nodes.count(), "node"), "linked-nodes")
+    asked = skew.joined(nodes.select("root", "node", "copies"), size, "root", size, nodes.count(), "node")
+    rows = scratch.durable(asked.join(texts, "node"), "linked-nodes")
     placed = rows.withColumn("of", F.ceil(F.col("size") / LINK_BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "copies", "z")
 
@@ -541,8 +546,8 @@ def _linked_rows(nodes: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row: the other rows whose shingle sets are similar to its own, equal ones included."""
-    rows, nodes, _ = joined(docs)
-    near = nodes.select("node", "copies", "m").join(_linked_rows(nodes), "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n_near", F.lit(0)))
+    rows, nodes, _, texts = joined(docs)
+    near = nodes.select("node", "copies", "m").join(_linked_rows(nodes, texts), "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n_near", F.lit(0)))
     every = _with_nodes(rows, scratch.durable(near, "linked-nodes"), "m", "n_links")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("m.doc_id"))
     return every.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -556,7 +561,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     class that has only such rows keeps one.  Rows without shingles all stay.
     Columns are kept whatever their names.
     """
-    rows, nodes, _ = joined(docs)
+    rows, nodes, _, _ = joined(docs)
     first = nodes.groupBy("root").agg(F.min("m").alias("m")).select("m.doc_id", "m.h", "m.row")
     # rows of one id and one text are one and the same: one of them stays, and the join below must not meet all of them
     again = rows.where("node is not null").groupBy("doc_id", "h").agg(F.count("*").alias("copies")).where("copies > 1")

@@ -24,6 +24,11 @@ BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Run:
     """The tables of one run."""
 
@@ -32,11 +37,9 @@ class Run:
 
     def sweep(self, spark: SparkSession, keep: int = 0) -> None:
         """Delete this run's tables but for the last ``keep``; only when what derives from them has been written."""
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         until = len(self.paths) - keep
         for name in self.paths[:until]:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(spark, name)
         del self.paths[:until]
 
 
@@ -101,3 +104,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     with small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table that ``durable`` has written; only when what derives from it has been written."""
+    names = {file.rpartition("/")[0] for file in table.inputFiles()}
+    held = _current.get()
+    for path in [p for p in held.paths if any(name.endswith(p.rpartition("/")[2]) for name in names)]:
+        _delete(table.sparkSession, path)
+        held.paths.remove(path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST = 10_000  # hot keys at most, by construction
-LEAST = 200  # rows that any key may have in one task
+LEAST = 32  # rows that any key may have in one task
 
 
 def joined(rows: DataFrame, keyed: DataFrame, key: str, sizes: DataFrame, total: int, by: str, how: str = "inner") -> DataFrame:
