@@ -76,3 +76,30 @@ OP10 = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '{_
   link AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
   reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
   SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(r, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS r FROM reach GROUP BY a) USING (doc_id)"""
+
+# k-means by the full scan: one step for each of the five moves, written out from the contract.
+_KEPT = """x AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+  c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INTEGER) AS cluster, v AS c FROM x ORDER BY sha256('2:' || vec_id) LIMIT 40)"""
+_NEAREST = "SELECT vec_id, any_value(v) AS v, min(CAST(d AS BIGINT)) AS distance, CAST(arg_min(cluster, [d, cluster]) AS INTEGER) AS cluster FROM (SELECT vec_id, v, cluster, list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS d FROM x, c{0}) GROUP BY vec_id"
+_MOVED = """s{0} AS (SELECT cluster, i, sum(v[i]) AS s, count(*) AS n FROM a{0}, range(1, 65) t(i) GROUP BY ALL),
+  m{0} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{0} GROUP BY cluster), c{1} AS (SELECT cluster, coalesce(m.c, old.c) AS c FROM c{0} old LEFT JOIN m{0} m USING (cluster))"""
+_ROUNDS = ", ".join(f"a{r} AS MATERIALIZED ({_NEAREST.format(r)}), {_MOVED.format(r, r + 1)}" for r in range(5))
+OP12 = f"""WITH {_KEPT}, {_ROUNDS}, a5 AS MATERIALIZED ({_NEAREST.format(5)})
+  SELECT vec_id, a5.cluster, distance, CAST(sum(distance) OVER (PARTITION BY a5.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a5 JOIN c5 ON c5.cluster = a5.cluster"""
+
+# CRC-32 by a table made from the polynomial, over each different word once.
+OP13 = f"""WITH crc AS MATERIALIZED (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+  d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '{_ALNUM}') AS w FROM documents), dw AS (SELECT doc_id, unnest(w) AS word FROM d),
+  bw AS (SELECT unnest(regexp_extract_all({_FOLDED}, '{_ALNUM}')) AS word FROM benchmark),
+  hexed AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+  bucket AS MATERIALIZED (SELECT word, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(x), 2), lambda i: (strpos('0123456789ABCDEF', x[i]) - 1) * 16 + strpos('0123456789ABCDEF', x[i + 1]) - 1)),
+    lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256)), 4294967295) % 10000 AS b FROM hexed, crc),
+  ds AS (SELECT b, count(*) AS s FROM dw JOIN bucket USING (word) GROUP BY b), bt AS (SELECT b, count(*) AS t FROM bw JOIN bucket USING (word) GROUP BY b),
+  total AS (SELECT (SELECT count(*) FROM dw) AS s_all, (SELECT count(*) FROM bw) AS t_all),
+  gain AS (SELECT b, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (s_all + 10000) AS DOUBLE) / CAST((coalesce(s, 0) + 1) * (t_all + 10000) AS DOUBLE))) AS BIGINT) AS g FROM ds FULL JOIN bt USING (b), total),
+  w AS (SELECT doc_id, sum(g) AS g, count(*) AS n FROM dw JOIN bucket USING (word) JOIN gain USING (b) GROUP BY doc_id),
+  scored AS (SELECT d.doc_id, coalesce(n, 0) AS n_features, CAST(coalesce((g - ((g % n) + n) % n) // n, 0) AS BIGINT) AS weight, CAST(('0x' || substr(sha256('2024:' || d.doc_id), 1, 8)) AS BIGINT) AS h FROM d LEFT JOIN w USING (doc_id)),
+  final AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM scored),
+  ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM final WHERE n_features >= 20)
+  SELECT doc_id, n_features, weight, score, CASE WHEN r <= (SELECT count(*) * 10 // 100 FROM final WHERE n_features >= 20) THEN r END AS rank FROM final LEFT JOIN ranked USING (doc_id)"""

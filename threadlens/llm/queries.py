@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontam, jaccard_join, langid, licenses, oracles, quality_knn, quality_rules, secrets, substring_dedup, token_store
+from . import byte_bpe, centroids, decontam, jaccard_join, langid, licenses, oracles, quality_knn, quality_rules, resampling, secrets, substring_dedup, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": lambda s, d: substring_dedup.op8(_docs(s, d)),
         "op9_license_scan": lambda s, d: licenses.op9(_docs(s, d)),
         "op10_jaccard_join": lambda s, d: jaccard_join.op10(_docs(s, d)),
+        "op12_exponion": lambda s, d: centroids.op12(_table(s, d, "embeddings")),
+        "op13_resampling": lambda s, d: resampling.op13(_docs(s, d), _table(s, d, "benchmark")),
         "op2_rule_ablation": lambda s, d: quality_rules.op2_ablation(_docs(s, d)),
         "op10_jaccard_links": lambda s, d: jaccard_join.linked(_docs(s, d)),
     }
@@ -38,4 +40,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The rest has no SQL: models, tokenizers and an expression parser; tests hold those to plain re-implementations."""
-    return {"op1_decontamination": oracles.OP1, "op2_quality_rules": oracles.OP2, "op2_rule_ablation": oracles.OP2_ABLATION, "op6_secret_scan": oracles.OP6, "op8_substring_dedup": oracles.OP8, "op10_jaccard_join": oracles.OP10}
+    return {"op1_decontamination": oracles.OP1, "op2_quality_rules": oracles.OP2, "op2_rule_ablation": oracles.OP2_ABLATION, "op6_secret_scan": oracles.OP6, "op8_substring_dedup": oracles.OP8, "op10_jaccard_join": oracles.OP10, "op12_exponion": oracles.OP12, "op13_resampling": oracles.OP13}
