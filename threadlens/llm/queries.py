@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, centroids, decontam, jaccard_join, langid, licenses, oracles, quality_knn, quality_rules, resampling, secrets, substring_dedup, token_store
+from . import byte_bpe, centroids, decontam, jaccard_join, langid, licenses, oracles, personal, quality_knn, quality_rules, resampling, secrets, substring_dedup, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": lambda s, d: substring_dedup.op8(_docs(s, d)),
         "op9_license_scan": lambda s, d: licenses.op9(_docs(s, d)),
         "op10_jaccard_join": lambda s, d: jaccard_join.op10(_docs(s, d)),
+        "op11_personal_data": lambda s, d: personal.op11(_docs(s, d)),
         "op12_exponion": lambda s, d: centroids.op12(_table(s, d, "embeddings")),
         "op13_resampling": lambda s, d: resampling.op13(_docs(s, d), _table(s, d, "benchmark")),
         "op2_rule_ablation": lambda s, d: quality_rules.op2_ablation(_docs(s, d)),
