@@ -27,17 +27,13 @@ ODD = bursts.Sliding("2024-01-10 00:07:00", "2024-01-11 00:00:00", step="25min",
 SUBJECT, CONTEXT = "¿Es buena la reforma?", "Comentarios de videos"
 
 
-def _cleaned(s: SparkSession, d: str) -> DataFrame:
-    return cleaning.clean_comments(fx.comments(s, d))
+def _cleaned(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    return cleaning.clean_comments(fx.comments(s, d), list(columns))
 
 
 def _local(s: SparkSession, d: str) -> DataFrame:
-    return timebuckets.localised(_cleaned(s, d))
-
-
-def _cleaned_once(s: SparkSession, d: str) -> DataFrame:
-    """Cleaned comments in local time as a written table, for queries that read them more than once."""
-    return shared.durable(_local(s, d).select("local_ts", "row_pos", "cleaned_comment"), "cleaned-comments")
+    """Cleaned comments in local time; every text has been cleaned once, into a written table."""
+    return timebuckets.localised(_cleaned(s, d, "published_at", "row_pos", "cleaned_comment")).select("local_ts", "row_pos", "cleaned_comment")
 
 
 def _range(kind: str) -> dict:
@@ -56,7 +52,7 @@ def _series(kind: str, which: int):
 
 
 def _volume(kind: str):
-    return lambda s, d: timebuckets.volume(_cleaned_once(s, d), kind)
+    return lambda s, d: timebuckets.volume(_local(s, d), kind)
 
 
 def _shown(steps: bursts.Steps, step: str) -> DataFrame:
@@ -189,15 +185,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ids = ["comment_id", "author_id", "author_name", "reply_to_comment_id", "video_id", "text", "likes"]
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "comments": fx.comments,
-        "clean_comments": lambda s, d: _cleaned(s, d).select("comment_id", "cleaned_comment"),
-        "lemmatised_comments": lambda s, d: cleaning.lemmatised(_cleaned(s, d), fx.wordy(s)).select("comment_id", "cleaned_comment"),
+        "clean_comments": lambda s, d: _cleaned(s, d, "comment_id", "cleaned_comment"),
+        "lemmatised_comments": lambda s, d: cleaning.lemmatised(_cleaned(s, d, "comment_id", "cleaned_comment"), fx.wordy(s)),
         "removed_counters": lambda s, d: cleaning.removed_counters(fx.comments(s, d)),
         "removed_repeats": lambda s, d: collect.without_repeats(fx.comments(s, d).select("video_id", "author_id", "likes"))[1],
-        "user_activity": lambda s, d: cleaning.user_activity(_cleaned(s, d)),
-        "user_activity_joined": lambda s, d: cleaning.user_activity_joined(_cleaned(s, d)),
+        "user_activity": lambda s, d: cleaning.user_activity(_cleaned(s, d, "author_name", "video_id")),
+        "user_activity_joined": lambda s, d: cleaning.user_activity_joined(_cleaned(s, d, "author_name", "video_id")),
         "localised_times": lambda s, d: timebuckets.localised(_texted(s, d)).select("comment_id", "local_ts"),
         "comments_between": lambda s, d: timebuckets.between(timebuckets.localised(fx.comments(s, d)), "2024-01-08T05:00:00Z", "2024-01-10T09:30:00+02:00").select("comment_id", "local_ts"),
-        "bucket_documents": lambda s, d: timebuckets.documents(_cleaned_once(s, d), "daily").groupBy("bucket").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "document"))), lambda x: x["document"]), " "), 256).alias("document_sha256")),
+        "bucket_documents": lambda s, d: timebuckets.documents(_local(s, d), "daily").groupBy("bucket").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "document"))), lambda x: x["document"]), " "), 256).alias("document_sha256")),
         "api_search": lambda s, d: _ids(s),
         "api_videos": lambda s, d: collect.flat_videos(collect.parsed(api.lookup(_ids(s), "video_id", fx.Api(), "videos"), schemas.VIDEO_ITEM)),
         "api_channels": lambda s, d: collect.flat_channels(api.lookup(s.range(7).select(F.concat(F.lit("ch"), "id").alias("channel_id")), "channel_id", fx.Api(), "channels")),
@@ -205,7 +201,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "api_transcripts": lambda s, d: api.transcripts(_ids(s), fx.Api()).select("video_id", X.transcript_text(F.col("snippets")).alias("said")),
         "csv_comments": lambda s, d: _csv(fx.comments(s, d).select("comment_id", "text", "author_name", "likes", "is_reply", "reply_to_comment_id"), "comment_id string, text string, author_name string, likes bigint, is_reply boolean, reply_to_comment_id string").select("comment_id", F.sha2("text", 256).alias("text_sha256"), "author_name", "likes", "is_reply", F.nullif("reply_to_comment_id", F.lit("")).alias("reply_to_comment_id")),
         "csv_anonymized": lambda s, d: _csv(privacy.anonymized(fx.comments(s, d).select(*ids).withColumn("Unnamed: 0", F.lit(1)), SALT), "comment_id string, author_id string, reply_to_comment_id string, video_id string, likes bigint").withColumn("reply_to_comment_id", F.coalesce("reply_to_comment_id", F.lit(""))),
-        "csv_snapshots": lambda s, d: _csv(timebuckets.volume(_cleaned_once(s, d), "daily"), "bucket timestamp_ntz, n_comments bigint, n_words bigint", "bucket"),
+        "csv_snapshots": lambda s, d: _csv(timebuckets.volume(_local(s, d), "daily"), "bucket timestamp_ntz, n_comments bigint, n_words bigint", "bucket"),
         "json_videos": lambda s, d: _json(fx.videos(s, d)),
         "mapping_document": _mapping_document,
         "graphml_edges": _graphml,

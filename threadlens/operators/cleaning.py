@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import text as X
 
 
@@ -24,30 +25,44 @@ def lemmatised(comments: DataFrame, lexicon: DataFrame, key: str = "comment_id")
     return comments.join(joined, key, "left").withColumn("cleaned_comment", F.coalesce("_lemmas", F.lit(""))).drop("_lemmas")
 
 
-def _answers() -> F.Column:
+def _answers() -> Column:
     """Whether a row names a parent; only such rows are joined, so null keys never meet in one task."""
     return F.coalesce(F.col("is_reply"), F.lit(False)) & F.col("reply_to_comment_id").isNotNull()
 
 
+def _blank(cleaned: DataFrame) -> Column:
+    return F.col("blank") if "blank" in cleaned.columns else X.is_blank(F.col("cleaned_comment"))
+
+
 def without_blank(cleaned: DataFrame) -> DataFrame:
-    """Without blank comments and without replies to them; other replies stay, also those to unknown comments."""
-    blank = X.is_blank(F.col("cleaned_comment"))
-    gone = cleaned.where(blank).select(F.col("comment_id").alias("_gone")).distinct()
-    kept = cleaned.where(~blank)
-    return kept.where(~_answers()).unionByName(kept.where(_answers()).join(gone, F.col("reply_to_comment_id") == F.col("_gone"), "left_anti"))
+    """Without blank comments and without replies to them; other replies stay, also those to unknown comments.
+
+    ``cleaned`` is read twice; its ``blank``, where it has one, saves looking at the text.
+    """
+    gone = cleaned.where(_blank(cleaned)).select(F.col("comment_id").alias("_gone")).distinct()
+    # what answers nothing gets a key of its own, which no comment has: keys without a partner are dealt evenly
+    key = F.when(_answers(), F.col("reply_to_comment_id")).otherwise(F.concat(F.lit("\x00"), F.xxhash64("comment_id").cast("string")))
+    return cleaned.where(~_blank(cleaned)).join(gone, key == F.col("_gone"), "left_anti")
+
 
+def clean_comments(comments: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Cleaned comments without blank ones and replies to those; all columns and ``cleaned_comment``, or only ``columns``.
 
-def clean_comments(comments: DataFrame) -> DataFrame:
-    return without_blank(with_cleaned(comments))
+    Every text is cleaned once, into a written table with what the cascade and ``columns`` need.
+    """
+    columns = [*comments.columns, "cleaned_comment"] if columns is None else columns
+    keys = ["comment_id", "is_reply", "reply_to_comment_id"]
+    once = with_cleaned(comments).select(*dict.fromkeys([*columns, *keys]), X.is_blank(F.col("cleaned_comment")).alias("blank"))
+    return without_blank(shared.durable(once, "cleaned-comments")).select(*columns)
 
 
 def removed_counters(comments: DataFrame) -> DataFrame:
     """One row: comments, blank ones, replies to blank ones that are not blank themselves, and what is kept."""
-    rows = with_cleaned(comments).select("comment_id", "is_reply", "reply_to_comment_id", X.is_blank(F.col("cleaned_comment")).alias("blank"))
+    rows = shared.durable(with_cleaned(comments).select("comment_id", F.when(_answers(), F.col("reply_to_comment_id")).alias("parent"), X.is_blank(F.col("cleaned_comment")).alias("blank")), "blank-comments")
     gone = rows.where("blank").select(F.col("comment_id").alias("_gone")).distinct()
-    marked = rows.where(_answers()).join(gone, F.col("reply_to_comment_id") == F.col("_gone"), "left").unionByName(rows.where(~_answers()).withColumn("_gone", F.lit(None).cast("string")))
+    key = F.coalesce("parent", F.concat(F.lit("\x00"), F.xxhash64("comment_id").cast("string")))
     orphan = F.col("_gone").isNotNull() & ~F.col("blank")
-    return marked.agg(F.count("*").alias("n_comments"), F.count_if("blank").alias("n_blank"), F.count_if(orphan).alias("n_orphaned"), F.count_if(~F.col("blank") & ~orphan).alias("n_kept"))
+    return rows.join(gone, key == F.col("_gone"), "left").agg(F.count("*").alias("n_comments"), F.count_if("blank").alias("n_blank"), F.count_if(orphan).alias("n_orphaned"), F.count_if(~F.col("blank") & ~orphan).alias("n_kept"))
 
 
 def user_activity(comments: DataFrame) -> DataFrame:
