@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from . import schemas, shared
 from .functions import labels, text as X
-from .operators import bursts, cleaning, collect, graph, models, privacy, termstats, timebuckets
+from .operators import bursts, changes, cleaning, collect, graph, models, privacy, termstats, timebuckets
 from .plans import fixtures as fx
 from .sources import api, files, sinks
 from .streaming import live
@@ -19,11 +19,10 @@ SALT = "0123456789abcdef"
 STOPS = [*termstats.spanish_stop_words(), "the", "and", "that", "for"]
 DAYS = ("2024-01-07", "2024-01-15")
 DAY = ("2024-01-11", "2024-01-12")
-#: 800 terms a window and 300 important ones a tick, as the reference's own run has it; the range is an argument of the replay
+#: what streams replay; all other windows span all events
 WINDOWS = bursts.Sliding("2024-01-10 00:00:00", "2024-01-12 23:59:00", top_n=800)
-DETECTOR = bursts.Detector(baseline=288, k_sigma=1.0, min_history=5, top_k=300, sigma_floor=0.01, min_count_window=2, require_min_terms=2)
-#: windows that neither the step nor a day divides
-ODD = bursts.Sliding("2024-01-10 00:07:00", "2024-01-11 00:00:00", step="25min", window="1h10min", grain="50min", top_n=20)
+#: the reference's own run: 800 terms a window, 300 important ones a tick
+DETECTOR = bursts.Detector(baseline=288, k_sigma=3.5, min_history=24, top_k=300, sigma_floor=0.08, min_count_window=2, require_min_terms=2)
 SUBJECT, CONTEXT = "¿Es buena la reforma?", "Comentarios de videos"
 
 
@@ -55,32 +54,58 @@ def _volume(kind: str):
     return lambda s, d: timebuckets.volume(_local(s, d), kind)
 
 
-def _shown(steps: bursts.Steps, step: str) -> DataFrame:
-    if step == "top":
-        return steps.top.select("tick", "term", "freq", "rank")
-    if step == "tfidf":
-        return steps.tfidf.select("tick", "bin", "term", F.round("tfidf", 6).alias("tfidf"))
-    if step == "mean":
-        return bursts.vectors(steps.tfidf, steps.bins, "mean", steps.w.grain_us).select("tick", "term", F.round("value", 6).alias("value"))
-    if step == "delta":
-        return steps.changed().change.select("tick", "seq", "term", *[F.round(c, 6).alias(c) for c in ("now", "before", "d")])
-    if step == "terms":
-        return steps.judged().found.select("tick", "term", "freq", "history", *[F.round(c, 6).alias(c) for c in ("d", "mu", "sigma", "z")])
-    snap = steps.snapshots()
-    return _snaps(snap) if step == "snapshots" else bursts.events(snap).withColumn("score", F.round("score", 6) + 0.0)
+def _span(s: SparkSession, d: str, first: str = "INTERVAL 0 MINUTES", more: str = "INTERVAL '24:09' HOUR TO MINUTE") -> tuple[str, str]:
+    """From the first midnight, in local time, that no event precedes to a moment off the grid after the last event."""
+    local = timebuckets.localised(fx.table(s, d, "events").select(F.col("ts").alias("published_at")))
+    day = lambda moment, shift: (F.date_trunc("DAY", moment).cast("timestamp_ntz") + F.expr(shift)).cast("string")
+    start, end = local.agg(day(F.min("local_ts"), first), day(F.max("local_ts"), more)).first()  # two moments
+    return (start, end) if start else (WINDOWS.start, WINDOWS.end)
 
 
-def _snaps(snap: DataFrame) -> DataFrame:
-    return snap.select("tick", "n_msgs", "tfidf_terms", (F.round("score", 6) + 0.0).alias("score"), "important_count", "is_event")
+def _changes(s: SparkSession, d: str) -> changes.Changes:
+    return changes.Changes(_local(s, d), bursts.Sliding(*_span(s, d), top_n=WINDOWS.top_n), DETECTOR, STOPS)
 
 
-def _sliding(step: str, windows=lambda s, d: WINDOWS):
-    def run(s: SparkSession, d: str) -> DataFrame:
-        w = windows(s, d)
-        counted = bursts.windowed(_local(s, d), w, STOPS)
-        return counted[0] if step == "counts" else _shown(bursts.Steps(*counted, w, DETECTOR), step)
+def _sliding_counts(s: SparkSession, d: str) -> DataFrame:
+    """The stretches of ticks in which a term's frequency stands: every window's counts, without writing them tick by tick."""
+    made = _changes(s, d)
+    moment = lambda c: made.grid.moment(F.col(c)).alias(c)
+    return changes.stretches(made.ranges).select("term", "freq", moment("first"), moment("last"))
 
-    return run
+
+def _sliding_tfidf(s: SparkSession, d: str) -> DataFrame:
+    made = _changes(s, d)
+    rows = made.tfidf().withColumn("bin", F.date_format(made.grid.bin_moment(F.col("bin")), "yyyyMMddHHmm"))
+    return made.timed(changes.digests(rows, "k", ["term", "bin"], ["tfidf"], "n_weights", "weights_sha256")).select("tick", "n_weights", "weights_sha256")
+
+
+def _sliding_mean(s: SparkSession, d: str) -> DataFrame:
+    made = _changes(s, d)
+    return made.timed(changes.digests(made.vectors("mean"), "k", ["term"], ["value"], "n_terms", "means_sha256")).select("tick", "n_terms", "means_sha256")
+
+
+def _tfidf_delta(s: SparkSession, d: str) -> DataFrame:
+    made = _changes(s, d)
+    return made.timed(changes.digests(made.changes(), "seq", ["term"], ["now", "before", "d"], "n_terms", "changes_sha256")).select("tick", F.col("seq").cast("int").alias("seq"), "n_terms", "changes_sha256")
+
+
+def _burst_terms(s: SparkSession, d: str) -> DataFrame:
+    return _changes(s, d).found().select("tick", "term", "freq", "history", *[F.round(c, 6).alias(c) for c in ("d", "mu", "sigma", "z")])
+
+
+def _burst_events(s: SparkSession, d: str) -> DataFrame:
+    return bursts.events(_changes(s, d).snapshots()).withColumn("score", F.round("score", 6) + 0.0)
+
+
+def _odd_windows(s: SparkSession, d: str) -> DataFrame:
+    """Windows that neither the step nor a day divides: what each holds by bin and term, as one digest a tick."""
+    w = bursts.Sliding(*_span(s, d, "INTERVAL 7 MINUTES"), step="25min", window="1h10min", grain="50min", top_n=20)
+    rows = bursts.windowed(_local(s, d), w, STOPS)[0].withColumn("bin", F.date_format("bin", "yyyyMMddHHmm"))
+    return changes.digests(rows, "tick", ["term", "bin", "n"], [], "n_cells", "counts_sha256")
+
+
+def _snaps(snap: DataFrame) -> DataFrame:
+    return snap.select("tick", "n_msgs", "tfidf_terms", (F.round("score", 6) + 0.0).alias("score"), "important_count", "is_event")
 
 
 def _stream_events(s: SparkSession, d: str) -> DataFrame:
@@ -233,8 +258,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lsa_summary": lambda s, d: models.summarised(fx.table(s, d, "documents").select("doc_id", "text"), "text"),
         "video_summaries": _summaries,
         "lexicon_sentiment": lambda s, d: models.lexicon_sentiment(fx.table(s, d, "documents").select("doc_id", "text"), fx.VALENCES),
-        "sliding_counts": _sliding("counts"), "sliding_top_terms": _sliding("top"), "sliding_tfidf": _sliding("tfidf"), "sliding_mean": _sliding("mean"), "sliding_odd_windows": _sliding("counts", lambda s, d: ODD),
-        "tfidf_delta": _sliding("delta"), "burst_terms": _sliding("terms"), "burst_snapshots": _sliding("snapshots"), "burst_events": _sliding("events"),
+        "sliding_counts": _sliding_counts, "sliding_top_terms": lambda s, d: (lambda made: made.timed(made.top()).select("tick", "term", "freq", "rank"))(_changes(s, d)),
+        "sliding_tfidf": _sliding_tfidf, "sliding_mean": _sliding_mean, "sliding_odd_windows": _odd_windows, "tfidf_delta": _tfidf_delta,
+        "burst_terms": _burst_terms, "burst_snapshots": lambda s, d: _snaps(_changes(s, d).snapshots()), "burst_events": _burst_events,
         "hooked_detector": _hooked,
         "stream_sliding_counts": lambda s, d: live.sliding_counts_once(_local(s, d), WINDOWS, STOPS),
         "stream_bursts": lambda s, d: _snaps(live.bursts_once(_local(s, d), WINDOWS, DETECTOR, STOPS)),
@@ -283,32 +309,50 @@ def _series_sql(kind: str, which: int) -> str:
   SELECT bucket, term, {value} FROM spine CROSS JOIN top LEFT JOIN t USING (bucket, term)"""
 
 
-_SLIDING = f"""WITH {_LOCAL}, ticks AS (SELECT unnest(list_append(generate_series(TIMESTAMP '2024-01-10 00:10:00', TIMESTAMP '2024-01-12 23:50:00', INTERVAL 10 MINUTE), TIMESTAMP '2024-01-12 23:59:00')) AS tick),
-  member AS (SELECT tick, time_bucket(INTERVAL 10 MINUTE, local_ts) AS bin, cleaned_comment FROM ticks JOIN local ON local_ts > tick - INTERVAL 2 HOUR AND local_ts < tick),
-  sizes AS (SELECT tick, count(*) AS n_msgs FROM member GROUP BY tick), bins AS (SELECT DISTINCT tick, bin FROM member),
-  tokens AS (SELECT tick, bin, {_TERMS} FROM member), counts AS (SELECT tick, bin, term, count(*) AS n FROM tokens GROUP BY ALL),
-  freqs AS (SELECT tick, term, sum(n) AS freq FROM counts GROUP BY ALL),
-  top AS (SELECT * FROM (SELECT tick, term, freq, row_number() OVER (PARTITION BY tick ORDER BY freq DESC, term) AS rank FROM freqs) WHERE rank <= {WINDOWS.top_n}),
-  kept AS (SELECT c.* FROM counts c JOIN top USING (tick, term)), n_bins AS (SELECT tick, count(*) AS n_docs FROM bins GROUP BY tick),
-  w AS (SELECT tick, bin, term, n * (ln((1.0 + n_docs) / (1.0 + count(*) OVER (PARTITION BY tick, term))) + 1.0) AS w FROM kept JOIN n_bins USING (tick)),
-  t AS (SELECT tick, bin, term, w / sqrt(sum(w * w) OVER (PARTITION BY tick, bin)) AS tfidf FROM w),
-  vec AS (SELECT tick, term, sum(tfidf) AS value FROM t GROUP BY ALL), weighed AS (SELECT tick, count(*) AS tfidf_terms FROM vec GROUP BY tick),
-  seqs AS (SELECT tick, row_number() OVER (ORDER BY tick) AS seq FROM sizes), num AS (SELECT seq, term, value FROM vec JOIN seqs USING (tick)),
-  delta AS (SELECT tick, seq, term, coalesce(a.value, 0.0) AS now, coalesce(b.value, 0.0) AS before, abs(coalesce(a.value, 0.0) - coalesce(b.value, 0.0)) AS d
-    FROM num a FULL JOIN (SELECT seq + 1 AS seq, term, value FROM num) b USING (seq, term) JOIN seqs USING (seq) WHERE seq > 1),
-  hist AS (SELECT d.*, coalesce(freq, 0) AS freq, count(d) OVER h AS history, coalesce(avg(d) OVER h, 0.0) AS mu, coalesce(stddev_pop(d) OVER h, 0.0) AS sigma
-    FROM delta d LEFT JOIN top USING (tick, term) WINDOW h AS (PARTITION BY d.term ORDER BY seq ROWS BETWEEN {DETECTOR.baseline} PRECEDING AND 1 PRECEDING)),
-  z AS (SELECT *, round((d - mu) / greatest(sigma, {DETECTOR.sigma_floor}), 9) AS z, history >= {DETECTOR.min_history} AND freq >= {DETECTOR.min_count_window} AND round(d - mu - {DETECTOR.k_sigma} * greatest(sigma, {DETECTOR.sigma_floor}), 9) > 0 AS important FROM hist),
-  found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tick ORDER BY z DESC, term) AS rank FROM z WHERE important) WHERE rank <= {DETECTOR.top_k}),
-  scores AS (SELECT tick, greatest(0.0, max(z)) AS max_z, max(z) FILTER (WHERE freq >= {DETECTOR.min_count_window}) AS max_z_valid FROM z GROUP BY tick),
-  listed AS (SELECT tick, count(*) AS important_count, list(term ORDER BY rank) AS terms FROM found GROUP BY tick),
+def _sliding_sql(a: str, b: str) -> str:
+    """Every tick's counts, terms, weights, changes and bursts for 10-minute steps in 2-hour windows from a to b, both in microseconds."""
+    return f"""WITH {_LOCAL}, span AS (SELECT {a} AS a, {b} AS b FROM events),
+  placed AS (SELECT epoch_us(local_ts) - a AS since, b - a AS len, epoch_us(local_ts) // 600000000 AS bin, {_TERMS.replace("unnest(", "list_prepend('', ").replace(") AS term", ") AS terms")} FROM local, span WHERE epoch_us(local_ts) - a > -7200000000 AND epoch_us(local_ts) < b),
+  counts AS MATERIALIZED (SELECT p, edge, late, len, bin, term, count(*) AS n FROM (SELECT CAST(floor(since / 600000000.0) AS BIGINT) AS p, since % 600000000 = 0 AS edge, since > len - 7200000000 AS late, len, bin, unnest(terms) AS term FROM placed) GROUP BY ALL),
+  member AS MATERIALIZED (SELECT k, bin, term, n FROM (SELECT bin, term, n, unnest(list_concat(range(greatest(p + 1, 1), least(p + CASE WHEN edge THEN 11 ELSE 12 END, len // 600000000) + 1), CASE WHEN late THEN [len // 600000000 + 1] ELSE [] END)) AS k FROM counts)),
+  ticks AS MATERIALIZED (SELECT k, make_timestamp(least(any_value(a) + k * 600000000, any_value(b))) AS tick, CAST(sum(n) AS BIGINT) AS n_msgs, count(DISTINCT bin) AS n_docs, min(bin) AS lo, max(bin) AS hi, row_number() OVER (ORDER BY k) AS seq FROM member, span WHERE term = '' GROUP BY k),
+  cells AS (SELECT k, bin, term, CAST(sum(n) AS BIGINT) AS n FROM member WHERE term <> '' GROUP BY ALL), freqs AS (SELECT k, term, CAST(sum(n) AS BIGINT) AS freq FROM member WHERE term <> '' GROUP BY ALL),
+  top AS MATERIALIZED (SELECT k, term, freq, row_number() OVER (PARTITION BY k ORDER BY freq DESC, term) AS rank FROM freqs QUALIFY rank <= {WINDOWS.top_n}),
+  kept AS (SELECT c.*, n_docs, count(*) OVER (PARTITION BY k, term) AS df FROM cells c JOIN top USING (k, term) JOIN ticks USING (k)),
+  t AS (SELECT k, bin, term, n * (ln((1.0 + n_docs) / (1.0 + df)) + 1.0) AS w, w / sqrt(sum(w * w) OVER (PARTITION BY k, bin)) AS tfidf FROM kept),
+  vec AS MATERIALIZED (SELECT k, term, sum(tfidf) AS value FROM t GROUP BY ALL), weighed AS (SELECT k, count(*) AS tfidf_terms FROM vec GROUP BY k), num AS (SELECT seq, term, value FROM vec JOIN ticks USING (k)),
+  delta AS (SELECT seq, term, coalesce(a.value, 0.0) AS now, coalesce(b.value, 0.0) AS before, round(abs(coalesce(a.value, 0.0) - coalesce(b.value, 0.0)), 9) AS d
+    FROM num a FULL JOIN (SELECT seq + 1 AS seq, term, value FROM num) b USING (seq, term) WHERE seq > 1 AND seq <= (SELECT max(seq) FROM ticks)),
+  hist AS (SELECT d.*, k, coalesce(freq, 0) AS freq, count(d) OVER h AS history, coalesce(avg(d) OVER h, 0.0) AS mu, coalesce(stddev_pop(d) OVER h, 0.0) AS sigma
+    FROM delta d JOIN ticks USING (seq) LEFT JOIN top USING (k, term) WINDOW h AS (PARTITION BY d.term ORDER BY seq ROWS BETWEEN {DETECTOR.baseline} PRECEDING AND 1 PRECEDING)),
+  z AS MATERIALIZED (SELECT *, round((d - mu) / greatest(sigma, {DETECTOR.sigma_floor}), 9) AS z, history >= {DETECTOR.min_history} AND freq >= {DETECTOR.min_count_window} AND round(d - mu - {DETECTOR.k_sigma} * greatest(sigma, {DETECTOR.sigma_floor}), 9) > 0 AS important FROM hist),
+  found AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY z DESC, term) AS rank FROM z WHERE important QUALIFY rank <= {DETECTOR.top_k}),
+  scores AS (SELECT k, greatest(0.0, max(z)) AS max_z, max(z) FILTER (WHERE freq >= {DETECTOR.min_count_window}) AS max_z_valid FROM z GROUP BY k),
+  listed AS (SELECT k, count(*) AS important_count, list(term ORDER BY rank) AS terms FROM found GROUP BY k),
   snap AS (SELECT tick, n_msgs, coalesce(tfidf_terms, 0) AS tfidf_terms, coalesce(max_z_valid, max_z, 0.0) AS score, CAST(coalesce(important_count, 0) AS BIGINT) AS important_count, terms, coalesce(important_count, 0) >= {DETECTOR.require_min_terms} AS is_event
-    FROM sizes LEFT JOIN scores USING (tick) LEFT JOIN listed USING (tick) LEFT JOIN weighed USING (tick))"""
+    FROM ticks LEFT JOIN scores USING (k) LEFT JOIN listed USING (k) LEFT JOIN weighed USING (k))"""
+
+
+_STREAMED = _sliding_sql("epoch_us(TIMESTAMP '2024-01-10 00:00:00')", "epoch_us(TIMESTAMP '2024-01-12 23:59:00')").replace("AS b FROM events)", "AS b)")
+_SLIDING = _sliding_sql("epoch_us(date_trunc('day', min(ts) - INTERVAL 5 HOUR))", "epoch_us(date_trunc('day', max(ts) - INTERVAL 5 HOUR)) + 86940000000")
+_MICRO = "CAST(CAST(round({} * 1000000) AS BIGINT) AS VARCHAR)"
+
+
+_SNAPS = " SELECT tick, n_msgs, tfidf_terms, round(score, 6) + 0.0 AS score, important_count, is_event FROM snap"
+_EVENTS = " SELECT tick, round(score, 6) + 0.0 AS score, array_to_string(list_slice(terms, 1, 8), ', ') AS important_terms, important_count FROM snap WHERE is_event"
+
+
+def _digest_sql(key: str, cells: str, n: str, digest: str, source: str) -> str:
+    return f"(SELECT {key}, count(*) AS {n}, sha256(array_to_string(list_sort(list({cells})), ',')) AS {digest} FROM {source} GROUP BY {key})"
+
 
-_ODD = f"""WITH {_LOCAL}, ticks AS (SELECT unnest(list_append(generate_series(TIMESTAMP '2024-01-10 00:32:00', TIMESTAMP '2024-01-10 23:59:00', INTERVAL 25 MINUTE), TIMESTAMP '2024-01-11 00:00:00')) AS tick),
-  member AS (SELECT tick, local_ts, cleaned_comment, epoch_us(date_trunc('day', min(local_ts) OVER (PARTITION BY tick))) AS o FROM ticks JOIN local ON local_ts > tick - INTERVAL 70 MINUTE AND local_ts < tick),
-  tokens AS (SELECT tick, make_timestamp(o + ((epoch_us(local_ts) - o) // 3000000000) * 3000000000) AS bin, {_TERMS} FROM member)
-  SELECT tick, bin, term, count(*) AS n FROM tokens GROUP BY ALL"""
+_ODD = f"""WITH {_LOCAL}, span AS (SELECT date_trunc('day', min(ts) - INTERVAL 5 HOUR) + INTERVAL 7 MINUTE AS a, date_trunc('day', max(ts) - INTERVAL 5 HOUR) + INTERVAL 1449 MINUTE AS b FROM events),
+  ticks AS (SELECT unnest(list_distinct(list_append(generate_series(a + INTERVAL 25 MINUTE, b, INTERVAL 25 MINUTE), b))) AS tick FROM span),
+  worded AS (SELECT local_ts, {_TERMS.replace("unnest(", "(").replace(" AS term", " AS terms")} FROM local),
+  member AS (SELECT tick, local_ts, terms, epoch_us(date_trunc('day', min(local_ts) OVER (PARTITION BY tick))) AS o FROM ticks JOIN worded ON local_ts > tick - INTERVAL 70 MINUTE AND local_ts < tick),
+  tokens AS (SELECT tick, make_timestamp(o + ((epoch_us(local_ts) - o) // 3000000000) * 3000000000) AS bin, unnest(terms) AS term FROM member),
+  held AS (SELECT tick, bin, term, count(*) AS n FROM tokens GROUP BY ALL)
+  SELECT * FROM """ + _digest_sql("tick", "term || ':' || strftime(bin, '%Y%m%d%H%M') || ':' || n", "n_cells", "counts_sha256", "held")
 
 _HASH = "CASE WHEN {0} IS NULL THEN '' ELSE sha256({0} || '" + SALT + "') END"
 _SCORE = "CASE {0} WHEN 'Positive' THEN 1 WHEN 'Negative' THEN -1 ELSE 0 END"
@@ -385,14 +429,14 @@ def oracle_sql() -> dict[str, str]:
         "deanonymized": c + f" SELECT comment_id, author_id, reply_to_comment_id, video_id, {_ANON} FROM comments",
         "bucket_documents": f"{_bucketed('daily', False)}, docs AS (SELECT bucket, string_agg(cleaned_comment, ' ' ORDER BY local_ts, row_pos) AS document FROM bucketed GROUP BY bucket) SELECT bucket, sha256(coalesce(document, '')) AS document_sha256 FROM spine LEFT JOIN docs USING (bucket)",
         "sliding_odd_windows": _ODD,
-        "sliding_counts": _SLIDING + " SELECT * FROM counts",
-        "sliding_top_terms": _SLIDING + " SELECT tick, term, CAST(freq AS BIGINT) AS freq, CAST(rank AS INT) AS rank FROM top",
-        "sliding_tfidf": _SLIDING + " SELECT tick, bin, term, round(tfidf, 6) AS tfidf FROM t",
-        "sliding_mean": _SLIDING + " SELECT tick, term, round(value / (date_diff('minute', lo, hi) / 10 + 1), 6) AS value FROM vec JOIN (SELECT tick, min(bin) AS lo, max(bin) AS hi FROM bins GROUP BY tick) USING (tick)",
-        "tfidf_delta": _SLIDING + " SELECT tick, CAST(seq AS INT) AS seq, term, round(now, 6) AS now, round(before, 6) AS before, round(d, 6) AS d FROM delta",
-        "burst_terms": _SLIDING + " SELECT tick, term, CAST(freq AS BIGINT) AS freq, history, round(d, 6) AS d, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(z, 6) AS z FROM found",
-        "burst_snapshots": _SLIDING + " SELECT tick, n_msgs, tfidf_terms, round(score, 6) + 0.0 AS score, important_count, is_event FROM snap",
-        "burst_events": _SLIDING + " SELECT tick, round(score, 6) + 0.0 AS score, array_to_string(list_slice(terms, 1, 8), ', ') AS important_terms, important_count FROM snap WHERE is_event",
+        "sliding_counts": _SLIDING + """, island AS (SELECT term, freq, k, k - row_number() OVER (PARTITION BY term, freq ORDER BY k) AS i FROM freqs WHERE k <= (SELECT (b - a) // 600000000 FROM span))
+          SELECT term, freq, make_timestamp(any_value(a) + min(k) * 600000000) AS first, make_timestamp(any_value(a) + max(k) * 600000000) AS last FROM island, span GROUP BY term, freq, i""",
+        "sliding_top_terms": _SLIDING + " SELECT tick, term, freq, CAST(rank AS INT) AS rank FROM top JOIN ticks USING (k)",
+        "sliding_tfidf": _SLIDING + f" SELECT tick, n_weights, weights_sha256 FROM {_digest_sql('k', 'term || chr(58) || strftime(make_timestamp(bin * 600000000), $$%Y%m%d%H%M$$) || chr(58) || ' + _MICRO.format('tfidf'), 'n_weights', 'weights_sha256', 't')} JOIN ticks USING (k)",
+        "sliding_mean": _SLIDING + f" SELECT tick, n_terms, means_sha256 FROM {_digest_sql('k', 'term || chr(58) || ' + _MICRO.format('value / (hi - lo + 1)'), 'n_terms', 'means_sha256', 'vec JOIN ticks USING (k)')} JOIN ticks USING (k)",
+        "tfidf_delta": _SLIDING + f" SELECT tick, CAST(seq AS INT) AS seq, n_terms, changes_sha256 FROM {_digest_sql('seq', ' || chr(58) || '.join(['term', *map(_MICRO.format, ('now', 'before', 'd'))]), 'n_terms', 'changes_sha256', 'delta')} JOIN ticks USING (seq)",
+        "burst_terms": _SLIDING + " SELECT tick, term, freq, history, round(d, 6) AS d, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(z, 6) AS z FROM found JOIN ticks USING (k)",
+        "burst_snapshots": _SLIDING + _SNAPS, "burst_events": _SLIDING + _EVENTS,
         "modal_sentiment_video": _G2 + " SELECT author_id, video_id, mode FROM by_video",
         "modal_sentiment_reply": _G2 + " SELECT author_id, replied_id, video_id, mode FROM by_reply",
         "graph_comment_video_vertices": _G1 + _VERTICES,
@@ -406,9 +450,9 @@ def oracle_sql() -> dict[str, str]:
           SELECT event_id, classification, polarity, {_tags("classification", labels.LIKERT)} AS likert, {_tags("polarity", labels.POLARITY)} AS mood, CASE polarity WHEN '3' THEN 'Positive' WHEN '2' THEN 'Neutral' WHEN '1' THEN 'Negative' END AS sentiment_gpt, CAST(event_id AS INT) AS requested FROM r""",
         "rolling_token_budget": "SELECT event_id, CAST(sum(event_id % 1500) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS BIGINT) AS used FROM events",
         "transcript_text": "SELECT doc_id, sha256(replace(array_to_string(string_split(text, chr(10)), '. ') || '. ', '  ', ' ')) AS text_sha256 FROM documents",
-        "stream_sliding_counts": _SLIDING + " SELECT tick, term, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY tick, term",
-        "hooked_detector": _SLIDING + """ SELECT tick, n_msgs, CASE WHEN n_msgs <> 1 THEN CAST(n_msgs - before AS DOUBLE) END AS score, CASE WHEN n_msgs = 1 THEN false ELSE n_msgs > before END AS is_event,
-          CASE WHEN n_msgs = 1 THEN 'one message only' END AS detector_error FROM (SELECT tick, n_msgs, lag(n_msgs) OVER (ORDER BY tick) AS before FROM sizes)""",
+        "stream_sliding_counts": _STREAMED + " SELECT tick, term, freq AS n FROM freqs JOIN ticks USING (k)",
+        "hooked_detector": _STREAMED + """ SELECT tick, n_msgs, CASE WHEN n_msgs <> 1 THEN CAST(n_msgs - before AS DOUBLE) END AS score, CASE WHEN n_msgs = 1 THEN false ELSE n_msgs > before END AS is_event,
+          CASE WHEN n_msgs = 1 THEN 'one message only' END AS detector_error FROM (SELECT tick, n_msgs, lag(n_msgs) OVER (ORDER BY tick) AS before FROM ticks)""",
         "lemmatised_comments": a + """, lexicon AS (SELECT * FROM (VALUES ('word', 'word', 'NOUN', false), ('casas', 'casa', 'NOUN', false), ('bonitas', 'bonito', 'ADJ', false), ('son', 'ser', 'AUX', false), ('las', 'el', 'DET', true), ('the', 'the', 'DET', true),
           ('and', 'and', 'CCONJ', false), ('tiene', 'tener', 'VERB', false), ('people', 'person', 'NOUN', false), ('made', 'make', 'VERB', false), ('that', 'that', 'PRON', true), ('with', 'with', 'ADP', false)) t(form, lemma, pos, is_stop)),
           each AS (SELECT comment_id, ws[i] AS form, i FROM (SELECT comment_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT comment_id, string_split(cleaned_comment, ' ') AS ws FROM cleaned))),
@@ -444,6 +488,6 @@ def oracle_sql() -> dict[str, str]:
         words = "len(list_filter(string_split(cleaned_comment, ' '), lambda x: x <> ''))"
         out[f"{kind}_volume"] = f"{_bucketed(kind, False)}, counts AS (SELECT bucket, count(*) AS n_comments, CAST(sum({words}) AS BIGINT) AS n_words FROM bucketed GROUP BY bucket) SELECT bucket, coalesce(n_comments, 0) AS n_comments, coalesce(n_words, 0) AS n_words FROM spine LEFT JOIN counts USING (bucket)"
         out[f"top_terms_{kind}"], out[f"tfidf_{kind}"] = _series_sql(kind, 0), _series_sql(kind, 1)
-    out |= {"csv_snapshots": out["daily_volume"], "stream_bursts": out["burst_snapshots"], "stream_events": out["burst_events"]}
+    out |= {"csv_snapshots": out["daily_volume"], "stream_bursts": _STREAMED + _SNAPS, "stream_events": _STREAMED + _EVENTS}
     # a lexicon scorer has no SQL
     return out
