@@ -67,10 +67,10 @@ def _changes(s: SparkSession, d: str) -> changes.Changes:
 
 
 def _sliding_counts(s: SparkSession, d: str) -> DataFrame:
-    """The stretches of ticks in which a term's frequency stands: every window's counts, without writing them tick by tick."""
+    """The stretches of ticks, cut at each 52nd, in which a term's frequency stands: every window's counts, without writing them tick by tick."""
     made = _changes(s, d)
     moment = lambda c: made.grid.moment(F.col(c)).alias(c)
-    return changes.stretches(made.ranges).select("term", "freq", moment("first"), moment("last"))
+    return changes.stretches(made.ranges()).select("term", "freq", moment("first"), moment("last"))
 
 
 def _sliding_tfidf(s: SparkSession, d: str) -> DataFrame:
@@ -429,8 +429,8 @@ def oracle_sql() -> dict[str, str]:
         "deanonymized": c + f" SELECT comment_id, author_id, reply_to_comment_id, video_id, {_ANON} FROM comments",
         "bucket_documents": f"{_bucketed('daily', False)}, docs AS (SELECT bucket, string_agg(cleaned_comment, ' ' ORDER BY local_ts, row_pos) AS document FROM bucketed GROUP BY bucket) SELECT bucket, sha256(coalesce(document, '')) AS document_sha256 FROM spine LEFT JOIN docs USING (bucket)",
         "sliding_odd_windows": _ODD,
-        "sliding_counts": _SLIDING + """, island AS (SELECT term, freq, k, k - row_number() OVER (PARTITION BY term, freq ORDER BY k) AS i FROM freqs WHERE k <= (SELECT (b - a) // 600000000 FROM span))
-          SELECT term, freq, make_timestamp(any_value(a) + min(k) * 600000000) AS first, make_timestamp(any_value(a) + max(k) * 600000000) AS last FROM island, span GROUP BY term, freq, i""",
+        "sliding_counts": _SLIDING + """, island AS (SELECT term, freq, k, k // 52 AS slice, k - row_number() OVER (PARTITION BY term, freq ORDER BY k) AS i FROM freqs WHERE k <= (SELECT (b - a) // 600000000 FROM span))
+          SELECT term, freq, make_timestamp(any_value(a) + min(k) * 600000000) AS first, make_timestamp(any_value(a) + max(k) * 600000000) AS last FROM island, span GROUP BY term, freq, slice, i""",
         "sliding_top_terms": _SLIDING + " SELECT tick, term, freq, CAST(rank AS INT) AS rank FROM top JOIN ticks USING (k)",
         "sliding_tfidf": _SLIDING + f" SELECT tick, n_weights, weights_sha256 FROM {_digest_sql('k', 'term || chr(58) || strftime(make_timestamp(bin * 600000000), $$%Y%m%d%H%M$$) || chr(58) || ' + _MICRO.format('tfidf'), 'n_weights', 'weights_sha256', 't')} JOIN ticks USING (k)",
         "sliding_mean": _SLIDING + f" SELECT tick, n_terms, means_sha256 FROM {_digest_sql('k', 'term || chr(58) || ' + _MICRO.format('value / (hi - lo + 1)'), 'n_terms', 'means_sha256', 'vec JOIN ticks USING (k)')} JOIN ticks USING (k)",

@@ -6,14 +6,20 @@ exactly on a pane's edge is counted apart: pane p has the places 2 p (its edge)
 and 2 p + 1, and the window of tick k holds the places from 2 k s - 2 n + 1 to
 2 k s - 1, for s panes a step and n panes a window.
 
+Ticks are dealt in slices of SLICE times the ticks that a pane lies in.  Comments
+go, as texts, to the slices whose ticks hold them and are counted there; those of
+panes with more than HOT comments are counted before, so that no pane weighs more
+than its vocabulary.  The counts are a table in buckets of slices: all steps up to
+the weights of each tick read it bucket by bucket, and nothing is sent again.
+
 A count enters a term's window at one tick and leaves it at another.  Running
 sums of these two signed changes give ranges of ticks in which the term's
 frequency stands (``ranges``); the same sums over ranges give, for each tick, the
-frequency that its top_n-th term has (``thresholds``).  Terms that reach it
-nowhere are never looked at again, the others are expanded over ticks only where
-they reach it (``ranked``), each with the cells of its window.  So what is sent
-and sorted a tick is about top_n rows, however many terms a window has.  An
-``end`` off the grid makes a last window of its own.
+frequency that its top_n-th term has (``thresholds``).  Terms that cannot reach
+it in their slice are never looked at again, the others are expanded over ticks
+only where they reach it (``ranked``), each with the cells of its window.  So what
+is sorted a tick is about top_n rows, however many terms a window has.  An ``end``
+off the grid makes a last window of its own.
 
 A term's weights in order of ticks give its changes (``moved``), and running sums
 of whole billionths the mean and deviation of the ``baseline`` changes before
@@ -37,6 +43,8 @@ from ..functions import text as X
 from .bursts import DAY, PLACES, Detector, Sliding, _at, _us
 
 MESSAGE, SAID = "\x01", "\x02"  # stand among the terms: one for each comment, one for each that is not blank
+SLICE = 4
+HOT = 5_000  # comments from which a pane is counted before it is dealt
 UNIT = 10**PLACES
 _LOW = (1 << 32) - 1
 
@@ -56,7 +64,7 @@ class Grid:
     whole = property(lambda self: (self.w.end_us - self.w.start_us) % self.w.step_us == 0)
     last = property(lambda self: self.w.last if self.whole else self.w.last - 1)
     ending = property(lambda self: None if self.whole else self.w.last)
-    reach = property(lambda self: -(-self.panes // self.step) + 1)  # ticks that a pane lies in, at most
+    slice_ticks = property(lambda self: SLICE * (-(-self.panes // self.step) + 1))  # SLICE times the most ticks that a pane lies in
 
     def enters(self, place: Column) -> Column:
         return F.greatest(F.floor(place / (2 * self.step)) + 1, F.lit(1))
@@ -65,6 +73,9 @@ class Grid:
         """The last tick that holds a place."""
         return F.least(F.floor((place + 2 * self.panes - 1) / (2 * self.step)), F.lit(self.last))
 
+    def slice(self, tick: Column) -> Column:
+        return F.floor(tick / self.slice_ticks)
+
     def moment(self, tick: Column) -> Column:
         return _at(F.least(tick * self.w.step_us + self.w.start_us, F.lit(self.w.end_us)))
 
@@ -73,101 +84,125 @@ class Grid:
 
 
 def counted(comments: DataFrame, grid: Grid, stop_words: list[str] | None = None) -> DataFrame:
-    """(place, bin, term, n), a written table; place is null for what lies in a window at an end off the grid."""
+    """(slice, place, bin, term, n), a written table in buckets of slices; place is null for what lies in a window at an end off the grid."""
     w = grid.w
     since = _us(F.col("local_ts")) - w.start_us
     inside = comments.where((since > -w.window_us) & (since < w.end_us - w.start_us))
-    place = 2 * F.floor(since / w.pane_us) + F.when(F.pmod(since, F.lit(w.pane_us)) == 0, 0).otherwise(1)
-    places = F.array(place) if grid.whole else F.when(since > w.end_us - w.start_us - w.window_us, F.array(place, F.lit(None).cast("bigint"))).otherwise(F.array(place))
+    pane = F.floor(since / w.pane_us)
+    place = 2 * pane + F.when(F.pmod(since, F.lit(w.pane_us)) == 0, 0).otherwise(1)
+    late = F.lit(False) if grid.whole else since > w.end_us - w.start_us - w.window_us
+    rows = inside.select(pane.alias("pane"), place.alias("place"), late.alias("late"), F.floor(_us(F.col("local_ts")) / w.grain_us).alias("bin"), "cleaned_comment")
     text = F.col("cleaned_comment")
     marked = F.concat(X.terms(text, stop_words), F.array(F.lit(MESSAGE)), F.when(X.is_blank(text), F.array().cast("array<string>")).otherwise(F.array(F.lit(SAID))))
-    rows = inside.select(places.alias("places"), F.floor(_us(F.col("local_ts")) / w.grain_us).alias("bin"), F.explode(marked).alias("term"))
-    # partial counts come before places are doubled
-    each = rows.groupBy("places", "bin", "term").agg(F.count("*").alias("n"))
-    return shared.durable(each.select(F.explode("places").alias("place"), "bin", "term", "n").groupBy("place", "bin", "term").agg(F.sum("n").alias("n")), "pane-counts")
+    hot = shared.durable(rows.groupBy("pane").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("pane"), "hot-panes")
+    told = rows.select("pane", "place", "late", "bin", F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("term"), F.lit(1).cast("bigint").alias("n"))
+    if not hot.isEmpty():
+        counts = rows.join(hot, "pane", "left_semi").select("pane", "place", "late", "bin", F.explode(marked).alias("term")).groupBy("pane", "place", "late", "bin", "term").agg(F.count("*").alias("n"))
+        told = told.join(hot, "pane", "left_anti").unionByName(counts.withColumn("text", F.lit(None).cast("string")))
+    first, last = grid.enters(F.col("place")), grid.leaves(F.col("place"))
+    slices = F.when(first <= last, F.sequence(grid.slice(first), grid.slice(last))).otherwise(F.array().cast("array<bigint>"))
+    at = F.transform(slices, lambda x: F.struct(x.alias("slice"), F.col("place").alias("place")))
+    if grid.ending:
+        end = F.struct(grid.slice(F.lit(grid.ending)).cast("bigint").alias("slice"), F.lit(None).cast("bigint").alias("place"))
+        at = F.when(F.col("late"), F.array_append(at, end)).otherwise(at)
+    dealt = told.select(F.explode(at).alias("at"), "bin", "text", "term", "n").select("at.*", "bin", "text", "term", "n")
+    parts = int(comments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = F.concat(X.terms(F.col("text"), stop_words), F.array(F.lit(MESSAGE)), F.when(X.is_blank(F.col("text")), F.array().cast("array<string>")).otherwise(F.array(F.lit(SAID))))
+    each = dealt.repartition(parts, "slice").select("slice", "place", "bin", "n", F.explode(F.when(F.col("term").isNull(), marked).otherwise(F.array("term"))).alias("term"))
+    return shared.bucketed(each.groupBy("slice", "place", "bin", "term").agg(F.sum("n").alias("n")), "pane-counts", "slice", parts, "term", "place")
 
 
 def _terms(counts: DataFrame) -> DataFrame:
     return counts.where(~F.col("term").isin(MESSAGE, SAID))
 
 
-def _over_ticks(counts: DataFrame, grid: Grid) -> DataFrame:
-    """Every row at each of its ticks, as k."""
-    first, last = grid.enters(F.col("place")), grid.leaves(F.col("place"))
-    ticks = F.when(F.col("place").isNull(), F.array(F.lit(grid.ending).cast("bigint"))).otherwise(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))
-    return counts.withColumn("k", F.explode(ticks))
+def _placed(counts: DataFrame, grid: Grid) -> DataFrame:
+    """Counts on the grid with the first and the last tick of their slice that holds them."""
+    low = F.col("slice") * grid.slice_ticks
+    first, last = F.greatest(grid.enters(F.col("place")), low), F.least(grid.leaves(F.col("place")), low + grid.slice_ticks - 1)
+    return counts.where("place is not null").withColumns({"first": first, "last": last}).where("first <= last")
+
+
+def _signed(rows: DataFrame, key: str, n: Column) -> DataFrame:
+    """(slice, key, k, d): n more at the first tick, n less after the last one."""
+    change = F.explode(F.array(F.struct(F.col("first").alias("k"), n.alias("d")), F.struct((F.col("last") + 1).alias("k"), (-n).alias("d")))).alias("c")
+    return rows.select("slice", key, change).groupBy("slice", key, "c.k").agg(F.sum("c.d").alias("d"))
 
 
 def ranges(counts: DataFrame, grid: Grid) -> DataFrame:
-    """(term, freq, first, last): the ticks of the grid in which a term's frequency stands, without those where it is 0."""
-    placed = _terms(counts).where("place is not null").select("term", "n", grid.enters(F.col("place")).alias("first"), grid.leaves(F.col("place")).alias("last")).where("first <= last")
-    signed = placed.select("term", F.explode(F.array(F.struct(F.col("first").alias("k"), F.col("n").alias("d")), F.struct((F.col("last") + 1).alias("k"), (-F.col("n")).alias("d")))).alias("c"))
-    moves = signed.groupBy("term", "c.k").agg(F.sum("c.d").alias("d"))
-    by_term = Window.partitionBy("term").orderBy("k")
-    stands = moves.select("term", F.sum("d").over(by_term).alias("freq"), F.col("k").alias("first"), (F.lead("k").over(by_term) - 1).alias("last"))
+    """(slice, term, freq, first, last): the ticks of the grid in which a term's frequency stands, without those where it is 0."""
+    by_term = Window.partitionBy("slice", "term").orderBy("k")
+    moves = _signed(_placed(_terms(counts), grid), "term", F.col("n"))
+    stands = moves.select("slice", "term", F.sum("d").over(by_term).alias("freq"), F.col("k").alias("first"), (F.lead("k").over(by_term) - 1).alias("last"))
     return stands.where("freq > 0")
 
 
 def thresholds(stands: DataFrame, top_n: int) -> DataFrame:
-    """(k, least): the frequency of the top_n-th term of each tick that has as many terms."""
-    signed = stands.select("freq", F.explode(F.array(F.struct(F.col("first").alias("k"), F.lit(1).alias("d")), F.struct((F.col("last") + 1).alias("k"), F.lit(-1).alias("d")))).alias("c"))
-    by_level = Window.partitionBy("freq").orderBy("k")  # at most one row a tick
-    levels = signed.groupBy("freq", "c.k").agg(F.sum("c.d").alias("d")).select("freq", F.sum("d").over(by_level).alias("m"), F.col("k").alias("first"), (F.lead("k").over(by_level) - 1).alias("last")).where("m > 0")
-    each = levels.select("freq", "m", F.explode(F.sequence("first", "last")).alias("k"))
-    reached = each.withColumn("above", F.sum("m").over(Window.partitionBy("k").orderBy(F.desc("freq"))))
-    return reached.where(F.col("above") >= top_n).groupBy("k").agg(F.max("freq").alias("least"))
+    """(k, least, n_terms): each tick's number of terms and, where that is top_n or more, the frequency of the top_n-th; else 1."""
+    by_level = Window.partitionBy("slice", "freq").orderBy("k")  # at most one row a tick
+    levels = _signed(stands, "freq", F.lit(1)).select("slice", "freq", F.sum("d").over(by_level).alias("m"), F.col("k").alias("first"), (F.lead("k").over(by_level) - 1).alias("last")).where("m > 0")
+    each = levels.select("slice", "freq", "m", F.explode(F.sequence("first", "last")).alias("k"))
+    reached = each.withColumn("above", F.sum("m").over(Window.partitionBy("slice", "k").orderBy(F.desc("freq"))))
+    return reached.groupBy("slice", "k").agg(F.coalesce(F.max(F.when(F.col("above") >= top_n, F.col("freq"))), F.lit(1)).alias("least"), F.sum("m").alias("n_terms")).drop("slice")
 
 
 def ticks(counts: DataFrame, least: DataFrame, grid: Grid) -> DataFrame:
-    """(k, seq, n_msgs, n_docs, low, high, least): a row for each tick with messages, numbered in order; a written table.
+    """(k, seq, n_msgs, n_docs, low, high, least, n_terms): a row for each tick with messages, numbered in order; a written table.
 
     Ticks follow from the length of time alone: one short row each, whatever the number of comments.
     """
-    marks = _over_ticks(counts.where(F.col("term").isin(MESSAGE, SAID)), grid)
+    marks = counts.where(F.col("term").isin(MESSAGE, SAID))
+    spread = _placed(marks, grid).withColumn("k", F.explode(F.sequence("first", "last"))).select("slice", "k", "bin", "term", "n")
+    if grid.ending:
+        spread = spread.unionByName(marks.where("place is null").select("slice", F.lit(grid.ending).cast("bigint").alias("k"), "bin", "term", "n"))
+        last = _terms(counts).where("place is null").agg(F.count_distinct("term").alias("n_terms")).select(F.lit(grid.ending).cast("bigint").alias("k"), F.lit(1).cast("bigint").alias("least"), "n_terms")
+        least = least.unionByName(last)
     said = F.when(F.col("term") == SAID, F.col("bin"))
-    rows = marks.groupBy("k").agg(F.sum(F.when(F.col("term") == MESSAGE, F.col("n"))).alias("n_msgs"), F.count_distinct(said).alias("n_docs"), F.min(said).alias("low"), F.max(said).alias("high"))
+    rows = spread.groupBy("k").agg(F.sum(F.when(F.col("term") == MESSAGE, F.col("n"))).alias("n_msgs"), F.count_distinct(said).alias("n_docs"), F.min(said).alias("low"), F.max(said).alias("high"))
     numbered = rows.withColumn("seq", F.row_number().over(Window.orderBy("k")))
-    return shared.durable(numbered.join(least, "k", "left").withColumn("least", F.coalesce("least", F.lit(1))), "window-ticks")
+    return shared.durable(numbered.join(least, "k", "left").withColumns({"least": F.coalesce("least", F.lit(1)), "n_terms": F.coalesce("n_terms", F.lit(0))}), "window-ticks")
 
 
-def ranked(counts: DataFrame, stands: DataFrame, tick: DataFrame, grid: Grid, top_n: int) -> DataFrame:
-    """(k, term, freq, rank, cells): each tick's top terms; ``cells`` holds bin and count of each place as one number."""
-    # the least threshold of a block of ticks and the next one bounds what a range that starts there must reach
-    block = lambda k: F.floor(k / grid.reach)
-    low = tick.select(F.explode(F.array(block(F.col("k")), block(F.col("k")) - 1)).alias("block"), "least").groupBy("block").agg(F.min("least").alias("low"))
-    wanted = stands.select("term", "freq", block(F.col("first")).alias("block")).join(low, "block").where(F.col("freq") >= F.col("low")).select("term").distinct()
+def ranked(counts: DataFrame, tick: DataFrame, grid: Grid, top_n: int) -> DataFrame:
+    """(slice, k, term, freq, rank, cells): each tick's top terms; ``cells`` holds bin and count of each place as one number."""
     cell = F.shiftleft(F.col("bin").cast("bigint"), 32).bitwiseOR(F.col("n"))
-    packed = _terms(counts).select("term", "place", cell.alias("cell"))
+    packed = _terms(counts).withColumn("cell", cell)
+    # no window has more of a term than the slice's counts together, so terms below the slice's least threshold go
+    low = tick.groupBy(grid.slice(F.col("k")).alias("slice")).agg(F.min("least").alias("low"))
+    total = F.sum("n").over(Window.partitionBy("slice", "term"))
+    able = _placed(packed, grid).withColumn("total", total).join(F.broadcast(low), "slice").where(F.col("total") >= F.col("low"))  # one row a slice
     # a marker stands at each tick at which something enters or leaves; its window is a stretch of places before it
-    width, by_term = 2 * grid.step, Window.partitionBy("term").orderBy("at")
+    width, by_term = 2 * grid.step, Window.partitionBy("slice", "term").orderBy("at")
     at_tick = lambda k: F.struct((k * width).alias("at"), F.lit(None).cast("bigint").alias("cell"))
-    placed = packed.where("place is not null").join(wanted, "term", "left_semi")
-    line = placed.select("term", F.explode(F.array(F.struct(F.col("place").alias("at"), "cell"), at_tick(grid.enters(F.col("place"))), at_tick(grid.leaves(F.col("place")) + 1))).alias("x")).select("term", "x.*")
+    line = able.select("slice", "term", F.explode(F.array(F.struct(F.col("place").alias("at"), "cell"), at_tick(F.col("first")), at_tick(F.col("last") + 1))).alias("x")).select("slice", "term", "x.*")
     held = line.withColumn("cells", F.collect_list("cell").over(by_term.rangeBetween(1 - 2 * grid.panes, -1))).where("cell is null")
-    stretches = held.select("term", "cells", F.col("at").alias("from"), F.lead("at").over(by_term).alias("to")).where((F.size("cells") > 0) & (F.col("from") < F.coalesce("to", F.lit(width * (grid.last + 1)))))
-    first, last = F.floor(F.col("from") / width), F.floor((F.coalesce("to", F.lit(width * (grid.last + 1))) - 1) / width)
-    spread = stretches.select("term", "cells", F.aggregate("cells", F.lit(0).cast("bigint"), lambda a, c: a + c.bitwiseAND(F.lit(_LOW))).alias("freq"), F.explode(F.sequence(first, F.least(last, F.lit(grid.last)))).alias("k"))
+    end = (F.col("slice") + 1) * grid.slice_ticks  # ticks from here on are other slices'
+    until = F.least(F.coalesce(F.floor(F.lead("at").over(by_term) / width), end), end) - 1
+    stretch = held.select("slice", "term", "cells", F.floor(F.col("at") / width).alias("from"), F.least(until, F.lit(grid.last)).alias("to")).where((F.size("cells") > 0) & (F.col("from") <= F.col("to")))
+    spread = stretch.select("slice", "term", "cells", F.explode(F.sequence("from", "to")).alias("k"))
     if grid.ending:
-        end = packed.where("place is null").groupBy("term").agg(F.collect_list("cell").alias("cells"))
-        spread = spread.unionByName(end.select("term", "cells", F.aggregate("cells", F.lit(0).cast("bigint"), lambda a, c: a + c.bitwiseAND(F.lit(_LOW))).alias("freq"), F.lit(grid.ending).cast("bigint").alias("k")))
-    reaching = spread.join(tick.select("k", "least"), "k").where(F.col("freq") >= F.col("least")).drop("least")
-    rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("freq"), "term"))
+        rest = packed.where("place is null").groupBy("slice", "term").agg(F.collect_list("cell").alias("cells"))
+        spread = spread.unionByName(rest.select("slice", "term", "cells", F.lit(grid.ending).cast("bigint").alias("k")))
+    summed = spread.withColumn("freq", F.aggregate("cells", F.lit(0).cast("bigint"), lambda a, c: a + c.bitwiseAND(F.lit(_LOW))))
+    reaching = summed.join(tick.select("k", "least"), "k").where(F.col("freq") >= F.col("least")).drop("least")
+    rank = F.row_number().over(Window.partitionBy("slice", "k").orderBy(F.desc("freq"), "term"))
     return reaching.withColumn("rank", rank).where(F.col("rank") <= top_n)
 
 
 def weighed(top: DataFrame, tick: DataFrame) -> DataFrame:
-    """(k, bin, term, freq, rank, n, tfidf) of the top terms over each tick's own vocabulary and bins; nothing leaves its tick's task."""
-    cells = top.select("k", "term", "freq", "rank", F.explode("cells").alias("cell"))
-    each = cells.select("k", "term", "freq", "rank", F.shiftright("cell", 32).alias("bin"), F.col("cell").bitwiseAND(F.lit(_LOW)).alias("n")).groupBy("k", "bin", "term", "freq", "rank").agg(F.sum("n").alias("n"))
-    known = each.withColumn("df", F.count("*").over(Window.partitionBy("k", "term"))).join(tick.select("k", "n_docs"), "k")
+    """(k, bin, term, freq, rank, n, tfidf) of the top terms over each tick's own vocabulary and bins; nothing leaves its slice's task."""
+    cells = top.select("slice", "k", "term", "freq", "rank", F.explode("cells").alias("cell"))
+    keys = ["slice", "k", "bin", "term", "freq", "rank"]
+    each = cells.select("slice", "k", "term", "freq", "rank", F.shiftright("cell", 32).alias("bin"), F.col("cell").bitwiseAND(F.lit(_LOW)).alias("n")).groupBy(*keys).agg(F.sum("n").alias("n"))
+    known = each.withColumn("df", F.count("*").over(Window.partitionBy("slice", "k", "term"))).join(tick.select("k", "n_docs"), "k")
     w = F.col("n") * (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0)
-    unit = known.withColumn("w", w).withColumn("tfidf", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("k", "bin"))))
-    return unit.select("k", "bin", "term", "freq", "rank", "n", "tfidf")
+    unit = known.withColumn("w", w).withColumn("tfidf", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("slice", "k", "bin"))))
+    return unit.select(*keys, "n", "tfidf")
 
 
 def vectors(tfidf: DataFrame, tick: DataFrame, agg: str) -> DataFrame:
     """(k, term, freq, rank, value): weights of the bins added up, or their mean over all bins from the first to the last."""
-    total = tfidf.groupBy("k", "term", "freq", "rank").agg(F.sum("tfidf").alias("value"))
+    total = tfidf.groupBy("slice", "k", "term", "freq", "rank").agg(F.sum("tfidf").alias("value")).drop("slice")
     if agg == "sum":
         return total
     if agg != "mean":
@@ -217,12 +252,14 @@ class Changes:
     def __post_init__(self) -> None:
         self.grid = Grid(self.w)
         self.counts = counted(self.comments, self.grid, self.stop_words)
-        self.ranges = shared.durable(ranges(self.counts, self.grid), "term-ranges")
-        self.ticks = ticks(self.counts, thresholds(self.ranges, self.w.top_n), self.grid)
+        self.ticks = ticks(self.counts, thresholds(self.ranges(), self.w.top_n), self.grid)
+
+    def ranges(self) -> DataFrame:
+        return ranges(self.counts, self.grid)
 
     def top(self) -> DataFrame:
-        """(k, term, freq, rank, cells)."""
-        return ranked(self.counts, self.ranges, self.ticks, self.grid, self.w.top_n)
+        """(slice, k, term, freq, rank, cells)."""
+        return ranked(self.counts, self.ticks, self.grid, self.w.top_n)
 
     def tfidf(self) -> DataFrame:
         return weighed(self.top(), self.ticks)
@@ -231,8 +268,7 @@ class Changes:
         return vectors(self.tfidf(), self.ticks, agg or self.detector.agg)
 
     def changes(self) -> DataFrame:
-        self.vector = shared.durable(self.vectors(), "window-vectors")
-        return moved(self.vector, self.ticks)
+        return moved(self.vectors(), self.ticks)
 
     def judged(self) -> DataFrame:
         return judged(self.changes(), self.detector)
@@ -255,13 +291,12 @@ class Changes:
         told = self.judged().groupBy("seq").agg(F.greatest(F.lit(0.0), F.max("z")).alias("max_z"), F.max(F.when(F.col("freq") >= d.min_count_window, F.col("z"))).alias("max_z_valid"), F.array_sort(F.collect_list(F.when(F.col("important"), F.struct((-F.col("z")).alias("z"), "term")))).alias("found"))
         terms = F.transform("found", lambda x: x["term"])
         listed = F.slice(terms, 1, d.top_k) if d.top_k else terms
-        sizes = self.vector.groupBy("k").agg(F.count("*").alias("tfidf_terms"))
-        rows = self.ticks.join(sizes, "k", "left").join(told.withColumn("important_terms", listed), "seq", "left")
+        rows = self.ticks.withColumn("tfidf_terms", F.least("n_terms", F.lit(self.w.top_n))).join(told.withColumn("important_terms", listed), "seq", "left")
         score, count = F.coalesce("max_z_valid", "max_z", F.lit(0.0)), F.coalesce(F.size("important_terms").cast("bigint"), F.lit(0))
         event = F.coalesce(F.size("important_terms"), F.lit(0)) >= d.require_min_terms
         if d.require_min_score is not None:
             event = event & (score >= d.require_min_score)
-        return rows.select(self.grid.moment(F.col("k")).alias("tick"), "n_msgs", F.coalesce("tfidf_terms", F.lit(0)).alias("tfidf_terms"), score.alias("score"), F.when(F.col("important_terms").isNull(), F.lit(0).cast("bigint")).otherwise(count).alias("important_count"), F.coalesce("important_terms", F.array().cast("array<string>")).alias("important_terms"), ((F.col("seq") > 1) & event).alias("is_event"))
+        return rows.select(self.grid.moment(F.col("k")).alias("tick"), "n_msgs", "tfidf_terms", score.alias("score"), F.when(F.col("important_terms").isNull(), F.lit(0).cast("bigint")).otherwise(count).alias("important_count"), F.coalesce("important_terms", F.array().cast("array<string>")).alias("important_terms"), ((F.col("seq") > 1) & event).alias("is_event"))
 
 
 def detect(comments: DataFrame, w: Sliding, detector: Detector, stop_words: list[str] | None = None) -> DataFrame:
@@ -270,11 +305,11 @@ def detect(comments: DataFrame, w: Sliding, detector: Detector, stop_words: list
 
 
 def stretches(stands: DataFrame) -> DataFrame:
-    """(term, freq, first, last): ranges that follow each other at one frequency as one."""
-    by_term = Window.partitionBy("term").orderBy("first")
+    """(term, freq, first, last): ranges of a slice that follow each other at one frequency as one."""
+    by_term = Window.partitionBy("slice", "term").orderBy("first")
     same = (F.lag("freq").over(by_term) == F.col("freq")) & (F.lag("last").over(by_term) == F.col("first") - 1)
     part = stands.withColumn("opens", F.when(same, 0).otherwise(1)).withColumn("part", F.sum("opens").over(by_term))
-    return part.groupBy("term", "part").agg(F.first("freq").alias("freq"), F.min("first").alias("first"), F.max("last").alias("last")).drop("part")
+    return part.groupBy("slice", "term", "part").agg(F.first("freq").alias("freq"), F.min("first").alias("first"), F.max("last").alias("last")).select("term", "freq", "first", "last")
 
 
 def digests(rows: DataFrame, key: str, named: list[str], values: list[str], n: str, digest: str) -> DataFrame:

@@ -39,7 +39,8 @@ def without_blank(cleaned: DataFrame) -> DataFrame:
 
     ``cleaned`` is read twice; its ``blank``, where it has one, saves looking at the text.
     """
-    gone = cleaned.where(_blank(cleaned)).select(F.col("comment_id").alias("_gone")).distinct()
+    # written, so that its size is known: a small one is broadcast and no text moves
+    gone = shared.durable(cleaned.where(_blank(cleaned)).select(F.col("comment_id").alias("_gone")).distinct(), "blank-ids")
     # what answers nothing gets a key of its own, which no comment has: keys without a partner are dealt evenly
     key = F.when(_answers(), F.col("reply_to_comment_id")).otherwise(F.concat(F.lit("\x00"), F.xxhash64("comment_id").cast("string")))
     return cleaned.where(~_blank(cleaned)).join(gone, key == F.col("_gone"), "left_anti")

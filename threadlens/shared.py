@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_tables: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -38,6 +39,15 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, *order: str) -> DataFrame:
+    """``df`` as a table in buckets of ``key``: what groups, ranks or windows by it afterwards sends nothing."""
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).sortWithinPartitions(key, *order).write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    _tables.append(table)
+    return spark.table(table)
+
+
 @atexit.register
 def _end() -> None:
     spark = SparkSession.getActiveSession()
@@ -45,6 +55,8 @@ def _end() -> None:
         return
     with contextlib.suppress(Exception):  # the session may be closing; the folder is the cluster's to clean then
         conf = spark._jsc.hadoopConfiguration()
+        for table in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         for name in _written:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)
