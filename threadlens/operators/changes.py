@@ -170,19 +170,24 @@ def ranked(counts: DataFrame, tick: DataFrame, grid: Grid, top_n: int) -> DataFr
     # no window has more of a term than the slice's counts together, so terms below the slice's least threshold go
     low = tick.groupBy(grid.slice(F.col("k")).alias("slice")).agg(F.min("least").alias("low"))
     total = F.sum("n").over(Window.partitionBy("slice", "term"))
-    able = _placed(packed, grid).withColumn("total", total).join(F.broadcast(low), "slice").where(F.col("total") >= F.col("low"))  # one row a slice
+    low_tick, width = F.col("slice") * grid.slice_ticks, 2 * grid.step
+    first, last = F.greatest(grid.enters(F.col("place")), low_tick), F.least(grid.leaves(F.col("place")), low_tick + grid.slice_ticks - 1)
+    able = packed.withColumns({"first": first, "last": last, "total": total}).join(F.broadcast(low), "slice").where((F.col("total") >= F.col("low")) & (F.col("place").isNull() | (F.col("first") <= F.col("last"))))  # one row a slice
     # a marker stands at each tick at which something enters or leaves; its window is a stretch of places before it
-    width, by_term = 2 * grid.step, Window.partitionBy("slice", "term").orderBy("at")
-    at_tick = lambda k: F.struct((k * width).alias("at"), F.lit(None).cast("bigint").alias("cell"))
-    line = able.select("slice", "term", F.explode(F.array(F.struct(F.col("place").alias("at"), "cell"), at_tick(F.col("first")), at_tick(F.col("last") + 1))).alias("x")).select("slice", "term", "x.*")
+    # an end off the grid has a marker of its own, so far on that its cells, just before it, are in no other window
+    beyond, by_term = width * (grid.last + 1 + 2 * grid.slice_ticks), Window.partitionBy("slice", "term").orderBy("at")
+    mark = lambda at: F.struct(at.cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("cell"))
+    told = lambda at: F.struct(at.cast("bigint").alias("at"), F.col("cell").alias("cell"))
+    on_grid = F.array(told(F.col("place")), mark(F.col("first") * width), mark((F.col("last") + 1) * width))
+    line = able.select("slice", "term", F.explode(F.when(F.col("place").isNull(), F.array(told(F.lit(beyond - 1)), mark(F.lit(beyond)))).otherwise(on_grid)).alias("x")).select("slice", "term", "x.*")
     held = line.withColumn("cells", F.collect_list("cell").over(by_term.rangeBetween(1 - 2 * grid.panes, -1))).where("cell is null")
     end = (F.col("slice") + 1) * grid.slice_ticks  # ticks from here on are other slices'
-    until = F.least(F.coalesce(F.floor(F.lead("at").over(by_term) / width), end), end) - 1
-    stretch = held.select("slice", "term", "cells", F.floor(F.col("at") / width).alias("from"), F.least(until, F.lit(grid.last)).alias("to")).where((F.size("cells") > 0) & (F.col("from") <= F.col("to")))
+    following = F.lead("at").over(by_term)  # of equal markers the last one counts
+    until = F.least(F.coalesce(F.floor(following / width), end), end, F.lit(grid.last + 1)) - 1
+    closing = F.col("at") == beyond
+    start, stop = F.when(closing, F.lit(grid.ending)).otherwise(F.floor(F.col("at") / width)), F.when(closing & following.isNull(), F.lit(grid.ending)).when(~closing, until)
+    stretch = held.select("slice", "term", "cells", start.cast("bigint").alias("from"), stop.cast("bigint").alias("to")).where((F.size("cells") > 0) & (F.col("from") <= F.col("to")))
     spread = stretch.select("slice", "term", "cells", F.explode(F.sequence("from", "to")).alias("k"))
-    if grid.ending:
-        rest = packed.where("place is null").groupBy("slice", "term").agg(F.collect_list("cell").alias("cells"))
-        spread = spread.unionByName(rest.select("slice", "term", "cells", F.lit(grid.ending).cast("bigint").alias("k")))
     summed = spread.withColumn("freq", F.aggregate("cells", F.lit(0).cast("bigint"), lambda a, c: a + c.bitwiseAND(F.lit(_LOW))))
     reaching = summed.join(tick.select("k", "least"), "k").where(F.col("freq") >= F.col("least")).drop("least")
     rank = F.row_number().over(Window.partitionBy("slice", "k").orderBy(F.desc("freq"), "term"))
