@@ -13,7 +13,7 @@ from .functions import labels, text as X
 from .operators import bursts, changes, cleaning, collect, graph, models, privacy, termstats, timebuckets
 from .plans import fixtures as fx
 from .sources import api, files, sinks
-from .streaming import live
+from .streaming import keyed, live
 
 SALT = "0123456789abcdef"
 STOPS = [*termstats.spanish_stop_words(), "the", "and", "that", "for"]
@@ -108,11 +108,9 @@ def _snaps(snap: DataFrame) -> DataFrame:
     return snap.select("tick", "n_msgs", "tfidf_terms", (F.round("score", 6) + 0.0).alias("score"), "important_count", "is_event")
 
 
-def _stream_events(s: SparkSession, d: str) -> DataFrame:
-    """The second sink of a live detector: events only."""
-    path = shared.new_path(s, "stream-events")
-    live._once(_local(s, d), WINDOWS, lambda rows: live.grain_counts(rows, WINDOWS, STOPS), live.Detection(path, WINDOWS, DETECTOR))
-    return s.read.schema("tick timestamp_ntz, score double, important_terms string, important_count bigint").option("recursiveFileLookup", True).parquet(f"{path}/events").withColumn("score", F.round("score", 6) + 0.0)
+def _streamed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Snapshots and events of a live detector: its two sinks."""
+    return keyed.bursts_once(_local(s, d), WINDOWS, DETECTOR, STOPS)
 
 
 def _hooked(s: SparkSession, d: str) -> DataFrame:
@@ -263,8 +261,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "burst_terms": _burst_terms, "burst_snapshots": lambda s, d: _snaps(_changes(s, d).snapshots()), "burst_events": _burst_events,
         "hooked_detector": _hooked,
         "stream_sliding_counts": lambda s, d: live.sliding_counts_once(_local(s, d), WINDOWS, STOPS),
-        "stream_bursts": lambda s, d: _snaps(live.bursts_once(_local(s, d), WINDOWS, DETECTOR, STOPS)),
-        "stream_events": _stream_events,
+        "stream_bursts": lambda s, d: _snaps(_streamed(s, d)[0]),
+        "stream_events": lambda s, d: _streamed(s, d)[1].withColumn("score", F.round("score", 6) + 0.0),
     }
     for kind in ("monthly", "weekly", "daily", "hourly"):
         out |= {f"{kind}_volume": _volume(kind), f"top_terms_{kind}": _series(kind, 0), f"tfidf_{kind}": _series(kind, 1)}

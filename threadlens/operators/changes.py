@@ -239,12 +239,31 @@ def judged(change: DataFrame, detector: Detector) -> DataFrame:
     mu = F.when(some, F.col("s").cast("double") / (F.col("history") * float(UNIT))).otherwise(0.0)
     sigma = F.when(some, F.sqrt((n * F.col("q") - F.col("s") * F.col("s")).cast("double")) / (F.col("history") * float(UNIT))).otherwise(0.0)
     rows = rows.select("term", "seq", "now", "before", "freq", "d", "history", mu.alias("mu"), sigma.alias("sigma"))
+    return scored(rows, detector)
+
+
+def scored(rows: DataFrame, detector: Detector) -> DataFrame:
+    """z score and importance of changes that have their term's history, mu and sigma."""
     floor = F.greatest("sigma", F.lit(detector.sigma_floor))
     jump = F.round(F.col("d") - F.col("mu") - detector.k_sigma * floor, PLACES) > 0
     important = (F.col("history") >= detector.min_history) & (F.col("freq") >= detector.min_count_window) & jump
     return rows.withColumns({"z": F.round((F.col("d") - F.col("mu")) / floor, PLACES), "important": important})
 
 
+def summed(judgement: DataFrame, tick: DataFrame, grid: Grid, top_n: int, d: Detector) -> DataFrame:
+    """One row for each of ``tick`` (k, seq, n_msgs, n_terms): messages, terms with a weight, score, important terms and whether it is an event."""
+    # a tick has at most 2 top_n changes, so its important ones fit a row
+    told = judgement.groupBy("seq").agg(F.greatest(F.lit(0.0), F.max("z")).alias("max_z"), F.max(F.when(F.col("freq") >= d.min_count_window, F.col("z"))).alias("max_z_valid"), F.array_sort(F.collect_list(F.when(F.col("important"), F.struct((-F.col("z")).alias("z"), "term")))).alias("found"))
+    terms = F.transform("found", lambda x: x["term"])
+    listed = F.coalesce(F.slice(terms, 1, d.top_k) if d.top_k else terms, F.array().cast("array<string>"))
+    rows = tick.withColumn("tfidf_terms", F.least("n_terms", F.lit(top_n))).join(told, "seq", "left").withColumn("important_terms", listed)
+    score, count = F.coalesce("max_z_valid", "max_z", F.lit(0.0)), F.size("important_terms").cast("bigint")
+    event = count >= d.require_min_terms
+    if d.require_min_score is not None:
+        event = event & (score >= d.require_min_score)
+    return rows.select(grid.moment(F.col("k")).alias("tick"), "n_msgs", "tfidf_terms", score.alias("score"), count.alias("important_count"), "important_terms", ((F.col("seq") > 1) & event).alias("is_event"))
+
+
 @dataclass
 class Changes:
     """The steps from comments to events; what several later steps read is written."""
@@ -291,17 +310,7 @@ class Changes:
 
     def snapshots(self) -> DataFrame:
         """One row a tick with messages: messages, terms with a weight, score, important terms and whether it is an event."""
-        d = self.detector
-        # a tick has at most 2 top_n changes, so its important ones fit a row
-        told = self.judged().groupBy("seq").agg(F.greatest(F.lit(0.0), F.max("z")).alias("max_z"), F.max(F.when(F.col("freq") >= d.min_count_window, F.col("z"))).alias("max_z_valid"), F.array_sort(F.collect_list(F.when(F.col("important"), F.struct((-F.col("z")).alias("z"), "term")))).alias("found"))
-        terms = F.transform("found", lambda x: x["term"])
-        listed = F.slice(terms, 1, d.top_k) if d.top_k else terms
-        rows = self.ticks.withColumn("tfidf_terms", F.least("n_terms", F.lit(self.w.top_n))).join(told.withColumn("important_terms", listed), "seq", "left")
-        score, count = F.coalesce("max_z_valid", "max_z", F.lit(0.0)), F.coalesce(F.size("important_terms").cast("bigint"), F.lit(0))
-        event = F.coalesce(F.size("important_terms"), F.lit(0)) >= d.require_min_terms
-        if d.require_min_score is not None:
-            event = event & (score >= d.require_min_score)
-        return rows.select(self.grid.moment(F.col("k")).alias("tick"), "n_msgs", "tfidf_terms", score.alias("score"), F.when(F.col("important_terms").isNull(), F.lit(0).cast("bigint")).otherwise(count).alias("important_count"), F.coalesce("important_terms", F.array().cast("array<string>")).alias("important_terms"), ((F.col("seq") > 1) & event).alias("is_event"))
+        return summed(self.judged(), self.ticks, self.grid, self.w.top_n, self.detector)
 
 
 def detect(comments: DataFrame, w: Sliding, detector: Detector, stop_words: list[str] | None = None) -> DataFrame:
