@@ -1,8 +1,9 @@
 """Language by multinomial naive Bayes over hashed character n-grams.
 
 Counts of n-grams of 1 to 3 letters are learned from a bounded sample:
-PER_LANGUAGE documents of each language at most, chosen by a hash of doc_id; the
-prior of a language is its share of all documents that may be learned from.  The
+PER_LANGUAGE documents of each language at most, those with the least hashes of
+doc_id and text, however many rows share an id, a text or both; the prior of a
+language is its share of all documents that may be learned from.  The
 log-probability matrix (BUCKETS rows, one column a language) goes to every
 executor in blocks of COLUMNS languages, so any number of languages will do; a
 batch is scored by gathering rows and adding them up by document, block after
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .wordscan import mix, slices
@@ -34,6 +35,7 @@ ORDERS = (1, 2, 3)
 PER_LANGUAGE = 4000
 COLUMNS = 64  # languages whose part of the matrix is broadcast at once: 17 MB
 FIT_PARTS = 8
+PLACES = 1 << 30
 
 _letters: list[np.ndarray] = []
 
@@ -97,16 +99,25 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def sample(rows: DataFrame, place: Column, known: dict, per_language: int) -> DataFrame:
+    """At most ``per_language`` rows of each language, those of the least places; ``known`` has each language's n and least place."""
+    # a margin of four keeps enough rows for the cut, the least place at least one; equal rows fall together and are cut there
+    margins = F.create_map(*[F.lit(x) for name, r in known.items() for x in (name, max(int(min(1.0, 4 * per_language / r.n) * PLACES), r.least + 1))])
+    near = rows.select("doc_id", "text", "lang", place.alias("place")).where(F.col("place") < F.element_at(margins, F.col("lang")))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    return near.withColumn("at", order).where(F.col("at") <= per_language)
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from ``docs`` (text, lang); rows without a language or a text teach nothing."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().toLocalIterator()}
-    languages = sorted(sizes)
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(PLACES))
+    known = {r.lang: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(place).alias("least")).toLocalIterator()}
+    languages = sorted(known)
+    sizes = {name: r.n for name, r in known.items()}
     if not languages:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    shares = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int(min(1.0, per_language / n) * (1 << 30)))])
-    share = F.element_at(shares, F.col("lang"))
+    chosen = sample(rows, place, known, per_language)
     number = {name: k for k, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +133,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         for k, found in counts.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([found[:BUCKETS].astype("<i8").tobytes()], pa.binary())], ["k", "counts"])
 
-    parts = rows.where(place < share).select("text", "lang").repartition(FIT_PARTS).mapInArrow(count, "k int, counts binary")
+    parts = chosen.select("text", "lang").repartition(FIT_PARTS).mapInArrow(count, "k int, counts binary")
     counts = np.zeros((BUCKETS + 1, len(languages)), np.float32)
     for row in parts.toLocalIterator():
         counts[:BUCKETS, row.k] += np.frombuffer(row.counts, "<i8")
