@@ -51,3 +51,22 @@ def test_history_is_bounded_and_equals_a_loop():
     for k, (n, mu, sigma) in enumerate(out):
         past = pd.Series(ds[max(0, k - 5) : k])
         assert n == len(past) and mu == pytest.approx(past.mean() if n else 0) and sigma == pytest.approx(past.std(ddof=0) if n else 0, abs=1e-12)
+
+
+def test_results_replace_failures_and_killed_runs_count_as_none(spark, tmp_path):
+    from threadlens.sources import sinks
+
+    schema, path = "id bigint, classification string", str(tmp_path / "results")
+    rows = lambda *xs: spark.createDataFrame(list(xs), schema)
+    got = lambda: sorted(tuple(r) for r in sinks.latest_results(spark, path, schema, "id").collect())
+    assert got() == []
+    sinks.write_run(rows((1, "2"), (2, "error")), path, 1)
+    work = rows((1, "x"), (2, "x"), (3, "x"))
+    todo = sinks.pending(work, sinks.latest_results(spark, path, schema, "id"), "id", retry="error")
+    assert sorted(r.id for r in todo.collect()) == [2, 3]
+    for _ in range(2):  # a repeated run replaces itself
+        sinks.write_run(rows((2, "5"), (3, "1")), path, 2)
+    assert got() == [(1, "2", 1), (2, "5", 2), (3, "1", 2)]
+    rows((1, "half")).write.parquet(f"{path}/run=3")
+    (tmp_path / "results" / "run=3" / "_SUCCESS").unlink()
+    assert got() == [(1, "2", 1), (2, "5", 2), (3, "1", 2)]

@@ -188,12 +188,12 @@ def _mapping_document(s: SparkSession, d: str) -> DataFrame:
 
 
 def _resumed(s: SparkSession, d: str) -> DataFrame:
-    """Work done in two runs; the second one does what has no result or has failed."""
+    """Work done in two runs; the second one does what has no result or has failed, and its results replace the failed ones."""
     work = fx.table(s, d, "events").select("event_id", (F.col("event_id") % 5 + 1).cast("string").alias("classification"))
-    path = shared.new_path(s, "results")
-    first = work.where("event_id % 3 <> 0").withColumn("classification", F.when(F.col("event_id") % 4 == 0, "error").otherwise(F.col("classification"))).withColumn("run", F.lit(1))
-    done = sinks.append_results(s, first, path)
-    return sinks.append_results(s, sinks.pending(work, done, "event_id", retry="error").withColumn("run", F.lit(2)), path)
+    path, schema = shared.new_path(s, "results"), "event_id bigint, classification string"
+    sinks.write_run(work.where("event_id % 3 <> 0").withColumn("classification", F.when(F.col("event_id") % 4 == 0, "error").otherwise(F.col("classification"))), path, 1)
+    sinks.write_run(sinks.pending(work, sinks.latest_results(s, path, schema, "event_id"), "event_id", retry="error"), path, 2)
+    return sinks.latest_results(s, path, schema, "event_id")
 
 
 def _answers(s: SparkSession, d: str) -> DataFrame:
@@ -473,7 +473,7 @@ def oracle_sql() -> dict[str, str]:
         "mapping_document": c + ", m AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{k}' AS col, {_HASH.format(k)} AS anon, {k} AS original FROM comments WHERE {k} IS NOT NULL" for k in privacy.HASHED) + """), r AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY anon DESC) AS n FROM m)
           SELECT '        "' || anon || '": "' || original || '"' || CASE WHEN n = 1 THEN '' ELSE ',' END AS value FROM r UNION ALL SELECT '    "' || col || '": {' FROM (SELECT DISTINCT col FROM m) UNION ALL SELECT CASE WHEN col = (SELECT max(col) FROM m) THEN '    }' ELSE '    },' END FROM (SELECT DISTINCT col FROM m) UNION ALL SELECT unnest(['{', '}'])""",
         "graphml_edges": _G1 + " SELECT src, dst, CAST(1.5 AS DOUBLE) AS weight, sentiment_score FROM edges",
-        "resumed_results": "WITH w AS (SELECT event_id, CAST(event_id % 5 + 1 AS VARCHAR) AS c FROM events) SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'error' ELSE c END AS classification, 1 AS run FROM w WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, c, 2 FROM w WHERE event_id % 3 = 0 OR event_id % 4 = 0",
+        "resumed_results": "SELECT event_id, CAST(event_id % 5 + 1 AS VARCHAR) AS classification, CASE WHEN event_id % 3 = 0 OR event_id % 4 = 0 THEN 2 ELSE 1 END AS run FROM events",
         "stub_scores": c + " SELECT comment_id, CASE least(len(regexp_extract_all(text, '\\S+')), 128) % 3 WHEN 0 THEN 'Positive' WHEN 1 THEN 'Negative' ELSE 'Neutral' END AS sentiment FROM comments WHERE text IS NOT NULL",
         "prompts_comment": _PROMPTS + " SELECT comment_id, prompt FROM prompts",
         "prompts_video": v + f" SELECT video_id, '{_ASK_VIDEO}' AS prompt FROM videos",

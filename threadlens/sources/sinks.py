@@ -75,3 +75,25 @@ def pending(work: DataFrame, done: DataFrame | None, key: str, retry: str | None
 def append_results(spark: SparkSession, results: DataFrame, path: str) -> DataFrame:
     results.write.mode("append").parquet(path)
     return spark.read.schema(results.schema).parquet(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def write_run(results: DataFrame, path: str, run: int) -> None:
+    """Results of one run under its number; the same run again replaces itself, one that was killed counts as none."""
+    results.write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def latest_results(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """One row for each ``key``, that of the latest run which has it, with its ``run``; only runs whose job was committed are read."""
+    fs, where = _hadoop(spark, path)
+    found = [str(f.getPath().getName()) for f in fs.listStatus(where)] if fs.exists(where) else []
+    runs = [name for name in found if name.startswith("run=") and fs.exists(_hadoop(spark, f"{path}/{name}/_SUCCESS")[1])]
+    rows = spark.createDataFrame([], f"{schema}, run int")
+    for name in runs:
+        rows = rows.unionByName(spark.read.schema(schema).parquet(f"{path}/{name}").withColumn("run", F.lit(int(name[4:]))))
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), "run").alias("r"))
+    return newest.select(key, "r.*")

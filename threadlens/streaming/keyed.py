@@ -186,7 +186,7 @@ def with_beats(comments: DataFrame, w: bursts.Sliding, parts: int, late: str = l
     return shared.durable(inside.unionByName(beats), "replay")
 
 
-def bursts_once(comments: DataFrame, w: bursts.Sliding, detector: bursts.Detector, stop_words: list[str] | None = None, parts: int = 3) -> tuple[DataFrame, DataFrame]:
+def bursts_once(comments: DataFrame, w: bursts.Sliding, detector: bursts.Detector, stop_words: list[str] | None = None, parts: int = 2) -> tuple[DataFrame, DataFrame]:
     """(snapshots, events) of all ticks between start and end, by both queries over a replay of ``comments`` in order of time."""
     spark = comments.sparkSession
     path = shared.new_path(spark, "stream-bursts")
