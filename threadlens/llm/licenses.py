@@ -6,7 +6,7 @@ that follows in the raw text is parsed by a shunting yard (AND binds tighter
 than OR, WITH tightest) and evaluated: an expression is permissive if a choice
 among its ORs leaves permissive licences only.
 
-Operands are the identifiers of IDENTIFIERS, each also with "+", and references
+Operands are the identifiers of IDENTIFIERS and of the families FAMILY describes, each also with "+", and references
 ("LicenseRef-..."); an operator that no operand follows belongs to the prose
 after the expression.  WITH joins one identifier and one exception.  What cannot
 be read at all gets the label ``spdx:invalid``.
@@ -38,7 +38,25 @@ NOTICES = {
 TAG = "spdx license identifier"
 TAG_RAW = re.compile(r"SPDX-License-Identifier[ \t]*:[ \t]*([^\r\n]*)", re.I)
 
-PERMISSIVE = re.compile(r"(?i)^(mit|apache|bsd|isc|cc0|cc-by-\d|cc-by$|unlicense|zlib|0bsd)")
+#: fixed values: identifiers of permissive licences, besides the families below
+PERMISSIVE_NAMES = frozenset(
+    """0bsd afl-1.1 afl-1.2 afl-2.0 afl-2.1 afl-3.0 apache-1.0 apache-1.1 apache-2.0 artistic-2.0 blueoak-1.0.0 bsl-1.0 bzip2-1.0.6 curl ecl-2.0 efl-2.0 ftl hpnd icu ijg imagemagick isc json
+    libpng libpng-2.0 libtiff mit mit-0 mit-cmu mit-modern-variant mulanpsl-2.0 ncsa nist-pd ntp openssl php-3.0 php-3.01 postgresql psf-2.0 python-2.0 ruby tcl unicode-3.0 unicode-dfs-2016
+    unlicense upl-1.0 w3c wtfpl x11 xfree86-1.1 zlib zpl-2.0 zpl-2.1 cc0-1.0 ms-pl""".split()
+)
+#: fixed values: families whose members follow from version and variant
+PERMISSIVE_FAMILY = re.compile(r"(bsd-[1-4]-clause(-[a-z-]+)?|cc-by-[1-4]\.[05](-[a-z]{2,3})?|apache-\d\.\d|mit(-[a-z]+)*)")
+FAMILY = re.compile(
+    r"(a?gpl|lgpl|gfdl)-[1-3]\.[0-9](-(only|or-later|invariants|no-invariants)){0,2}|cc-by(-nc)?(-nd|-sa)?-[1-4]\.[05](-[a-z]{2,3}){0,2}|cc-(pddc|sa-1\.0|pdm-1\.0)|bsd-[1-4]-clause(-[a-z0-9-]+)?"
+    r"|artistic-[12]\.0(-perl|-cl8)?|(afl|osl|apsl|epl|eupl|mpl|npl|cddl|cpal|cpl|lppl|ofl|oldap|php|python|psf|zpl|w3c|ecl|efl|rpl|sspl|busl|cecill|nasa|ncgl|ogl-uk|odc-by|oclc|rpsl|sisl|spl|upl|ypl)-\d(\.\d+[a-z]?){0,2}|mit(-[a-z]+)*"
+)
+
+
+def permissive(name: str) -> bool:
+    plain = name.lower().removesuffix("+")
+    return plain in PERMISSIVE_NAMES or bool(PERMISSIVE_FAMILY.fullmatch(plain))
+
+
 #: fixed values: licence identifiers and exceptions in common use, in lower case
 IDENTIFIERS = frozenset(
     """0bsd afl-2.1 afl-3.0 agpl-1.0 agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.0 apache-1.1 apache-2.0 apsl-2.0 artistic-1.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause
@@ -62,13 +80,17 @@ TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:_-]+")
 
 def known(token: str) -> bool:
     name = token.lower()
-    return name in IDENTIFIERS or name.removesuffix("+") in IDENTIFIERS or bool(REFERENCE.fullmatch(name))
+    plain = name.removesuffix("+")
+    return name in IDENTIFIERS or plain in IDENTIFIERS or plain in PERMISSIVE_NAMES or bool(FAMILY.fullmatch(plain) or REFERENCE.fullmatch(name))
 
 
-def expression_tokens(text: str) -> list[str]:
-    """The longest beginning of ``text`` that is an expression, as tokens; ValueError where there is none."""
+def read(text: str) -> tuple[list[str], str | None]:
+    """The longest beginning of ``text`` that is an expression, as tokens; ValueError where there is none.
+
+    Where licences follow it in a parenthesis that is never closed, also the operator before that.
+    """
     out: list[str] = []
-    best, depth, before = 0, 0, "("
+    best, depth, before, named = 0, 0, "(", 0
     for token in TOKEN.findall(text):
         upper = token.upper()
         if token == "(":
@@ -90,7 +112,7 @@ def expression_tokens(text: str) -> list[str]:
                 break
             kind = "exception"
         elif before in ("(", "AND", "OR") and known(token):
-            kind = "id"
+            kind, named = "id", len(out) + 1
         else:
             break
         out.append(upper if kind in PRECEDENCE else token)
@@ -99,7 +121,11 @@ def expression_tokens(text: str) -> list[str]:
             best = len(out)
     if not best:
         raise ValueError(text)
-    return out[:best]
+    return out[:best], out[best] if named > best else None
+
+
+def expression_tokens(text: str) -> list[str]:
+    return read(text)[0]
 
 
 def to_postfix(expression: str) -> list[str]:
@@ -123,12 +149,15 @@ def to_postfix(expression: str) -> list[str]:
 
 
 def evaluate(expression: str) -> tuple[list[str], bool]:
-    """The identifiers named, sorted, and whether some choice is permissive throughout."""
+    """The identifiers named, sorted, and whether some choice is permissive throughout.
+
+    What breaks off after an OR leaves the choices before it; after an AND it leaves none that is known to be permissive.
+    """
     names: set[str] = set()
     stack: list[tuple[str | None, bool]] = []  # an operand's name until it is known to stand alone
     for token in to_postfix(expression):
         if token not in PRECEDENCE:
-            stack.append((token.lower(), bool(PERMISSIVE.match(token))))
+            stack.append((token.lower(), permissive(token)))
             continue
         (right, b), (left, a) = stack.pop(), stack.pop()
         if token == "WITH":
@@ -136,8 +165,8 @@ def evaluate(expression: str) -> tuple[list[str], bool]:
             continue
         names |= {x for x in (left, right) if x}
         stack.append((None, a and b if token == "AND" else a or b))
-    last, permissive = stack.pop()
-    return sorted(names | ({last} if last else set())), permissive
+    last, free = stack.pop()
+    return sorted(names | ({last} if last else set())), free and read(expression)[1] != "AND"
 
 
 _automata: list = []
