@@ -12,7 +12,7 @@ from . import schemas, shared
 from .functions import labels, text as X
 from .operators import bursts, changes, cleaning, collect, graph, models, privacy, termstats, timebuckets
 from .plans import fixtures as fx
-from .sources import api, files, sinks
+from .sources import api, files, paged, sinks
 from .streaming import keyed, live
 
 SALT = "0123456789abcdef"
@@ -149,8 +149,16 @@ def _classified_videos(s: SparkSession, d: str) -> DataFrame:
     return models.classified_videos(docs, fx.by_length, CONTEXT, SUBJECT, budget=1 << 40).select("video_id", "classification", "polarity")
 
 
-def _ids(s: SparkSession) -> DataFrame:
-    return api.search(s, fx.Api(), api.Search("x"))
+def _ids(s: SparkSession, d: str) -> DataFrame:
+    """A video for each document."""
+    return fx.table(s, d, "documents").select(F.concat(F.lit("v"), "doc_id").alias("video_id"))
+
+
+def _search_by_time(s: SparkSession, d: str) -> DataFrame:
+    """Videos published while the events took place, a day's worth left out by a filter that the source gets."""
+    first, last = fx.table(s, d, "events").agg(*[F.date_format(f("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'") for f in (F.min, F.max)]).first()  # two moments
+    found = paged.searched(s, fx.Timed(), api.Search("x", first, last))
+    return found.where(F.col("published_at") >= "2024-01-02T00:00:00Z").select("video_id", F.to_timestamp("published_at").cast("timestamp_ntz").alias("published_at"))
 
 
 def _summaries(s: SparkSession, d: str) -> DataFrame:
@@ -217,11 +225,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "localised_times": lambda s, d: timebuckets.localised(_texted(s, d)).select("comment_id", "local_ts"),
         "comments_between": lambda s, d: timebuckets.between(timebuckets.localised(fx.comments(s, d)), "2024-01-08T05:00:00Z", "2024-01-10T09:30:00+02:00").select("comment_id", "local_ts"),
         "bucket_documents": lambda s, d: timebuckets.documents(_local(s, d), "daily").groupBy("bucket").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "document"))), lambda x: x["document"]), " "), 256).alias("document_sha256")),
-        "api_search": lambda s, d: _ids(s),
-        "api_videos": lambda s, d: collect.flat_videos(collect.parsed(api.lookup(_ids(s), "video_id", fx.Api(), "videos"), schemas.VIDEO_ITEM)),
-        "api_channels": lambda s, d: collect.flat_channels(api.lookup(s.range(7).select(F.concat(F.lit("ch"), "id").alias("channel_id")), "channel_id", fx.Api(), "channels")),
-        "api_comments": lambda s, d: collect.flat_threads(api.comment_threads(_ids(s), fx.Api(), 150), 150).withColumn("published_at", F.col("published_at").cast("timestamp_ntz")),
-        "api_transcripts": lambda s, d: api.transcripts(_ids(s), fx.Api()).select("video_id", X.transcript_text(F.col("snippets")).alias("said")),
+        "api_search": lambda s, d: api.search(s, fx.Api(fx.table(s, d, "documents").count()), api.Search("x")),
+        "search_by_time": _search_by_time,
+        "api_videos": lambda s, d: collect.flat_videos(collect.parsed(api.lookup(_ids(s, d), "video_id", fx.Api(), "videos"), schemas.VIDEO_ITEM)),
+        "api_channels": lambda s, d: collect.flat_channels(api.lookup(fx.table(s, d, "documents").select(F.concat(F.lit("ch"), F.col("doc_id") % 11).alias("channel_id")), "channel_id", fx.Api(), "channels")),
+        "api_comments": lambda s, d: collect.flat_threads(api.comment_threads(_ids(s, d), fx.Api(), 150), 150).withColumn("published_at", F.col("published_at").cast("timestamp_ntz")),
+        "api_transcripts": lambda s, d: api.transcripts(_ids(s, d), fx.Api()).select("video_id", X.transcript_text(F.col("snippets")).alias("said")),
         "csv_comments": lambda s, d: _csv(fx.comments(s, d).select("comment_id", "text", "author_name", "likes", "is_reply", "reply_to_comment_id"), "comment_id string, text string, author_name string, likes bigint, is_reply boolean, reply_to_comment_id string").select("comment_id", F.sha2("text", 256).alias("text_sha256"), "author_name", "likes", "is_reply", F.nullif("reply_to_comment_id", F.lit("")).alias("reply_to_comment_id")),
         "csv_anonymized": lambda s, d: _csv(privacy.anonymized(fx.comments(s, d).select(*ids).withColumn("Unnamed: 0", F.lit(1)), SALT), "comment_id string, author_id string, reply_to_comment_id string, video_id string, likes bigint").withColumn("reply_to_comment_id", F.coalesce("reply_to_comment_id", F.lit(""))),
         "csv_snapshots": lambda s, d: _csv(timebuckets.volume(_local(s, d), "daily"), "bucket timestamp_ntz, n_comments bigint, n_words bigint", "bucket"),
@@ -460,13 +469,14 @@ def oracle_sql() -> dict[str, str]:
         "removed_repeats": c + ", k AS (SELECT DISTINCT video_id, author_id, likes FROM comments) SELECT (SELECT count(*) FROM comments) AS n_rows, (SELECT count(*) FROM k) AS n_kept, (SELECT count(*) FROM comments) - (SELECT count(*) FROM k) AS n_removed",
         "localised_times": c + " SELECT comment_id, date_trunc('second', published_at) - CASE WHEN row_pos % 7 = 1 THEN INTERVAL 7 HOUR ELSE INTERVAL 5 HOUR END AS local_ts FROM comments WHERE row_pos % 7 NOT IN (0, 2)",
         "comments_between": c + " SELECT comment_id, published_at - INTERVAL 5 HOUR AS local_ts FROM comments WHERE published_at - INTERVAL 5 HOUR >= TIMESTAMP '2024-01-08 00:00:00' AND published_at - INTERVAL 5 HOUR < TIMESTAMP '2024-01-10 02:30:00'",
-        "api_search": "SELECT 'v' || k AS video_id FROM range(130) t(k)",
-        "api_videos": "SELECT 'v' || k AS video_id, 'title ' || k AS title, '2024-01-01T00:00:00Z' AS published_text, 'ch' || (k % 7) AS channel_id, 'channel ' || (k % 7) AS channel_title, k * 100 AS views, CAST(0 AS BIGINT) AS likes, CAST(0 AS BIGINT) AS comments, 'about' AS description, '' AS video_tags, k AS duration_seconds, 'https://www.youtube.com/watch?v=v' || k AS video_url FROM range(130) t(k) WHERE k % 10 <> 9",
-        "api_channels": "SELECT 'ch' || k AS channel_id, k * 1000 + 7 AS channel_subscribers, CASE WHEN k % 2 = 0 THEN 'CO' END AS channel_country FROM range(6) t(k)",
-        "api_comments": """WITH tops AS (SELECT k, unnest(range(0, k % 4 * 90)) AS j FROM range(130) t(k)), every AS (SELECT k, j, unnest(range(-1, j % 3)) AS r FROM tops), ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY j, r) AS rn, j + r + 1 AS n FROM every)
+        "api_search": "SELECT 'v' || k AS video_id FROM range((SELECT least(count(*), 2000) FROM documents)) t(k)",
+        "search_by_time": "WITH e AS (SELECT epoch(date_trunc('second', min(ts))) AS a, epoch(date_trunc('second', max(ts))) AS b FROM events), k AS (SELECT unnest(range(CAST(ceil(a / 600.0) AS BIGINT), CAST(ceil(b / 600.0) AS BIGINT))) AS k FROM e) SELECT 'm' || k AS video_id, make_timestamp(k * 600000000) AS published_at FROM k WHERE make_timestamp(k * 600000000) >= TIMESTAMP '2024-01-02 00:00:00'",
+        "api_videos": "SELECT 'v' || k AS video_id, 'title ' || k AS title, '2024-01-01T00:00:00Z' AS published_text, 'ch' || (k % 7) AS channel_id, 'channel ' || (k % 7) AS channel_title, k * 100 AS views, CAST(0 AS BIGINT) AS likes, CAST(0 AS BIGINT) AS comments, 'about' AS description, '' AS video_tags, k AS duration_seconds, 'https://www.youtube.com/watch?v=v' || k AS video_url FROM (SELECT doc_id AS k FROM documents) WHERE k % 10 <> 9",
+        "api_channels": "SELECT 'ch' || k AS channel_id, k * 1000 + 7 AS channel_subscribers, CASE WHEN k % 2 = 0 THEN 'CO' END AS channel_country FROM (SELECT DISTINCT doc_id % 11 AS k FROM documents) WHERE k <> 6",
+        "api_comments": """WITH tops AS (SELECT k, unnest(range(0, k % 4 * 90)) AS j FROM (SELECT doc_id AS k FROM documents)), every AS (SELECT k, j, unnest(range(-1, j % 3)) AS r FROM tops), ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY j, r) AS rn, j + r + 1 AS n FROM every)
           SELECT 'v' || k AS video_id, 'v' || k || '-' || j || CASE WHEN r < 0 THEN '' ELSE '-' || r END AS comment_id, 'text "v' || k || '-' || j || CASE WHEN r < 0 THEN '' ELSE '-' || r END || '"' || chr(10) || 'ñ' AS text, 'user ' || (n % 5) AS author_name, 'UC' || (n % 5) AS author_id,
           TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 SECOND * (n % 60) AS published_at, n AS likes, r >= 0 AS is_reply, CASE WHEN r >= 0 THEN 'v' || k || '-' || j END AS reply_to_comment_id FROM ranked WHERE rn <= 150""",
-        "api_transcripts": "WITH s AS (SELECT k, string_agg('snippet ' || j || ' of ' || k || '. ', '' ORDER BY j) AS said FROM (SELECT k, unnest(range(0, k % 4)) AS j FROM range(130) t(k) WHERE k % 10 <> 3) GROUP BY k) SELECT 'v' || t.k AS video_id, coalesce(said, '') AS said FROM range(130) t(k) LEFT JOIN s ON s.k = t.k",
+        "api_transcripts": "WITH s AS (SELECT k, string_agg('snippet ' || j || ' of ' || k || '. ', '' ORDER BY j) AS said FROM (SELECT k, unnest(range(0, k % 4)) AS j FROM (SELECT doc_id AS k FROM documents) WHERE k % 10 <> 3) GROUP BY k) SELECT 'v' || t.k AS video_id, coalesce(said, '') AS said FROM (SELECT doc_id AS k FROM documents) t LEFT JOIN s ON s.k = t.k",
         "csv_comments": c + " SELECT comment_id, sha256(text) AS text_sha256, author_name, likes, is_reply, reply_to_comment_id FROM comments",
         "csv_anonymized": c + f" SELECT {hashed}, {_ANON} FROM comments",
         "json_videos": v + " SELECT * EXCLUDE (k) FROM videos",

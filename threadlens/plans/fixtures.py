@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,7 +100,8 @@ THREADS_SQL = """threads AS (SELECT 'v' || (conv_id % 7) AS video_id, conv_id ||
 class Api:
     """A stand-in for the network: what it answers follows from the ids asked for."""
 
-    VIDEOS = 130
+    def __init__(self, videos: int = 130) -> None:
+        self.n_videos = videos  # that a search has
 
     def __call__(self, endpoint: str, asked: dict) -> dict:
         return getattr(self, endpoint)(asked)
@@ -108,7 +111,7 @@ class Api:
         return {"items": items[at : at + size]} | ({"nextPageToken": str(at + size)} if at + size < len(items) else {})
 
     def search(self, asked: dict) -> dict:
-        return self._page([{"id": {"videoId": f"v{k}"}} for k in range(self.VIDEOS)], asked)
+        return self._page([{"id": {"videoId": f"v{k}"}} for k in range(self.n_videos)], asked)
 
     def videos(self, asked: dict) -> dict:
         ks = [int(x[1:]) for x in asked["id"].split(",")]
@@ -131,6 +134,20 @@ class Api:
         return {"items": [{"text": f"snippet {j}  of {k}"} for j in range(k % 4)]}
 
 
+class Timed:
+    """A search by time: one video each ten minutes, and no more than 500 results to a question."""
+
+    EVERY, MOST = 600, 500
+
+    def __call__(self, endpoint: str, asked: dict) -> dict:
+        after, before = (int(datetime.fromisoformat(asked[k]).timestamp()) for k in ("publishedAfter", "publishedBefore"))
+        first, last = -(-after // self.EVERY), -(-before // self.EVERY)
+        at, size = int(asked.get("pageToken", 0)), asked["maxResults"]
+        there = range(first, last)[: self.MOST][at : at + size]
+        items = [{"id": {"videoId": f"m{k}"}, "snippet": {"publishedAt": datetime.fromtimestamp(k * self.EVERY, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")}} for k in there]
+        return {"pageInfo": {"totalResults": max(last - first, 0)}, "items": items} | ({"nextPageToken": str(at + size)} if size and at + size < min(last - first, self.MOST) else {})
+
+
 def by_length(prompt: str, message: str) -> tuple[str, int]:
     """A stand-in for a language model: its two numbers follow from the lengths; every seventh answer is none."""
     n, m = len(prompt), len(message or "")

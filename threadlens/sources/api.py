@@ -1,4 +1,4 @@
-"""A paged REST source as Python data sources, and enrichment by id batches.
+"""A paged REST source, walked inside tasks, and enrichment by id batches; searches by time are in ``paged``.
 
 The transport is a function (endpoint, parameters) -> dict, so tests need no
 network and a deployment brings its own client.  Each input partition walks the
@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PAGE = 100  # threads of one request
 Transport = Callable[[str, dict], dict]
 
 
@@ -97,16 +98,22 @@ def comment_threads(ids: DataFrame, transport: Transport, max_comments: int | No
 
     schema = pa.schema([("video_id", pa.string()), ("page_pos", pa.int64()), ("item", pa.string())])
 
+    def batch(video: str, first: int, got: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"video_id": [video] * len(got), "page_pos": list(range(first, first + len(got))), "item": got}, schema)
+
     def run(parts):
         for part in parts:
             for video in part.column(0).to_pylist():
-                got, said = [], 0
-                for item in pages(transport, "commentThreads", {"videoId": video, "maxResults": 100}):
+                got, said, first = [], 0, 0
+                for item in pages(transport, "commentThreads", {"videoId": video, "maxResults": PAGE}):
                     if max_comments is not None and said >= max_comments:
                         break
                     got.append(json.dumps(item, ensure_ascii=False))
                     said += 1 + len((item.get("replies") or {}).get("comments") or [])
-                yield pa.RecordBatch.from_pydict({"video_id": [video] * len(got), "page_pos": list(range(len(got))), "item": got}, schema)
+                    if len(got) == PAGE:  # a page's threads leave at once
+                        yield batch(video, first, got)
+                        got, first = [], first + PAGE
+                yield batch(video, first, got)
 
     return ids.select("video_id").where("video_id is not null").distinct().mapInArrow(run, "video_id string, page_pos bigint, item string")
 
