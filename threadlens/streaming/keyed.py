@@ -2,9 +2,10 @@
 
 First query: comments are counted by pane; a pane leaves once the watermark has
 passed it (``pane_counts``), so state holds open panes only.  ``Windows`` takes
-the closed panes of each batch: it keeps them, makes the ticks that are complete
-now by ``operators.changes`` and writes their changes.  From batch to batch it
-needs the last tick's vector, at most top_n rows, and the panes of one window.
+the closed panes of each batch: it keeps them while a window may hold them, makes
+the ticks that are complete now by ``operators.changes`` and writes their changes.
+From batch to batch it needs the last tick's vector, at most top_n rows, and the
+panes of one window; older panes and states are deleted.
 
 Second query: changes go by term through ``History``, a stateful processor whose
 list holds the last ``baseline`` changes of its term (``transformWithState`` on
@@ -57,6 +58,7 @@ def pane_counts(comments: DataFrame, w: bursts.Sliding, stop_words: list[str] |
 
 PANES = "closes timestamp, place bigint, late boolean, bin bigint, term string, n bigint"
 SEEN = "k bigint, seq bigint, term string, freq bigint, rank int, value double"
+HELD = "batch int, closed bigint"
 CHANGE = "term string, seq bigint, now double, before double, freq bigint, d double"
 TICK = "k bigint, seq bigint, n_msgs bigint, n_terms bigint"
 
@@ -72,16 +74,20 @@ class Windows:
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark, grid, w = batch.sparkSession, changes.Grid(self.w), self.w
         batch.write.mode("overwrite").parquet(f"{self.path}/panes/batch={number}")
-        panes = spark.read.schema(PANES).option("recursiveFileLookup", True).parquet(*[f"{self.path}/panes/batch={k}" for k in range(number + 1)])
-        closed = panes.agg(F.max(bursts._us(F.col("closes").cast("timestamp_ntz")))).first()[0]
-        seen = self._seen(spark, number - 1)
+        seen, held = self._state(spark, "seen", SEEN, number - 1), self._state(spark, "held", HELD, number - 1)
         done, before = seen.agg(F.coalesce(F.max("k"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0))).first()
+        mine = spark.read.schema(PANES).parquet(f"{self.path}/panes/batch={number}").agg(F.max(bursts._us(F.col("closes").cast("timestamp_ntz"))).alias("closed")).select(F.lit(number).alias("batch"), "closed").where("closed is not null")
+        # one row for each batch whose panes a coming window may still hold
+        every_held = [(r.batch, r.closed) for r in held.unionByName(mine).collect()]
+        first = (done + 1) * grid.step - grid.panes
+        needed = [(k, at) for k, at in every_held if at > w.start_us + first * w.pane_us]
+        closed = max((at for _, at in every_held), default=None)
+        panes = spark.read.schema(PANES).option("recursiveFileLookup", True).parquet(*[f"{self.path}/panes/batch={k}" for k, _ in needed or [(number, 0)]])
         # a tick is complete once all panes before it are closed; the one at an end off the grid once a beat says so
         until = 0 if closed is None else min(grid.last, (closed - w.start_us) // w.step_us)
         if grid.ending and closed is not None and closed >= w.end_us:
             until = grid.ending
         if until > done:
-            first = (done + 1) * grid.step - grid.panes
             counts = shared.durable(self._sliced(panes.where((F.col("place") >= 2 * first) & (F.col("term") != BEAT)), grid, done, until), "stream-panes")
             every = changes.ticks(counts, changes.thresholds(changes.ranges(counts, grid), w.top_n), grid)
             tick = shared.durable(every.where((F.col("k") > done) & (F.col("k") <= until)).withColumn("seq", F.row_number().over(bursts.Window.orderBy("k")) + F.lit(before)), "stream-ticks")
@@ -96,15 +102,14 @@ class Windows:
             newest = newest.join(vector.select(names), "k", "left").select("k", "seq", "term", "freq", "rank", "value")
             seen = newest if before == 0 or not newest.isEmpty() else seen
         seen.write.mode("overwrite").parquet(f"{self.path}/seen/batch={number}")
-        self._forget(spark, number - 2)
+        spark.createDataFrame(needed, HELD).write.mode("overwrite").parquet(f"{self.path}/held/batch={number}")
+        for name in (f"seen/batch={number - 2}", f"held/batch={number - 2}", *[f"panes/batch={k}" for k, _ in every_held if k != number and k not in dict(needed)]):
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def _seen(self, spark: SparkSession, number: int) -> DataFrame:
-        """The vector of the last tick that was made, one row at least if there was one."""
-        return spark.createDataFrame([], SEEN) if number < 0 else spark.read.schema(SEEN).parquet(f"{self.path}/seen/batch={number}")
-
-    def _forget(self, spark: SparkSession, number: int) -> None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/seen/batch={number}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    def _state(self, spark: SparkSession, name: str, schema: str, number: int) -> DataFrame:
+        """What the batch before has left: the vector of the last tick (``seen``), the batches of panes that are still needed (``held``)."""
+        return spark.createDataFrame([], schema) if number < 0 else spark.read.schema(schema).parquet(f"{self.path}/{name}/batch={number}")
 
     def _sliced(self, panes: DataFrame, grid: changes.Grid, done: int, until: int) -> DataFrame:
         """Counts as ``changes.counted`` has them, in the slices of the ticks asked for."""
@@ -158,19 +163,22 @@ def judged(moved: DataFrame, detector: bursts.Detector) -> DataFrame:
 
 @dataclass
 class Snapshots:
-    """A ``foreachBatch`` function: one row a tick from its judged changes."""
+    """A ``foreachBatch`` function: one row a tick from its judged changes; ticks without any term leave with the next change."""
 
     path: str
     w: bursts.Sliding
     detector: bursts.Detector
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        rows = shared.durable(batch, "judged-changes")
-        tick = batch.sparkSession.read.schema(TICK).option("recursiveFileLookup", True).parquet(f"{self.path}/ticks")
-        met = tick.join(F.broadcast(rows.select("seq").distinct()), "seq", "left_semi") if number else tick.join(F.broadcast(rows.select("seq").distinct().unionByName(tick.where("seq = 1").select("seq"))), "seq", "left_semi")
+        spark, rows = batch.sparkSession, shared.durable(batch, "judged-changes")
+        before = spark.read.schema("seq bigint").parquet(f"{self.path}/told/batch={number - 1}").first()[0] if number else 0
+        until = max(before, rows.agg(F.max("seq")).first()[0] or 0)
+        tick = spark.read.schema(TICK).option("recursiveFileLookup", True).parquet(f"{self.path}/ticks")
+        met = tick.where((F.col("seq") > before) & (F.col("seq") <= until))  # also ticks without any term
         snaps = changes.summed(rows, met, changes.Grid(self.w), self.w.top_n, self.detector)
         snaps.write.mode("overwrite").parquet(f"{self.path}/snapshots/batch={number}")
         bursts.events(snaps).write.mode("overwrite").parquet(f"{self.path}/events/batch={number}")
+        spark.createDataFrame([(until,)], "seq bigint").write.mode("overwrite").parquet(f"{self.path}/told/batch={number}")
 
 
 def with_beats(comments: DataFrame, w: bursts.Sliding, parts: int, late: str = live.LATE) -> DataFrame:
