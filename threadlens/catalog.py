@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from . import schemas, shared
 from .functions import labels, text as X
-from .operators import bursts, changes, cleaning, collect, graph, models, privacy, termstats, timebuckets
+from .operators import bursts, changes, charts, cleaning, collect, graph, latent, models, privacy, termstats, timebuckets
 from .plans import fixtures as fx
 from .sources import api, files, paged, sinks
 from .streaming import keyed, live
@@ -23,6 +23,7 @@ DAY = ("2024-01-11", "2024-01-12")
 WINDOWS = bursts.Sliding("2024-01-10 00:00:00", "2024-01-12 23:59:00", top_n=800)
 #: the reference's own run: 800 terms a window, 300 important ones a tick
 DETECTOR = bursts.Detector(baseline=288, k_sigma=3.5, min_history=24, top_k=300, sigma_floor=0.08, min_count_window=2, require_min_terms=2)
+CHART_WIDTH = 800
 SUBJECT, CONTEXT = "¿Es buena la reforma?", "Comentarios de videos"
 
 
@@ -263,6 +264,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rolling_token_budget": lambda s, d: models.rolling_tokens(fx.table(s, d, "events").select("event_id", F.col("ts").alias("ts"), (F.col("event_id") % 1500).alias("tokens"))),
         "transcript_text": lambda s, d: fx.table(s, d, "documents").select("doc_id", F.sha2(X.transcript_text(F.transform(F.split("text", "\n"), lambda t: F.struct(t.alias("text")))), 256).alias("text_sha256")),
         "lsa_summary": lambda s, d: models.summarised(fx.table(s, d, "documents").select("doc_id", "text"), "text"),
+        "lsa_ranked_summary": lambda s, d: latent.summarised(fx.table(s, d, "documents"), "text"),
+        "events_chart": lambda s, d: charts.reduced(fx.table(s, d, "events"), "ts", "value", "event_type", CHART_WIDTH),
+        "volume_chart": lambda s, d: charts.bars_and_line(timebuckets.volume(_local(s, d), "daily"), "Comments", "bucket", "n_comments", "n_words"),
         "video_summaries": _summaries,
         "lexicon_sentiment": lambda s, d: models.lexicon_sentiment(fx.table(s, d, "documents").select("doc_id", "text"), fx.VALENCES),
         "sliding_counts": _sliding_counts, "sliding_top_terms": lambda s, d: (lambda made: made.timed(made.top()).select("tick", "term", "freq", "rank"))(_changes(s, d)),
@@ -489,6 +493,11 @@ def oracle_sql() -> dict[str, str]:
         "prompts_video": v + f" SELECT video_id, '{_ASK_VIDEO}' AS prompt FROM videos",
         "classified_videos": "SELECT 'v' || doc_id AS video_id, CASE WHEN doc_id % 2 = 0 THEN '4' ELSE {} END AS classification, CASE WHEN doc_id % 2 = 0 THEN '2' ELSE {} END AS polarity FROM documents".format(*_by_length(str(len(_ASK_VIDEO)), "length(coalesce(text, ''))")),
         "classified_comments": _PROMPTS + ", a AS (SELECT comment_id, CASE WHEN row_pos % 9 <> 0 AND row_pos % 3 = 0 THEN '2' ELSE {} END AS classification, CASE WHEN row_pos % 9 <> 0 AND row_pos % 3 = 0 THEN '3' ELSE {} END AS polarity FROM prompts) SELECT *, CASE polarity WHEN '3' THEN 'Positive' WHEN '2' THEN 'Neutral' WHEN '1' THEN 'Negative' END AS sentiment_gpt FROM a".format(*_by_length("length(prompt)", "length(coalesce(text, ''))")),
+        "events_chart": f"""WITH p AS (SELECT event_type AS series, epoch_us(ts) AS t, value FROM events WHERE ts IS NOT NULL AND isfinite(value)),
+          c AS (SELECT series, CAST((t - a) // ((b - a + {CHART_WIDTH}) // {CHART_WIDTH}) AS INT) AS col, t, value FROM p, (SELECT min(t) AS a, max(t) AS b FROM p)),
+          r AS (SELECT *, row_number() OVER (PARTITION BY series, col ORDER BY t, value) AS i, row_number() OVER (PARTITION BY series, col ORDER BY t DESC, value DESC) AS j,
+            row_number() OVER (PARTITION BY series, col ORDER BY value, t) AS k, row_number() OVER (PARTITION BY series, col ORDER BY value DESC, t) AS l FROM c)
+          SELECT DISTINCT series, col, make_timestamp(t) AS "at", value FROM r WHERE 1 IN (i, j, k, l)""",
         "lsa_summary": "WITH " + _lsa("documents", "doc_id", "text") + " SELECT doc_id, summary FROM summaries",
         "video_summaries": "WITH told AS (SELECT doc_id, replace(array_to_string(string_split(text, chr(10)), '. ') || '. ', '  ', ' ') AS said_text FROM documents WHERE doc_id % 5 <> 4 AND doc_id % 4 <> 0), " + _lsa("told", "doc_id", "said_text") + " SELECT 'v' || doc_id AS video_id, CASE WHEN doc_id % 4 = 0 THEN 'told before' WHEN doc_id % 5 = 4 OR text IS NULL THEN 'resumen no disponible' ELSE summary END AS summary FROM documents LEFT JOIN summaries USING (doc_id)",
     }
@@ -496,6 +505,8 @@ def oracle_sql() -> dict[str, str]:
         words = "len(list_filter(string_split(cleaned_comment, ' '), lambda x: x <> ''))"
         out[f"{kind}_volume"] = f"{_bucketed(kind, False)}, counts AS (SELECT bucket, count(*) AS n_comments, CAST(sum({words}) AS BIGINT) AS n_words FROM bucketed GROUP BY bucket) SELECT bucket, coalesce(n_comments, 0) AS n_comments, coalesce(n_words, 0) AS n_words FROM spine LEFT JOIN counts USING (bucket)"
         out[f"top_terms_{kind}"], out[f"tfidf_{kind}"] = _series_sql(kind, 0), _series_sql(kind, 1)
+    spec = """{"$schema": "https://vega.github.io/schema/vega-lite/v5.json", "title": "Comments", "encoding": {"x": {"field": "x", "type": "temporal", "title": "bucket"}}, "resolve": {"scale": {"y": "independent"}}, "layer": [{"mark": "bar", "encoding": {"y": {"field": "bars", "type": "quantitative", "title": "n_comments"}}}, {"mark": "line", "encoding": {"y": {"field": "line", "type": "quantitative", "title": "n_words"}}}], "data": {"values": ["""
+    out["volume_chart"] = f"""SELECT '{spec}' || string_agg('{{"x":"' || strftime(bucket, '%Y-%m-%dT%H:%M:%S.%f') || '","bars":' || n_comments || ',"line":' || n_words || '}}', ',' ORDER BY bucket) || ']}}}}' AS document FROM ({out["daily_volume"]})"""
     out |= {"csv_snapshots": out["daily_volume"], "stream_bursts": _STREAMED + _SNAPS, "stream_events": _STREAMED + _EVENTS}
     # a lexicon scorer has no SQL
     return out
