@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from threadlens.llm import jaccard_join
 
 from . import plain
@@ -34,3 +36,17 @@ def test_every_link_counts(spark, monkeypatch, block):
     _, _, spanning, _ = jaccard_join.joined(docs)
     assert spanning.count() < sum(want) // 2
     assert jaccard_join.linked(docs.where("false")).count() == 0
+
+
+def test_sets_that_share_a_hash(spark, monkeypatch):
+    """Different sets with one number: each becomes a node of its own, and copies stay together."""
+    made = jaccard_join.sets
+    monkeypatch.setattr(jaccard_join, "sets", lambda docs: made(docs).withColumn("node", F.pmod("node", F.lit(3))))
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*base[: 5 * k], f"x{k}", *base[5 * k :]]) for k in range(8)] + [f"a{k} b c d e f" for k in range(8)]
+    texts += [*texts[:4], *texts[9:11], None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = [r.n_links for r in jaccard_join.linked(docs).orderBy("doc_id").collect()]
+    assert got == brute(texts) and max(got) > 5
+    kept = {r.doc_id for r in jaccard_join.representatives(docs).collect()}
+    assert len({texts[k] for k in kept if texts[k]}) == len([k for k in kept if texts[k]])

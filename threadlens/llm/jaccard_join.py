@@ -22,8 +22,8 @@ bounded blocks, and a parity bitmap of each set (whose distance never exceeds
 the sets') discards nearly all of those pairs.  Every surviving pair is verified
 on the shingles themselves.
 
-Equal sets are one node from the start; a node is a 64-bit hash of its set,
-checked against a second hash.  Hashes only propose: a pair is a link if its
+Equal sets are one node from the start; a node is a 64-bit hash of its set, or of
+both its hashes where another set has the same first one.  Hashes only propose: a pair is a link if its
 shingles, compared word by word, say so.  A node keeps one compressed text, from
 which its index entries and its shingles are made, so the documents are read
 once.  Keys that many rows share (copies of one text, members of one group or
@@ -189,14 +189,15 @@ def sets(docs: DataFrame) -> DataFrame:
             texts = texts_of(batch.column(1))
             got = shingles(texts)
             nodes = [_signed(_fold(v, 30)) if len(v) else None for v in got]
+            second = [_signed(_fold(v, 32)) for v in got]
             new = []
-            for node in nodes:
-                new.append(node is not None and node not in seen)
-                seen.add(node)
+            for both in zip(nodes, second, strict=True):
+                new.append(both[0] is not None and both not in seen)
+                seen.add(both)
             free = [spare(v) if k else (None, None) for v, k in zip(got, new, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(range(number, number + len(got)), pa.int64()), batch.column(0), batch.column(2), pa.array([len(v) for v in got], pa.int64()), pa.array(nodes, pa.int64()), pa.array([_signed(_fold(v, 32)) for v in got], pa.int64()),
+                    pa.array(range(number, number + len(got)), pa.int64()), batch.column(0), batch.column(2), pa.array([len(v) for v in got], pa.int64()), pa.array(nodes, pa.int64()), pa.array(second, pa.int64()),
                     pa.array([bitmap(v) if k else None for v, k in zip(got, new, strict=True)], pa.binary()), pa.array([f[0] for f in free], pa.int32()), pa.array([f[1] for f in free], pa.int32()),
                     pa.array([zstandard.compress(t, 3) if k else None for t, k in zip(texts, new, strict=True)], pa.binary()),
                 ],
@@ -447,6 +448,28 @@ def _crossing(open_groups: DataFrame, nodes: DataFrame) -> DataFrame:
     return dealt.groupBy("g", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def _set_nodes(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``every`` and their nodes, both written.
+
+    Sets that share a number but not the second hash get numbers made of both.  A few
+    such are to be expected among billions of sets, so they are a small table, and rows
+    are numbered anew only if there are any, until each number has one set.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row")
+    shown = F.first(F.when(F.col("z").isNotNull(), F.struct("n", "bits", "spare0", "spare1", "z")), ignorenulls=True)
+    while True:
+        found = every.where("node is not null").groupBy("node").agg(shown.alias("s"), F.min(first).alias("m"), F.count("*").alias("copies"), F.min("second").alias("low"), F.max("second").alias("high"))
+        nodes = scratch.durable(found.select("node", "s.n", "copies", "m", "s.bits", "s.spare0", "s.spare1", "s.z", (F.col("low") != F.col("high")).alias("shared")), "set-nodes")
+        shared = nodes.where("shared").select("node", F.lit(True).alias("shared"))
+        if shared.isEmpty():
+            return every, nodes.drop("shared")
+        own = F.when(F.col("shared"), F.xxhash64("node", "second")).otherwise(F.col("node"))
+        told = scratch.durable(every.join(shared, "node", "left").withColumn("node", own).select(every.columns), "shingle-sets")
+        scratch.drop(every)
+        scratch.drop(nodes)
+        every = told
+
+
 def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(row, doc_id, h, n, node) of every row, its nodes with their component, verified links (a, b, n_a, n_b, common) between nodes, and the nodes' texts.
 
@@ -455,14 +478,7 @@ def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
     components and are not all there are: ``linked`` counts those.
     """
     spark = docs.sparkSession
-    every = scratch.durable(sets(docs), "shingle-sets")
-    some = every.where("node is not null")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row")
-    nodes = some.groupBy("node").agg(
-        F.first(F.when(F.col("z").isNotNull(), F.struct("n", "bits", "spare0", "spare1", "z")), ignorenulls=True).alias("s"), F.min(first).alias("m"), F.count("*").alias("copies"), F.min("second").alias("low"), F.max("second").alias("high")
-    )
-    checked = F.when(F.col("low") == F.col("high"), F.col("s.n")).otherwise(F.raise_error(F.lit("two shingle sets with one hash")).cast("bigint"))
-    nodes = scratch.durable(nodes.select("node", checked.alias("n"), "copies", "m", "s.bits", "s.spare0", "s.spare1", "s.z"), "set-nodes")
+    every, nodes = _set_nodes(scratch.durable(sets(docs), "shingle-sets"))
     rows = scratch.durable(every.select("row", "doc_id", "h", "n", "node"), "set-rows")
     scratch.drop(every)
     # about half an entry of 14 bytes for each shingle
@@ -504,23 +520,25 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 LINK_BLOCK = 512  # nodes of a component that are compared with as many others in one task
+LINK_SHINGLES = 1_000_000  # of such a block, on average
 
 
 def _linked_rows(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, n_near): the rows whose sets are similar to a node's own but not equal; ``nodes`` has node, root and copies, ``texts`` node and z.
+    """(node, n_near): the rows whose sets are similar to a node's own but not equal; ``nodes`` has node, n, root and copies, ``texts`` node and z.
 
-    Similar sets lie in one component, so each pair of a component's nodes is looked at once, on the shingles themselves.
+    Similar sets lie in one component, so each pair of a component's nodes is looked at once, on the shingles
+    themselves, compared word by word.
     """
-    size = nodes.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
+    size = nodes.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
     asked = skew.joined(nodes.select("root", "node", "copies"), size, "root", size, nodes.count(), "node")
     rows = scratch.durable(asked.join(texts, "node"), "linked-nodes")
-    placed = rows.withColumn("of", F.ceil(F.col("size") / LINK_BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+    placed = rows.withColumn("of", F.least("size", F.greatest(F.ceil(F.col("size") / LINK_BLOCK), F.ceil(F.col("shingles") / LINK_SHINGLES))).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "copies", "z")
 
     def count(table: pa.Table) -> pa.Table:
         mine, node, copies = (table[c].to_numpy() for c in ("mine", "node", "copies"))
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        sets = shingles([zstandard.decompress(z) for z in table["z"].to_pylist()])
+        sets = exact_sets([zstandard.decompress(z) for z in table["z"].to_pylist()])
         n = np.array([len(v) for v in sets])
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         near = np.zeros(len(node), np.int64)
