@@ -62,13 +62,11 @@ class TermMatrix:
 
 
 def _unit(rng: np.random.Generator, basis: np.ndarray) -> np.ndarray | None:
-    """A unit vector at right angles to the columns of ``basis``; None where they span everything."""
-    if basis.shape[1] >= basis.shape[0]:
+    """A unit vector at right angles to the rows of ``basis``; None where they span everything."""
+    if len(basis) >= basis.shape[1]:
         return None
     for _ in range(5):
-        x = rng.standard_normal(basis.shape[0])
-        for _ in range(2):
-            x -= basis @ (basis.T @ x)
+        x = _freed(rng.standard_normal(basis.shape[1]), basis)
         size = float(np.linalg.norm(x))
         if size > 1e-8:
             return x / size
@@ -87,50 +85,67 @@ def truncated(matrix: TermMatrix, rank: int | None = None) -> tuple[np.ndarray,
         return np.zeros(0), np.zeros((0, n))
     rng = np.random.Generator(np.random.PCG64(7))
     most = min(m, n)
-    left, right = np.zeros((m, 0)), np.zeros((n, 0))
+    scale = math.sqrt(float(matrix.value @ matrix.value)) + SMOOTH * math.sqrt(m * n)
+    tiny = 1e-13 * scale
+    room = min(n, 16)
+    left, right = np.zeros((room, m)), np.zeros((room, n))  # one direction a row
     alphas: list[float] = []
     betas: list[float] = []
-    scale = math.sqrt(float(matrix.value @ matrix.value)) + SMOOTH * math.sqrt(m * n)
     v = rng.standard_normal(n)
     v /= np.linalg.norm(v)
-    check = 8 if rank is None else rank + 8
+    check = 6 if rank is None else rank + 4
     while True:
-        right = np.column_stack((right, v))
-        u = matrix.times(v) - (betas[-1] * left[:, -1] if betas else 0.0)
-        for _ in range(2):  # full re-orthogonalisation, twice is enough
-            u -= left @ (left.T @ u)
+        k = len(alphas)
+        if k == room:
+            room = min(n, 2 * room)
+            left, right = np.pad(left, ((0, room - k), (0, 0))), np.pad(right, ((0, room - k), (0, 0)))
+        right[k] = v
+        u = _freed(matrix.times(v), left[:k])
         alpha = float(np.linalg.norm(u))
-        fresh = u / alpha if alpha > 1e-13 * scale else _unit(rng, left)
-        if fresh is None:
-            alphas.append(0.0)
-            left = np.column_stack((left, np.zeros(m)))
+        if alpha > tiny:
+            left[k] = u / alpha
         else:
-            alphas.append(alpha if alpha > 1e-13 * scale else 0.0)
-            left = np.column_stack((left, fresh))
-        w = matrix.turned(left[:, -1]) - alphas[-1] * v
-        for _ in range(2):
-            w -= right @ (right.T @ w)
+            alpha, fresh = 0.0, _unit(rng, left[:k])
+            if fresh is not None:  # else they span everything, and the row stays zero
+                left[k] = fresh
+        alphas.append(alpha)
+        w = _freed(matrix.turned(left[k]), right[: k + 1])
         beta = float(np.linalg.norm(w))
-        done = len(alphas) >= n
-        broken = beta <= 1e-13 * scale
-        if not done and (len(alphas) % check == 0 or len(alphas) >= most):
-            p, s, q = np.linalg.svd(np.diag(alphas) + np.diag(betas, 1))
-            rest = 0.0 if broken else beta
-            error = rest * np.abs(p[-1])
-            wanted = min(rank, len(s)) if rank is not None else int((s >= HALF * s[0]).sum()) + 1
-            # with no rank the first value below the half must be sure as well
-            done = wanted < len(s) and not broken and bool((error[:wanted] <= CLOSE * s[0]).all())
-        if done:
-            break
-        betas.append(0.0 if broken else beta)
-        v = _unit(rng, right) if broken else w / beta
-        if v is None:
-            betas.pop()
+        if k + 1 == n:
             break
+        if k + 1 == check or k + 1 >= most:
+            check = k + 5
+            if beta > tiny and _settled(alphas, betas, beta, rank):
+                break
+        if beta > tiny:
+            v = w / beta
+            betas.append(beta)
+        else:
+            v = _unit(rng, right[: k + 1])
+            if v is None:
+                break
+            betas.append(0.0)
     p, s, q = np.linalg.svd(np.diag(alphas) + np.diag(betas, 1))
     keep = s > 1e-9 * max(s[0], 1e-300)
     keep &= (np.arange(len(s)) < rank) if rank is not None else (s >= HALF * s[0])
-    return s[keep], (right @ q.T)[:, keep].T
+    return s[keep], q[keep] @ right[: len(alphas)]
+
+
+def _freed(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """``x`` without its parts along the rows of ``basis``; taken out twice, which is enough for full orthogonality."""
+    for _ in range(2):
+        x = x - (basis @ x) @ basis
+    return x
+
+
+def _settled(alphas: list[float], betas: list[float], beta: float, rank: int | None) -> bool:
+    """Whether the values asked for have converged and, with no rank, the next one lies below the half within its error."""
+    p, s, _ = np.linalg.svd(np.diag(alphas) + np.diag(betas, 1))
+    error = beta * np.abs(p[-1])
+    wanted = rank if rank is not None else int((s >= HALF * s[0]).sum())
+    if wanted >= len(s) or (error[:wanted] > CLOSE * s[0]).any():
+        return False
+    return rank is not None or s[wanted] + error[wanted] < HALF * s[0]
 
 
 def summary(text: str, n: int = 5, rank: int | None = None) -> tuple[str, int]:
