@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+RECORDS = 10_000  # of a file: quoted line feeds keep a reader from splitting it, so a file is one task's
+
+
 def write_csv(df: DataFrame, path: str, index: str | None = None) -> None:
-    """CSV with a header; with ``index`` that column (a time, say) comes first, in its order."""
+    """CSV with a header; with ``index`` that column (a time, say) comes first, in its order. No file has more than RECORDS rows."""
     if index is not None:
         df = df.select(index, *[c for c in df.columns if c != index]).repartitionByRange(index).sortWithinPartitions(index)
-    df.write.mode("overwrite").options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    df.write.mode("overwrite").options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, maxRecordsPerFile=RECORDS).csv(path)
 
 
 def _quoted(column: F.Column) -> F.Column:
