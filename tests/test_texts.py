@@ -1,6 +1,7 @@
 """Comments that name their text: the same results as comments that hold it, and each text is handled once."""
 
 import datetime as dt
+import hashlib
 import random
 
 import pytest
@@ -10,6 +11,7 @@ from threadlens import catalog
 from threadlens.functions import text as X
 from threadlens.operators import bursts, changes, cleaning, termstats, timebuckets
 from threadlens.plans import fixtures as fx
+from threadlens.sources import sinks
 
 SAID = ["uno dos dos", "Dos tres https://x.co/a", ":) 12", "los los tres cuatro", None]
 
@@ -58,3 +60,26 @@ def test_queries_clean_a_text_once(spark, sf, monkeypatch):
     monkeypatch.setattr(fx, "texts", lambda *a, **k: made.append(texts(*a, **k)) or made[-1])
     assert catalog.queries()["daily_volume"](spark, sf).count()
     assert [t.count() for t in made] == [fx.table(spark, sf, "documents").count() + 1]
+
+
+def test_csv_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "RECORDS", 10)
+    sinks.write_csv(spark.range(95).coalesce(1), str(tmp_path / "csv"))
+    files = list((tmp_path / "csv").glob("part-*"))
+    assert len(files) == 10 and all(len(f.read_text().splitlines()) <= 11 for f in files)
+
+
+def test_digests_of_documents_in_parts(spark):
+    """A bucket's digest is that of its whole document, and no row holds the whole."""
+    rows = [(dt.datetime(2024, 1, 1 + i % 2 * 2, i % 24), i, f"ñ{i}") for i in range(90)]
+    parts = timebuckets.documents(spark.createDataFrame(rows, "local_ts timestamp_ntz, row_pos bigint, cleaned_comment string"), "daily", 7)
+    got = {r.bucket.day: r.document_sha256 for r in timebuckets.digests(parts).collect()}
+    whole = {day: " ".join(t for *_, t in sorted(r for r in rows if r[0].day == day)) for day in (1, 2, 3)}
+    assert got == {day: hashlib.sha256(text.encode()).hexdigest() for day, text in whole.items()}
+    assert parts.count() == 15
+
+
+@pytest.mark.parametrize("name", ["sliding_counts", "stream_bursts", "stream_events"])
+def test_sql_has_all_ticks(name):
+    """No stretch of the events and no last window is left out."""
+    assert "2024-01-10" not in catalog.oracle_sql()[name] and "WHERE k <=" not in catalog.oracle_sql()[name]
