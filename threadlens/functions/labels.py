@@ -71,8 +71,21 @@ def video_prompt(context: str, subject: str) -> str:
     return f"Contexto: {context}\nTarea: lee el resumen de un video y clasifícalo según lo que expresa sobre esta afirmación o pregunta: \"{subject}\".\n{SCALES}\n{ANSWER}"
 
 
+REPLY = "El mensaje responde a este otro: "
+
+
 def comment_prompt(context: str, subject: str, stance: Column, sentiment: Column, parent: Column) -> Column:
     """The question for a comment, with its video's codes; a known parent text makes it the question for a reply."""
+    reply = F.when(parent.isNull(), "").otherwise(F.concat(F.lit(REPLY), parent, F.lit("\n")))
+    return F.concat(comment_opening(context, subject, stance, sentiment), reply, F.lit(f"{SCALES}\n{ANSWER}"))
+
+
+def comment_opening(context: str, subject: str, stance: Column, sentiment: Column) -> Column:
+    """What stands before the parent's text."""
     video = F.concat(F.lit("El video tiene un sentimiento "), F.coalesce(sentiment, F.lit("desconocido")), F.lit(" y una postura "), F.coalesce(stance, F.lit("desconocida")), F.lit(f' frente a esta afirmación o pregunta: "{subject}".\n'))
-    reply = F.when(parent.isNull(), "").otherwise(F.concat(F.lit("El mensaje responde a este otro: "), parent, F.lit("\n")))
-    return F.concat(F.lit(f"Contexto: {context}\nTarea: clasifica un mensaje escrito sobre un video según ese contexto. "), video, reply, F.lit(f"{SCALES}\n{ANSWER}"))
+    return F.concat(F.lit(f"Contexto: {context}\nTarea: clasifica un mensaje escrito sobre un video según ese contexto. "), video)
+
+
+def comment_question(opening: str, parent: str | None) -> str:
+    """``comment_prompt`` from its opening, outside of Spark's expressions."""
+    return opening + ("" if parent is None else f"{REPLY}{parent}\n") + f"{SCALES}\n{ANSWER}"

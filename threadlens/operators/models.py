@@ -10,10 +10,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import labels
 from ..functions import text as X
 
@@ -26,12 +28,13 @@ FAILED = "error"
 # --- look-ups that model calls need
 
 
-def with_parent_text(comments: DataFrame) -> DataFrame:
-    """``parent_text`` of the comment replied to; of a repeated id the first row counts; null where there is none."""
-    parents = comments.groupBy(F.col("comment_id").alias("_parent")).agg(F.min_by("text", "row_pos").alias("parent_text"))
+def with_parent_text(comments: DataFrame, said: str = "text") -> DataFrame:
+    """``parent_text`` of the comment replied to (or the parent's other column ``said``); of a repeated id the first row counts; null where there is none."""
+    name = f"parent_{said}"
+    parents = comments.groupBy(F.col("comment_id").alias("_parent")).agg(F.min_by(said, "row_pos").alias(name))
     answers = F.col("reply_to_comment_id").isNotNull()  # the others have no key to meet by
     found = comments.where(answers).join(parents, F.col("reply_to_comment_id") == F.col("_parent"), "left").drop("_parent")
-    return found.unionByName(comments.where(~answers).withColumn("parent_text", F.lit(None).cast("string")))
+    return found.unionByName(comments.where(~answers).withColumn(name, F.lit(None).cast(dict(comments.dtypes)[said])))
 
 
 def with_video_codes(comments: DataFrame, videos: DataFrame) -> DataFrame:
@@ -207,11 +210,12 @@ class TokenWindow:
     clock: Callable[[], float] = time.monotonic
     sleep: Callable[[float], None] = time.sleep
     used: deque = field(default_factory=deque)
+    total: int = 0  # of what is used
 
     def _forget(self) -> int:
         while self.used and self.clock() - self.used[0][0] >= self.seconds:
-            self.used.popleft()
-        return sum(n for _, n in self.used)
+            self.total -= self.used.popleft()[1]
+        return self.total
 
     def wait(self, tokens: int) -> None:
         while self._forget() + tokens > self.budget and self.used:
@@ -219,16 +223,18 @@ class TokenWindow:
 
     def spend(self, tokens: int) -> None:
         self.used.append((self.clock(), tokens))
+        self.total += tokens
 
 
 def retried(call: Callable[[], tuple[str, int]], attempts: int = 6, low: float = 5.0, high: float = 60.0, sleep: Callable[[float], None] = time.sleep, seed: int = 0) -> tuple[str | None, int]:
     """The call's answer; after each failure a random, growing wait; (None, 0) after the last."""
-    rng = np.random.Generator(np.random.PCG64(seed))
+    rng = None
     for k in range(attempts):
         try:
             return call()
         except Exception:
             if k + 1 < attempts:
+                rng = rng or np.random.Generator(np.random.PCG64(seed))
                 sleep(float(rng.uniform(low, min(high, low * 2 ** (k + 1)))))
     return None, 0
 
@@ -283,6 +289,75 @@ def comment_prompts(comments: DataFrame, videos: DataFrame, context: str, subjec
     return found.select("comment_id", prompt.alias("prompt"), F.col("text").alias("message"))
 
 
-def classified_comments(comments: DataFrame, videos: DataFrame, client, context: str, subject: str, retry: str | None = None, **options) -> DataFrame:
-    """Comments with classification and polarity; parents are looked up among all comments, finished ones included."""
-    return _resumed(comments, "comment_id", lambda todo: classified(comment_prompts(comments, videos, context, subject).join(todo.select("comment_id").distinct(), "comment_id", "left_semi").dropDuplicates(["comment_id"]), client, "comment_id", **options), retry)
+BLOCK = 64  # texts that follow each other in text_id; a cell holds those of two blocks at most, besides frequent ones
+FREQUENT = 5_000  # comments from which a text goes to all cells that need it
+
+
+def _cells(asked: DataFrame) -> DataFrame:
+    """``asked`` (text_id, parent_text_id, ...) with the cell in which a comment meets its own text and its parent's.
+
+    A cell is named by the blocks of the two; most comments and their parents share a block where text_ids follow
+    the threads.  Texts of very many comments have no block: they are few and go wherever they are needed.
+    """
+    every = asked.select("text_id").unionByName(asked.where("parent_text_id is not null").select(F.col("parent_text_id").alias("text_id")))
+    frequent = shared.durable(every.groupBy("text_id").agg(F.count("*").alias("n")).where(F.col("n") > FREQUENT).select("text_id"), "frequent-texts")
+    known = lambda name: F.broadcast(frequent.select(F.col("text_id").alias(name), F.lit(True).alias(f"_{name}")))  # noqa: E731  at most one for FREQUENT comments
+    block = lambda name: F.when(F.col(f"_{name}").isNull(), F.floor(F.col(name) / BLOCK))
+    met = asked.join(known("text_id"), "text_id", "left").join(known("parent_text_id"), "parent_text_id", "left")
+    own, other = block("text_id"), block("parent_text_id")
+    spread = F.pmod(F.xxhash64("comment_id"), F.lit(64))  # for comments whose texts are all frequent
+    cell = F.concat_ws(":", F.coalesce(own, other, -1 - spread), F.when(own != other, other))
+    return met.withColumn("cell", cell).drop("_text_id", "_parent_text_id")
+
+
+def classified_by_text(asked: DataFrame, texts: DataFrame, client: Callable[[str, str], tuple[str, int]], estimate: int = 800, budget: int = 450_000, attempts: int = 6, sleep: Callable[[float], None] = time.sleep, lanes: int = 8) -> DataFrame:
+    """``classified`` of comments (comment_id, opening, text_id, parent_text_id) that name their texts; ``texts`` has (text_id, text), each once.
+
+    Each cell of comments gets each text it needs once, ahead of the comments; so no text is sent, or written, for every comment that says it.
+    """
+    lanes = max(1, min(lanes, budget // max(1, estimate)))
+    share = budget // lanes
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window, cell, held = TokenWindow(share, sleep=sleep), None, {}
+        for batch in parts:
+            ids, out = [], []
+            for where, comment, opening, own, parent, text in zip(*[batch.column(c).to_pylist() for c in ("cell", "comment_id", "opening", "text_id", "parent_text_id", "text")], strict=True):
+                if where != cell:
+                    cell, held = where, {}
+                if opening is None:
+                    held[own] = text
+                    continue
+                question = labels.comment_question(opening, held.get(parent))
+                window.wait(estimate)
+                answer, tokens = retried(lambda p=question, m=held.get(own): client(p, m), attempts, sleep=sleep)
+                window.spend(tokens)
+                ids.append(comment)
+                out.append(answer)
+            yield pa.RecordBatch.from_pydict({"comment_id": pa.array(ids, pa.string()), "response": pa.array(out, pa.string())})
+
+    placed = shared.durable(_cells(asked), "asked-cells")
+    needed = placed.select("cell", "text_id").unionByName(placed.where("parent_text_id is not null").select("cell", F.col("parent_text_id").alias("text_id"))).distinct()
+    nothing = lambda name, kind="string": F.lit(None).cast(kind).alias(name)
+    told = needed.join(texts.select("text_id", "text"), "text_id").select("cell", nothing("comment_id"), nothing("opening"), "text_id", nothing("parent_text_id", "bigint"), "text")
+    rows = told.unionByName(placed.select("cell", "comment_id", "opening", "text_id", "parent_text_id", nothing("text")))
+    # a cell's texts, which have no opening, come before its comments
+    answers = rows.repartition(lanes, "cell").sortWithinPartitions("cell", F.asc_nulls_first("opening")).mapInArrow(run, "comment_id string, response string")
+    return answers.select("comment_id", labels.answer(F.col("response")).alias("a")).select("comment_id", "a.*")
+
+
+def classified_comments(comments: DataFrame, videos: DataFrame, client, context: str, subject: str, retry: str | None = None, texts: DataFrame | None = None, **options) -> DataFrame:
+    """Comments with classification and polarity; parents are looked up among all comments, finished ones included.
+
+    With ``texts`` (text_id, text) comments name their text by text_id.
+    """
+
+    def results(todo: DataFrame) -> DataFrame:
+        these = todo.select("comment_id").distinct()
+        if texts is None:
+            return classified(comment_prompts(comments, videos, context, subject).join(these, "comment_id", "left_semi").dropDuplicates(["comment_id"]), client, "comment_id", **options)
+        found = with_video_codes(with_parent_text(comments, "text_id"), videos)
+        asked = found.select("comment_id", labels.comment_opening(context, subject, F.col("video_stance"), F.col("video_mood")).alias("opening"), "text_id", "parent_text_id")
+        return classified_by_text(asked.join(these, "comment_id", "left_semi").dropDuplicates(["comment_id"]), texts, client, **options)
+
+    return _resumed(comments, "comment_id", results, retry)
