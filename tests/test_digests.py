@@ -45,8 +45,21 @@ def test_counts(spark, monkeypatch, end, grain, batch):
     assert got == expected(rows, w, lambda us, first: START + dt.timedelta(microseconds=us // w.grain_us * w.grain_us))
 
 
-@pytest.mark.parametrize("name", ["sliding_counts"])
+@pytest.mark.parametrize(("end", "window"), [("2024-01-01 05:04", "1h10min"), ("2024-01-02 03:07", "26h"), ("2024-01-01 04:10", "50min")])
+def test_odd_counts(spark, end, window):
+    rows = [(m * 6, x) for m, x in made()]
+    w = bursts.Sliding("2024-01-01 00:00", end, "25min", window, "50min", zone="UTC")
+    got = {r.tick: (r.n_cells, r.counts_sha256) for r in changes.odd_counts_digests(comments(spark, rows), w).collect()}
+
+    def bin_of(us, first):
+        day = first // bursts.DAY * bursts.DAY
+        return START + dt.timedelta(microseconds=day + (us - day) // w.grain_us * w.grain_us)
+
+    assert got == expected(rows, w, bin_of) and len(got) > 5
+
+
+@pytest.mark.parametrize("name", ["sliding_counts", "sliding_odd_windows"])
 def test_no_tick_is_one_row(spark, sf, name):
-    """A tick's cells are neither collected nor copied for each tick."""
+    """A tick's cells are not collected into one row, nor, where windows share bins, copied for each tick."""
     plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
-    assert "collect_list" not in plan and "Generate" not in plan
+    assert "collect_list" not in plan and (name != "sliding_counts" or "Generate" not in plan)
