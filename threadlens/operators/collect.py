@@ -55,14 +55,18 @@ def enriched(videos: DataFrame, channels: DataFrame) -> DataFrame:
 def flat_threads(pages: DataFrame, max_comments: int | None = None) -> DataFrame:
     """Comments from JSON documents of threads (video_id, page_pos, item): a row for each top comment and each of its replies, in one pass.
 
-    ``max_comments`` counts comments and replies of a video alike, in the order of the pages.
+    ``max_comments`` counts comments and replies of a video alike, in the order of the pages.  Documents that say how
+    many came ``before`` them are cut where they are; others are numbered by video first.
     """
-    rows = pages.select("video_id", "page_pos", F.from_json("item", schemas.COMMENT_THREAD).alias("t"))
+    counted = "before" in pages.columns
+    rows = pages.select("video_id", "page_pos", *["before"] * counted, F.from_json("item", schemas.COMMENT_THREAD).alias("t"))
     top = F.col("t.snippet.topLevelComment")
     parent = F.struct(top.alias("c"), F.lit(False).alias("is_reply"), F.lit(None).cast("string").alias("reply_to"))
     replies = F.transform(F.coalesce("t.replies.comments", F.array()), lambda r: F.struct(r.alias("c"), F.lit(True).alias("is_reply"), top["id"].alias("reply_to")))
-    every = rows.where(top["id"].isNotNull()).select("video_id", "page_pos", F.posexplode(F.concat(F.array(parent), replies)).alias("at", "x"))
-    if max_comments is not None:
+    every = rows.where(top["id"].isNotNull()).select("video_id", "page_pos", *["before"] * counted, F.posexplode(F.concat(F.array(parent), replies)).alias("at", "x"))
+    if max_comments is not None and counted:
+        every = every.where(F.col("before") + F.col("at") < max_comments)
+    elif max_comments is not None:
         number = F.row_number().over(Window.partitionBy("video_id").orderBy("page_pos", "at"))
         every = every.withColumn("rn", number).where(F.col("rn") <= max_comments)
     said = F.col("x.c.snippet")

@@ -88,34 +88,42 @@ def lookup(ids: DataFrame, column: str, transport: Transport, endpoint: str, bat
 
 
 def comment_threads(ids: DataFrame, transport: Transport, max_comments: int | None = None) -> DataFrame:
-    """(video_id, page_pos, item): the thread documents of each video, walked inside its task.
+    """(video_id, page_pos, item, before): the thread documents of each video, walked inside its task.
 
-    Paging ends once ``max_comments`` comments and replies have come; ``collect.flat_threads`` cuts at the very number.
+    ``before`` counts the video's comments and replies in earlier documents, of which one without a top comment has
+    none.  Paging ends once ``max_comments`` have come; ``collect.flat_threads`` cuts at the very number.
     """
     import json
 
     import pyarrow as pa
 
-    schema = pa.schema([("video_id", pa.string()), ("page_pos", pa.int64()), ("item", pa.string())])
+    schema = pa.schema([("video_id", pa.string()), ("page_pos", pa.int64()), ("item", pa.string()), ("before", pa.int64())])
 
-    def batch(video: str, first: int, got: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"video_id": [video] * len(got), "page_pos": list(range(first, first + len(got))), "item": got}, schema)
+    def comments_in(item: dict) -> int:
+        top = (item.get("snippet") or {}).get("topLevelComment") or {}
+        return 0 if top.get("id") is None else 1 + len((item.get("replies") or {}).get("comments") or [])
 
     def run(parts):
+        encode = json.JSONEncoder(ensure_ascii=False).encode
         for part in parts:
+            rows: tuple[list, ...] = ([], [], [], [])
             for video in part.column(0).to_pylist():
-                got, said, first = [], 0, 0
-                for item in pages(transport, "commentThreads", {"videoId": video, "maxResults": PAGE}):
+                said = 0
+                for at, item in enumerate(pages(transport, "commentThreads", {"videoId": video, "maxResults": PAGE})):
                     if max_comments is not None and said >= max_comments:
                         break
-                    got.append(json.dumps(item, ensure_ascii=False))
-                    said += 1 + len((item.get("replies") or {}).get("comments") or [])
-                    if len(got) == PAGE:  # a page's threads leave at once
-                        yield batch(video, first, got)
-                        got, first = [], first + PAGE
-                yield batch(video, first, got)
-
-    return ids.select("video_id").where("video_id is not null").distinct().mapInArrow(run, "video_id string, page_pos bigint, item string")
+                    for column, value in zip(rows, (video, at, encode(item), said)):
+                        column.append(value)
+                    said += comments_in(item)
+                    if len(rows[0]) == PAGE:  # no more than a page's threads are held, of one video or of several
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
+                        rows = ([], [], [], [])
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
+
+    # a given number of tasks, before the ids are made distinct: they are so short that Spark would hand them to a few
+    tasks = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ids.select("video_id").where("video_id is not null").repartition(tasks, "video_id").distinct().mapInArrow(run, "video_id string, page_pos bigint, item string, before bigint")
 
 
 def transcripts(ids: DataFrame, transport: Transport, language: str = "es") -> DataFrame:
