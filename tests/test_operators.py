@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadlens import schemas
 from threadlens.functions import labels, text as X
@@ -220,6 +221,15 @@ def test_csv_round_trip(spark, tmp_path):
     assert files.read_csv(spark, str(tmp_path / "c"), schemas.COMMENTS).first().text == rows[0][2]
 
 
+def test_csv_keeps_what_its_readers_lose(spark, tmp_path):
+    """An empty text is not null, NUL stays before quotes too, and an escape stands for itself."""
+    texts = ["", None, "a\x00\"b", "\x00", "\x1b", "\x1bn", "\x1b0", "\x1be\x1b\x1b", "\r", "a\r\n", " ", "\\\"", "after"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string").coalesce(1)
+    sinks.write_csv(df, str(tmp_path / "c"))
+    found = files.read_csv(spark, str(tmp_path / "c"), T.StructType.fromDDL("id string, text string"))
+    assert [r.text for r in sorted(found.collect(), key=lambda r: int(r.id))] == texts
+
+
 def test_model_calls(spark):
     clock = [0.0]
     window = models.TokenWindow(100, 60, lambda: clock[0], lambda s: clock.__setitem__(0, clock[0] + s))

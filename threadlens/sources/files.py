@@ -6,12 +6,15 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
+
+from ..functions import text as X
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """CSV with a header; quoted fields may hold line feeds and doubled quotes."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
+    """CSV with a header; quoted fields may hold line feeds and doubled quotes. Nothing is null; ``text.escaped`` tells what '' is."""
+    rows = spark.read.schema(schema).options(header=True, multiLine=True, escape='"', mode="FAILFAST").csv(path)
+    return rows.select(*[X.unescaped(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, StringType) else F.col(f"`{f.name}`") for f in schema])
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType, lines: bool = False) -> DataFrame:

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 
 RECORDS = 10_000  # of a file: quoted line feeds keep a reader from splitting it, so a file is one task's
 
 
 def write_csv(df: DataFrame, path: str, index: str | None = None) -> None:
-    """CSV with a header; with ``index`` that column (a time, say) comes first, in its order. No file has more than RECORDS rows."""
+    """CSV with a header; with ``index`` that column (a time, say) comes first, in its order. No file has more than RECORDS rows.
+
+    Values are quoted, null is nothing; ``text.escaped`` keeps what ``files.read_csv`` would not get back.
+    """
     if index is not None:
         df = df.select(index, *[c for c in df.columns if c != index]).repartitionByRange(index).sortWithinPartitions(index)
+    df = df.select(*[X.escaped(F.col(f"`{name}`")).alias(name) if kind == "string" else F.col(f"`{name}`") for name, kind in df.dtypes])
     df.write.mode("overwrite").options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, maxRecordsPerFile=RECORDS).csv(path)
 
 
