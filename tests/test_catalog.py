@@ -1,7 +1,10 @@
 """Every registered query against its SQL, on the smallest tables."""
 
+import datetime as dt
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from threadlens import catalog
@@ -39,6 +42,13 @@ def test_query_without_sql_runs(name, spark, sf):
     assert catalog.queries()[name](spark, sf).count() > 0
 
 
+def test_hooked_detector_sees_all_ticks(spark, sf):
+    """From the first event to the window at the end, not only three days."""
+    first, last = catalog.queries()["hooked_detector"](spark, sf).agg(F.min("tick"), F.max("tick")).first()
+    since, until = spark.read.parquet(f"{sf}/events.parquet").agg(F.min("ts"), F.max("ts")).first()
+    assert last - first > until - since - dt.timedelta(days=1)
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert rows and rows[0].comment_count >= rows[-1].comment_count
