@@ -55,3 +55,15 @@ def test_no_row_for_a_pane_and_term(spark, monkeypatch):
     named, texts = made(spark)
     found = changes.Changes(named, bursts.Sliding("2024-01-01 00:00", "2024-01-01 05:04", zone="UTC", top_n=3), bursts.Detector(), ["dos"], texts)
     assert found.top().count() and found.snapshots().count() == found.ticks.count()
+
+
+@pytest.mark.parametrize("end", ["2024-01-01 05:04", "2024-01-01 05:00"])
+def test_digests_of_packed_rows(spark, monkeypatch, end):
+    """The vocabulary passes in blocks, digits stand before the mark after a term, and nothing is a row for a pane and term."""
+    monkeypatch.setattr(panes, "BLOCK", 2)
+    rng = random.Random(4)
+    rows = [(rng.choice([rng.randrange(300), rng.randrange(0, 300, 10)]), " ".join(rng.choices(["uno", "uno1", "unos", "ñu"], k=3))) for _ in range(90)]
+    grid = changes.Grid(bursts.Sliding("2024-01-01 00:00", end, "10min", "30min", zone="UTC"))
+    want = changes.counts_digests(changes.counted(comments(spark, rows), grid), grid).collect()
+    monkeypatch.setattr(shared, "bucketed", lambda *a: pytest.fail("counts as rows"))
+    assert sorted(map(tuple, changes.all_counts_digests(comments(spark, rows), grid).collect())) == sorted(map(tuple, want))
