@@ -39,3 +39,11 @@ def test_bursts_of_named_texts(spark):
     w = bursts.Sliding("2024-01-01 00:00", "2024-01-01 03:24", "10min", "30min", zone="UTC", top_n=3)
     detector = bursts.Detector(baseline=4, k_sigma=0.5, min_history=2, sigma_floor=0.01)
     assert shown(keyed.bursts_once(named, w, detector, texts=texts)[0]) == shown(changes.detect(named.join(texts, "text_id"), w, detector))
+
+
+def test_a_pane_counts_texts_and_not_words(spark):
+    """State has a row for each text of an open pane, however many words it has."""
+    rows = spark.createDataFrame([(m, m % 2) for m in (1, 2, 3, 11)], "m int, text_id bigint")
+    said = rows.select((F.lit("2024-01-01 00:00").cast("timestamp_ntz") + F.make_dt_interval(mins="m")).alias("local_ts"), "text_id", F.lit(None).cast("boolean").alias("beat"))
+    w = bursts.Sliding("2024-01-01 00:00", "2024-01-01 03:24", "10min", "30min", zone="UTC")
+    assert sorted((r.place, r.text_id, r.n) for r in keyed.pane_counts(said, w).collect()) == [(1, 0, 1), (1, 1, 2), (3, 1, 1)]
