@@ -79,6 +79,17 @@ def test_digests_of_documents_in_parts(spark):
     assert parts.count() == 15
 
 
+def test_digests_of_named_texts(spark):
+    """The same digests where comments name their text, and no text is sent as it is."""
+    rows = [(dt.datetime(2024, 1, 1 + i % 2 * 2, i % 24), i, i % 4) for i in range(90)]
+    named = spark.createDataFrame(rows, "local_ts timestamp_ntz, row_pos bigint, text_id bigint")
+    texts = spark.createDataFrame(list(enumerate(["uno", "ñu dos", "", "tres " * 50])), "text_id bigint, cleaned_comment string")
+    want = timebuckets.digests(timebuckets.documents(named.join(texts, "text_id"), "daily", 7)).collect()
+    got = timebuckets.text_digests(named, texts, "daily")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) == 3
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("name", ["sliding_counts", "stream_bursts", "stream_events"])
 def test_sql_has_all_ticks(name):
     """No stretch of the events and no last window is left out."""
